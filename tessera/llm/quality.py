@@ -1,6 +1,6 @@
 """Quality rules with tokeniser fertility.
 
-A public vocabulary with byte fallback measures each whole text: characters per token, the share of tokens that are single bytes, and
+A public vocabulary with byte fallback measures each whole text: characters per token, tokens per word, the share of tokens that are single bytes, and
 the entropy of the tokens. Each script has a band for each; a text outside its script's bands is rejected, as is one that fails the
 base rules on length and repetition.
 """
@@ -24,22 +24,23 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Band:
-    """Bounds of a script. Entropy in bits a token; it is asked of texts of at least `long` tokens, since short ones can't have much."""
+    """Bounds of a script. Entropy is in bits a token; it is asked of texts of at least `long` tokens, since short ones can't have much."""
 
     least_chars: float
     most_chars: float
     most_bytes: float
     least_entropy: float
+    most_fertility: float  # tokens a word; asked of long texts too
     long: int = 100
 
 
 #: By script; `other` for the rest. From what the vocabulary gives ordinary prose, with wide margins.
 BANDS = {
-    "latin": Band(1.2, 9.0, 0.25, 3.0),
-    "cyrillic": Band(0.9, 8.0, 0.25, 3.0),
-    "greek": Band(0.5, 6.0, 0.6, 3.0),
-    "cjk": Band(0.3, 3.0, 0.9, 3.0),
-    "other": Band(0.2, 9.0, 1.0, 2.0),
+    "latin": Band(1.2, 9.0, 0.25, 3.0, 3.4),
+    "cyrillic": Band(0.9, 8.0, 0.25, 3.0, 7.0),
+    "greek": Band(0.5, 6.0, 0.6, 3.0, 14.0),
+    "cjk": Band(0.3, 3.0, 0.9, 3.0, 500.0),
+    "other": Band(0.2, 9.0, 1.0, 2.0, 100.0),
 }
 #: First code points of ranges, and the script of each.
 _FIRST = np.array([0, 0x41, 0x5B, 0x61, 0x7B, 0xC0, 0x250, 0x370, 0x400, 0x530, 0x3040, 0xA000, 0xAC00, 0xD7B0])
@@ -134,7 +135,7 @@ def judge(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabular
     out = common.map_rows(d, rows, f"doc_id {dict(d.dtypes)['doc_id']}, {SCHEMA}")
     fine = F.lit(False)
     for name, b in (bands or BANDS).items():
-        ok = F.col("chars_per_token").between(b.least_chars, b.most_chars) & (F.col("byte_share") <= b.most_bytes) & ((F.col("n_tokens") < b.long) | (F.col("entropy") >= b.least_entropy))
+        ok = F.col("chars_per_token").between(b.least_chars, b.most_chars) & (F.col("byte_share") <= b.most_bytes) & ((F.col("n_tokens") < b.long) | ((F.col("entropy") >= b.least_entropy) & (F.col("n_tokens") <= b.most_fertility * F.col("n_words"))))
         fine = F.when(F.col("script") == name, ok).otherwise(fine)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & fine)

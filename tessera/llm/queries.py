@@ -6,16 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import langid, simhash, toxicity
+from tessera.llm import flac, langid, packing, passages, pieces, quality, simhash, toxicity, urlfilter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_filter": urlfilter.op1_url_filter,
         "op2_toxicity": toxicity.op2_toxicity,
+        "op3_sentencepiece": pieces.op3_sentencepiece,
+        "op4_packing": packing.op4_packing,
+        "op5_flac": flac.op5_flac,
         "op6_language_id": langid.op6_language_id,
         "op7_simhash": simhash.op7_simhash,
+        "op8_warc": warc.op8_warc,
+        "op9_quality": quality.op9_quality,
+        "op10_passages": passages.op10_passages,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op8_warc": warc.OP8_SQL}
