@@ -2,8 +2,8 @@
 
 A byte goes if a string of `size` bytes that covers it also begins anywhere else. The steps, each exact:
 
-1. Anchors (minima of a 64-byte hash over windows, so that every string of `size` bytes holds one) that occur once show where no such
-   string can lie; what is left between them are segments, a fraction of the text. Equal texts count as one, known to be a copy.
+1. A string of `size` bytes has a least anchor: of its 64-byte substrings that of smallest hash. Where that anchor occurs once, so
+   does the string; runs of other strings are segments, a fraction of the text. Equal texts count as one, known to be a copy.
 2. Segments are cut into phrases at minima of a 16-byte hash, so that equal strings are cut alike but near their ends. The phrases'
    hashes are symbols, and the distributed difference-cover algorithm (suffixes.py) sorts all phrase suffixes.
 3. Suffixes next to each other compare prefixes. A prefix of `size` bytes and one phrase more shared with a neighbour settles every
@@ -53,28 +53,30 @@ def span_hash(h: list[np.ndarray], at: np.ndarray, size: np.ndarray) -> np.ndarr
     return out
 
 
+def _over(y: np.ndarray, w: int, f, fill: int) -> np.ndarray:
+    """f (minimum or maximum) of every w values in a row."""
+    z = np.full(-(-len(y) // w) * w, fill, np.uint64)
+    z[: len(y)] = y
+    z = z.reshape(-1, w)
+    left = f.accumulate(z, axis=1).ravel()
+    right = f.accumulate(z[:, ::-1], axis=1)[:, ::-1].ravel()
+    return f(right[: len(y) - w + 1], left[w - 1 : len(y)])
+
+
+def least_of(x: np.ndarray, w: int) -> np.ndarray:
+    return _over(x, w, np.minimum, 2**64 - 1) if len(x) >= w else np.zeros(0, np.uint64)
+
+
 def winnow(x: np.ndarray, w: int) -> np.ndarray:
     """Where a value is the least of some w in a row (ties: all of them); none if there are fewer than w."""
-    n = len(x)
-    if n < w:
+    if len(x) < w:
         return np.zeros(0, np.int64)
-
-    def over(y, f, fill):
-        m = -(-len(y) // w) * w
-        z = np.full(m, fill, np.uint64)
-        z[: len(y)] = y
-        z = z.reshape(-1, w)
-        left = f.accumulate(z, axis=1).ravel()
-        right = f.accumulate(z[:, ::-1], axis=1)[:, ::-1].ravel()
-        return f(right[: len(y) - w + 1], left[w - 1 : len(y)])
-
-    least = over(x, np.minimum, np.uint64(2**64 - 1))
     pad = np.zeros(w - 1, np.uint64)
-    return np.flatnonzero(x == over(np.concatenate([pad, least, pad]), np.maximum, np.uint64(0)))
+    return np.flatnonzero(x == _over(np.concatenate([pad, least_of(x, w), pad]), w, np.maximum, 0))
 
 
 def anchors(a: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes: every string of size bytes holds one of them whole."""
+    """Places and hashes: the least anchor of every string of size bytes is among them."""
     if len(a) < size:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     x = power_hashes(a, ANCHOR)[-1]
@@ -82,6 +84,17 @@ def anchors(a: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return p, x[p]
 
 
+def candidates(a: np.ndarray, size: int, again: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of strings of size bytes whose least anchor is one of those at the places again, as the bytes that a run covers.
+
+    Equal strings have equal least anchors, so any other string occurs once.
+    """
+    x = power_hashes(a, ANCHOR)[-1]
+    maybe = np.isin(least_of(x, size - ANCHOR + 1), x[again[again < len(x)]])
+    edge = np.diff(np.r_[0, maybe.astype(np.int8), 0])
+    return list(zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) - 1 + size).tolist(), strict=True))
+
+
 def phrase_table(a: np.ndarray, size: int) -> dict[str, np.ndarray]:
     """The phrases of a segment: begin, symbol, short (hash of the whole phrases in the next bytes; 0: none) and long (of the string that
     settles those beginning in the phrase; 0: the segment ends before)."""
@@ -133,13 +146,10 @@ def segments(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
         key, begin, piece = [], [], []
         for i, again in enumerate(c["again"]):
             a = data[off[i] : off[i + 1]]
-            p, _ = anchors(a, size)
-            once = np.setdiff1d(p, again.values.to_numpy())
-            for lo, hi in zip(np.r_[0, once + 1], np.r_[once + ANCHOR - 1, len(a)], strict=True):
-                if hi - lo >= size:
-                    key.append(i)
-                    begin.append(lo)
-                    piece.append(a[lo:hi].tobytes())
+            for lo, hi in candidates(a, size, again.values.to_numpy()):
+                key.append(i)
+                begin.append(lo)
+                piece.append(a[lo:hi].tobytes())
         return common.batch(key=c["key"].take(pa.array(key, pa.int64())), begin=pa.array(begin, pa.int64()), bytes=pa.array(piece, pa.binary()))
 
     here = docs.join(known.filter("again is not null").select("key", "first", "again").hint("shuffle_hash"), ["key"]).filter("row = first")
