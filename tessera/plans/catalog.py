@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.plans import quality  # noqa: F401
 from tessera.plans.registry import ORACLES, QUERIES, Query
 
 
