@@ -7,6 +7,7 @@ are ever cut, and only where a document is longer than a sequence.
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import lru_cache
 
@@ -23,19 +24,64 @@ from tessera.llm.words import WordIds
 VOCABULARY = "word_bpe_49k.json"
 
 
+# Fixed value: the vocabulary's own rule for what merging may join, applied to lower-cased text; a space between words is kept apart.
+_PARTS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+| "
+
+
+#: Anything but visible ASCII and Latin letters whose normal form is the text itself, or what could begin a special token.
+_ODD = re.compile("[^\\x21-\\x7e\u00a1-\u024f]|\u0130|<\\|").search
+
+
+class _Encoder:
+    """Ids of words, by way of their parts: many words share a part, and new parts go to the tokenizer together."""
+
+    def __init__(self, path: str, most: int = 300_000):
+        import regex
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.parts, self.most = Tokenizer.from_file(path), regex.compile(_PARTS), most
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.ends = [(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)]
+        self.known: dict[str, list[int]] = {}
+
+    def _alone(self, word: str) -> list[int]:
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
+
+    def __call__(self, words: list[str]) -> list[list[int]]:
+        odd = set(filter(_ODD, words))
+        plain = [w for w in words if w not in odd] if odd else words
+        parts: list[list[str]] = [[]]
+        for x in self.parts.findall(" ".join(plain).lower()):
+            if x == " ":
+                parts.append([])
+            else:
+                parts[-1].append(x)
+        if len(self.known) > self.most:
+            self.known.clear()
+        new = list({x for p in parts for x in p}.difference(self.known))
+        for lo in range(0, len(new), 5000):
+            some, at, found = new[lo : lo + 5000], 0, []
+            ids = self._alone(" ".join(some))
+            for k, i in enumerate(ids):
+                if self.ends[i]:
+                    found.append(ids[at : k + 1])
+                    at = k + 1
+            if len(found) != len(some) or at != len(ids):
+                found = [self._alone(x) for x in some]
+            self.known.update(zip(some, found, strict=True))
+        known = self.known
+        got = iter([[i for x in p for i in known[x]] for p in parts])
+        return [self._alone(w) if w in odd else next(got) for w in words] if odd else list(got)
+
+
 @lru_cache(2)
 def _encoder(path: str) -> WordIds:
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    return WordIds(lambda words: [e.ids for e in t.encode_batch(words, add_special_tokens=False)])
+    return WordIds(_Encoder(path), most=600_000)
 
 
 def _split(text: str) -> list[str]:
     """At white space as the vocabulary's own rule has it: str.split also takes four separators that the rule does not."""
     if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        import re
-
         return [w for w in re.split("[ \t\n\r]+", text) if w]
     return text.split()
 
