@@ -143,6 +143,8 @@ def duplicate_columns(df: DataFrame, columns: list[str] | None = None) -> DataFr
 
 def mirrors(df: DataFrame, columns: list[str] | None = None) -> dict[str, str]:
     """Duplicate to source."""
+    if len(columns or df.columns) < 2:
+        return {}
     return {r["duplicate"]: r["source"] for r in duplicate_columns(df, columns).collect()}
 
 

@@ -391,9 +391,9 @@ _TS = f"""WITH x AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PART
 SELECT customer_id, {_N}, """
 
 
-def _series(spark: S, d: str, columns: list[str], **on) -> DataFrame:
+def _series(spark: S, d: str, columns: list[str], places: int = 6, **on) -> DataFrame:
     off = {"mean": False, "std": False, "sum": False, "na_ratio": False, "k_first": 0, "k_last": 0, "end_start_diff": False, "increase_ratio": False, "most_columns": 100}
-    return rounded(agg.aggregate(load(spark, d, "orders"), ["customer_id"], columns, agg.AggregationConfig(**(off | on)), ["order_date"], ["order_id"]))
+    return rounded(agg.aggregate(load(spark, d, "orders"), ["customer_id"], columns, agg.AggregationConfig(**(off | on)), ["order_date"], ["order_id"]), places)
 
 
 @query("agg_first_last", _TS + "max(totalprice) FILTER (WHERE i = 0) AS totalprice__first1, max(totalprice) FILTER (WHERE i = 1) AS totalprice__first2, max(totalprice) FILTER (WHERE i = n - 1) AS totalprice__last1, max(status) FILTER (WHERE i = 0) AS status__first1, max(status) FILTER (WHERE i = 1) AS status__first2, max(status) FILTER (WHERE i = n - 1) AS status__last1 FROM x GROUP BY 1")
@@ -421,9 +421,9 @@ def agg_arg_positions(spark: S, d: str) -> DataFrame:
     return _series(spark, d, ["totalprice"], first_max_pos=True, last_max_pos=True, first_min_pos=True, last_min_pos=True)
 
 
-@query("agg_autocorr", _TS + "round(CASE WHEN count(*) > 1 THEN coalesce(CASE WHEN count(p) > 2 THEN corr(totalprice, p) END, 0) END, 5) AS totalprice__autocorr1, round(CASE WHEN count(*) > 2 THEN coalesce(CASE WHEN count(p2) > 2 THEN corr(totalprice, p2) END, 0) END, 5) AS totalprice__autocorr2 FROM x GROUP BY 1 HAVING count(*) > 4")
+@query("agg_autocorr", _TS + "round(CASE WHEN count(*) > 1 THEN coalesce(CASE WHEN count(p) > 2 THEN corr(totalprice, p) END, 0) END, 4) AS totalprice__autocorr1, round(CASE WHEN count(*) > 2 THEN coalesce(CASE WHEN count(p2) > 2 THEN corr(totalprice, p2) END, 0) END, 4) AS totalprice__autocorr2 FROM x GROUP BY 1 HAVING count(*) > 4")
 def agg_autocorr(spark: S, d: str) -> DataFrame:
-    return rounded(_series(spark, d, ["totalprice"], autocorr_lags=(1, 2)).filter(F.col("count") > 4), 5)
+    return _series(spark, d, ["totalprice"], 4, autocorr_lags=(1, 2)).filter(F.col("count") > 4)
 
 
 @query("ts_sort", f"SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM {E}")
@@ -499,7 +499,7 @@ def _tvd_sql(c: str) -> str:
 
 def _qd_sql(c: str) -> str:
     q = "[0.05, 0.25, 0.5, 0.75, 0.95]"
-    return f"(SELECT list_avg(list_transform(range(1, 6), i -> abs(a.q[i] - b.q[i]))) / a.s FROM (SELECT quantile_cont({c}, {q}) AS q, stddev_samp({c}) AS s FROM {_EVEN}) a, (SELECT quantile_cont({c}, {q}) AS q FROM {_ODD}) b)"
+    return f"(SELECT list_avg(list_transform(range(1, 6), lambda i: abs(a.q[i] - b.q[i]))) / a.s FROM (SELECT quantile_cont({c}, {q}) AS q, stddev_samp({c}) AS s FROM {_EVEN}) a, (SELECT quantile_cont({c}, {q}) AS q FROM {_ODD}) b)"
 
 
 @query("tvd", f"SELECT round({_tvd_sql('priority')}, 6) AS tvd")
