@@ -1,10 +1,10 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
 A task joins the new chunks of its batch into one text and sorts that text's suffixes; a binary search finds the range of every piece's
-occurrences. The occurrences are edges, sorted by where they begin, and one pass relaxes them: an edge extends a prefix's encoding if
-the prefix's last piece and the edge's piece, side by side, are what byte-pair merging makes of their text. Exactly one edge into a
-position passes, so the pass gives the merging's own result without any merging of the text. Characters outside the vocabulary become
-their bytes' pieces.
+occurrences. The occurrences are edges, sorted by where they begin, and one pass relaxes them, all chunks in step: an edge extends a
+prefix's encoding if the prefix's last piece and the edge's piece, side by side, are what byte-pair merging makes of their text. Exactly
+one edge into a position passes, so the pass gives the merging's own result without any merging of the text. Characters outside the
+vocabulary become their bytes' pieces.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ class Matcher:
         special = [sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i) for i in range(n)]
         self.text = [sp.id_to_piece(i) for i in range(n)]
         self.rank = {t: (-sp.get_score(i), i) for i, t in enumerate(self.text) if not special[i]}
+        self.unknown = n
         by_bytes = sorted((t.encode(), i) for t, (_, i) in self.rank.items())
         self.ids = np.array([i for _, i in by_bytes], np.int64)
         self.longest = max(len(b) for b, _ in by_bytes)
@@ -46,10 +47,32 @@ class Matcher:
         self.size = np.array([len(b) for b, _ in by_bytes], np.int64)
         self.bytes_of = [bytes([int(t[3:5], 16)]) if sp.is_byte(i) else b"" if special[i] else t.replace(MARK, " ").encode() for i, t in enumerate(self.text)]
         self.byte_id = {self.bytes_of[i][0]: i for i in range(n) if sp.is_byte(i)}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.byte_table = np.zeros(256, np.int64)
+        for b, i in self.byte_id.items():
+            self.byte_table[b] = i
+        # order of forming: characters first, then pieces by rank; and the two parts that a piece is last merged from
+        self.order = np.full(n + 1, -1, np.int64)
+        for k, (t, (_, i)) in enumerate(sorted(self.rank.items(), key=lambda x: x[1])):
+            self.order[i] = k + 1 if len(t) > 1 else 0
+        self.left, self.right = np.arange(n + 1), np.arange(n + 1)
+        self.alive = np.ones(n + 1, bool)
+        joined = []
+        for t, (_, i) in self.rank.items():
+            if len(t) == 1:
+                continue
+            ids, last = self.merge(t)
+            self.alive[i] = ids == [i]
+            if last:
+                self.left[i], self.right[i] = self.rank[last[0]][1], self.rank[last[1]][1]
+            joined += [(self.rank[t[:k]][1] * (n + 1) + self.rank[t[k:]][1], self.order[i]) for k in range(1, len(t)) if t[:k] in self.rank and t[k:] in self.rank]
+        joined.sort()
+        self.join_key, self.join_order = np.array(joined, np.int64).T
+
+    def merge(self, text: str) -> tuple[list[int], tuple[str, str] | None]:
+        """Byte-pair merging of a short text, and the last pair merged: the best-ranked pair of neighbours first, the leftmost of equals.
 
-    def merge(self, text: str) -> list[int]:
-        """Byte-pair merging of a short text: the best-ranked pair of neighbours first, the leftmost of equals. Unknown characters: -1."""
+        Unknown characters are -1.
+        """
         part: list[str | None] = list(text)
         after, before = list(range(1, len(part) + 1)), list(range(-1, len(part) - 1))
         heap = []
@@ -60,26 +83,43 @@ class Matcher:
 
         for i in range(len(part) - 1):
             offer(i)
+        last = None
         while heap:
             _, i, a, b = heapq.heappop(heap)
             if part[i] != a or after[i] >= len(part) or part[after[i]] != b:
                 continue
+            last = a, b
             j = after[i]
             part[i], part[j], after[i] = a + b, None, after[j]
             if after[i] < len(part):
                 before[after[i]] = i
             offer(before[i])
             offer(i)
-        return [self.rank[p][1] if p in self.rank else -1 for p in part if p is not None]
+        return [self.rank[p][1] if p in self.rank else -1 for p in part if p is not None], last
 
-    def fits(self, a: int, b: int) -> bool:
-        """Whether piece a (-1: none) before piece b stays as it is under merging."""
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.merge((self.text[a] if a >= 0 else "") + self.text[b]) == ([a, b] if a >= 0 else [b])
-        return known
+    def fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether merging leaves each piece a before its piece b as they are: whether no parts that meet at the border, as both are
+        taken apart from the piece formed last, would have been merged while both were there. The unknown piece joins nothing."""
+        n = self.unknown + 1
+        out = (a == self.unknown) | (b == self.unknown)
+        at = np.flatnonzero(~out)
+        a, b = a[at], b[at]
+        until = np.full(len(at), 1 << 40, np.int64)  # what is formed before this would have come first
+        while len(at):
+            key = a * n + b
+            k = np.minimum(np.searchsorted(self.join_key, key), len(self.join_key) - 1)
+            free = ~((self.join_key[k] == key) & (self.join_order[k] < until))
+            at, a, b = at[free], a[free], b[free]
+            oa, ob = self.order[a], self.order[b]
+            whole_a, whole_b = self.right[a] == a, self.left[b] == b
+            done = whole_a & whole_b
+            out[at[done]] = True
+            split_a = ~whole_a & ((oa > ob) | whole_b)
+            # of two that could form at once, the left one does: so a piece on the right is still apart when its equal forms
+            until = np.where(split_a, oa, ob + 1)
+            a, b = np.where(split_a, self.right[a], a), np.where(split_a, b, self.left[b])
+            at, a, b, until = at[~done], a[~done], b[~done], until[~done]
+        return out
 
     def edges(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All occurrences of pieces in the text, by beginning and then length: beginning, piece, length in bytes."""
@@ -96,50 +136,66 @@ class Matcher:
         by = np.lexsort((size, where))
         return where[by], piece[by], size[by]
 
-    def encode(self, chunks: list[str]) -> list[list[int]]:
-        """The ids of each chunk."""
+    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks in a row, and how many each has."""
         raw = [c.encode("utf-8", "surrogatepass") for c in chunks]
-        where, piece, size = self.edges(_END.join(raw))
-        ends = np.cumsum([len(r) + 1 for r in raw])
-        cut = np.searchsorted(where, np.r_[0, ends]).tolist()
-        where, piece, size = where.tolist(), piece.tolist(), size.tolist()
-        out, base, pairs = [], 0, self.pairs
-        for k, (c, r) in enumerate(zip(chunks, raw, strict=True)):
-            if c.count(MARK) > 1:  # runs of spaces have pieces of equal rank, for which neighbours do not tell
-                out.append(self._with_bytes(self.merge(c), c))
-                base += len(r) + 1
-                continue
-            n, e, stop = len(r), cut[k], cut[k + 1]
-            last: list[int | None] = [None] * (n + 1)  # the piece that ends a prefix's encoding; -1 for an unknown character
-            p = 0
-            for ch in c:
-                step = len(ch.encode("utf-8", "surrogatepass"))
-                if ch not in self.rank and last[p + step] is None and (p == 0 or last[p] is not None):
-                    last[p + step] = -1
-                before = last[p] if p else -1
-                while e < stop and where[e] == base + p:
-                    if before is not None:
-                        b = piece[e]
-                        ok = pairs.get((before, b))
-                        if ok or ok is None and self.fits(before, b):
-                            last[p + size[e]] = b
-                    e += 1
-                p += step
-            ids, p = [], n
-            while p:
-                t = last[p]
-                if t is not None and t >= 0:
-                    ids.append(t)
-                    p -= len(self.text[t].encode())
-                else:
-                    q = p - 1
-                    while q and r[q] & 0xC0 == 0x80:
-                        q -= 1
-                    ids += [self.byte_id[x] for x in reversed(r[q:p])]
-                    p = q
-            out.append(ids[::-1])
-            base += n + 1
-        return out
+        data = _END.join(raw) + _END
+        size_of = np.array([len(r) for r in raw])
+        begin = np.cumsum(size_of + 1) - size_of - 1
+        where, piece, size = self.edges(data)
+        # characters outside the vocabulary are edges of the unknown piece
+        a = np.frombuffer(data, np.uint8)
+        first = np.flatnonzero((a & 0xC0 != 0x80) & (a != 0xFF))
+        lead = a[first]
+        width = np.select([lead < 0x80, lead < 0xE0, lead < 0xF0], [1, 2, 3], 4)
+        is_char = np.zeros(len(a), bool)
+        starts = np.full(len(a), -1)
+        starts[first] = width
+        is_char[where[size == starts[where]]] = True
+        odd = ~is_char[first]
+        where, piece, size = np.r_[where, first[odd]], np.r_[piece, np.full(odd.sum(), self.unknown)], np.r_[size, width[odd]]
+        keep = self.alive[piece]
+        where, piece, size = where[keep], piece[keep], size[keep]
+        depth = where - np.repeat(begin, size_of + 1)[where]
+        by = np.argsort(depth, kind="stable")
+        where, piece, size, depth = where[by], piece[by], size[by], depth[by]
+        cuts = np.flatnonzero(np.r_[True, depth[1:] != depth[:-1], True]) if len(depth) else np.zeros(1, int)
+        none = -1
+        last, length = np.full(len(a), none), np.zeros(len(a), np.int64)  # the piece that ends a prefix's encoding, by the prefix's end
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            w, p, s = where[lo:hi], piece[lo:hi], size[lo:hi]
+            if depth[lo]:
+                before = last[w]
+                ok = np.flatnonzero(before != none)
+                ok = ok[self.fit(before[ok], p[ok])]
+                w, p, s = w[ok], p[ok], s[ok]
+            last[w + s] = p
+            length[w + s] = s
+        # back from each chunk's end
+        at, k, steps = begin + size_of, np.arange(len(raw)), []
+        while True:
+            k, at = k[at > begin[k]], at[at > begin[k]]
+            if not len(k):
+                break
+            steps.append((k, last[at], at))
+            at = at - length[at]
+        chunk = np.concatenate([x for x, _, _ in steps]) if steps else np.zeros(0, np.int64)
+        ids = np.concatenate([x for _, x, _ in steps]) if steps else np.zeros(0, np.int64)
+        end = np.concatenate([x for _, _, x in steps]) if steps else np.zeros(0, np.int64)
+        by = np.lexsort((end, chunk))
+        chunk, ids, end = chunk[by], ids[by], end[by]
+        n = np.where(ids == self.unknown, length[end], 1)  # a character outside is as many pieces as it has bytes
+        place = np.repeat(end - length[end], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        ids, chunk = np.repeat(ids, n), np.repeat(chunk, n)
+        ids = np.where(ids == self.unknown, self.byte_table[a[place]], ids)
+        count = np.bincount(chunk, minlength=len(raw))
+        spaces = [k for k, c in enumerate(chunks) if c.count(MARK) > 1]  # runs of spaces have pieces of equal rank: merge them
+        if spaces:
+            each = np.split(ids, np.cumsum(count)[:-1])
+            for k in spaces:
+                each[k] = np.array(self._with_bytes(self.merge(chunks[k])[0], chunks[k]), np.int64)
+            ids, count = np.concatenate(each), np.array([len(x) for x in each])
+        return ids.astype(np.int32), count.astype(np.int64)
 
     def _with_bytes(self, ids: list[int], text: str) -> list[int]:
         out, at = [], 0

@@ -10,7 +10,8 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 
-Encoder = Callable[[list], Sequence[Sequence[int]]]
+#: The ids of each word, as lists or as (all in a row, how many each has).
+Encoder = Callable[[list], Sequence[Sequence[int]] | tuple[np.ndarray, np.ndarray]]
 
 
 class WordIds:
@@ -28,8 +29,11 @@ class WordIds:
         for lo in range(0, len(words), 20_000):
             part = words[lo : lo + 20_000]
             ids = self.encode(part)
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.int32, int(size.sum()))
+            if isinstance(ids, tuple):
+                flat, size = ids
+            else:
+                size = np.fromiter(map(len, ids), np.int64, len(ids))
+                flat = np.fromiter((i for x in ids for i in x), np.int32, int(size.sum()))
             while self.used + len(flat) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             while n + len(part) > len(self.at):
