@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 ROOT = Path(__file__).resolve().parents[2]
 #: Words are runs of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 SPACES = " \t\n\x0b\x0c\r"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +55,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: cuts lineage, and lost executors cost nothing but the task at hand."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # what the write has shuffled is of no use after it
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

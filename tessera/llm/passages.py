@@ -5,9 +5,10 @@ A byte goes if a string of `size` bytes that covers it also begins anywhere else
 1. A string of `size` bytes has a least anchor: of its 64-byte substrings that of smallest hash. Where that anchor occurs once, so
    does the string; runs of other strings are segments, a fraction of the text. Equal texts count as one, known to be a copy.
 2. Segments are cut into phrases at minima of a 16-byte hash, so that equal strings are cut alike but near their ends. The phrases'
-   hashes are symbols, and the distributed difference-cover algorithm (suffixes.py) sorts all phrase suffixes.
+   hashes are symbols, and the distributed difference-cover algorithm (suffixes.py) sorts all phrase suffixes, to the depth of nine
+   phrases or more; those that share so many stand together, equal long prefixes side by side.
 3. Suffixes next to each other compare prefixes. A prefix of `size` bytes and one phrase more shared with a neighbour settles every
-   string that begins in the phrase; a short prefix shared with none settles that no string around it repeats.
+   string that begins in the phrase; a short prefix, of nine phrases at most, shared with none settles that no string around it repeats.
 4. What stays open, a few strings at the ends of each repeat, is compared by 128 bits of hash with all strings that hold the same short
    prefix at the same place.
 """
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 from tessera.llm import common
 from tessera.llm.suffixes import flat, gather, merge_keys, sorted_groups
 
-GRAM, WINDOW = 16, 64  # of phrases
+GRAM, WINDOW = 16, 88  # of phrases
+LEVELS = 1  # of recursion: suffixes are sorted by 3 ** (LEVELS + 1) phrases at least, some 400 bytes
 ANCHOR = 64  # bytes of an anchor
 _M = [np.uint64((0x9E3779B97F4A7C15 + 0x6A09E667F3BCC908 * i) % 2**64 | 1) for i in range(16)]
 
@@ -108,7 +110,7 @@ def phrase_table(a: np.ndarray, size: int) -> dict[str, np.ndarray]:
     inner = np.isin(at, cut)
     stop = np.searchsorted(cut, at + short, "right") - 1 if len(cut) else np.full(len(at), -1)
     stop = np.where(stop >= 0, cut[np.maximum(stop, 0)] if len(cut) else 0, 0)
-    ok = inner & (stop > at)
+    ok = inner & (stop > at) & (np.searchsorted(at, stop) - np.arange(len(at)) <= 3 ** (LEVELS + 1))
     s = np.where(ok, span_hash(h, at, np.where(ok, stop - at, 1)), np.uint64(0))
     fits = at + n + size <= len(a)
     long = np.where(fits, span_hash(h, at, np.where(fits, n + size, 1)), np.uint64(0))
@@ -172,7 +174,7 @@ def repeats(cuts: DataFrame, size: int) -> DataFrame:
         return common.batch(s=c["s"], **lists)
 
     strings = common.written(common.map_rows(cuts.select("s", "bytes"), parse, "s long, c array<long>, at array<long>, short array<long>, long array<long>"), "strings")
-    keys = gather(merge_keys(strings.select("s", "c")), "z", "e", "r").drop("i")
+    keys = gather(merge_keys(strings.select("s", "c"), LEVELS), "z", "e", "r").drop("i")
     both = strings.join(keys, "s").select("s", "short", "long", "z", "e", "r")
 
     def spread(batches):
@@ -268,7 +270,7 @@ def adjacent(rows: DataFrame) -> DataFrame:
     """(s, i, short_again, long_again) of suffix rows: whether the one before or after in suffix order has the same prefix hash."""
     from pyspark import TaskContext
 
-    keys = ["k0", "k1", "k2", "s", "i"]
+    keys = ["k0", "k1", "k2", "long", "s", "i"]
 
     def compare(batches):
         t = list(batches)

@@ -32,48 +32,48 @@ def gather(rows: DataFrame, *values: str) -> DataFrame:
     return got.select("s", F.col("a.i").alias("i"), *[F.col(f"a.{v}").alias(v) for v in values])
 
 
-def sorted_groups(rows: DataFrame, keys: list[str], name: str, payload: tuple[str, ...] = ("s", "i")) -> DataFrame:
+def sorted_groups(rows: DataFrame, keys: list[str], name: str, payload: tuple[str, ...] = ("s", "i"), carry: str | None = None) -> DataFrame:
     """Rows in the order of the keys with g, the dense rank of their keys (from 1), and z and e.
 
-    Where rows have a column `kind`, rows of kind 0 come first among equals; z is how many groups up to the row's have one, and e
-    is 0 if its own has, else 1. Written to the shared folder, since the offsets of later partitions come from a second look.
+    Where rows have a column `kind`, rows of kind 0 come first among equals; e is 0 if a row's group has one, else 1; z is how many
+    groups up to the row's have one or, given a column to carry, the largest value so far of rows of kind 0. Written to the shared
+    folder, since the offsets of later partitions come from a second look.
     """
     has_kind = "kind" in rows.columns
-    order = [*keys, *(["kind"] if has_kind else []), *payload]
-    types = dict(rows.dtypes)
     cols = [*keys, *(["kind"] if has_kind else []), *payload]
+    types = dict(rows.dtypes)
 
     def number(batches):
-        t = pa.Table.from_batches(list(batches)).combine_chunks() if (batches := list(batches)) else None
-        if t is None or not t.num_rows:
+        batches = list(batches)
+        if not sum(b.num_rows for b in batches):
             return
+        t = pa.Table.from_batches(batches).combine_chunks()
         k = [t.column(c).to_numpy() for c in keys]
         new = np.ones(t.num_rows, bool)
         new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in k])
         g = np.cumsum(new)
-        zero = (t.column("kind").to_numpy() == 0)[new] if has_kind else np.zeros(g[-1], bool)
-        z = np.cumsum(zero)[g - 1]
-        e = 1 - zero[g - 1].astype(np.int32)
-        out = t.append_column("g", pa.array(g, pa.int64())).append_column("z", pa.array(z, pa.int64())).append_column("e", pa.array(e, pa.int32()))
-        pid = TaskContext.get().partitionId()
-        out = out.append_column("pid", pa.array(np.full(len(g), pid), pa.int32()))
+        kind = t.column("kind").to_numpy() if has_kind else np.ones(t.num_rows, np.int32)
+        zero = (kind == 0)[new]
+        z = np.maximum.accumulate(np.where(kind == 0, t.column(carry).to_numpy(), 0)) if carry else np.cumsum(zero)[g - 1]
+        pid = np.full(len(g), TaskContext.get().partitionId(), np.int32)
+        out = t.append_column("g", pa.array(g, pa.int64())).append_column("z", pa.array(z, pa.int64())).append_column("e", pa.array(1 - zero[g - 1].astype(np.int32))).append_column("pid", pa.array(pid))
         yield from out.to_batches(max_chunksize=1 << 16)
 
-    done = written(rows.select(*cols).orderBy(*order).mapInArrow(number, ", ".join(f"{c} {types[c]}" for c in cols) + ", g long, z long, e int, pid int"), name)
-    place = F.struct("g", *order)
-    ends = done.groupBy("pid").agg(F.min_by(F.struct(*keys, "e"), place).alias("a"), F.max_by(F.struct(*keys, "e", "g", "z"), place).alias("b"))
+    done = written(rows.select(*cols).orderBy(*cols).mapInArrow(number, ", ".join(f"{c} {types[c]}" for c in cols) + ", g long, z long, e int, pid int"), name)
+    place = F.struct("g", *cols)
+    ends = done.groupBy("pid").agg(F.min_by(F.struct(*keys, "e"), place).alias("a"), F.max_by(F.struct(*keys, "e", "g"), place).alias("b"), F.max("z").alias("z"))
     add, g, z, last, last_e = [], 0, 0, None, 1
     for r in sorted(ends.collect(), key=lambda r: r["pid"]):
-        first = tuple(r["a"][k] for k in keys)
-        same = first == last
+        same = tuple(r["a"][k] for k in keys) == last
         dz = int(same and last_e == 0 and r["a"]["e"] == 0)  # its group was counted in the partition before
         add.append((r["pid"], g - int(same), z - dz, same and last_e == 0))
         one = r["b"]["g"] == 1
         last_e = 0 if one and same and last_e == 0 else r["b"]["e"]
-        g, z, last = g - int(same) + r["b"]["g"], z - dz + r["b"]["z"], tuple(r["b"][k] for k in keys)
+        g, z, last = g - int(same) + r["b"]["g"], max(z, r["z"]) if carry else z - dz + r["z"], tuple(r["b"][k] for k in keys)
     offsets = done.sparkSession.createDataFrame(add, "pid int, dg long, dz long, zero boolean")
-    out = done.join(F.broadcast(offsets), "pid")
-    return out.select(*cols, (F.col("g") + F.col("dg")).alias("g"), (F.col("z") + F.col("dz")).alias("z"), F.when(F.col("zero") & (F.col("g") == 1), 0).otherwise(F.col("e")).alias("e"))
+    out = done.join(F.broadcast(offsets), "pid")  # a row for each partition
+    z = F.greatest("z", "dz") if carry else F.col("z") + F.col("dz")
+    return out.select(*cols, (F.col("g") + F.col("dg")).alias("g"), z.alias("z"), F.when(F.col("zero") & (F.col("g") == 1), 0).otherwise(F.col("e")).alias("e"))
 
 
 def _shifted(v: np.ndarray, bounds: np.ndarray, by: int, fill: int) -> np.ndarray:
@@ -105,7 +105,11 @@ def _positions(strings: DataFrame, wanted: tuple[int, ...], make, schema: str) -
 
 
 def merge_keys(strings: DataFrame, most_levels: int = 40) -> DataFrame:
-    """(s, i, z, e, r) of every position of strings (s, c): sorting by z, e, r sorts the suffixes, and equal keys are equal suffixes."""
+    """(s, i, z, e, r) of every position of strings (s, c): sorting by z, e, r sorts the suffixes, and equal keys are equal suffixes.
+
+    With fewer levels than it takes the names to be unique, suffixes are sorted by their first 3 ** (levels + 1) symbols at least, and
+    those that share so many come together in any order.
+    """
     triples = _positions(strings, (1, 2), lambda c, b, i: {"c0": c, "c1": _shifted(c, b, 1, END), "c2": _shifted(c, b, 2, END)}, "c0 long, c1 long, c2 long")
     named = sorted_groups(triples, ["c0", "c1", "c2"], "triples")
     names = written(named.select("s", "i", "g"), "names")
@@ -123,12 +127,15 @@ def merge_keys(strings: DataFrame, most_levels: int = 40) -> DataFrame:
     both = strings.join(got, "s", "left").select("s", "c", F.coalesce("at", F.array().cast("array<int>")).alias("at"), F.coalesce("r", F.array().cast("array<long>")).alias("r"))
     both = written(_with_ranks(both), "ranked")
     free(names, *spare)
-    one = _positions(both, (0, 1), lambda c, b, i, r: {"kind": (i % 3).astype(np.int32), "c0": c, "r1": _shifted(r, b, 1, 0), "r": r}, "kind int, c0 long, r1 long, r long")
-    two = _positions(both, (0, 2), lambda c, b, i, r: {"kind": (i % 3).astype(np.int32), "c0": c, "c1": _shifted(c, b, 1, END), "r2": _shifted(r, b, 2, 0), "r": r}, "kind int, c0 long, c1 long, r2 long, r long")
+    shift = lambda c, b, i, r: {"kind": (i % 3).astype(np.int32), "c0": c, "c1": _shifted(c, b, 1, END), "r1": _shifted(r, b, 1, 0), "r2": _shifted(r, b, 2, 0), "r": r}
+    schema = "kind int, c0 long, c1 long, r1 long, r2 long, r long"
+    one = sorted_groups(_positions(both, (0, 1), shift, schema), ["c0", "r1"], "merge1", ("s", "i", "r", "c1", "r2"))
+    # suffixes of the first kind take their rank along, so that both sorts place the others between the same ones
+    ranked = one.filter("kind = 0").select("kind", "c0", "c1", "r2", "s", "i", "r", F.col("z").alias("d"))
+    two = _positions(both, (2,), shift, schema).select("kind", "c0", "c1", "r2", "s", "i", "r", F.lit(0).cast("long").alias("d"))
+    two = sorted_groups(ranked.unionByName(two), ["c0", "c1", "r2"], "merge2", ("s", "i", "r", "d"), carry="d").filter("kind <> 0")
     pick = lambda d: d.select("s", "i", "z", "e", F.when(F.col("e") == 0, F.lit(0)).otherwise(F.col("r")).alias("r"))
-    one = pick(sorted_groups(one, ["c0", "r1"], "merge1", ("s", "i", "r")))
-    two = pick(sorted_groups(two, ["c0", "c1", "r2"], "merge2", ("s", "i", "r")).filter("kind <> 0"))
-    return one.unionByName(two)
+    return pick(one).unionByName(pick(two))
 
 
 def _with_ranks(both: DataFrame) -> DataFrame:
