@@ -35,48 +35,51 @@ _ODD = re.compile("[^\\x21-\\x7e\u00a1-\u024f]|\u0130|<\\|").search
 class _Encoder:
     """Ids of words, by way of their parts: many words share a part, and new parts go to the tokenizer together."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.parts, self.most = Tokenizer.from_file(path), regex.compile(_PARTS), most
+        self.tokenizer, self.split = Tokenizer.from_file(path), regex.compile(_PARTS).findall
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.ends = [(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)]
-        self.known: dict[str, list[int]] = {}
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.table = WordIds(self._parts, most=700_000)
 
     def _alone(self, word: str) -> list[int]:
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
-    def __call__(self, words: list[str]) -> list[list[int]]:
+    def _parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        flat, sizes = [], []
+        for lo in range(0, len(parts), 5000):
+            some = parts[lo : lo + 5000]
+            ids = np.array(self._alone(" ".join(some)), np.int32)
+            end = np.flatnonzero(self.ends[ids])  # the last id of a part is marked in the vocabulary
+            size = np.diff(end, prepend=-1)
+            if len(size) != len(some) or len(ids) and end[-1] != len(ids) - 1:
+                each = [self._alone(x) for x in some]
+                ids, size = np.array([i for x in each for i in x], np.int32), np.array([len(x) for x in each])
+            flat.append(ids)
+            sizes.append(size)
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         odd = set(filter(_ODD, words))
         plain = [w for w in words if w not in odd] if odd else words
-        parts: list[list[str]] = [[]]
-        for x in self.parts.findall(" ".join(plain).lower()):
-            if x == " ":
-                parts.append([])
-            else:
-                parts[-1].append(x)
-        if len(self.known) > self.most:
-            self.known.clear()
-        new = list({x for p in parts for x in p}.difference(self.known))
-        for lo in range(0, len(new), 5000):
-            some, at, found = new[lo : lo + 5000], 0, []
-            ids = self._alone(" ".join(some))
-            for k, i in enumerate(ids):
-                if self.ends[i]:
-                    found.append(ids[at : k + 1])
-                    at = k + 1
-            if len(found) != len(some) or at != len(ids):
-                found = [self._alone(x) for x in some]
-            self.known.update(zip(some, found, strict=True))
-        known = self.known
-        got = iter([[i for x in p for i in known[x]] for p in parts])
-        return [self._alone(w) if w in odd else next(got) for w in words] if odd else list(got)
+        parts = self.split(" ".join(plain).lower())
+        gap = np.flatnonzero(np.fromiter(map(" ".__eq__, parts), bool, len(parts)))
+        count = np.diff(np.r_[-1, gap, len(parts)]) - 1 if plain else np.zeros(0, np.int64)
+        ids, per_part = self.table.ids(self.table.numbers([x for x in parts if x != " "]))
+        ends = np.r_[0, np.cumsum(per_part)][np.cumsum(count)]
+        size = np.diff(ends, prepend=0)
+        if not odd:
+            return ids, size
+        each = iter(np.split(ids, ends[:-1])) if plain else iter(())
+        out = [np.array(self._alone(w), np.int32) if w in odd else next(each) for w in words]
+        return np.concatenate(out), np.array([len(x) for x in out])
 
 
 @lru_cache(2)
 def _encoder(path: str) -> WordIds:
-    return WordIds(_Encoder(path), most=600_000)
+    return WordIds(_Encoder(path), most=700_000)
 
 
 def _split(text: str) -> list[str]:

@@ -7,6 +7,7 @@ bounded table of the words it has met, and the public tokenizer encodes only new
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import repeat
 
 import numpy as np
 
@@ -49,10 +50,13 @@ class WordIds:
         """A number for each word, equal words alike; they hold until the next call."""
         if len(self.known) > self.most:
             self.clear()
-        new = set(words).difference(self.known)
-        if new:
-            self._add(sorted(new))
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        out = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(out < 0).tolist()
+        if missing:
+            new = [words[i] for i in missing]
+            self._add(list(dict.fromkeys(new)))
+            out[missing] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
+        return out
 
     def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The words' ids in a row, and how many each word has."""
