@@ -16,7 +16,7 @@ from tessera.operators.joins import child_counts, dense_index, expand, parent_co
 from tessera.operators.keys import topological_order
 from tessera.operators.profile import kind_stats, is_numeric
 from tessera.operators.spn import SPN, SPNParams
-from tessera.types import NON_STD, ColumnSpec, ForeignKey, TableSpec
+from tessera.types import CATEGORICAL, NON_STD, OTHER, ColumnSpec, ForeignKey, TableSpec
 
 DEG, CTX, AGG = "__deg__", "__ctx__", "__agg__"
 DEGREE_SHARE = 0.10  # D8: of epsilon, for degrees
@@ -84,6 +84,15 @@ def pin_degrees(parents: DataFrame, degree: str, target: int, rid: str, seed: in
     return ranked.withColumn(degree, F.col("_b") + F.when(F.col("_i") < rest, 1).otherwise(0)).drop("_x", "_b", "_f", "_o", "_i")
 
 
+def recode(c: Column, source: ColumnSpec, target: ColumnSpec) -> Column:
+    """A parent's code as the child's encoder has it: each orders categories by frequency among its own rows."""
+    if source.kind != CATEGORICAL or target.kind != CATEGORICAL or not source.categories:
+        return c
+    to = {v: float(i) for i, v in enumerate(target.categories)}
+    codes = F.array(*[F.lit(to.get(v, to.get(OTHER, -1.0))) for v in source.categories])
+    return F.when((c >= 0) & (c < len(source.categories)), F.element_at(codes, F.greatest(c, F.lit(0.0)).cast("int") + 1)).otherwise(F.lit(-1.0))
+
+
 @dataclass
 class TableModel:
     spec: TableSpec
@@ -176,7 +185,9 @@ class RelationalModel:
                 if t in counts:
                     parents = pin_degrees(parents, "_d", counts[t], "_rid", seed)
                 rows = expand(parents, "_d", "_i").withColumn("_rid", F.concat_ws(".", "_rid", "_i")).drop("_d", "_i")
-                evidence = {CTX + c: F.col(n) for c, n in carried.items()}
+                theirs = {c.name: c for c in self.models[fk.parent].columns}
+                mine = {c.name: c for c in m.columns}
+                evidence = {CTX + c: recode(F.col(n), theirs[c], mine[CTX + c]) for c, n in carried.items()}
             drawn = m.engine.sample(rows, "_rid", seed, t, evidence)
             keys = {c: F.col(f"_k_{c}") for f in s.foreign_keys for c in f.columns if f"_k_{c}" in drawn.columns}
             keyed = drawn.withColumns(keys)
