@@ -8,7 +8,7 @@ A byte goes if a string of `size` bytes that covers it also begins anywhere else
    hashes are symbols, and the distributed difference-cover algorithm (suffixes.py) sorts all phrase suffixes, to the depth of nine
    phrases or more; those that share so many stand together, equal long prefixes side by side.
 3. Suffixes next to each other compare prefixes. A prefix of `size` bytes and one phrase more shared with a neighbour settles every
-   string that begins in the phrase; a short prefix, of nine phrases at most, shared with none settles that no string around it repeats.
+   string that begins in the phrase; a short prefix of two phrases shared with none settles that no string around it repeats.
 4. What stays open, a few strings at the ends of each repeat, is compared by 128 bits of hash with all strings that hold the same short
    prefix at the same place.
 """
@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from tessera.llm import common
 from tessera.llm.suffixes import flat, gather, merge_keys, sorted_groups
 
-GRAM, WINDOW = 16, 88  # of phrases
-LEVELS = 1  # of recursion: suffixes are sorted by 3 ** (LEVELS + 1) phrases at least, some 400 bytes
+GRAM, WINDOW = 16, 112  # of phrases
+LEVELS = 1  # of recursion: suffixes are sorted by 3 ** (LEVELS + 1) phrases at least, some 500 bytes
+PREFIX = 2  # phrases of a short prefix
 ANCHOR = 64  # bytes of an anchor
 _M = [np.uint64((0x9E3779B97F4A7C15 + 0x6A09E667F3BCC908 * i) % 2**64 | 1) for i in range(16)]
 
@@ -98,23 +99,52 @@ def candidates(a: np.ndarray, size: int, again: np.ndarray) -> list[tuple[int, i
 
 
 def phrase_table(a: np.ndarray, size: int) -> dict[str, np.ndarray]:
-    """The phrases of a segment: begin, symbol, short (hash of the whole phrases in the next bytes; 0: none) and long (of the string that
-    settles those beginning in the phrase; 0: the segment ends before)."""
-    margin = GRAM + WINDOW
-    short = size - 2 * margin - WINDOW
+    """The phrases of a segment: begin, symbol, upto, short and long.
+
+    upto: the last window of which the phrase's cut is the least (the last of equals), -1 if none. short: hash of the phrase and
+    the next (0: there is none). long: hash of the string that settles all those beginning in the phrase
+    (0: the segment ends before).
+    """
     h = power_hashes(a, 256)
-    cut = winnow(h[4], WINDOW)
+    x = h[4]
+    least, cut = least_of(x, WINDOW), winnow(x, WINDOW)
     at = np.unique(np.r_[0, cut])
     end = np.r_[at[1:], len(a)]
     n = end - at
-    inner = np.isin(at, cut)
-    stop = np.searchsorted(cut, at + short, "right") - 1 if len(cut) else np.full(len(at), -1)
-    stop = np.where(stop >= 0, cut[np.maximum(stop, 0)] if len(cut) else 0, 0)
-    ok = inner & (stop > at) & (np.searchsorted(at, stop) - np.arange(len(at)) <= 3 ** (LEVELS + 1))
-    s = np.where(ok, span_hash(h, at, np.where(ok, stop - at, 1)), np.uint64(0))
+    q = at[:, None] - np.arange(WINDOW - 1, -1, -1)
+    inside = (q >= 0) & (q < len(least)) & (at[:, None] < len(x))
+    inside[inside] = least[q[inside]] == np.broadcast_to(x[np.minimum(at, len(x) - 1)][:, None], q.shape)[inside]
+    which = np.full(len(least), -1)
+    k, col = np.nonzero(inside)
+    which[q[k, col]] = k  # in order of the cuts, so the last of equals stays
+    upto = np.full(len(at), -1)
+    np.maximum.at(upto, which[which >= 0], np.flatnonzero(which >= 0))
+    ok = np.arange(len(at)) + PREFIX < len(at)
+    s = np.where(ok, span_hash(h, at, np.where(ok, at[np.minimum(np.arange(len(at)) + PREFIX, len(at) - 1)] - at, 1)), np.uint64(0))
     fits = at + n + size <= len(a)
     long = np.where(fits, span_hash(h, at, np.where(fits, n + size, 1)), np.uint64(0))
-    return {"at": at, "c": span_hash(h, at, n).view(np.int64), "short": s.view(np.int64), "long": long.view(np.int64)}
+    return {"at": at, "c": span_hash(h, at, n).view(np.int64), "upto": upto, "short": s.view(np.int64), "long": long.view(np.int64)}
+
+
+def places(at: np.ndarray, upto: np.ndarray, short: np.ndarray, short_again: np.ndarray, long_again: np.ndarray, n: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each string of size bytes in a segment of n: whether it repeats for sure, whether it is open, and a hash that equal strings share.
+
+    The least of a string's first window of 16-byte hashes and that of its last are cuts in any equal string, with the same cuts
+    between; so all phrases between occur around an equal string, and a short prefix among them that occurs once excludes one.
+    """
+    total = n - size + 1
+    p = np.arange(total)
+    sure = np.zeros(total + 1, np.int64)
+    end = np.r_[at[1:], n]
+    np.add.at(sure, np.minimum(at[long_again], total), 1)
+    np.add.at(sure, np.minimum(end[long_again] + 1, total), -1)
+    sure = np.cumsum(sure)[:total] > 0
+    least = np.maximum.accumulate(upto)
+    first, last = np.searchsorted(least, p), np.searchsorted(least, p + size - GRAM - WINDOW + 1)
+    once = np.r_[0, np.cumsum((short != 0) & ~short_again)]
+    excluded = once[np.maximum(last - PREFIX + 1, first)] > once[first]
+    shared = np.where(first + PREFIX <= last, short[first], 0)
+    return sure, ~sure & ~excluded, shared
 
 
 def _key(text) -> F.Column:
@@ -164,16 +194,15 @@ def segments(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
 
 def repeats(cuts: DataFrame, size: int) -> DataFrame:
     """(s, lo, hi): runs of places in a segment (both ends included) at which a string of size bytes begins that also begins elsewhere."""
-    margin = GRAM + WINDOW
 
     def parse(c):
         data, off = common.buffers(c["bytes"])
         t = [phrase_table(data[a:b], size) for a, b in zip(off[:-1], off[1:], strict=True)]
         bounds = pa.array(np.r_[0, np.cumsum([len(x["at"]) for x in t])], pa.int32())
-        lists = {k: pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([x[k] for x in t]))) for k in ("c", "at", "short", "long")}
+        lists = {k: pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([x[k] for x in t]))) for k in ("c", "at", "upto", "short", "long")}
         return common.batch(s=c["s"], **lists)
 
-    strings = common.written(common.map_rows(cuts.select("s", "bytes"), parse, "s long, c array<long>, at array<long>, short array<long>, long array<long>"), "strings")
+    strings = common.written(common.map_rows(cuts.select("s", "bytes"), parse, "s long, c array<long>, at array<long>, upto array<long>, short array<long>, long array<long>"), "strings")
     keys = gather(merge_keys(strings.select("s", "c"), LEVELS), "z", "e", "r").drop("i")
     both = strings.join(keys, "s").select("s", "short", "long", "z", "e", "r")
 
@@ -189,39 +218,19 @@ def repeats(cuts: DataFrame, size: int) -> DataFrame:
 
     rows = both.mapInArrow(spread, "s long, i int, short long, long long, k0 long, k1 int, k2 long")
     settled = common.written(adjacent(rows), "adjacent")
-    flags = common.written(strings.select("s", "at", "short").join(gather(settled, "short_again", "long_again").drop("i"), "s").join(cuts.select("s", F.octet_length("bytes").alias("n")), "s"), "flags")
+    flags = common.written(strings.select("s", "at", "upto", "short").join(gather(settled, "short_again", "long_again").drop("i"), "s").join(cuts.select("s", F.octet_length("bytes").alias("n")), "s"), "flags")
     common.free(settled)
 
-    def places(at, short, short_again, long_again, n):
-        """Which places repeat for sure, which stay open, and the phrase by whose short prefix each is known (-1: none)."""
-        total = n - size + 1
-        sure = np.zeros(total + 1, np.int64)
-        end = np.r_[at[1:], n]
-        f = long_again
-        np.add.at(sure, np.minimum(at[f], total), 1)
-        np.add.at(sure, np.minimum(end[f] + 1, total), -1)
-        sure = np.cumsum(sure)[:total] > 0
-        real = np.flatnonzero(short != 0)
-        j = np.searchsorted(at[real], np.arange(total) + margin)
-        by = np.where(j < len(real), real[np.minimum(j, len(real) - 1)] if len(real) else 0, -1)
-        # a phrase tells of places only if its short prefix lies well inside their strings, which holds for the next phrase after the margin
-        far = (by >= 0) & (at[np.maximum(by, 0)] > np.arange(total) + margin + WINDOW)
-        by = np.where(far, -1, by)
-        open_ = ~sure & ((by < 0) | short_again[np.maximum(by, 0)])
-        return sure, open_, by
-
     def batches_of(b):
-        cols = {k: flat(b.column(k)) for k in ("at", "short", "short_again", "long_again")}
+        cols = {k: flat(b.column(k)) for k in ("at", "upto", "short", "short_again", "long_again")}
         for i, (s, n) in enumerate(zip(b.column("s").to_pylist(), b.column("n").to_pylist(), strict=True)):
             one = {k: v[o[i] : o[i + 1]] for k, (v, o) in cols.items()}
-            yield s, n, one, places(one["at"], one["short"], one["short_again"].astype(bool), one["long_again"].astype(bool), n)
+            yield s, places(one["at"], one["upto"], one["short"], one["short_again"].astype(bool), one["long_again"].astype(bool), n, size)
 
     def open_prefixes(batches):
         for b in batches:
-            out = [one["short"][by[open_ & (by >= 0)]] for _, _, one, (_, open_, by) in batches_of(b)]
-            odd = [bool((open_ & (by < 0)).any()) for _, _, _, (_, open_, by) in batches_of(b)]
-            short = np.unique(np.concatenate([*out, np.zeros(int(any(odd)), np.int64)]))
-            yield pa.RecordBatch.from_pydict({"short": pa.array(short, pa.int64())})
+            out = [np.unique(shared[open_]) for _, (_, open_, shared) in batches_of(b)]
+            yield pa.RecordBatch.from_pydict({"short": pa.array(np.unique(np.concatenate(out)), pa.int64())})
 
     wanted = flags.mapInArrow(open_prefixes, "short long").distinct()
     # which phrases of a segment have such a prefix; 0 stands for places without one
@@ -233,15 +242,14 @@ def repeats(cuts: DataFrame, size: int) -> DataFrame:
         for b in batches:
             data, off = common.buffers(b.column("bytes"))
             want = b.column("wanted")
-            for i, (s, n, one, (sure, open_, by)) in enumerate(batches_of(b)):
+            for i, (s, (_, open_, shared)) in enumerate(batches_of(b)):
                 w = want[i].values.to_numpy() if want[i].is_valid else np.zeros(0, np.int64)
-                prefix = np.where(by >= 0, one["short"][np.maximum(by, 0)], 0)
-                p = np.flatnonzero(np.isin(prefix, w))
+                p = np.flatnonzero(np.isin(shared, w))
                 if len(p):
                     h = span_hash(power_hashes(data[off[i] : off[i + 1]], 256), p, np.full(len(p), size))
                     for lo in range(0, len(p), 1 << 15):
                         q = p[lo : lo + (1 << 15)]
-                        yield pa.RecordBatch.from_pydict({"h": h[lo : lo + len(q)].view(np.int64), "short": prefix[q], "s": np.full(len(q), s), "p": q.astype(np.int32), "open": open_[q]})
+                        yield pa.RecordBatch.from_pydict({"h": h[lo : lo + len(q)].view(np.int64), "short": shared[q], "s": np.full(len(q), s), "p": q.astype(np.int32), "open": open_[q]})
 
     windows = common.written(todo.mapInArrow(compare, "h long, short long, s long, p int, open boolean"), "windows")
     twice = windows.groupBy("h", "short").agg(F.count("*").alias("n"), F.max("open").alias("o")).filter("n > 1 and o").select("h", "short")
@@ -251,7 +259,7 @@ def repeats(cuts: DataFrame, size: int) -> DataFrame:
     def runs(batches):
         for b in batches:
             extra, out = b.column("found"), {"s": [], "lo": [], "hi": []}
-            for i, (s, _, _, (sure, _, _)) in enumerate(batches_of(b)):
+            for i, (s, (sure, _, _)) in enumerate(batches_of(b)):
                 if extra[i].is_valid:
                     sure[extra[i].values.to_numpy()] = True
                 edge = np.diff(np.r_[0, sure.astype(np.int8), 0])
@@ -312,7 +320,7 @@ def spans(docs: DataFrame, size: int = 400, text: str = "text") -> DataFrame:
     key is the first half of the text's SHA-256 (null: of the empty text), so copies share a row; a text of size bytes or more that
     occurs in two rows goes whole.
     """
-    assert size >= 2 * (GRAM + WINDOW) + 2 * WINDOW
+    assert size >= GRAM + 3 * WINDOW
     d = docs.select(_key(F.col(text)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
     cuts, many = segments(d, size)
     found = repeats(cuts, size).join(cuts.select("s", "key", "begin"), "s")
