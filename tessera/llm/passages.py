@@ -218,18 +218,22 @@ def repeats(cuts: DataFrame, size: int) -> DataFrame:
 
     rows = both.mapInArrow(spread, "s long, i int, short long, long long, k0 long, k1 int, k2 long")
     settled = common.written(adjacent(rows), "adjacent")
-    flags = common.written(strings.select("s", "at", "upto", "short").join(gather(settled, "short_again", "long_again").drop("i"), "s").join(cuts.select("s", F.octet_length("bytes").alias("n")), "s"), "flags")
+    flags = common.written(strings.select("s", "at", "upto", "short").join(gather(settled, "short_again", "long_again", "long_first").drop("i"), "s").join(cuts.select("s", F.octet_length("bytes").alias("n")), "s"), "flags")
     common.free(settled)
 
     def batches_of(b):
-        cols = {k: flat(b.column(k)) for k in ("at", "upto", "short", "short_again", "long_again")}
+        cols = {k: flat(b.column(k)) for k in ("at", "upto", "short", "short_again", "long_again", "long_first")}
         for i, (s, n) in enumerate(zip(b.column("s").to_pylist(), b.column("n").to_pylist(), strict=True)):
             one = {k: v[o[i] : o[i + 1]] for k, (v, o) in cols.items()}
-            yield s, places(one["at"], one["upto"], one["short"], one["short_again"].astype(bool), one["long_again"].astype(bool), n, size)
+            again = one["long_again"].astype(bool)
+            found = places(one["at"], one["upto"], one["short"], one["short_again"].astype(bool), again, n, size)
+            # strings that begin in a phrase whose long prefix stands elsewhere too need comparing there only
+            told = np.repeat(again & ~one["long_first"].astype(bool), np.diff(np.r_[one["at"], n]))[: n - size + 1]
+            yield s, (*found, told)
 
     def open_prefixes(batches):
         for b in batches:
-            out = [np.unique(shared[open_]) for _, (_, open_, shared) in batches_of(b)]
+            out = [np.unique(shared[open_]) for _, (_, open_, shared, _) in batches_of(b)]
             yield pa.RecordBatch.from_pydict({"short": pa.array(np.unique(np.concatenate(out)), pa.int64())})
 
     wanted = flags.mapInArrow(open_prefixes, "short long").distinct()
@@ -242,9 +246,9 @@ def repeats(cuts: DataFrame, size: int) -> DataFrame:
         for b in batches:
             data, off = common.buffers(b.column("bytes"))
             want = b.column("wanted")
-            for i, (s, (_, open_, shared)) in enumerate(batches_of(b)):
+            for i, (s, (_, open_, shared, told)) in enumerate(batches_of(b)):
                 w = want[i].values.to_numpy() if want[i].is_valid else np.zeros(0, np.int64)
-                p = np.flatnonzero(np.isin(shared, w))
+                p = np.flatnonzero(np.isin(shared, w) & ~told)
                 if len(p):
                     h = span_hash(power_hashes(data[off[i] : off[i + 1]], 256), p, np.full(len(p), size))
                     for lo in range(0, len(p), 1 << 15):
@@ -259,7 +263,7 @@ def repeats(cuts: DataFrame, size: int) -> DataFrame:
     def runs(batches):
         for b in batches:
             extra, out = b.column("found"), {"s": [], "lo": [], "hi": []}
-            for i, (s, (sure, _, _)) in enumerate(batches_of(b)):
+            for i, (s, (sure, _, _, _)) in enumerate(batches_of(b)):
                 if extra[i].is_valid:
                     sure[extra[i].values.to_numpy()] = True
                 edge = np.diff(np.r_[0, sure.astype(np.int8), 0])
@@ -275,7 +279,10 @@ def repeats(cuts: DataFrame, size: int) -> DataFrame:
 
 
 def adjacent(rows: DataFrame) -> DataFrame:
-    """(s, i, short_again, long_again) of suffix rows: whether the one before or after in suffix order has the same prefix hash."""
+    """(s, i, short_again, long_again, long_first) of suffix rows: whether the one before or after in suffix order has the same prefix hash.
+
+    long_first marks one suffix at least of those that share a long prefix: the first of a partition's.
+    """
     from pyspark import TaskContext
 
     keys = ["k0", "k1", "k2", "long", "s", "i"]
@@ -290,12 +297,13 @@ def adjacent(rows: DataFrame) -> DataFrame:
             v = t.column(k).to_numpy()
             same = (v[1:] == v[:-1]) & (v[1:] != 0)
             out[k + "_again"] = np.r_[False, same] | np.r_[same, False]
+            out[k + "_first"] = np.r_[True, ~same]
         end = np.zeros(t.num_rows, np.int32)
         end[0] += 1
         end[-1] += 2
         yield from pa.table(out | {"pid": pid, "end": end}).to_batches(max_chunksize=1 << 16)
 
-    done = common.written(rows.orderBy(*keys).mapInArrow(compare, "s long, i int, short long, long long, short_again boolean, long_again boolean, pid int, end int"), "order")
+    done = common.written(rows.orderBy(*keys).mapInArrow(compare, "s long, i int, short long, long long, short_again boolean, short_first boolean, long_again boolean, long_first boolean, pid int, end int"), "order")
     # neighbours across partitions: two rows of each go to the driver
     ends = sorted(done.filter("end > 0").collect(), key=lambda r: (r["pid"], r["end"]))
     fix: dict[tuple[int, int], list[bool]] = {}
@@ -311,7 +319,7 @@ def adjacent(rows: DataFrame) -> DataFrame:
     more = rows.sparkSession.createDataFrame([(*k, *v) for k, v in fix.items()], "s long, i int, x boolean, y boolean")
     out = done.join(F.broadcast(more), ["s", "i"], "left")
     no = F.lit(False)
-    return out.select("s", "i", (F.col("short_again") | F.coalesce("x", no)).alias("short_again"), (F.col("long_again") | F.coalesce("y", no)).alias("long_again"))
+    return out.select("s", "i", (F.col("short_again") | F.coalesce("x", no)).alias("short_again"), (F.col("long_again") | F.coalesce("y", no)).alias("long_again"), "long_first")
 
 
 def spans(docs: DataFrame, size: int = 400, text: str = "text") -> DataFrame:
