@@ -203,7 +203,8 @@ def repeats(cuts: DataFrame, size: int) -> DataFrame:
         return common.batch(s=c["s"], **lists)
 
     strings = common.written(common.map_rows(cuts.select("s", "bytes"), parse, "s long, c array<long>, at array<long>, upto array<long>, short array<long>, long array<long>"), "strings")
-    keys = gather(merge_keys(strings.select("s", "c"), LEVELS), "z", "e", "r").drop("i")
+    order = merge_keys(strings.select("s", "c"), LEVELS)
+    keys = gather(order, "z", "e", "r").drop("i")
     both = strings.join(keys, "s").select("s", "short", "long", "z", "e", "r")
 
     def spread(batches):
@@ -219,7 +220,7 @@ def repeats(cuts: DataFrame, size: int) -> DataFrame:
     rows = both.mapInArrow(spread, "s long, i int, short long, long long, k0 long, k1 int, k2 long")
     settled = common.written(adjacent(rows), "adjacent")
     flags = common.written(strings.select("s", "at", "upto", "short").join(gather(settled, "short_again", "long_again", "long_first").drop("i"), "s").join(cuts.select("s", F.octet_length("bytes").alias("n")), "s"), "flags")
-    common.free(settled)
+    common.free(settled, order)
 
     def batches_of(b):
         cols = {k: flat(b.column(k)) for k in ("at", "upto", "short", "short_again", "long_again", "long_first")}

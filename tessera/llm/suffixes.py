@@ -113,6 +113,7 @@ def merge_keys(strings: DataFrame, most_levels: int = 40) -> DataFrame:
     triples = _positions(strings, (1, 2), lambda c, b, i: {"c0": c, "c1": _shifted(c, b, 1, END), "c2": _shifted(c, b, 2, END)}, "c0 long, c1 long, c2 long")
     named = sorted_groups(triples, ["c0", "c1", "c2"], "triples")
     names = written(named.select("s", "i", "g"), "names")
+    free(named)
     n, distinct, longest = names.agg(F.count("*"), F.max("g"), F.max("i")).first()
     if n == (distinct or 0) or longest is None or longest <= 2 or most_levels == 0:
         ranks = names.select("s", "i", F.col("g").alias("r"))
@@ -122,7 +123,7 @@ def merge_keys(strings: DataFrame, most_levels: int = 40) -> DataFrame:
         shorter = written(gather(shorter, "g").select("s", F.col("g").alias("c")), "shorter")
         deep = final_ranks(shorter, most_levels - 1)
         ranks = deep.select(F.floor(F.col("s") / 2).alias("s"), (3 * F.col("i") + 1 + F.pmod("s", F.lit(2))).cast("int").alias("i"), "r")
-        spare = [shorter]
+        spare = [shorter, deep]
     got = gather(ranks, "r").withColumnRenamed("i", "at")
     both = strings.join(got, "s", "left").select("s", "c", F.coalesce("at", F.array().cast("array<int>")).alias("at"), F.coalesce("r", F.array().cast("array<long>")).alias("r"))
     both = written(_with_ranks(both), "ranked")
@@ -134,6 +135,7 @@ def merge_keys(strings: DataFrame, most_levels: int = 40) -> DataFrame:
     ranked = one.filter("kind = 0").select("kind", "c0", "c1", "r2", "s", "i", "r", F.col("z").alias("d"))
     two = _positions(both, (2,), shift, schema).select("kind", "c0", "c1", "r2", "s", "i", "r", F.lit(0).cast("long").alias("d"))
     two = sorted_groups(ranked.unionByName(two), ["c0", "c1", "r2"], "merge2", ("s", "i", "r", "d"), carry="d").filter("kind <> 0")
+    free(both)
     pick = lambda d: d.select("s", "i", "z", "e", F.when(F.col("e") == 0, F.lit(0)).otherwise(F.col("r")).alias("r"))
     return pick(one).unionByName(pick(two))
 
@@ -155,4 +157,6 @@ def _with_ranks(both: DataFrame) -> DataFrame:
 def final_ranks(strings: DataFrame, most_levels: int = 40) -> DataFrame:
     """(s, i, r): the dense rank of every suffix of strings (s, c), from 1; equal suffixes alike."""
     keys = merge_keys(strings, most_levels).select("s", "i", F.col("z").alias("k0"), F.col("e").alias("k1"), F.col("r").alias("k2"))
-    return sorted_groups(keys, ["k0", "k1", "k2"], "ranks").select("s", "i", F.col("g").alias("r"))
+    ranks = sorted_groups(keys, ["k0", "k1", "k2"], "ranks").select("s", "i", F.col("g").alias("r"))
+    free(keys)
+    return ranks
