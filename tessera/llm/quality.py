@@ -24,28 +24,43 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Band:
-    """Bounds of a script. Entropy is in bits a token; it is asked of texts of at least `long` tokens, since short ones can't have much."""
+    """Bounds of a script. Entropy is in bits a token, and never more than half of what so many different tokens would have; below
+    `long` tokens fertility has a margin of a tenth of what is missing."""
 
     least_chars: float
     most_chars: float
     most_bytes: float
     least_entropy: float
-    most_fertility: float  # tokens a word; asked of long texts too
+    most_fertility: float  # tokens a word
     long: int = 100
 
 
-#: By script; `other` for the rest. From what the vocabulary gives ordinary prose, with wide margins.
+#: By script; `none` for texts without letters, `other` for the rest. From what the vocabulary gives ordinary prose, with wide margins.
+#: The vocabulary knows no letters of most scripts in `other`, so there byte share says nothing and characters a token little.
 BANDS = {
     "latin": Band(1.2, 9.0, 0.25, 3.0, 3.4),
     "cyrillic": Band(0.9, 8.0, 0.25, 3.0, 7.0),
     "greek": Band(0.5, 6.0, 0.6, 3.0, 14.0),
     "cjk": Band(0.3, 3.0, 0.9, 3.0, 500.0),
-    "other": Band(0.2, 9.0, 1.0, 2.0, 100.0),
+    "arabic": Band(0.65, 6.0, 0.25, 3.0, 8.5),
+    "hebrew": Band(0.6, 6.0, 0.25, 3.0, 10.0),
+    "thai": Band(0.75, 6.0, 0.25, 3.0, 500.0),
+    "devanagari": Band(0.6, 6.0, 0.35, 3.0, 9.0),
+    "bengali": Band(0.6, 6.0, 0.4, 3.0, 12.0),
+    "tamil": Band(0.65, 6.0, 0.35, 3.0, 24.0),
+    "armenian": Band(0.65, 6.0, 0.4, 3.0, 14.0),
+    "georgian": Band(0.7, 6.0, 0.3, 3.0, 15.0),
+    "none": Band(1.2, 9.0, 0.25, 3.0, 3.4),
+    "other": Band(0.28, 9.0, 1.0, 3.0, 60.0),
 }
-#: First code points of ranges, and the script of each.
-_FIRST = np.array([0, 0x41, 0x5B, 0x61, 0x7B, 0xC0, 0x250, 0x370, 0x400, 0x530, 0x3040, 0xA000, 0xAC00, 0xD7B0])
-_SCRIPT = np.array([0, 1, 0, 1, 0, 1, 0, 3, 2, 5, 4, 5, 4, 5])
-_NAMES = ["", "latin", "cyrillic", "greek", "cjk", "other"]
+_NAMES = ["", "latin", "cyrillic", "greek", "cjk", "other", "arabic", "hebrew", "thai", "devanagari", "bengali", "tamil", "armenian", "georgian"]
+#: First code points of ranges, and the script of each; 0 is no letter (symbols, digits, private use, emoji).
+_FIRST, _SCRIPT = (np.array(x) for x in zip(
+    (0, 0), (0x41, 1), (0x5B, 0), (0x61, 1), (0x7B, 0), (0xC0, 1), (0x250, 0), (0x370, 3), (0x400, 2), (0x530, 12), (0x590, 7), (0x600, 0), (0x620, 6), (0x660, 0), (0x66E, 6),
+    (0x700, 5), (0x750, 6), (0x780, 5), (0x8A0, 6), (0x900, 9), (0x980, 10), (0xA00, 5), (0xB80, 11), (0xC00, 5), (0xE00, 8), (0xE80, 5), (0x10A0, 13), (0x1100, 5),
+    (0x1E00, 1), (0x1F00, 3), (0x2000, 0), (0x2C00, 5), (0x2E00, 0), (0x3040, 4), (0xA000, 5), (0xAC00, 4), (0xD7B0, 5), (0xD800, 0), (0xF900, 4), (0xFB00, 5), (0xFB1D, 7), (0xFB50, 6),
+    (0xFE00, 0), (0xFE70, 6), (0xFEFF, 0), (0xFF21, 1), (0xFF3B, 0), (0xFF41, 1), (0xFF5B, 0), (0xFF66, 4), (0xFFE0, 0), (0x10000, 5), (0x1D000, 0), (0x1E000, 5), (0x1F000, 0), (0x20000, 4), (0x32000, 0),
+    strict=True))
 
 
 @lru_cache(2)
@@ -58,10 +73,10 @@ def _encoder(path: str) -> tuple[WordIds, np.ndarray]:
 
 
 def script(text: str) -> str:
-    """The script with most letters (ties: the first of latin, cyrillic, greek, cjk, other); other if there are none."""
+    """The script with most letters (ties: the first in _NAMES); none if there are no letters."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    n = np.bincount(_SCRIPT[np.searchsorted(_FIRST, points, "right") - 1], minlength=6)[1:]
-    return _NAMES[1 + int(n.argmax())] if n.any() else "other"
+    n = np.bincount(_SCRIPT[np.searchsorted(_FIRST, points, "right") - 1], minlength=len(_NAMES))[1:]
+    return _NAMES[1 + int(n.argmax())] if n.any() else "none"
 
 
 def repeated_words(w: np.ndarray, size: int = 5) -> int:
@@ -135,7 +150,9 @@ def judge(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabular
     out = common.map_rows(d, rows, f"doc_id {dict(d.dtypes)['doc_id']}, {SCHEMA}")
     fine = F.lit(False)
     for name, b in (bands or BANDS).items():
-        ok = F.col("chars_per_token").between(b.least_chars, b.most_chars) & (F.col("byte_share") <= b.most_bytes) & ((F.col("n_tokens") < b.long) | ((F.col("entropy") >= b.least_entropy) & (F.col("n_tokens") <= b.most_fertility * F.col("n_words"))))
+        mixed = F.col("entropy") >= F.least(F.lit(b.least_entropy), F.log2(F.greatest("n_tokens", F.lit(1))) / 2)
+        split = F.col("n_tokens") <= b.most_fertility * F.col("n_words") + F.greatest(F.lit(0), b.long - F.col("n_tokens")) / 10
+        ok = F.col("chars_per_token").between(b.least_chars, b.most_chars) & (F.col("byte_share") <= b.most_bytes) & mixed & split
         fine = F.when(F.col("script") == name, ok).otherwise(fine)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & fine)
