@@ -44,9 +44,10 @@ def features(df: DataFrame, reference: DataFrame, columns: list[str], most: int
     return VectorAssembler(inputCols=cols, outputCol="_v").transform(out), cols
 
 
-def auc(scored: DataFrame, score: str, label: str) -> float:
-    """Area under the curve by average ranks of distinct scores: counts by score first, then running totals."""
-    g = scored.groupBy(F.round(score, 9).alias("s")).agg(F.sum(F.col(label)).alias("p"), F.sum(1 - F.col(label)).alias("q"))
+def auc(scored: DataFrame, score: str, label: str, weight: str | None = None) -> float:
+    """Area under the curve by average ranks of distinct scores: counts (or weights) by score first, then running totals."""
+    n = F.col(weight).cast("double") if weight else F.lit(1.0)
+    g = scored.groupBy(F.round(score, 9).alias("s")).agg(F.sum(n * F.col(label)).alias("p"), F.sum(n * (1 - F.col(label))).alias("q"))
     w = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     r = g.withColumn("below", F.coalesce(F.sum("q").over(w), F.lit(0.0))).agg(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)).alias("u"), F.sum("p").alias("p"), F.sum("q").alias("q")).first()
     return float(r["u"] / (r["p"] * r["q"])) if r["p"] and r["q"] else 0.5
@@ -97,16 +98,22 @@ def tstr(spark: SparkSession, synth: DataFrame, train: DataFrame, test: DataFram
 def detection(real: DataFrame, synth: DataFrame, columns: list[str], most: int = 20_000, trees: int = 80, seed: int = 0) -> tuple[float, float, list[tuple[str, float]]]:
     """AUC of a forest that tells real rows from synthetic ones, how alike they are, and the five columns that give them away.
 
-    Training takes a hash sample of at most `most` rows a side, the documented bound of a classifier's training set.
+    Equal rows are one row with a count. By a hash of its values 70 % of each row's copies are for training (rounded at random, so a
+    single row is in or out) and all others are scored. The forest is fitted on about `most` of a side's training rows, each tuple by
+    its share of them, the documented bound of a classifier's training set; nothing bounds the evaluation.
     """
     def side(d: DataFrame, y: float) -> DataFrame:
-        x, _ = features(d.select(*columns), real, columns)
-        x = x.withColumn("_h", F.xxhash64(*columns, F.lit(seed)))
-        return x.orderBy("_h").limit(most).select("_v", F.lit(y).alias("_y"), (uniform(seed, "detect", F.col("_h")) < 0.7).alias("_t"))
+        n, h = F.col("_n"), F.xxhash64(*columns, F.lit(seed))
+        g = d.groupBy(*columns).agg(F.count("*").alias("_n")).withColumn("_t", F.floor(0.7 * n + uniform(seed, f"detect{y:.0f}", h)))
+        x, _ = features(g, real, columns)
+        return x.select("_v", F.lit(y).alias("_y"), "_t", (n - F.col("_t")).alias("_e"), uniform(seed, f"fit{y:.0f}", h).alias("_u"))
 
     both = side(real, 0.0).unionByName(side(synth, 1.0)).persist()
-    m = RandomForestClassifier(numTrees=trees, maxDepth=10, seed=seed, featuresCol="_v", labelCol="_y", probabilityCol="_p").fit(both.filter("_t"))
-    a = auc(m.transform(both.filter("not _t")).select(vector_to_array("_p")[1].alias("s"), F.col("_y").alias("y")), "s", "y")
+    total = {r["_y"]: r["t"] for r in both.groupBy("_y").agg(F.sum("_t").alias("t")).collect()}
+    share = F.when(F.col("_y") == 0, F.lit(min(1.0, most / max(total.get(0.0) or 1, 1)))).otherwise(F.lit(min(1.0, most / max(total.get(1.0) or 1, 1))))
+    sample = both.withColumn("_w", F.floor(F.col("_t") * share + F.when(share < 1, F.col("_u")).otherwise(0.0)).cast("double")).filter("_w > 0")
+    m = RandomForestClassifier(numTrees=trees, maxDepth=10, seed=seed, featuresCol="_v", labelCol="_y", weightCol="_w", probabilityCol="_p").fit(sample)
+    a = auc(m.transform(both.filter("_e > 0")).select(vector_to_array("_p")[1].alias("s"), F.col("_y").alias("y"), F.col("_e").alias("n")), "s", "y", "n")
     top = sorted(zip(columns, m.featureImportances.toArray().tolist(), strict=True), key=lambda x: -x[1])[:5]
     both.unpersist()
     return a, max(0.0, 1 - 2 * abs(a - 0.5)), top
