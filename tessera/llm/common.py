@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import sys
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -43,9 +45,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one where that is unset and all is one process."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is unset: executors and driver need a folder that they share")
         at = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -109,15 +113,46 @@ def map_rows(df: DataFrame, fn: Callable[[dict[str, pa.Array]], pa.RecordBatch |
     """fn over Arrow batches of at most some rows, so that memory stays bounded whatever the texts' lengths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, rows):
-                part = b.slice(lo, rows)
-                if (out := fn({n: part.column(i) for i, n in enumerate(part.schema.names)})) is not None:
-                    yield out
+        with lean():
+            for b in batches:
+                for lo in range(0, b.num_rows, rows):
+                    part = b.slice(lo, rows)
+                    if (out := fn({n: part.column(i) for i, n in enumerate(part.schema.names)})) is not None:
+                        yield out
 
     return df.mapInArrow(run, schema)
 
 
+@contextmanager
+def lean() -> Iterator[None]:
+    """Around a task's work in a Python worker: what it frees goes back to the system, since workers stay for the tasks of later stages."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        yield
+    finally:
+        _trim()
+
+
+def _trim() -> None:
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+_held: dict = {}
+
+
+def held(make: Callable, *args):
+    """make(*args), kept in this process until another operator's tables are asked for: a worker holds those of one at a time."""
+    key = (make, *args)
+    if key not in _held:
+        _held.clear()
+        _trim()
+        _held[key] = make(*args)
+    return _held[key]
+
+
 def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 

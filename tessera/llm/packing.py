@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,6 +21,7 @@ from tessera.llm import common
 from tessera.llm.words import WordIds
 
 VOCABULARY = "word_bpe_49k.json"
+GENERATION = 250_000  # words, and parts of words, of a generation
 
 
 # Fixed value: the vocabulary's own rule for what merging may join, applied to lower-cased text; a space between words is kept apart.
@@ -42,7 +42,7 @@ class _Encoder:
         self.tokenizer, self.split = Tokenizer.from_file(path), regex.compile(_PARTS).findall
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.table = WordIds(self._parts, most=700_000)
+        self.table = WordIds(self._parts, most=GENERATION)
 
     def _alone(self, word: str) -> list[int]:
         return self.tokenizer.encode(word, add_special_tokens=False).ids
@@ -77,9 +77,8 @@ class _Encoder:
         return np.concatenate(out), np.array([len(x) for x in out])
 
 
-@lru_cache(2)
 def _encoder(path: str) -> WordIds:
-    return WordIds(_Encoder(path), most=700_000)
+    return WordIds(_Encoder(path), most=GENERATION)
 
 
 def _split(text: str) -> list[str]:
@@ -91,7 +90,7 @@ def _split(text: str) -> list[str]:
 
 def tokenise(texts: list[str | None], path: str) -> list[np.ndarray]:
     """Each whole text's ids, then id 0; a null or empty text is id 0 alone."""
-    enc, out, lo = _encoder(path), [], 0
+    enc, out, lo = common.held(_encoder, path), [], 0
     while lo < len(texts):  # some 1 MB at a time
         words, counts, size, hi = [], [], 0, lo
         while hi < len(texts) and (hi == lo or size < 1 << 20):

@@ -12,7 +12,6 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +26,7 @@ MARK = "▁"  # stands for a space in pieces
 #: No piece holds a mark after another character, or a line feed, so chunks encode on their own.
 _CHUNK = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 _END = b"\xff"  # occurs in no UTF-8 text
+BLOCK, OVERLAP = 1024, 192  # bytes of a long chunk that are relaxed in step, and how many of them again with the next
 
 
 class Matcher:
@@ -47,6 +47,9 @@ class Matcher:
         self.size = np.array([len(b) for b, _ in by_bytes], np.int64)
         self.bytes_of = [bytes([int(t[3:5], 16)]) if sp.is_byte(i) else b"" if special[i] else t.replace(MARK, " ").encode() for i, t in enumerate(self.text)]
         self.byte_id = {self.bytes_of[i][0]: i for i in range(n) if sp.is_byte(i)}
+        self.all_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.n_bytes = np.array([len(b) for b in self.bytes_of], np.int64)
+        self.bytes_at = np.cumsum(self.n_bytes) - self.n_bytes
         self.byte_table = np.zeros(256, np.int64)
         for b, i in self.byte_id.items():
             self.byte_table[b] = i
@@ -54,6 +57,10 @@ class Matcher:
         self.order = np.full(n + 1, -1, np.int64)
         for k, (t, (_, i)) in enumerate(sorted(self.rank.items(), key=lambda x: x[1])):
             self.order[i] = k + 1 if len(t) > 1 else 0
+        # runs of marks have pieces of one rank, the last: the leftmost pair merges first, so runs fill up from the left
+        runs = [t for t in self.rank if len(t) > 1 and t.count(MARK) > 1]
+        assert all(set(t) == {MARK} for t in runs)
+        self.mark, self.most_marks, self._runs = self.rank.get(MARK, (0, -1))[1], max(map(len, runs), default=1), {}
         self.left, self.right = np.arange(n + 1), np.arange(n + 1)
         self.alive = np.ones(n + 1, bool)
         joined = []
@@ -133,12 +140,68 @@ class Matcher:
         n = hi - lo
         where = at[order[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]]
         piece, size = np.repeat(self.ids, n), np.repeat(self.size, n)
-        by = np.lexsort((size, where))
-        return where[by], piece[by], size[by]
+        return where, piece, size
+
+    def run(self, n: int) -> list[int]:
+        """The pieces of n marks in a row."""
+        if n not in self._runs:
+            whole, rest = divmod(n, self.most_marks)
+            self._runs[n] = self.merge(MARK * self.most_marks)[0] * whole + self.merge(MARK * rest)[0]
+        return self._runs[n]
 
     def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all chunks in a row, and how many each has."""
-        raw = [c.encode("utf-8", "surrogatepass") for c in chunks]
+        marks = np.array([len(c) - len(c.lstrip(MARK)) if c.startswith(MARK * 2) else 0 for c in chunks])
+        raw = [(c[m - 1 :] if m else c).encode("utf-8", "surrogatepass") for c, m in zip(chunks, marks.tolist(), strict=True)]
+        ids, count = self._relaxed(raw)
+        if (more := np.flatnonzero(marks)).size:
+            each = np.split(ids, np.cumsum(count)[:-1])
+            for k in more.tolist():  # the last mark belongs to the run if nothing has joined it
+                alone = each[k][:1].tolist() == [self.mark]
+                each[k] = np.concatenate([self.run(int(marks[k]) - 1 + alone), each[k][alone:]]).astype(np.int32)
+            ids, count = np.concatenate(each), np.array([len(x) for x in each])
+        return ids.astype(np.int32), count.astype(np.int64)
+
+    def _relaxed(self, raw: list[bytes], block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+        """As encode, of chunks' bytes. A chunk longer than a block is relaxed as several that overlap, all in step."""
+        if not any(len(r) > block for r in raw):
+            return self._ids(raw, *self._relax(raw))
+        parts, of = [], []  # of: the chunk, where the part begins in it
+        for k, r in enumerate(raw):
+            lo = 0
+            while lo == 0 or lo + OVERLAP < len(r):
+                while lo and r[lo] & 0xC0 == 0x80:
+                    lo -= 1
+                parts.append(r[lo : lo + block])
+                of.append((k, lo))
+                lo += block - OVERLAP
+        some = [self._relax(parts[i : i + 1024]) for i in range(0, len(parts), 1024)]  # some 1 MB at a time
+        last, length = (np.concatenate(x) for x in zip(*some, strict=True))
+        data_at = np.cumsum([len(p) + 1 for p in parts]) - [len(p) + 1 for p in parts]
+        whole = {k: (np.full(len(r) + 1, -1), np.zeros(len(r) + 1, np.int64)) for k, r in enumerate(raw)}
+        again = set()
+        for (k, lo), at, p in zip(of, data_at.tolist(), parts, strict=True):
+            a, b = whole[k]
+            x, y = last[at : at + len(p) + 1], length[at : at + len(p) + 1]
+            begin = 0
+            if lo:  # what follows depends on as many positions as the longest piece has bytes: there both must agree
+                n = min(OVERLAP, len(p))
+                begin = n + 1
+                if n <= self.longest or not ((a[lo + n - self.longest : lo + n + 1] == x[n - self.longest : n + 1]).all() and (b[lo + n - self.longest : lo + n + 1] == y[n - self.longest : n + 1]).all()):
+                    again.add(k)
+            a[lo + begin : lo + len(p) + 1], b[lo + begin : lo + len(p) + 1] = x[begin:], y[begin:]
+        if again:
+            order = sorted(again)
+            ids, count = self._relaxed([raw[k] for k in order], block * 8)
+            redone = dict(zip(order, np.split(ids, np.cumsum(count)[:-1]), strict=True))
+        ids, count = self._ids(raw, np.concatenate([a for a, _ in whole.values()]), np.concatenate([b for _, b in whole.values()]))
+        if again:
+            each = [redone.get(k, x) for k, x in enumerate(np.split(ids, np.cumsum(count)[:-1]))]
+            ids, count = np.concatenate(each), np.array([len(x) for x in each])
+        return ids, count
+
+    def _relax(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each prefix of each chunk, by where it ends in the joined text, the last piece of its encoding and that piece's bytes."""
         data = _END.join(raw) + _END
         size_of = np.array([len(r) for r in raw])
         begin = np.cumsum(size_of + 1) - size_of - 1
@@ -148,6 +211,7 @@ class Matcher:
         first = np.flatnonzero((a & 0xC0 != 0x80) & (a != 0xFF))
         lead = a[first]
         width = np.select([lead < 0x80, lead < 0xE0, lead < 0xF0], [1, 2, 3], 4)
+        # of pieces of one character there is an edge at the character's beginning
         is_char = np.zeros(len(a), bool)
         starts = np.full(len(a), -1)
         starts[first] = width
@@ -171,7 +235,13 @@ class Matcher:
                 w, p, s = w[ok], p[ok], s[ok]
             last[w + s] = p
             length[w + s] = s
-        # back from each chunk's end
+        return last, length
+
+    def _ids(self, raw: list[bytes], last: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Back from each chunk's end: the ids in a row, and how many each chunk has."""
+        a = np.frombuffer(_END.join(raw) + _END, np.uint8)
+        size_of = np.array([len(r) for r in raw])
+        begin = np.cumsum(size_of + 1) - size_of - 1
         at, k, steps = begin + size_of, np.arange(len(raw)), []
         while True:
             k, at = k[at > begin[k]], at[at > begin[k]]
@@ -188,33 +258,17 @@ class Matcher:
         place = np.repeat(end - length[end], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         ids, chunk = np.repeat(ids, n), np.repeat(chunk, n)
         ids = np.where(ids == self.unknown, self.byte_table[a[place]], ids)
-        count = np.bincount(chunk, minlength=len(raw))
-        spaces = [k for k, c in enumerate(chunks) if c.count(MARK) > 1]  # runs of spaces have pieces of equal rank: merge them
-        if spaces:
-            each = np.split(ids, np.cumsum(count)[:-1])
-            for k in spaces:
-                each[k] = np.array(self._with_bytes(self.merge(chunks[k])[0], chunks[k]), np.int64)
-            ids, count = np.concatenate(each), np.array([len(x) for x in each])
-        return ids.astype(np.int32), count.astype(np.int64)
+        return ids, np.bincount(chunk, minlength=len(raw))
 
-    def _with_bytes(self, ids: list[int], text: str) -> list[int]:
-        out, at = [], 0
-        for i in ids:
-            size = len(self.text[i]) if i >= 0 else 1
-            out += [i] if i >= 0 else [self.byte_id[b] for b in text[at].encode("utf-8", "surrogatepass")]
-            at += size
-        return out
 
-
-@lru_cache(2)
 def _tables(path: str) -> tuple[Matcher, WordIds]:
     m = Matcher(path)
-    return m, WordIds(m.encode)
+    return m, WordIds(m.encode, most=400_000, step=60_000)
 
 
 def encode_texts(texts: list[str | None], path: str) -> list[np.ndarray]:
     """Ids of whole texts, as the vocabulary's own encoder gives them; none for null and empty texts."""
-    _, table = _tables(path)
+    _, table = common.held(_tables, path)
     out, lo = [], 0
     while lo < len(texts):
         chunks, counts, size, hi = [], [], 0, lo
@@ -234,16 +288,27 @@ def encode_texts(texts: list[str | None], path: str) -> list[np.ndarray]:
 
 def decode_ids(ids: np.ndarray, path: str) -> str:
     """The text of ids; bytes that are no UTF-8 become replacement characters."""
-    m, _ = _tables(path)
-    raw = b"".join(map(m.bytes_of.__getitem__, ids.tolist()))
+    m, _ = common.held(_tables, path)
+    n = m.n_bytes[ids]
+    raw = m.all_bytes[np.repeat(m.bytes_at[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes()
     return raw.decode("utf-8", "replace")[1:]
 
 
+def _lists(ids: pa.Array) -> list[np.ndarray]:
+    """The rows of a list column; null rows are empty."""
+    return [ids.values.to_numpy()[a:b] if ok else np.zeros(0, np.int32) for a, b, ok in zip(ids.offsets[:-1].to_pylist(), ids.offsets[1:].to_pylist(), ids.is_valid().to_pylist(), strict=True)]
+
+
 def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabulary: str | None = None) -> DataFrame:
     """(doc_id, ids) of each row."""
     path = vocabulary or common.tokenizer_path(VOCABULARY)
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = lambda c: common.batch(doc_id=c["doc_id"], ids=pa.array(encode_texts(c["text"].to_pylist(), path), pa.list_(pa.int32())))
+
+    def rows(c):
+        each = encode_texts(c["text"].to_pylist(), path)
+        bounds = pa.array(np.r_[0, np.cumsum([len(x) for x in each])], pa.int32())
+        return common.batch(doc_id=c["doc_id"], ids=pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([np.zeros(0, np.int32), *each]), pa.int32())))
+
     return common.map_rows(d, rows, f"doc_id {dict(d.dtypes)['doc_id']}, ids array<int>", rows=2048)
 
 
@@ -251,22 +316,25 @@ def decode(encoded: DataFrame, ids: str = "ids", doc_id: str = "doc_id", vocabul
     """(doc_id, text) of each row; null and empty ids give an empty text."""
     path = vocabulary or common.tokenizer_path(VOCABULARY)
     d = encoded.select(F.col(doc_id).alias("doc_id"), F.col(ids).alias("ids"))
-    rows = lambda c: common.batch(doc_id=c["doc_id"], text=pa.array([decode_ids(np.array(x or [], np.int64), path) for x in c["ids"].to_pylist()], pa.string()))
+    rows = lambda c: common.batch(doc_id=c["doc_id"], text=pa.array([decode_ids(x, path) for x in _lists(c["ids"])], pa.string()))
     return common.map_rows(d, rows, f"doc_id {dict(d.dtypes)['doc_id']}, text string")
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: how many ids, their checksum (little-endian unsigned 32-bit), and the digest of the text decoded from them."""
+    """Per document of `documents`: how many ids, their checksum (little-endian unsigned 32-bit), and the digest of the text decoded from them.
+
+    A null or empty text has no ids and decodes to an empty text; a repeated row gives its values again.
+    """
     path = common.tokenizer_path(VOCABULARY)
     docs = common.table(spark, sf_dir, "documents")
 
     def rows(c):
-        ids = c["ids"].to_pylist()
-        back = [decode_ids(np.array(x, np.int64), path) for x in ids]
+        ids = _lists(c["ids"])
+        back = [decode_ids(x, path) for x in ids]
         return common.batch(
             doc_id=c["doc_id"],
             n_ids=pa.array([len(x) for x in ids], pa.int64()),
-            ids_crc32=pa.array([zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids], pa.int64()),
+            ids_crc32=pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
             n_chars_decoded=pa.array([len(t) for t in back], pa.int64()),
             text_crc32=pa.array([zlib.crc32(common.utf8(t)) for t in back], pa.int64()),
         )

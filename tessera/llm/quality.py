@@ -8,7 +8,6 @@ base rules on length and repetition.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -63,7 +62,6 @@ _FIRST, _SCRIPT = (np.array(x) for x in zip(
     strict=True))
 
 
-@lru_cache(2)
 def _encoder(path: str) -> tuple[WordIds, np.ndarray]:
     import sentencepiece
 
@@ -107,7 +105,7 @@ def measure(text: str | None, path: str) -> dict:
     raw = common.utf8(text)
     text = text or ""
     words = raw.split()
-    enc, byte = _encoder(path)
+    enc, byte = common.held(_encoder, path)
     numbers = enc.numbers(words)
     ids, _ = enc.ids(numbers)
     n, t = len(words), max(len(ids), 1)
