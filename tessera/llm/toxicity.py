@@ -1,9 +1,10 @@
 """Toxicity by nearest labelled examples.
 
-A bounded sample of labelled texts becomes TF-IDF vectors over the terms that tell the labels apart (words, and word beginnings so
-that inflections count). A block-max inverted index over them gives each text its exact k nearest examples by cosine: blocks of
-examples are scored from the highest bound down until no bound can reach the k-th best. Votes weighted by distance, calibrated on
-the examples themselves (each left out of its own vote), give the score; the neighbours are the evidence.
+A bounded sample of labelled texts becomes TF-IDF vectors over all words, and beginnings of words, that two of them or more share. A word's inverse document
+frequency carries how far the labels' shares of it differ (its log odds, never less than a tenth), as plain TF-IDF mostly finds texts
+of the same common words. A block-max inverted index over the vectors gives each text its exact k nearest examples by cosine: the
+blocks of the highest bounds are scored first, then all whose bound reaches the k-th best so far. Votes weighted by distance,
+calibrated on the examples themselves (each left out of its own vote), give the score; the neighbours are the evidence.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -21,18 +23,20 @@ from pyspark.sql import functions as F
 from tessera.llm import common
 
 _WORD = re.compile(r"[^\W\d_]+")
-BLOCK = 64
+BLOCK = 128
+BEGINNINGS = (5, 7)  # letters
+FLOOR = 0.1  # of the label factor of a word's weight
+SLACK = 1e-5  # by which a bound in single precision may be short
 
 
 def terms_of(text: str) -> Counter:
-    """Words, and beginnings of 4 and 5 letters of longer words, of a whole text, with their counts."""
+    """The words of a whole text, in lower case, and the beginnings of longer words, so that inflections count; with their counts."""
     words = Counter(_WORD.findall(text.lower()))
     out = Counter(words)
     for w, n in words.items():
-        if len(w) > 4:
-            out[w[:4] + "*"] += n
-        if len(w) > 5:
-            out[w[:5] + "*"] += n
+        for k in BEGINNINGS:
+            if len(w) > k:
+                out[w[:k] + "*"] += n
     return out
 
 
@@ -46,42 +50,49 @@ class Index:
     posting_at: np.ndarray  # bounds of each (term, block) in the postings
     posting_doc: np.ndarray
     posting_w: np.ndarray
-    block_max: np.ndarray  # terms x blocks
+    block_max: np.ndarray  # terms x blocks, in single precision
     prior: float  # of a text that shares no term with any example
     k: int
     curve: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and unit-length TF-IDF weights of a whole text."""
-        v, low = self.vocabulary, text.lower()
-        seen = set(_WORD.findall(low))
-        if not any(w in v or w[:4] + "*" in v or w[:5] + "*" in v for w in seen):
-            return np.zeros(0, int), np.zeros(0)
-        t = sorted((v[x], n) for x, n in terms_of(text).items() if x in v)
-        if not t:
-            return np.zeros(0, int), np.zeros(0)
-        i, n = np.array(t).T
-        w = (1 + np.log(n)) * self.idf[i]
-        return i, w / np.linalg.norm(w)
+        n = terms_of(text)
+        i = np.fromiter(map(self.vocabulary.get, n, repeat(-1)), np.int64, len(n))
+        has = i >= 0
+        i, w = i[has], 1 + np.log(np.fromiter(n.values(), float, len(n))[has])
+        w = w * self.idf[i]
+        by = np.argsort(i)
+        return i[by], (w / np.linalg.norm(w))[by] if len(i) else w
+
+    def _scores(self, terms: np.ndarray, w: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """Cosines with the examples of some blocks, in a row, by their posting lists."""
+        cell = terms[:, None] * self.block_max.shape[1] + some
+        lo, n = self.posting_at[cell], self.posting_at[cell + 1] - self.posting_at[cell]
+        n, lo = n.ravel(), lo.ravel()
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        base = np.tile((np.arange(len(some)) - some) * BLOCK, len(terms))
+        return np.bincount(self.posting_doc[at] + np.repeat(base, n), np.repeat(np.repeat(w, len(some)), n) * self.posting_w[at], len(some) * BLOCK)
 
     def nearest(self, terms: np.ndarray, w: np.ndarray, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest positive cosine (ties: smaller number), and the cosines."""
-        blocks = self.block_max.shape[1]
-        bound = w @ self.block_max[terms] + 1e-9
-        best_doc, best_sim = np.zeros(0, int), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 1e-9 or len(best_sim) == self.k and bound[b] < best_sim[-1]:
-                break
-            score = np.zeros(BLOCK)
-            for t, x in zip(terms, w, strict=True):
-                lo, hi = self.posting_at[t * blocks + b], self.posting_at[t * blocks + b + 1]
-                score[self.posting_doc[lo:hi] - b * BLOCK] += x * self.posting_w[lo:hi]
-            if b * BLOCK <= but < (b + 1) * BLOCK:
-                score[but - b * BLOCK] = 0
-            hit = np.flatnonzero(score > 0)
-            docs, sims = np.r_[best_doc, hit + b * BLOCK], np.r_[best_sim, score[hit]]
-            order = np.lexsort((docs, -sims))[: self.k]
-            best_doc, best_sim = docs[order], sims[order]
+        bound = w @ self.block_max[terms] + SLACK
+        order = np.argsort(-bound, kind="stable")
+        first = -(-self.k // BLOCK) + 1
+        best_doc, best_sim = np.zeros(0, np.int64), np.zeros(0)
+        for some in (order[:first], order[first:]):
+            if len(best_sim) == self.k:
+                some = some[bound[some] >= best_sim[-1]]
+            some = np.sort(some[bound[some] > SLACK])
+            if not len(some):
+                continue
+            # sums in another order differ in the last bits: equal cosines stay equal
+            score = np.round(self._scores(terms, w, some), 12)
+            doc = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            hit = np.flatnonzero((score > 0) & (doc != but))
+            docs, sims = np.r_[best_doc, doc[hit]], np.r_[best_sim, score[hit]]
+            by = np.lexsort((docs, -sims))[: self.k]
+            best_doc, best_sim = docs[by], sims[by]
         return best_doc, best_sim
 
     def vote(self, docs: np.ndarray, sims: np.ndarray) -> float:
@@ -89,7 +100,7 @@ class Index:
         if not len(docs):
             return self.prior
         w = self.weight[docs] * sims / (1.05 - np.minimum(sims, 1.0))
-        return float((w @ self.labels[docs] + self.prior) / (w.sum() + 1.0))
+        return float((w @ self.labels[docs] + 0.01 * self.prior) / (w.sum() + 0.01))
 
     def score(self, vote: float) -> float:
         return float(np.clip(np.interp(vote, *self.curve), 0.0, 1.0))
@@ -107,10 +118,11 @@ def _isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
     return np.r_[0.0, p[:, 0] / p[:, 2], 1.0], np.r_[min(p[0, 1] / p[0, 2], 0.01), p[:, 1] / p[:, 2], 1.0]
 
 
-def build(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", k: int = 12, per_label: int = 2500, max_terms: int = 3000) -> Index:
-    """An index over at most per_label labelled texts of each label (by id hash; equal texts once) and max_terms terms.
+def build(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", k: int = 30, per_label: int = 1000) -> Index:
+    """An index over at most per_label labelled texts of each label (by id hash; equal texts once) and all words that two of them share.
 
-    Rows without id, text or label teach nothing. With no examples of label 1 every score is 0.
+    Rows without id, text or label teach nothing; of several labels of an id the larger counts. With no examples of label 1 every
+    score is 0.
     """
     lab = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).filter("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     d = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).filter("id is not null and text is not null")
@@ -124,61 +136,60 @@ def build(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     share = {y: total.get(y, 0) / max(n.get(y, 0), 1) for y in (0, 1)}
 
     def spread(c):
-        t, y = [], []
-        for s, v in zip(c["text"].to_pylist(), c["y"].to_pylist(), strict=True):
-            found = list(terms_of(s))
-            t += found
-            y += [v] * len(found)
-        return common.batch(term=pa.array(t, pa.string()), y=pa.array(y, pa.int32()))
-
-    counts = common.map_rows(sample, spread, "term string, y int").groupBy("term").agg(F.sum("y").alias("pos"), F.count("*").alias("df"))
+        t, at, many = [], [], []
+        for i, s in enumerate(c["text"].to_pylist()):
+            found = terms_of(s)
+            t += found.keys()
+            many += found.values()
+            at += [i] * len(found)
+        at = pa.array(at, pa.int64())
+        return common.batch(term=pa.array(t, pa.string()), id=c["id"].take(at), y=c["y"].take(at), n=pa.array(many, pa.int64()))
+
+    words = common.written(common.map_rows(sample, spread, "term string, id string, y int, n long"), "toxic-words")
+    counts = words.groupBy("term").agg(F.sum("y").alias("pos"), F.count("*").alias("df")).filter("df > 1")
+    got = words.join(counts, "term").toPandas()  # of the bounded sample: a row for each example and word
+    common.free(sample, words)
+    terms = got.drop_duplicates("term").sort_values("term", ignore_index=True)
+    vocabulary = {t: i for i, t in enumerate(terms["term"])}
+    pos, df = terms["pos"].to_numpy(float), terms["df"].to_numpy(float)
+    odds = np.log((pos + 1) / (n1 + 2)) - np.log((df - pos + 1) / (n0 + 2))
+    sure = np.abs(odds) - 2 * np.sqrt(1 / (pos + 1) + 1 / (df - pos + 1))  # less two standard errors: rare words tell little
+    idf = (np.log((1 + n0 + n1) / (1 + df)) + 1) * np.maximum(sure, FLOOR)
+    examples = got.drop_duplicates("id").sort_values(["y", "id"], ignore_index=True)
     p = n1 / max(n1 + n0, 1)
-    chi = (F.col("pos") - F.col("df") * p) ** 2 / (F.col("df") * p)
-    rate = (F.col("pos") / max(n1, 1)) / ((F.col("df") - F.col("pos") + 0.5) / max(n0, 1))
-    chosen = counts.filter((F.col("pos") >= max(3, 0.004 * n1)) & (rate >= 25)).withColumn("chi", chi).filter("chi >= 16")
-    chosen = chosen.orderBy(F.desc("chi"), "term").limit(max_terms).toPandas()
-    vocabulary = {t: i for i, t in enumerate(chosen["term"])}
-    idf = np.log((1 + n0 + n1) / (1 + chosen["df"].to_numpy(float))) + 1 if len(chosen) else np.zeros(0)
-    empty = Index(vocabulary, idf, [], np.zeros(0), np.zeros(0), np.zeros(1, int), np.zeros(0, int), np.zeros(0), np.zeros((len(idf), 0)), 0.0, k)
-
-    def weigh(c):
-        v = [empty.vector(s) for s in c["text"].to_pylist()]
-        return common.batch(id=c["id"], y=c["y"], t=pa.array([list(a) for a, _ in v], pa.list_(pa.int64())), w=pa.array([list(b) for _, b in v], pa.list_(pa.float64())))
-
-    got = common.map_rows(sample, weigh, "id string, y int, t array<long>, w array<double>").toPandas().sort_values("id", ignore_index=True)
-    common.free(sample)
-    got["k"] = [share[y] for y in got["y"]]
-    some = got["t"].map(len) > 0
-    none = got[~some]
-    prior = float((none["y"] * none["k"]).sum() / max(none["k"].sum(), 1)) if len(none) else p
-    got = got[some].reset_index(drop=True)
-    if got.empty or not n1:
-        return Index(vocabulary, idf, [], np.zeros(0), np.zeros(0), np.zeros(1, int), np.zeros(0, int), np.zeros(0), np.zeros((len(idf), 0)), 0.0 if not n1 else prior, k)
-    doc = np.repeat(np.arange(len(got)), got["t"].map(len))
-    term, w = np.concatenate(got["t"].to_list()).astype(int), np.concatenate(got["w"].to_list())
-    blocks = -(-len(got) // BLOCK)
+    if examples.empty or not n1:
+        return Index(vocabulary, idf, [], np.zeros(0), np.zeros(0), np.zeros(1, int), np.zeros(0, int), np.zeros(0), np.zeros((len(idf), 0)), p, k)
+    number = {x: i for i, x in enumerate(examples["id"])}
+    doc, term = got["id"].map(number).to_numpy(np.int64), got["term"].map(vocabulary).to_numpy(np.int64)
+    w = (1 + np.log(got["n"].to_numpy(float))) * idf[term]
+    w /= np.sqrt(np.bincount(doc, w * w, len(examples)))[doc]
+    blocks = -(-len(examples) // BLOCK)
     cell = term * blocks + doc // BLOCK
     order = np.lexsort((doc, cell))
     top = np.zeros(len(idf) * blocks)
     np.maximum.at(top, cell, w)
-    at = np.searchsorted(cell[order], np.arange(len(idf) * blocks + 1))
-    index = Index(vocabulary, idf, got["id"].to_list(), got["y"].to_numpy(float), got["k"].to_numpy(float) / got["k"].max(), at, doc[order], w[order], top.reshape(len(idf), blocks), prior, k)
-    votes = np.array([index.vote(*index.nearest(np.asarray(t), np.asarray(x), but=i)) for i, (t, x) in enumerate(zip(got["t"], got["w"], strict=True))])
-    index.curve = _isotonic(np.r_[votes, prior], np.r_[index.labels, prior], np.r_[index.weight, max(len(none), 1)])
+    at = np.searchsorted(cell[order], np.arange(len(idf) * blocks + 1)).astype(np.int32)
+    weight = examples["y"].map(share).to_numpy(float)
+    index = Index(vocabulary, idf, examples["id"].to_list(), examples["y"].to_numpy(float), weight / weight.max(), at, doc[order].astype(np.int32), w[order], top.reshape(len(idf), blocks).astype(np.float32), p, k)
+    mine = np.lexsort((term, doc))
+    bounds = np.searchsorted(doc[mine], np.arange(len(examples) + 1))
+    votes = np.array([index.vote(*index.nearest(term[mine[a:b]], w[mine[a:b]], but=i)) for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))])
+    index.curve = _isotonic(votes, index.labels, index.weight)
+    index.prior = float(index.weight @ index.labels / index.weight.sum())
     return index
 
 
 def score(docs: DataFrame, index: Index, text: str = "text", name: str = "toxicity") -> DataFrame:
     """docs and a struct column: score (0 to 1) and evidence, the nearest examples with their cosines and labels.
 
-    A text without a chosen term, empty or null, gets the share of label 1 among such examples and no evidence.
+    A text that shares no word with an example, empty or null, gets the share of label 1 among all labelled rows and no evidence.
     """
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     @F.pandas_udf("score double, evidence array<struct<example:string,cosine:double,label:int>>")
     def judge(s):
         ix, scores, why = shared.value, [], []
-        none = ix.score(ix.prior)
+        none = ix.prior if len(ix.ids) else 0.0
         for t in s:
             terms, w = ix.vector(t or "")
             docs, sims = ix.nearest(terms, w) if len(terms) else ((), ())
@@ -190,6 +201,11 @@ def score(docs: DataFrame, index: Index, text: str = "text", name: str = "toxici
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, score, predicted, evidence) of every row of `documents`, learnt from labelled rows that are not held out.
+
+    Null and empty texts, and those of unknown words, get the labelled rows' share of label 1. A repeated row gives its values again,
+    a null doc_id is not held out, and ties among neighbours go to the example of the smaller number (label, then id as text).
+    """
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     index = build(docs.filter(common.learnable(F.col("doc_id"))), common.table(spark, sf_dir, "labels"))
     s = F.col("toxicity.score")
