@@ -175,14 +175,11 @@ def hexadecimal(c: Column) -> Column:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every row of `documents`.
+
+    Null and empty texts have fingerprint zero, which links like any other. Repeated rows are given again; a null doc_id is never the
+    smallest of a component unless it has no other.
+    """
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = common.written(fingerprints(docs).select("doc_id", "fp"), "simhash")
     return docs.join(group(docs), "fp").select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
-
-
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of smallest id stays (all rows that carry it; null ids stay where a group has no other)."""
-    v, g = common.unused(docs, "fp"), common.unused(docs, "component_id")
-    ids = common.written(fingerprints(docs.select(F.col("doc_id").alias("id"), F.col("text")), name="fp").select("id", "fp"), "simhash")
-    keep = ids.join(group(ids, "id"), "fp").filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(v), F.lit(1).alias(g)).distinct()
-    return docs.join(keep.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(keep[v]), "left_semi")
