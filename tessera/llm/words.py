@@ -64,6 +64,9 @@ class WordIds:
         """A number for each word, equal words alike; they hold until the next call."""
         if len(self.new.known) > self.most:
             self.new, self.old = _Generation(), self.new
+        return self._numbers(words, self._encoded)
+
+    def _numbers(self, words: list, add: Callable[[list], None]) -> np.ndarray:
         out = self.new.numbers(words)
         missing = np.flatnonzero(out < 0).tolist()
         if missing:
@@ -73,7 +76,8 @@ class WordIds:
             if (had := before >= 0).any():
                 self.new.add([w for w, h in zip(other, had.tolist(), strict=True) if h], *self.old.ids(before[had]))
                 other = [w for w, h in zip(other, had.tolist(), strict=True) if not h]
-            self._encoded(other)
+            if other:
+                add(other)
             out[missing] = self.new.numbers(wanted)
         return out
 
