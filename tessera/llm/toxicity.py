@@ -40,6 +40,16 @@ def terms_of(text: str) -> Counter:
     return out
 
 
+def _vector(text: str, vocabulary: dict[str, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = terms_of(text)
+    i = np.fromiter(map(vocabulary.get, n, repeat(-1)), np.int64, len(n))
+    has = i >= 0
+    i, w = i[has], 1 + np.log(np.fromiter(n.values(), float, len(n))[has])
+    w = w * idf[i]
+    by = np.argsort(i)
+    return i[by], (w / np.linalg.norm(w))[by] if len(i) else w
+
+
 @dataclass
 class Index:
     vocabulary: dict[str, int]
@@ -57,13 +67,7 @@ class Index:
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and unit-length TF-IDF weights of a whole text."""
-        n = terms_of(text)
-        i = np.fromiter(map(self.vocabulary.get, n, repeat(-1)), np.int64, len(n))
-        has = i >= 0
-        i, w = i[has], 1 + np.log(np.fromiter(n.values(), float, len(n))[has])
-        w = w * self.idf[i]
-        by = np.argsort(i)
-        return i[by], (w / np.linalg.norm(w))[by] if len(i) else w
+        return _vector(text, self.vocabulary, self.idf)
 
     def _scores(self, terms: np.ndarray, w: np.ndarray, some: np.ndarray) -> np.ndarray:
         """Cosines with the examples of some blocks, in a row, by their posting lists."""
@@ -118,7 +122,7 @@ def _isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
     return np.r_[0.0, p[:, 0] / p[:, 2], 1.0], np.r_[min(p[0, 1] / p[0, 2], 0.01), p[:, 1] / p[:, 2], 1.0]
 
 
-def build(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", k: int = 30, per_label: int = 1000) -> Index:
+def build(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", k: int = 30, per_label: int = 750) -> Index:
     """An index over at most per_label labelled texts of each label (by id hash; equal texts once) and all words that two of them share.
 
     Rows without id, text or label teach nothing; of several labels of an id the larger counts. With no examples of label 1 every
@@ -136,44 +140,46 @@ def build(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     share = {y: total.get(y, 0) / max(n.get(y, 0), 1) for y in (0, 1)}
 
     def spread(c):
-        t, at, many = [], [], []
-        for i, s in enumerate(c["text"].to_pylist()):
+        t, y = [], []
+        for s, v in zip(c["text"].to_pylist(), c["y"].to_pylist(), strict=True):
             found = terms_of(s)
-            t += found.keys()
-            many += found.values()
-            at += [i] * len(found)
-        at = pa.array(at, pa.int64())
-        return common.batch(term=pa.array(t, pa.string()), id=c["id"].take(at), y=c["y"].take(at), n=pa.array(many, pa.int64()))
-
-    words = common.written(common.map_rows(sample, spread, "term string, id string, y int, n long"), "toxic-words")
-    counts = words.groupBy("term").agg(F.sum("y").alias("pos"), F.count("*").alias("df")).filter("df > 1")
-    got = words.join(counts, "term").toPandas()  # of the bounded sample: a row for each example and word
-    common.free(sample, words)
-    terms = got.drop_duplicates("term").sort_values("term", ignore_index=True)
-    vocabulary = {t: i for i, t in enumerate(terms["term"])}
-    pos, df = terms["pos"].to_numpy(float), terms["df"].to_numpy(float)
+            t += found
+            y += [v] * len(found)
+        return common.batch(term=pa.array(t, pa.string()), y=pa.array(y, pa.int32()))
+
+    counts = common.map_rows(sample, spread, "term string, y int", 64).groupBy("term").agg(F.sum("y").alias("pos"), F.count("*").alias("df")).filter("df > 1").toArrow().sort_by("term")
+    vocabulary = {t: i for i, t in enumerate(counts.column("term").to_pylist())}
+    pos, df = counts.column("pos").to_numpy().astype(float), counts.column("df").to_numpy().astype(float)
     odds = np.log((pos + 1) / (n1 + 2)) - np.log((df - pos + 1) / (n0 + 2))
     sure = np.abs(odds) - 2 * np.sqrt(1 / (pos + 1) + 1 / (df - pos + 1))  # less two standard errors: rare words tell little
     idf = (np.log((1 + n0 + n1) / (1 + df)) + 1) * np.maximum(sure, FLOOR)
-    examples = got.drop_duplicates("id").sort_values(["y", "id"], ignore_index=True)
     p = n1 / max(n1 + n0, 1)
-    if examples.empty or not n1:
-        return Index(vocabulary, idf, [], np.zeros(0), np.zeros(0), np.zeros(1, int), np.zeros(0, int), np.zeros(0), np.zeros((len(idf), 0)), p, k)
-    number = {x: i for i, x in enumerate(examples["id"])}
-    doc, term = got["id"].map(number).to_numpy(np.int64), got["term"].map(vocabulary).to_numpy(np.int64)
-    w = (1 + np.log(got["n"].to_numpy(float))) * idf[term]
-    w /= np.sqrt(np.bincount(doc, w * w, len(examples)))[doc]
-    blocks = -(-len(examples) // BLOCK)
+    index = Index(vocabulary, idf, [], np.zeros(0), np.zeros(0), np.zeros(1, int), np.zeros(0, int), np.zeros(0), np.zeros((len(idf), 0)), p, k)
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, idf))
+
+    def weigh(c):
+        terms, weights = shared.value
+        v = [_vector(s, terms, weights) for s in c["text"].to_pylist()]
+        return common.batch(id=c["id"], y=c["y"], t=pa.array([a.astype(np.int32) for a, _ in v], pa.list_(pa.int32())), w=pa.array([b for _, b in v], pa.list_(pa.float64())))
+
+    got = common.map_rows(sample, weigh, "id string, y int, t array<int>, w array<double>", 64).filter(F.size("t") > 0).toArrow().sort_by([("y", "ascending"), ("id", "ascending")])
+    common.free(sample)
+    if not got.num_rows or not n1:
+        return index
+    got = got.combine_chunks()
+    at = got.column("t").chunk(0).offsets.to_numpy().astype(np.int64)
+    doc = np.repeat(np.arange(got.num_rows), np.diff(at))
+    term, w = got.column("t").chunk(0).flatten().to_numpy().astype(np.int64), got.column("w").chunk(0).flatten().to_numpy()
+    blocks = -(-got.num_rows // BLOCK)
     cell = term * blocks + doc // BLOCK
     order = np.lexsort((doc, cell))
-    top = np.zeros(len(idf) * blocks)
-    np.maximum.at(top, cell, w)
-    at = np.searchsorted(cell[order], np.arange(len(idf) * blocks + 1)).astype(np.int32)
-    weight = examples["y"].map(share).to_numpy(float)
-    index = Index(vocabulary, idf, examples["id"].to_list(), examples["y"].to_numpy(float), weight / weight.max(), at, doc[order].astype(np.int32), w[order], top.reshape(len(idf), blocks).astype(np.float32), p, k)
-    mine = np.lexsort((term, doc))
-    bounds = np.searchsorted(doc[mine], np.arange(len(examples) + 1))
-    votes = np.array([index.vote(*index.nearest(term[mine[a:b]], w[mine[a:b]], but=i)) for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))])
+    top = np.zeros(len(idf) * blocks, np.float32)
+    np.maximum.at(top, cell, w.astype(np.float32))
+    bounds = np.searchsorted(cell[order], np.arange(len(idf) * blocks + 1)).astype(np.int32)
+    labels = got.column("y").to_numpy().astype(float)
+    weight = np.array([share[0], share[1]])[labels.astype(int)]
+    index = Index(vocabulary, idf, got.column("id").to_pylist(), labels, weight / weight.max(), bounds, doc[order].astype(np.int32), w[order], top.reshape(len(idf), blocks), p, k)
+    votes = np.array([index.vote(*index.nearest(term[lo:hi], w[lo:hi], but=i)) for i, (lo, hi) in enumerate(zip(at[:-1] - at[0], at[1:] - at[0], strict=True))])
     index.curve = _isotonic(votes, index.labels, index.weight)
     index.prior = float(index.weight @ index.labels / index.weight.sum())
     return index
