@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import common
+from tessera.llm.words import WordIds
 
 _WORD = re.compile(r"[^\W\d_]+")
 BLOCK = 128
@@ -30,24 +31,17 @@ SLACK = 1e-5  # by which a bound in single precision may be short
 
 
 def terms_of(text: str) -> Counter:
-    """The words of a whole text, in lower case, and the beginnings of longer words, so that inflections count; with their counts."""
-    words = Counter(_WORD.findall(text.lower()))
-    out = Counter(words)
-    for w, n in words.items():
-        for k in BEGINNINGS:
-            if len(w) > k:
-                out[w[:k] + "*"] += n
+    """The terms of a whole text, in lower case, with their counts."""
+    out: Counter = Counter()
+    for w, n in Counter(_WORD.findall(text.lower())).items():
+        for t in _terms(w):
+            out[t] += n
     return out
 
 
-def _vector(text: str, vocabulary: dict[str, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n = terms_of(text)
-    i = np.fromiter(map(vocabulary.get, n, repeat(-1)), np.int64, len(n))
-    has = i >= 0
-    i, w = i[has], 1 + np.log(np.fromiter(n.values(), float, len(n))[has])
-    w = w * idf[i]
-    by = np.argsort(i)
-    return i[by], (w / np.linalg.norm(w))[by] if len(i) else w
+def _terms(word: str) -> list[str]:
+    """A word, and its beginnings where it is longer, so that inflections count."""
+    return [word, *(word[:k] + "*" for k in BEGINNINGS if len(word) > k)]
 
 
 @dataclass
@@ -57,47 +51,73 @@ class Index:
     ids: list[str]  # of the examples that hold a term
     labels: np.ndarray
     weight: np.ndarray  # how many labelled rows an example stands for
-    posting_at: np.ndarray  # bounds of each (term, block) in the postings
+    frequent: np.ndarray  # of each term its row among the frequent ones, else -1
+    rows: np.ndarray  # weights of frequent terms, one for each example: long posting lists are dense
+    posting_at: np.ndarray  # bounds of each (other term, block) in the postings
     posting_doc: np.ndarray
     posting_w: np.ndarray
     block_max: np.ndarray  # terms x blocks, in single precision
     prior: float  # of a text that shares no term with any example
     k: int
     curve: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers and unit-length TF-IDF weights of a whole text."""
-        return _vector(text, self.vocabulary, self.idf)
-
-    def _scores(self, terms: np.ndarray, w: np.ndarray, some: np.ndarray) -> np.ndarray:
-        """Cosines with the examples of some blocks, in a row, by their posting lists."""
-        cell = terms[:, None] * self.block_max.shape[1] + some
-        lo, n = self.posting_at[cell], self.posting_at[cell + 1] - self.posting_at[cell]
-        n, lo = n.ravel(), lo.ravel()
-        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        base = np.tile((np.arange(len(some)) - some) * BLOCK, len(terms))
-        return np.bincount(self.posting_doc[at] + np.repeat(base, n), np.repeat(np.repeat(w, len(some)), n) * self.posting_w[at], len(some) * BLOCK)
-
-    def nearest(self, terms: np.ndarray, w: np.ndarray, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of highest positive cosine (ties: smaller number), and the cosines."""
-        bound = w @ self.block_max[terms] + SLACK
-        order = np.argsort(-bound, kind="stable")
-        first = -(-self.k // BLOCK) + 1
-        best_doc, best_sim = np.zeros(0, np.int64), np.zeros(0)
-        for some in (order[:first], order[first:]):
-            if len(best_sim) == self.k:
-                some = some[bound[some] >= best_sim[-1]]
-            some = np.sort(some[bound[some] > SLACK])
-            if not len(some):
-                continue
-            # sums in another order differ in the last bits: equal cosines stay equal
-            score = np.round(self._scores(terms, w, some), 12)
-            doc = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            hit = np.flatnonzero((score > 0) & (doc != but))
-            docs, sims = np.r_[best_doc, doc[hit]], np.r_[best_sim, score[hit]]
-            by = np.lexsort((docs, -sims))[: self.k]
-            best_doc, best_sim = docs[by], sims[by]
-        return best_doc, best_sim
+    words: WordIds | None = None  # of each word met its terms' numbers; made in the task
+
+    def vectors(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Term numbers and unit-length TF-IDF weights of whole texts."""
+        if self.words is None:
+            v = self.vocabulary
+            self.words = WordIds(lambda words: [[v[t] for t in _terms(w) if t in v] for w in words], most=100_000)
+        found = [_WORD.findall((t or "").lower()) for t in texts]
+        ids, size = self.words.ids(self.words.numbers([w for f in found for w in f]))
+        doc = np.repeat(np.repeat(np.arange(len(texts)), [len(f) for f in found]), size)
+        key, n = np.unique(doc * (len(self.idf) + 1) + ids, return_counts=True)
+        doc, term = np.divmod(key, len(self.idf) + 1)
+        w = (1 + np.log(n)) * self.idf[term]
+        w /= np.sqrt(np.bincount(doc, w * w, len(texts)))[doc]
+        at = np.searchsorted(doc, np.arange(len(texts) + 1))
+        return [(term[a:b], w[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], but: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each vector the k examples of highest positive cosine (ties: smaller number), and the cosines; but: an example to pass over."""
+        q, blocks = len(vectors), self.block_max.shape[1]
+        out = [(np.zeros(0, np.int64), np.zeros(0))] * q
+        if not blocks or not q:
+            return out
+        of = np.repeat(np.arange(q), [len(t) for t, _ in vectors])
+        term, w = (np.concatenate(x) for x in zip(*vectors, strict=True))
+        bound = np.stack([x @ self.block_max[t] for t, x in vectors]) + SLACK
+        row = self.frequent[term]
+        dense = np.zeros((q, len(self.rows)))
+        dense[of[row >= 0], row[row >= 0]] = w[row >= 0]
+        of, term, w = of[row < 0], term[row < 0], w[row < 0]
+        score = np.zeros((q, blocks * BLOCK))
+        least = np.full(q, -1.0)
+        order = np.argsort(-bound, axis=1, kind="stable")
+        first = np.zeros_like(bound, bool)
+        np.put_along_axis(first, order[:, : -(-self.k // BLOCK) + 1], True, 1)
+        for here in (first, ~first):
+            need = here & (bound > SLACK) & (bound >= least[:, None])
+            for b in range(blocks):
+                some = np.flatnonzero(need[:, b])
+                if not len(some):
+                    continue
+                mine = need[of, b]
+                cell = term[mine] * blocks + b
+                lo, n = self.posting_at[cell], self.posting_at[cell + 1] - self.posting_at[cell]
+                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                place = np.repeat(of[mine] * BLOCK, n) + self.posting_doc[at] - b * BLOCK
+                rare = np.bincount(place, np.repeat(w[mine], n) * self.posting_w[at], q * BLOCK).reshape(q, BLOCK)[some]
+                # sums in another order differ in the last bits: equal cosines stay equal
+                score[some, b * BLOCK : (b + 1) * BLOCK] = np.round(dense[some] @ self.rows[:, b * BLOCK : (b + 1) * BLOCK] + rare, 12)
+            if but is not None:
+                score[np.arange(q), but] = 0
+            if score.shape[1] > self.k:
+                least = np.partition(score, -self.k, axis=1)[:, -self.k]
+        for i in range(q):
+            docs = np.flatnonzero((score[i] > 0) & (score[i] >= least[i]))
+            docs = docs[np.lexsort((docs, -score[i, docs]))[: self.k]]
+            out[i] = docs, score[i, docs]
+        return out
 
     def vote(self, docs: np.ndarray, sims: np.ndarray) -> float:
         """Share of the votes for label 1; the farther the neighbours, the more the prior counts."""
@@ -154,12 +174,12 @@ def build(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     sure = np.abs(odds) - 2 * np.sqrt(1 / (pos + 1) + 1 / (df - pos + 1))  # less two standard errors: rare words tell little
     idf = (np.log((1 + n0 + n1) / (1 + df)) + 1) * np.maximum(sure, FLOOR)
     p = n1 / max(n1 + n0, 1)
-    index = Index(vocabulary, idf, [], np.zeros(0), np.zeros(0), np.zeros(1, int), np.zeros(0, int), np.zeros(0), np.zeros((len(idf), 0)), p, k)
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, idf))
+    none = np.zeros(0, int)
+    index = Index(vocabulary, idf, [], np.zeros(0), np.zeros(0), np.full(len(idf), -1), np.zeros((0, 0)), np.zeros(1, int), none, np.zeros(0), np.zeros((len(idf), 0)), p, k)
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def weigh(c):
-        terms, weights = shared.value
-        v = [_vector(s, terms, weights) for s in c["text"].to_pylist()]
+        v = shared.value.vectors(c["text"].to_pylist())
         return common.batch(id=c["id"], y=c["y"], t=pa.array([a.astype(np.int32) for a, _ in v], pa.list_(pa.int32())), w=pa.array([b for _, b in v], pa.list_(pa.float64())))
 
     got = common.map_rows(sample, weigh, "id string, y int, t array<int>, w array<double>", 64).filter(F.size("t") > 0).toArrow().sort_by([("y", "ascending"), ("id", "ascending")])
@@ -175,11 +195,20 @@ def build(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     order = np.lexsort((doc, cell))
     top = np.zeros(len(idf) * blocks, np.float32)
     np.maximum.at(top, cell, w.astype(np.float32))
+    often = np.flatnonzero(df >= max(got.num_rows / 16, 2))
+    frequent = np.full(len(idf), -1)
+    frequent[often] = np.arange(len(often))
+    rows = np.zeros((len(often), blocks * BLOCK))
+    known = frequent[term] >= 0
+    rows[frequent[term[known]], doc[known]] = w[known]
+    order = order[~known[order]]
     bounds = np.searchsorted(cell[order], np.arange(len(idf) * blocks + 1)).astype(np.int32)
     labels = got.column("y").to_numpy().astype(float)
     weight = np.array([share[0], share[1]])[labels.astype(int)]
-    index = Index(vocabulary, idf, got.column("id").to_pylist(), labels, weight / weight.max(), bounds, doc[order].astype(np.int32), w[order], top.reshape(len(idf), blocks), p, k)
-    votes = np.array([index.vote(*index.nearest(term[lo:hi], w[lo:hi], but=i)) for i, (lo, hi) in enumerate(zip(at[:-1] - at[0], at[1:] - at[0], strict=True))])
+    index = Index(vocabulary, idf, got.column("id").to_pylist(), labels, weight / weight.max(), frequent, rows, bounds, doc[order].astype(np.int32), w[order], top.reshape(len(idf), blocks), p, k)
+    mine = [(term[lo:hi], w[lo:hi]) for lo, hi in zip(at[:-1] - at[0], at[1:] - at[0], strict=True)]
+    near = [x for lo in range(0, len(mine), 64) for x in index.nearest(mine[lo : lo + 64], np.arange(lo, min(lo + 64, len(mine))))]
+    votes = np.array([index.vote(*x) for x in near])
     index.curve = _isotonic(votes, index.labels, index.weight)
     index.prior = float(index.weight @ index.labels / index.weight.sum())
     return index
@@ -195,12 +224,11 @@ def score(docs: DataFrame, index: Index, text: str = "text", name: str = "toxici
     @F.pandas_udf("score double, evidence array<struct<example:string,cosine:double,label:int>>")
     def judge(s):
         ix, scores, why = shared.value, [], []
-        none = ix.prior if len(ix.ids) else 0.0
-        for t in s:
-            terms, w = ix.vector(t or "")
-            docs, sims = ix.nearest(terms, w) if len(terms) else ((), ())
-            scores.append(ix.score(ix.vote(docs, sims)) if len(docs) else none)
-            why.append([{"example": ix.ids[d], "cosine": float(x), "label": int(ix.labels[d])} for d, x in zip(docs, sims, strict=True)])
+        none, texts = ix.prior if len(ix.ids) else 0.0, s.to_list()
+        for lo in range(0, len(texts), 64):
+            for docs, sims in ix.nearest(ix.vectors(texts[lo : lo + 64])):
+                scores.append(ix.score(ix.vote(docs, sims)) if len(docs) else none)
+                why.append([{"example": ix.ids[d], "cosine": float(x), "label": int(ix.labels[d])} for d, x in zip(docs, sims, strict=True)])
         return pd.DataFrame({"score": np.array(scores, float), "evidence": pd.Series(why, dtype=object)})
 
     return docs.withColumn(name, judge(F.col(text)))

@@ -35,25 +35,6 @@ def test_url_query_covers_all_pages(spark, sf):
     assert out.count() == spark.read.parquet(f"{sf}/pages.parquet").count() and out.filter("verdict not in ('allow', 'block')").count() == 0
 
 
-def test_nearest_is_exact(spark, sf):
-    docs = common.table(spark, sf, "documents")
-    ix = toxicity.build(docs, common.table(spark, sf, "labels"))
-    import numpy as np
-
-    full = np.zeros((len(ix.ids), len(ix.idf)))
-    blocks = ix.block_max.shape[1]
-    for t in range(len(ix.idf)):
-        for b in range(blocks):
-            lo, hi = ix.posting_at[t * blocks + b], ix.posting_at[t * blocks + b + 1]
-            full[ix.posting_doc[lo:hi], t] = ix.posting_w[lo:hi]
-    for r in docs.limit(60).collect():
-        t, w = ix.vector(r["text"] or "")
-        if len(t):
-            sims = full[:, t] @ w
-            want = np.sort(sims[sims > 0])[::-1][: ix.k]
-            assert np.allclose(ix.nearest(t, w)[1], want)
-
-
 def test_toxicity_finds_planted_words(spark):
     clean = [f"plain words about rivers number {i} and hills {i % 7}" for i in range(160)]
     bad = [f"plain words about rivers you {w} thing {i}" for i, w in enumerate(["zorgling", "frumpkin"] * 20)]

@@ -8,9 +8,11 @@ from tessera.llm import common, toxicity
 
 
 def dense(ix):
-    full = np.zeros((len(ix.ids), len(ix.idf)))
     blocks = ix.block_max.shape[1]
+    full = np.zeros((blocks * toxicity.BLOCK, len(ix.idf)))
     for t in range(len(ix.idf)):
+        if ix.frequent[t] >= 0:
+            full[:, t] = ix.rows[ix.frequent[t]]
         for b in range(blocks):
             lo, hi = ix.posting_at[t * blocks + b], ix.posting_at[t * blocks + b + 1]
             full[ix.posting_doc[lo:hi], t] = ix.posting_w[lo:hi]
@@ -22,29 +24,38 @@ def index(spark, sf):
     return toxicity.build(common.table(spark, sf, "documents"), common.table(spark, sf, "labels"))
 
 
-def test_neighbours_with_ties_equal_brute_force(spark, sf, index, monkeypatch):
-    monkeypatch.setattr(toxicity, "BLOCK", 128)
+def test_neighbours_with_ties_equal_brute_force(spark, sf, index):
     full = dense(index)
-    assert np.allclose((full**2).sum(1), 1)
-    for r in common.table(spark, sf, "documents").limit(80).collect():
-        t, w = index.vector(r["text"] or "")
-        if not len(t):
-            continue
+    n = len(index.ids)
+    assert np.allclose((full[:n] ** 2).sum(1), 1) and not full[n:].any()
+    texts = [r["text"] for r in common.table(spark, sf, "documents").collect()] + [None, "", "zzz qqq"]
+    vectors = index.vectors(texts)
+    for text, (t, w), (docs, got) in zip(texts, vectors, index.nearest(vectors), strict=True):
+        count = {index.vocabulary[x]: n for x, n in toxicity.terms_of(text or "").items() if x in index.vocabulary}
+        assert dict(zip(t.tolist(), w, strict=True)).keys() == count.keys()
         sims = np.round(full[:, t] @ w, 12)
         want = np.lexsort((np.arange(len(sims)), -sims))[: index.k]
         want = want[sims[want] > 0]
-        docs, got = index.nearest(t, w)
         assert np.allclose(got, sims[want], atol=1e-9)
-        sure = sims[want] > sims[want][-1] + 1e-9
-        assert set(want[sure]) <= set(docs)
+        if len(want):
+            assert set(want[sims[want] > sims[want][-1] + 1e-9]) <= set(docs)
+
+
+def test_blocks_left_out_change_nothing(index, spark, sf, monkeypatch):
+    texts = [r["text"] for r in common.table(spark, sf, "documents").limit(50).collect()]
+    vectors = index.vectors(texts)
+    before = index.nearest(vectors)
+    monkeypatch.setattr(index, "block_max", np.ones_like(index.block_max))  # bounds that leave no block out
+    for (a, x), (b, y) in zip(before, index.nearest(vectors), strict=True):
+        assert a.tolist() == b.tolist() and np.allclose(x, y)
 
 
 def test_equal_examples_tie_by_number(spark):
-    rows = [(i, "same words here and there") for i in range(6)] + [(i, f"other words number{i % 2} of many") for i in range(6, 12)] + [(12, "same words here and there now")]
+    rows = [(i, f"same words here and there{' ' * i}") for i in range(6)] + [(i, f"other words number{i % 2} of many{' ' * i}") for i in range(6, 12)]
     labels = spark.createDataFrame([(i, int(i in (6, 7))) for i, _ in rows], "doc_id long, toxic int")
     ix = toxicity.build(spark.createDataFrame(rows, "doc_id long, text string"), labels, k=2)
-    docs, sims = ix.nearest(*ix.vector("same words here and there"))
-    assert len(docs) == 2 and list(docs) == sorted(docs, key=lambda d: (-sims[list(docs).index(d)], d))
+    ((docs, sims),) = ix.nearest(ix.vectors(["same words here and there"]))
+    assert [ix.ids[d] for d in docs] == ["0", "1"] and sims[0] == sims[1]
 
 
 def test_both_labels_are_in_the_index_and_reach_texts(spark, sf, index):
