@@ -3,7 +3,8 @@
 A byte goes if a string of `size` bytes that covers it also begins anywhere else. The steps, each exact:
 
 1. A string of `size` bytes has a least anchor: of its 64-byte substrings that of smallest hash. Where that anchor occurs once, so
-   does the string; runs of other strings are segments, a fraction of the text. Equal texts count as one, known to be a copy.
+   does the string; runs of other strings are segments, a fraction of the text. Equal texts count as one, known to be a copy. Of a
+   long run of one short period only the ends are kept: the strings between repeat those at its beginning.
 2. Segments are cut into phrases at minima of a 16-byte hash, so that equal strings are cut alike but near their ends. The phrases'
    hashes are symbols, and the distributed difference-cover algorithm (suffixes.py) sorts all phrase suffixes, to the depth of nine
    phrases or more; those that share so many stand together, equal long prefixes side by side.
@@ -11,23 +12,32 @@ A byte goes if a string of `size` bytes that covers it also begins anywhere else
    string that begins in the phrase; a short prefix of two phrases shared with none settles that no string around it repeats.
 4. What stays open, a few strings at the ends of each repeat, is compared by 128 bits of hash with all strings that hold the same short
    prefix at the same place.
+
+Tasks work on blocks of some 500 kB and carry one row from batch to batch, so memory grows neither with a text nor with a partition.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import common
-from tessera.llm.suffixes import flat, gather, merge_keys, sorted_groups
+from tessera.llm.suffixes import flat, gather, merge_keys
 
 GRAM, WINDOW = 16, 112  # of phrases
 LEVELS = 1  # of recursion: suffixes are sorted by 3 ** (LEVELS + 1) phrases at least, some 500 bytes
 PREFIX = 2  # phrases of a short prefix
 ANCHOR = 64  # bytes of an anchor
+BLOCK = 1 << 19  # bytes hashed at once
+LAGS, SPARED = 8, 256  # phrases of a period, and bytes that cutting a periodic run must spare
 _M = [np.uint64((0x9E3779B97F4A7C15 + 0x6A09E667F3BCC908 * i) % 2**64 | 1) for i in range(16)]
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(8)], np.uint64)
+_MOST = np.uint64(2**64 - 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -35,24 +45,34 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def power_hashes(a: np.ndarray, most: int) -> list[np.ndarray]:
-    """Hashes of all strings of 1, 2, 4 .. most bytes, by where they begin."""
-    out = [_mix((a.astype(np.uint64) + np.uint64(1)) * _M[0])]
-    while 1 << len(out) <= most:
-        x, s = out[-1], 1 << (len(out) - 1)
-        out.append(_mix(x[: max(len(x) - s, 0)] * _M[len(out)] + x[s:]))
+def eights(a: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as a number; zeros follow the last byte."""
+    padded = np.zeros(len(a) + 8, np.uint8)
+    padded[: len(a)] = a
+    return np.ndarray((len(a),), "<u8", padded.data, strides=(1,)).astype(np.uint64)
+
+
+def power_hashes(v: np.ndarray, most: int, every: bool = True) -> list[np.ndarray]:
+    """Hashes of all strings of 8, 16 .. most bytes, by where they begin, from eights; the last alone unless every is asked for."""
+    out = [_mix(v[: max(len(v) - 7, 0)] * _M[0] + _M[1])]
+    for k in range(3, most.bit_length() - 1):
+        x, s = out[-1], 1 << k
+        new = _mix(x[: max(len(x) - s, 0)] * _M[k] + x[s:])
+        out = [*out, new] if every else [new]
     return out
 
 
-def span_hash(h: list[np.ndarray], at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Hash of the string of some size (1 or more) at each place: of its first and last power of two of bytes."""
+def span_hash(v: np.ndarray, h: list[np.ndarray], at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of the string of some size (1 or more) at each place: of its first and last power of two of bytes, or of its few bytes."""
     at, size = np.broadcast_arrays(at, size)
     out = np.zeros(len(at), np.uint64)
-    top = np.minimum(np.frexp(size.astype(float))[1] - 1, len(h) - 1)
+    top = np.minimum(np.frexp(size.astype(float))[1] - 1, len(h) + 2)
     for j in np.unique(top):
         f = top == j
         p, n = at[f], size[f]
-        out[f] = _mix(h[j][p] * _M[14] + h[j][p + n - (1 << j)] * _M[15] + n.astype(np.uint64))
+        few = j < 3
+        x, y = (v[p] & _MASK[n], 0) if few else (h[j - 3][p], h[j - 3][p + n - (1 << int(j))])
+        out[f] = _mix(_mix(x * _M[13]) * _M[14] + y * _M[15] + n.astype(np.uint64)) if few else _mix(x * _M[14] + y * _M[15] + n.astype(np.uint64))
     return out
 
 
@@ -66,108 +86,182 @@ def _over(y: np.ndarray, w: int, f, fill: int) -> np.ndarray:
     return f(right[: len(y) - w + 1], left[w - 1 : len(y)])
 
 
-def least_of(x: np.ndarray, w: int) -> np.ndarray:
-    return _over(x, w, np.minimum, 2**64 - 1) if len(x) >= w else np.zeros(0, np.uint64)
-
-
-def winnow(x: np.ndarray, w: int) -> np.ndarray:
-    """Where a value is the least of some w in a row (ties: all of them); none if there are fewer than w."""
-    if len(x) < w:
-        return np.zeros(0, np.int64)
+def minima(x: np.ndarray, bounds: np.ndarray, span: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """x: hashes of span bytes of strings in a row. The least of every w in a row (0 if these are not of one string), and the places
+    where a hash is the least of some such window (ties: all of them)."""
+    n = int(bounds[-1])
+    y = np.full(n, _MOST)
+    y[: len(x)] = x[:n] | np.uint64(1)  # never 0
+    least = np.zeros(n, np.uint64)
+    if n >= w:
+        least[: n - w + 1] = _over(y, w, np.minimum, 2**64 - 1)
+    over = np.zeros(n + 1, np.int32)  # windows that would run over a string's end
+    long = w - 1 + span - 1
+    np.add.at(over, np.maximum(bounds[1:] - long, bounds[:-1]), 1)
+    np.add.at(over, bounds[1:], -1)
+    least[np.cumsum(over[:n]) > 0] = 0
     pad = np.zeros(w - 1, np.uint64)
-    return np.flatnonzero(x == _over(np.concatenate([pad, least_of(x, w), pad]), w, np.maximum, 0))
-
-
-def anchors(a: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes: the least anchor of every string of size bytes is among them."""
-    if len(a) < size:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    x = power_hashes(a, ANCHOR)[-1]
-    p = winnow(x, size - ANCHOR + 1)
-    return p, x[p]
-
-
-def candidates(a: np.ndarray, size: int, again: np.ndarray) -> list[tuple[int, int]]:
-    """Runs of strings of size bytes whose least anchor is one of those at the places again, as the bytes that a run covers.
+    top = _over(np.concatenate([pad, least]), w, np.maximum, 0) if n else least
+    return least, np.flatnonzero(y == top)
+
+
+def blocks(off: np.ndarray, overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Parts of at most some BLOCK bytes of texts in a row, several to a block: text numbers, beginnings, ends. Parts of one text overlap."""
+    which, begin, end, total = [], [], [], 0
+    for i, (lo, hi) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
+        at = to = lo
+        while to < hi:
+            to = min(hi, at + BLOCK)
+            if total and total + to - at > BLOCK:
+                yield np.array(which), np.array(begin), np.array(end)
+                which, begin, end, total = [], [], [], 0
+            which.append(i)
+            begin.append(at)
+            end.append(to)
+            total += to - at
+            at = to - overlap
+    if which:
+        yield np.array(which), np.array(begin), np.array(end)
+
+
+def _joined(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([data[a:b] for a, b in zip(begin, end, strict=True)]), np.r_[0, np.cumsum(end - begin)]
+
+
+def anchors(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, place in it and hash: the least anchor of every string of size bytes is among them."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    for which, begin, end in blocks(off, size - 1):
+        a, bounds = _joined(data, begin, end)
+        x = power_hashes(eights(a), ANCHOR, False)[-1]
+        _, p = minima(x, bounds, ANCHOR, size - ANCHOR + 1)
+        k = np.searchsorted(bounds, p, "right") - 1
+        out.append((which[k], p - bounds[k] + begin[k] - off[which[k]], x[p]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def candidates(data: np.ndarray, off: np.ndarray, again: list[np.ndarray], size: int) -> list[tuple[int, int, int]]:
+    """Runs of strings of size bytes whose least anchor is one of those at the places again of a text: text, and the bytes it covers.
 
     Equal strings have equal least anchors, so any other string occurs once.
     """
-    x = power_hashes(a, ANCHOR)[-1]
-    maybe = np.isin(least_of(x, size - ANCHOR + 1), x[again[again < len(x)]])
-    edge = np.diff(np.r_[0, maybe.astype(np.int8), 0])
-    return list(zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) - 1 + size).tolist(), strict=True))
+    out: list[tuple[int, int, int]] = []
+    for which, begin, end in blocks(off, size - 1):
+        a, bounds = _joined(data, begin, end)
+        x = power_hashes(eights(a), ANCHOR, False)[-1]
+        least, _ = minima(x, bounds, ANCHOR, size - ANCHOR + 1)
+        places = [again[i] + off[i] - b + at for i, b, at in zip(which, begin, bounds, strict=False)]
+        places = np.concatenate([p[(p >= at) & (p + ANCHOR <= to)] for p, at, to in zip(places, bounds, bounds[1:], strict=False)])
+        maybe = np.isin(least, x[places] | np.uint64(1)) if len(places) else np.zeros(len(least), bool)
+        edge = np.diff(np.r_[0, maybe.astype(np.int8), 0])
+        for lo, hi in zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) - 1 + size).tolist(), strict=True):
+            k = int(np.searchsorted(bounds, lo, "right")) - 1
+            i, shift = int(which[k]), int(begin[k] - bounds[k] - off[which[k]])
+            if out and out[-1][0] == i and lo + shift <= out[-1][2] - size + 1:  # goes on from the part before
+                out[-1] = (i, out[-1][1], max(out[-1][2], hi + shift))
+            else:
+                out.append((i, lo + shift, hi + shift))
+    return out
 
 
-def phrase_table(a: np.ndarray, size: int) -> dict[str, np.ndarray]:
-    """The phrases of a segment: begin, symbol, upto, short and long.
+def phrase_table(a: np.ndarray, bounds: np.ndarray, size: int) -> dict[str, np.ndarray]:
+    """The phrases of segments in a row: of (which segment), at (place in it), c (symbol), upto, short and long.
 
-    upto: the last window of which the phrase's cut is the least (the last of equals), -1 if none. short: hash of the phrase and
-    the next (0: there is none). long: hash of the string that settles all those beginning in the phrase
-    (0: the segment ends before).
+    upto: the last window of the segment of which the phrase's cut is the least (the last of equals), -1 if none. short: hash of the
+    phrase and the next (0: there is none). long: hash of the string that settles all those beginning in the phrase (0: the segment
+    ends before).
     """
-    h = power_hashes(a, 256)
-    x = h[4]
-    least, cut = least_of(x, WINDOW), winnow(x, WINDOW)
-    at = np.unique(np.r_[0, cut])
-    end = np.r_[at[1:], len(a)]
+    v = eights(a)
+    h = power_hashes(v, 256)
+    least, cut = minima(h[1], bounds, GRAM, WINDOW)
+    mark = np.zeros(len(a) + 1, bool)
+    mark[cut] = mark[bounds[:-1]] = True
+    at = np.flatnonzero(mark[:-1])
+    of = np.searchsorted(bounds, at, "right") - 1
+    stop = bounds[of + 1]
+    end = np.minimum(np.r_[at[1:], len(a)], stop)
     n = end - at
-    q = at[:, None] - np.arange(WINDOW - 1, -1, -1)
-    inside = (q >= 0) & (q < len(least)) & (at[:, None] < len(x))
-    inside[inside] = least[q[inside]] == np.broadcast_to(x[np.minimum(at, len(x) - 1)][:, None], q.shape)[inside]
-    which = np.full(len(least), -1)
-    k, col = np.nonzero(inside)
-    which[q[k, col]] = k  # in order of the cuts, so the last of equals stays
+    # the last cut in each window that is its least
+    w = np.flatnonzero(least)
+    k = np.searchsorted(at, w + WINDOW) - 1
+    x = np.where(at < len(h[1]), h[1][np.minimum(at, max(len(h[1]) - 1, 0))] | np.uint64(1), np.uint64(0)) if len(h[1]) else np.zeros(len(at), np.uint64)
+    todo = np.arange(len(w))
+    while len(todo := todo[x[k[todo]] != least[w[todo]]]):
+        k[todo] -= 1
     upto = np.full(len(at), -1)
-    np.maximum.at(upto, which[which >= 0], np.flatnonzero(which >= 0))
-    ok = np.arange(len(at)) + PREFIX < len(at)
-    s = np.where(ok, span_hash(h, at, np.where(ok, at[np.minimum(np.arange(len(at)) + PREFIX, len(at) - 1)] - at, 1)), np.uint64(0))
-    fits = at + n + size <= len(a)
-    long = np.where(fits, span_hash(h, at, np.where(fits, n + size, 1)), np.uint64(0))
-    return {"at": at, "c": span_hash(h, at, n).view(np.int64), "upto": upto, "short": s.view(np.int64), "long": long.view(np.int64)}
-
-
-def places(at: np.ndarray, upto: np.ndarray, short: np.ndarray, short_again: np.ndarray, long_again: np.ndarray, n: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each string of size bytes in a segment of n: whether it repeats for sure, whether it is open, and a hash that equal strings share.
+    last = np.flatnonzero(np.r_[k[1:] != k[:-1], True]) if len(k) else np.zeros(0, int)
+    upto[k[last]] = w[last] - bounds[of[k[last]]]
+    two = np.minimum(np.arange(len(at)) + PREFIX, len(at) - 1)
+    ok = (np.arange(len(at)) + PREFIX < len(at)) & (of[two] == of)
+    short = np.where(ok, span_hash(v, h, at, np.where(ok, at[two] - at, 1)), np.uint64(0))
+    fits = at + n + size <= stop
+    long = np.where(fits, span_hash(v, h, at, np.where(fits, n + size, 1)), np.uint64(0))
+    return {"of": of, "at": at - bounds[of], "c": span_hash(v, h, at, n).view(np.int64), "upto": upto, "short": short.view(np.int64), "long": long.view(np.int64)}
+
+
+def periodic(a: np.ndarray, at: np.ndarray, c: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+    """Long runs (begin, end, period) of a segment: there every byte equals the one a period on."""
+    out: list[tuple[int, int, int]] = []
+    for lag in range(1, min(LAGS, len(c) - 1) + 1):
+        same = np.diff(np.r_[0, (c[lag:] == c[:-lag]).astype(np.int8), 0])
+        for j, k in zip(np.flatnonzero(same == 1).tolist(), np.flatnonzero(same == -1).tolist(), strict=True):
+            lo, g = int(at[j]), int(at[j + lag] - at[j])
+            hi = int(at[k + lag - 1])
+            if hi - lo >= 2 * size + 2 * g + SPARED and all(hi <= x or lo >= y for x, y, _ in out) and (a[lo : hi - g] == a[lo + g : hi]).all():
+                out.append((lo, hi, g))
+    return sorted(out)
+
+
+def places(t: dict[str, np.ndarray], bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each string of size bytes of segments in a row: where it begins, whether it repeats for sure, whether it is open, a hash that equal
+    strings share, and whether it needs comparing with strings elsewhere.
 
     The least of a string's first window of 16-byte hashes and that of its last are cuts in any equal string, with the same cuts
     between; so all phrases between occur around an equal string, and a short prefix among them that occurs once excludes one.
     """
-    total = n - size + 1
-    p = np.arange(total)
-    sure = np.zeros(total + 1, np.int64)
-    end = np.r_[at[1:], n]
-    np.add.at(sure, np.minimum(at[long_again], total), 1)
-    np.add.at(sure, np.minimum(end[long_again] + 1, total), -1)
-    sure = np.cumsum(sure)[:total] > 0
-    least = np.maximum.accumulate(upto)
-    first, last = np.searchsorted(least, p), np.searchsorted(least, p + size - GRAM - WINDOW + 1)
-    once = np.r_[0, np.cumsum((short != 0) & ~short_again)]
+    base, total = bounds[:-1], np.maximum(np.diff(bounds) - size + 1, 0)
+    p = np.repeat(base - (np.cumsum(total) - total), total) + np.arange(total.sum())
+    of, n = t["of"], int(bounds[-1])
+    at, limit = t["at"] + base[of], (base + total)[of]
+    end = np.minimum(np.r_[at[1:], n], bounds[of + 1])
+    again = t["long_again"].astype(bool)
+    sure = np.zeros(n + 1, np.int64)
+    np.add.at(sure, np.minimum(at, limit)[again], 1)
+    np.add.at(sure, np.minimum(end + 1, limit)[again], -1)
+    sure = np.cumsum(sure)[p] > 0
+    upto = np.maximum.accumulate(np.where(t["upto"] < 0, -1, t["upto"] + base[of]))
+    first, last = np.searchsorted(upto, p), np.searchsorted(upto, p + size - GRAM - WINDOW + 1)
+    short = t["short"]
+    once = np.r_[0, np.cumsum((short != 0) & ~t["short_again"].astype(bool))]
     excluded = once[np.maximum(last - PREFIX + 1, first)] > once[first]
-    shared = np.where(first + PREFIX <= last, short[first], 0)
-    return sure, ~sure & ~excluded, shared
+    shared = np.where(first + PREFIX <= last, short[np.minimum(first, len(short) - 1)], 0)
+    # strings that begin in a phrase whose long prefix stands elsewhere too need comparing there only
+    told = (again & ~t["long_first"].astype(bool))[np.searchsorted(at, p, "right") - 1]
+    return p, sure, ~sure & ~excluded, shared, ~told
 
 
 def _key(text) -> F.Column:
     return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32))
 
 
+TABLE = ("c", "at", "upto", "short", "long")
+
+
 def segments(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """docs (key, text): segments (s, key, begin, bytes) of one document of each text, and (key, n) of the texts that occur n > 1 times."""
+    """docs (key, text): segments (s, key, begin, hi, bytes and phrases) of one document of each text, and (key, n) of the texts that
+    occur n > 1 times. A row without bytes is a run of strings that repeat, from begin to hi."""
 
     def spread(c):
         data, off = common.buffers(c["text"])
-        key = [k.as_py() for k in c["key"]]
-        parts = [anchors(data[a:b], size) for a, b in zip(off[:-1], off[1:], strict=True)]
-        n = [len(p) for p, _ in parts]
-        if not sum(n):
+        which, at, h = anchors(data, off, size)
+        if not len(which):
             return None
-        short = np.repeat(np.array([int.from_bytes(k[:8], "big", signed=True) for k in key], np.int64), n)
-        at = np.concatenate([p for p, _ in parts])
+        short = np.array([int.from_bytes(k.as_py()[:8], "big", signed=True) for k in c["key"]], np.int64)[which]
         place = _mix(short.view(np.uint64) * _M[3] + at.astype(np.uint64)).view(np.int64)
-        return common.batch(h=np.concatenate([h for _, h in parts]).view(np.int64), place=place, short=short, at=at.astype(np.int32))
+        return common.batch(h=h.view(np.int64), place=place, short=short, at=at.astype(np.int32))
 
     found = common.written(common.map_rows(docs.select("key", "text"), spread, "h long, place long, short long, at int"), "anchors")
-    again = found.groupBy("h").agg(F.min("place").alias("a"), F.max("place").alias("b")).filter("a <> b").select("h")
+    again = common.written(found.groupBy("h").agg(F.min("place").alias("a"), F.max("place").alias("b")).filter("a <> b").select("h"), "again")
     hits = found.join(again, "h", "left_semi").groupBy("short").agg(F.collect_set("at").alias("again"))
     copies = docs.groupBy("key").agg(F.count("*").alias("n"), F.min("row").alias("first"))
     known = copies.withColumn("short", F.conv(F.substring(F.hex("key"), 1, 16), 16, -10).cast("long")).join(hits, "short", "left").filter("n > 1 or again is not null")
@@ -175,37 +269,67 @@ def segments(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
 
     def cut(c):
         data, off = common.buffers(c["text"])
-        key, begin, piece = [], [], []
-        for i, again in enumerate(c["again"]):
-            a = data[off[i] : off[i + 1]]
-            for lo, hi in candidates(a, size, again.values.to_numpy()):
-                key.append(i)
-                begin.append(lo)
-                piece.append(a[lo:hi].tobytes())
-        return common.batch(key=c["key"].take(pa.array(key, pa.int64())), begin=pa.array(begin, pa.int64()), bytes=pa.array(piece, pa.binary()))
+        runs = candidates(data, off, [x.values.to_numpy() for x in c["again"]], size)
+        key, begin, hi, piece, table = [], [], [], [], []
+
+        def put(of, which, pieces):
+            a, bounds = np.concatenate(pieces), np.r_[0, np.cumsum([len(x) for x in pieces])]
+            t = phrase_table(a, bounds, size)
+            cuts = np.searchsorted(t["of"], np.arange(len(pieces) + 1))
+            more = []
+            for i, x in enumerate(pieces):
+                one = {k: t[k][cuts[i] : cuts[i + 1]] for k in TABLE}
+                doc, lo, whole = which[i]
+                split = [] if whole or len(x) < 2 * size + SPARED else periodic(x, one["at"], one["c"], size)
+                if not split:
+                    key.append(doc)
+                    begin.append(lo)
+                    hi.append(lo + len(x) - size)
+                    piece.append(x.tobytes())
+                    table.append(one)
+                    continue
+                left = 0
+                for b, e, g in split:
+                    key.append(doc)
+                    begin.append(lo + b)
+                    hi.append(lo + e - size)
+                    piece.append(None)
+                    table.append({k: np.zeros(0, np.int64) for k in TABLE})
+                    more.append((doc, lo + left, x[left : b + g + size - 1]))
+                    left = e - size + 1
+                more.append((doc, lo + left, x[left:]))
+            return [m for m in more if len(m[2]) >= size]
+
+        todo, size_of = [], 0
+        for i, lo, to in [*runs, (-1, 0, 0)]:
+            if todo and (i < 0 or size_of + to - lo > BLOCK):
+                more = put(None, [(d, b, False) for d, b, _ in todo], [x for _, _, x in todo])
+                if more:
+                    put(None, [(d, b, True) for d, b, _ in more], [x for _, _, x in more])
+                todo, size_of = [], 0
+            if i >= 0:
+                todo.append((i, lo, data[off[i] + lo : off[i] + to]))
+                size_of += to - lo
+        if not key:
+            return None
+        at = pa.array(np.r_[0, np.cumsum([len(x["at"]) for x in table])], pa.int32())
+        lists = {k: pa.ListArray.from_arrays(at, pa.array(np.concatenate([x[k] for x in table]).astype(np.int64))) for k in TABLE}
+        return common.batch(key=c["key"].take(pa.array(key, pa.int64())), begin=pa.array(begin, pa.int64()), hi=pa.array(hi, pa.int64()), bytes=pa.array(piece, pa.binary()), **lists)
 
     here = docs.join(known.filter("again is not null").select("key", "first", "again").hint("shuffle_hash"), ["key"]).filter("row = first")
-    cuts = common.map_rows(here.select("key", "text", "again"), cut, "key binary, begin long, bytes binary")
+    cuts = common.map_rows(here.select("key", "text", "again"), cut, "key binary, begin long, hi long, bytes binary, " + ", ".join(f"{k} array<long>" for k in TABLE), 256)
     cuts = common.written(cuts.withColumn("s", F.monotonically_increasing_id()), "segments")
-    many = known.filter("n > 1").select("key", "n")
-    common.free(found)
+    many = common.written(known.filter("n > 1").select("key", "n"), "many")
+    common.free(found, again, known)
     return cuts, many
 
 
 def repeats(cuts: DataFrame, size: int) -> DataFrame:
     """(s, lo, hi): runs of places in a segment (both ends included) at which a string of size bytes begins that also begins elsewhere."""
-
-    def parse(c):
-        data, off = common.buffers(c["bytes"])
-        t = [phrase_table(data[a:b], size) for a, b in zip(off[:-1], off[1:], strict=True)]
-        bounds = pa.array(np.r_[0, np.cumsum([len(x["at"]) for x in t])], pa.int32())
-        lists = {k: pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([x[k] for x in t]))) for k in ("c", "at", "upto", "short", "long")}
-        return common.batch(s=c["s"], **lists)
-
-    strings = common.written(common.map_rows(cuts.select("s", "bytes"), parse, "s long, c array<long>, at array<long>, upto array<long>, short array<long>, long array<long>"), "strings")
+    strings = cuts.filter("bytes is not null")
     order = merge_keys(strings.select("s", "c"), LEVELS)
     keys = gather(order, "z", "e", "r").drop("i")
-    both = strings.join(keys, "s").select("s", "short", "long", "z", "e", "r")
+    both = strings.select("s", "short", "long").join(keys, "s").select("s", "short", "long", "z", "e", "r")
 
     def spread(batches):
         for b in batches:
@@ -218,91 +342,124 @@ def repeats(cuts: DataFrame, size: int) -> DataFrame:
                 yield t.slice(lo, 1 << 16)
 
     rows = both.mapInArrow(spread, "s long, i int, short long, long long, k0 long, k1 int, k2 long")
-    settled = common.written(adjacent(rows), "adjacent")
-    flags = common.written(strings.select("s", "at", "upto", "short").join(gather(settled, "short_again", "long_again", "long_first").drop("i"), "s").join(cuts.select("s", F.octet_length("bytes").alias("n")), "s"), "flags")
+    settled = adjacent(rows)
+    flags = strings.select("s", "at", "upto", "short", F.octet_length("bytes").alias("n")).join(gather(settled, "short_again", "long_again", "long_first").drop("i"), "s")
+    flags = common.written(flags, "flags")
     common.free(settled, order)
 
-    def batches_of(b):
+    def parts(b):
+        """Some segments of a batch at a time: their numbers, lengths and tables."""
         cols = {k: flat(b.column(k)) for k in ("at", "upto", "short", "short_again", "long_again", "long_first")}
-        for i, (s, n) in enumerate(zip(b.column("s").to_pylist(), b.column("n").to_pylist(), strict=True)):
-            one = {k: v[o[i] : o[i + 1]] for k, (v, o) in cols.items()}
-            again = one["long_again"].astype(bool)
-            found = places(one["at"], one["upto"], one["short"], one["short_again"].astype(bool), again, n, size)
-            # strings that begin in a phrase whose long prefix stands elsewhere too need comparing there only
-            told = np.repeat(again & ~one["long_first"].astype(bool), np.diff(np.r_[one["at"], n]))[: n - size + 1]
-            yield s, (*found, told)
+        s, n = b.column("s").to_numpy(), b.column("n").to_numpy().astype(np.int64)
+        group = np.cumsum(n) // BLOCK
+        for lo, hi in _groups(group):
+            t = {k: v[o[lo] : o[hi]] for k, (v, o) in cols.items()}
+            t["of"] = np.repeat(np.arange(hi - lo), np.diff(cols["at"][1])[lo:hi])
+            bounds = np.r_[0, np.cumsum(n[lo:hi])]
+            yield slice(lo, hi), s[lo:hi], bounds, places(t, bounds, size)
 
     def open_prefixes(batches):
-        for b in batches:
-            out = [np.unique(shared[open_]) for _, (_, open_, shared, _) in batches_of(b)]
-            yield pa.RecordBatch.from_pydict({"short": pa.array(np.unique(np.concatenate(out)), pa.int64())})
+        with common.lean():
+            for b in batches:
+                out = [np.unique(shared[open_]) for _, _, _, (_, _, open_, shared, _) in parts(b)]
+                if out:
+                    yield pa.RecordBatch.from_pydict({"short": pa.array(np.unique(np.concatenate(out)), pa.int64())})
 
     wanted = flags.mapInArrow(open_prefixes, "short long").distinct()
     # which phrases of a segment have such a prefix; 0 stands for places without one
     has = flags.select("s", F.explode(F.array_distinct(F.array_append("short", F.lit(0).cast("long")))).alias("short")).join(wanted, "short", "left_semi")
     has = has.groupBy("s").agg(F.collect_set("short").alias("wanted"))
-    todo = flags.join(cuts.select("s", "bytes"), "s").join(has, "s", "left")
+    todo = flags.join(strings.select("s", "bytes"), "s").join(has, "s")
 
     def compare(batches):
-        for b in batches:
-            data, off = common.buffers(b.column("bytes"))
-            want = b.column("wanted")
-            for i, (s, (_, open_, shared, told)) in enumerate(batches_of(b)):
-                w = want[i].values.to_numpy() if want[i].is_valid else np.zeros(0, np.int64)
-                p = np.flatnonzero(np.isin(shared, w) & ~told)
-                if len(p):
-                    h = span_hash(power_hashes(data[off[i] : off[i + 1]], 256), p, np.full(len(p), size))
-                    for lo in range(0, len(p), 1 << 15):
-                        q = p[lo : lo + (1 << 15)]
-                        yield pa.RecordBatch.from_pydict({"h": h[lo : lo + len(q)].view(np.int64), "short": shared[q], "s": np.full(len(q), s), "p": q.astype(np.int32), "open": open_[q]})
+        with common.lean():
+            for b in batches:
+                data, off = common.buffers(b.column("bytes"))
+                want, wo = flat(b.column("wanted"))
+                for some, s, bounds, (p, _, open_, shared, alone) in parts(b):
+                    at = np.flatnonzero(np.isin(shared, np.unique(want[wo[some.start] : wo[some.stop]])) & alone)
+                    if not len(at):
+                        continue
+                    v = eights(data[off[some.start] : off[some.stop]])
+                    h = span_hash(v, power_hashes(v, 256), p[at], np.full(len(at), size))
+                    of = np.searchsorted(bounds, p[at], "right") - 1
+                    t = pa.RecordBatch.from_pydict({"h": h.view(np.int64), "short": shared[at], "s": s[of], "p": (p[at] - bounds[of]).astype(np.int32), "open": open_[at]})
+                    for lo in range(0, t.num_rows, 1 << 15):
+                        yield t.slice(lo, 1 << 15)
 
     windows = common.written(todo.mapInArrow(compare, "h long, short long, s long, p int, open boolean"), "windows")
-    twice = windows.groupBy("h", "short").agg(F.count("*").alias("n"), F.max("open").alias("o")).filter("n > 1 and o").select("h", "short")
+    twice = common.written(windows.groupBy("h", "short").agg(F.count("*").alias("n"), F.max("open").alias("o")).filter("n > 1 and o").select("h", "short"), "twice")
     found = windows.filter("open").join(twice, ["h", "short"], "left_semi").groupBy("s").agg(F.collect_list("p").alias("found"))
     last = flags.join(found, "s", "left")
 
     def runs(batches):
-        for b in batches:
-            extra, out = b.column("found"), {"s": [], "lo": [], "hi": []}
-            for i, (s, (sure, _, _, _)) in enumerate(batches_of(b)):
-                if extra[i].is_valid:
-                    sure[extra[i].values.to_numpy()] = True
-                edge = np.diff(np.r_[0, sure.astype(np.int8), 0])
-                lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
-                out["s"] += [s] * len(lo)
-                out["lo"] += lo.tolist()
-                out["hi"] += hi.tolist()
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in out.items()})
+        with common.lean():
+            for b in batches:
+                extra = b.column("found")
+                for some, s, bounds, (p, sure, _, _, _) in parts(b):
+                    hit = np.zeros(int(bounds[-1]) + 1, bool)
+                    hit[p[sure]] = True
+                    for j, i in enumerate(range(some.start, some.stop)):
+                        if extra[i].is_valid:
+                            hit[bounds[j] + extra[i].values.to_numpy()] = True
+                    # a segment's last places begin no string, so runs never touch
+                    edge = np.diff(np.r_[0, hit.astype(np.int8)])
+                    lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+                    of = np.searchsorted(bounds, lo, "right") - 1
+                    yield pa.RecordBatch.from_pydict({"s": s[of], "lo": lo - bounds[of], "hi": hi - bounds[of]})
 
     done = common.written(last.mapInArrow(runs, "s long, lo long, hi long"), "runs")
-    common.free(strings, flags, windows)
+    common.free(flags, windows, twice)
     return done
 
 
+def _groups(g: np.ndarray) -> Iterator[tuple[int, int]]:
+    at = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True]) if len(g) else np.zeros(1, int)
+    yield from zip(at[:-1].tolist(), at[1:].tolist(), strict=True)
+
+
 def adjacent(rows: DataFrame) -> DataFrame:
     """(s, i, short_again, long_again, long_first) of suffix rows: whether the one before or after in suffix order has the same prefix hash.
 
-    long_first marks one suffix at least of those that share a long prefix: the first of a partition's.
+    long_first marks one suffix at least of those that share a long prefix: the first of a partition's. Written to the shared folder.
     """
-    from pyspark import TaskContext
-
     keys = ["k0", "k1", "k2", "long", "s", "i"]
+    cols = ("s", "i", "short", "long")
 
     def compare(batches):
-        t = list(batches)
-        if not t or not (t := pa.Table.from_batches(t).combine_chunks()).num_rows:
-            return
-        pid = np.full(t.num_rows, TaskContext.get().partitionId(), np.int32)
-        out = {k: t.column(k) for k in ("s", "i", "short", "long")}
-        for k in ("short", "long"):
-            v = t.column(k).to_numpy()
-            same = (v[1:] == v[:-1]) & (v[1:] != 0)
-            out[k + "_again"] = np.r_[False, same] | np.r_[same, False]
-            out[k + "_first"] = np.r_[True, ~same]
-        end = np.zeros(t.num_rows, np.int32)
-        end[0] += 1
-        end[-1] += 2
-        yield from pa.table(out | {"pid": pid, "end": end}).to_batches(max_chunksize=1 << 16)
+        """A batch at a time; its last row waits for the next one's first."""
+        pid, held, began = TaskContext.get().partitionId(), None, False
+
+        def rows_of(t, before, last):
+            """Of columns t (row 0 is the one held): all rows but the last, unless that is the partition's last."""
+            n = len(t["s"]) if last else len(t["s"]) - 1
+            out = {k: t[k][:n] for k in cols}
+            for k in ("short", "long"):
+                same = (t[k][1:] == t[k][:-1]) & (t[k][1:] != 0)
+                prev = np.r_[before[k], same]
+                out[k + "_again"] = (prev | np.r_[same, False])[:n]
+                out[k + "_first"] = ~prev[:n]
+            end = np.zeros(n, np.int32)
+            if not began:
+                end[:1] += 1
+            if last:
+                end[-1:] += 2
+            held = {k: t[k][-1:] for k in cols}, {k: bool(np.r_[before[k], (t[k][1:] == t[k][:-1]) & (t[k][1:] != 0)][-1]) for k in ("short", "long")}
+            return pa.RecordBatch.from_pydict(out | {"pid": np.full(n, pid, np.int32), "end": end}), held
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = {k: b.column(k).to_numpy() for k in cols}
+            before = {"short": False, "long": False}
+            if held is not None:
+                t, before = {k: np.r_[held[0][k], t[k]] for k in cols}, held[1]
+            out, held = rows_of(t, before, False)
+            if out.num_rows:
+                began = True
+                yield out
+        if held is not None:
+            yield rows_of(held[0], held[1], True)[0]
 
     done = common.written(rows.orderBy(*keys).mapInArrow(compare, "s long, i int, short long, long long, short_again boolean, short_first boolean, long_again boolean, long_first boolean, pid int, end int"), "order")
     # neighbours across partitions: two rows of each go to the driver
@@ -324,16 +481,18 @@ def adjacent(rows: DataFrame) -> DataFrame:
 
 
 def spans(docs: DataFrame, size: int = 400, text: str = "text") -> DataFrame:
-    """(key, spans): the bytes to remove of each text, as sorted (begin, end) that do not touch; texts without any are left out.
+    """(key, runs, n): the bytes to remove of each text, as (begin, end) in any order; texts without any are left out.
 
     key is the first half of the text's SHA-256 (null: of the empty text), so copies share a row; a text of size bytes or more that
-    occurs in two rows goes whole.
+    occurs in n > 1 rows goes whole.
     """
     assert size >= GRAM + 3 * WINDOW
     d = docs.select(_key(F.col(text)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
     cuts, many = segments(d, size)
-    found = repeats(cuts, size).join(cuts.select("s", "key", "begin"), "s")
-    found = found.groupBy("key").agg(F.collect_list(F.struct((F.col("begin") + F.col("lo")).alias("lo"), (F.col("begin") + F.col("hi") + size).alias("hi"))).alias("runs"))
+    found = repeats(cuts, size).join(cuts.filter("bytes is not null").select("s", "key", "begin"), "s")
+    found = found.select("key", (F.col("begin") + F.col("lo")).alias("lo"), (F.col("begin") + F.col("hi") + size).alias("hi"))
+    known = cuts.filter("bytes is null").select("key", F.col("begin").alias("lo"), (F.col("hi") + size).alias("hi"))
+    found = found.unionByName(known).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     return found.join(many, "key", "full")
 
 
@@ -370,6 +529,10 @@ def cut(docs: DataFrame, found: DataFrame, size: int = 400, text: str = "text",
 
 
 def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of `documents`.
+
+    Null and empty texts have no bytes; rows of one text of 400 bytes or more go whole, each of them, also where a doc_id is repeated.
+    """
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     out = cut(docs, spans(docs))
     return out.select("doc_id", "kept.n_bytes", "kept.n_removed", "kept.n_spans", F.sha2(F.col("kept.kept"), 256).alias("kept_sha256"))

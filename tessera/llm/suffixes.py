@@ -43,27 +43,46 @@ def sorted_groups(rows: DataFrame, keys: list[str], name: str, payload: tuple[st
     cols = [*keys, *(["kind"] if has_kind else []), *payload]
     types = dict(rows.dtypes)
 
+    names = ["g", "z", "e", "pid", "end"]
+
     def number(batches):
-        batches = list(batches)
-        if not sum(b.num_rows for b in batches):
-            return
-        t = pa.Table.from_batches(batches).combine_chunks()
-        k = [t.column(c).to_numpy() for c in keys]
-        new = np.ones(t.num_rows, bool)
-        new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in k])
-        g = np.cumsum(new)
-        kind = t.column("kind").to_numpy() if has_kind else np.ones(t.num_rows, np.int32)
-        zero = (kind == 0)[new]
-        z = np.maximum.accumulate(np.where(kind == 0, t.column(carry).to_numpy(), 0)) if carry else np.cumsum(zero)[g - 1]
-        pid = np.full(len(g), TaskContext.get().partitionId(), np.int32)
-        out = t.append_column("g", pa.array(g, pa.int64())).append_column("z", pa.array(z, pa.int64())).append_column("e", pa.array(1 - zero[g - 1].astype(np.int32))).append_column("pid", pa.array(pid))
-        yield from out.to_batches(max_chunksize=1 << 16)
-
-    done = written(rows.select(*cols).orderBy(*cols).mapInArrow(number, ", ".join(f"{c} {types[c]}" for c in cols) + ", g long, z long, e int, pid int"), name)
-    place = F.struct("g", *cols)
-    ends = done.groupBy("pid").agg(F.min_by(F.struct(*keys, "e"), place).alias("a"), F.max_by(F.struct(*keys, "e", "g"), place).alias("b"), F.max("z").alias("z"))
+        """A batch at a time; only the last row's key and counts are carried to the next."""
+        pid, held, last, g, z, zero = TaskContext.get().partitionId(), None, None, 0, 0, False
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k = [b.column(c).to_numpy() for c in keys]
+            new = np.ones(b.num_rows, bool)
+            new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in k])
+            new[0] = last is None or any(x[0] != y for x, y in zip(k, last, strict=True))
+            kind = b.column("kind").to_numpy() if has_kind else np.ones(b.num_rows, np.int32)
+            group = np.cumsum(new)
+            zeros = np.r_[zero, (kind == 0)[new]]
+            if carry:
+                zs = np.maximum.accumulate(np.r_[z, np.where(kind == 0, b.column(carry).to_numpy(), 0)])[1:]
+            else:
+                zs = z + np.cumsum((kind == 0) & new)
+            end = np.zeros(b.num_rows, np.int32)
+            end[0] = last is None
+            if held is not None:
+                yield held
+            held = pa.RecordBatch.from_arrays([*b.columns, pa.array(g + group), pa.array(zs.astype(np.int64)), pa.array(1 - zeros[group].astype(np.int32)), pa.array(np.full(b.num_rows, pid, np.int32)), pa.array(end)], [*b.schema.names, *names])
+            last, g, z, zero = [x[-1] for x in k], int(g + group[-1]), int(zs[-1]), bool(zeros[-1])
+        if held is not None:
+            end[-1] += 2
+            yield held.set_column(held.num_columns - 1, "end", pa.array(end))
+
+    done = written(rows.select(*cols).orderBy(*cols).mapInArrow(number, ", ".join(f"{c} {types[c]}" for c in cols) + ", g long, z long, e int, pid int, end int"), name)
+    # the first and the last row of each partition go to the driver
+    ends: dict[int, dict] = {}
+    for r in done.filter("end > 0").collect():
+        of = ends.setdefault(r["pid"], {"pid": r["pid"]})
+        if r["end"] & 1:
+            of["a"] = r
+        if r["end"] & 2:
+            of |= {"b": r, "z": r["z"]}
     add, g, z, last, last_e = [], 0, 0, None, 1
-    for r in sorted(ends.collect(), key=lambda r: r["pid"]):
+    for r in sorted(ends.values(), key=lambda r: r["pid"]):
         same = tuple(r["a"][k] for k in keys) == last
         dz = int(same and last_e == 0 and r["a"]["e"] == 0)  # its group was counted in the partition before
         add.append((r["pid"], g - int(same), z - dz, same and last_e == 0))
