@@ -93,6 +93,24 @@ def test_policy_precedence(spark):
     assert policy.name_tag("full_name") == "INFERRED:NAME" and policy.name_tag("Phone No") == "INFERRED:PHONE" and policy.name_tag("amount") is None
 
 
+@pytest.mark.parametrize(
+    "tag, names",
+    [
+        ("NAME", "name names first_name surname sur_name given_names Middle-Name"), ("EMAIL", "email e_mail home_email mail_address"), ("PHONE", "phone mobile_1 telephone tel msisdn contact_no"),
+        ("NATIONAL_ID", "national_id nric fin_no ic_no passport_no ssn social_security tax_id uen"), ("ADDRESS", "street address_line1 home_address mailing_address addr"), ("USERNAME", "username login"),
+        ("BANK_ACCOUNT", "iban swift bank_account_no account_number acct_no primary_account_number"), ("CARD_NUMBER", "card_number card_no cardno"), ("CARD_SECURITY_CODE", "cvv cvc csc security_code"),
+    ],
+)
+def test_names_that_give_a_column_away(tag, names):
+    assert {policy.name_tag(n) for n in names.split()} == {f"INFERRED:{tag}"}
+
+
+def test_names_that_do_not():
+    assert not any(map(policy.name_tag, ["amount", "renames", "balance", "segment", "created_at", "o_orderkey", "date_of_birth", "income"]))
+    styles = {n: scalar.placeholder_style(n) for n in ("contact", "contact_name", "work_mail", "national_ref", "addr2", "passport", "qty")}
+    assert styles == {"contact": "phone", "contact_name": "phone", "work_mail": "email", "national_ref": "national_id", "addr2": "address", "passport": "national_id", "qty": "token"}
+
+
 def test_generalise(spark):
     d = spark.createDataFrame([(float(i), f"2020-01-{1 + i:02d}", "x") for i in range(20)] + [(None, None, None)], "n double, d string, c string")
     got = policy.generalise(d, ["n", "d", "c"]).collect()
