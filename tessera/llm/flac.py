@@ -384,13 +384,46 @@ def to_media(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     return common.map_rows(d, rows, f"doc_id {dict(d.dtypes)['doc_id']}, n_bytes long, media binary")
 
 
+def blocks_of(payload: bytes) -> list[tuple[int, bytes]]:
+    """The PCM blocks between seek points: the number of the first sample, and the samples."""
+    step = SEEK_EVERY * BLOCK
+    return [(at, payload[at : at + step]) for at in range(0, len(payload), step)]
+
+
+def pcm_blocks(media: DataFrame) -> DataFrame:
+    """(doc_id, block, first_sample, pcm) of a table of to_media: PCM blocks that can be sought by their sample offsets.
+
+    A row without media has no blocks; equal rows give their blocks again.
+    """
+
+    def rows(c):
+        has = [i for i, m in enumerate(c["media"]) if m.is_valid]
+        if not has:
+            return None
+        each = [blocks_of(p) for p in decode([c["media"][i].as_py() for i in has])]
+        of = pa.array([i for i, b in zip(has, each, strict=True) for _ in b], pa.int64())
+        return common.batch(
+            doc_id=c["doc_id"].take(of),
+            block=pa.array([k for b in each for k in range(len(b))], pa.int64()),
+            first_sample=pa.array([at for b in each for at, _ in b], pa.int64()),
+            pcm=pa.array([p for b in each for _, p in b], pa.binary()),
+        )
+
+    return common.map_rows(media, rows, f"doc_id {dict(media.dtypes)['doc_id']}, block long, first_sample long, pcm binary")
+
+
 def from_media(media: DataFrame) -> DataFrame:
-    """Decode a table of to_media: digests and features of what the stored bytes hold."""
+    """Decode a table of to_media to its PCM blocks: digests and features of what the stored bytes hold."""
 
     def rows(c):
         stored = [m.as_py() for m in c["media"]]
-        back = decode(stored)
-        digest = [hashlib.sha256(p).hexdigest() for p in back]
+        back, digest = [], []
+        for blocks in map(blocks_of, decode(stored)):
+            sha = hashlib.sha256()
+            for _, pcm in blocks:
+                sha.update(pcm)
+            digest.append(sha.hexdigest())
+            back.append(b"".join(pcm for _, pcm in blocks))
         return common.batch(
             doc_id=c["doc_id"],
             n_bytes=c["n_bytes"],
@@ -406,4 +439,9 @@ def from_media(media: DataFrame) -> DataFrame:
 
 
 def op5_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_media(to_media(common.table(spark, sf_dir, "documents")))
+    """(doc_id, n_bytes, payload and media digests, feature) of every row of `documents`, by way of a stored table of media.
+
+    Null and empty texts are one frame of spaces; equal texts have equal media, and repeated rows are given again.
+    """
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return from_media(common.written(to_media(docs), "media"))
