@@ -46,8 +46,8 @@ def grams(host: str, path: str) -> np.ndarray:
     """Buckets of the character 2- to 4-grams of host and path, each marked with its part."""
     out = []
     for mark, text in (("h", host), ("p", path)):
-        t = ("^" + text + "$").encode("utf-8", "surrogatepass")
-        out += [zlib.crc32(t[i : i + n], n if mark == "h" else n + 16) & ((1 << BITS) - 1) for n in (2, 3, 4) for i in range(len(t) - n + 1)]
+        t = "^" + text + "$"
+        out += [zlib.crc32(t[i : i + n].encode("utf-8", "surrogatepass"), n if mark == "h" else n + 16) & ((1 << BITS) - 1) for n in (2, 3, 4) for i in range(len(t) - n + 1)]
     return np.unique(np.array(out, np.int64))
 
 
@@ -107,5 +107,10 @@ def judge(pages: DataFrame, model: Logistic, threshold: float = 0.5, rules=RULES
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, host, path, rule, verdict, score) of every row of `pages`.
+
+    A null url, or one without ://, has empty host and path and no rule; repeated rows are given again. Without labelled URLs of both
+    verdicts the model gives all it judges one verdict.
+    """
     pages = common.table(spark, sf_dir, "pages").select("page_id", "url")
     return judge(pages, fit(labelled(pages))).select("page_id", "host", "path", "rule", "verdict", "score")
