@@ -14,6 +14,10 @@ from tessera.types import CATEGORICAL, DATETIME, NON_STD, NUMERICAL, OTHER, TIME
 NULL_CODE = -1.0
 
 
+#: Values of a column that its spec lists (more are a table), and formats of an identifier that decoding tells apart.
+LISTED, FORMATS = 1000, 8
+
+
 def fit(df: DataFrame, overrides: dict[str, str] | None = None, domain: dict[str, dict] | None = None, styles: dict[str, str] | None = None, most_categories: int = 50, find_mirrors: bool = True) -> list[ColumnSpec]:
     """Specs of all columns: kinds, categories (T3), bounds (T4, declared ones win), grids (T5), decimals (T6), mirrors.
 
@@ -36,15 +40,20 @@ def fit(df: DataFrame, overrides: dict[str, str] | None = None, domain: dict[str
     grids = {g["column_name"]: g["granularity"] for g in granularity(df, dates).collect()} if dates else {}
     cats = [c for c, k in kinds.items() if k == CATEGORICAL]
     values: dict[str, list[tuple[str, int]]] = {c: [] for c in cats}
+    long: dict[str, tuple[str, int]] = {}
     if cats:
         pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").cast("string").alias("v")) for c in cats]))
         counted = df.select(pairs.alias("x")).select("x.*").filter("v is not null").groupBy("c", "v").agg(F.count("*").alias("n"))
         from pyspark.sql import Window
 
+        counted = counted.persist()
         top = counted.withColumn("k", F.row_number().over(Window.partitionBy("c").orderBy(F.desc("n"), "v")))
-        # the tail is kept in full up to a documented bound, since decoding draws from it
-        for row in top.filter(F.col("k") <= 1000).orderBy("c", "k").collect():
+        for row in top.filter(F.col("k") <= LISTED).orderBy("c", "k").collect():
             values[row["c"]].append((row["v"], row["n"]))
+        # a longer tail is a table of its own, since decoding draws from all of it
+        for c in [r["c"] for r in counted.groupBy("c").count().filter(F.col("count") > LISTED).collect()]:
+            long[c] = _tail_table(counted.filter(F.col("c") == c), most_categories - 1)
+        counted.unpersist()
     same = mirrors(df) if find_mirrors else {}
     for f in df.schema.fields:
         c, k, d = f.name, kinds[f.name], domain.get(f.name, {})
@@ -52,8 +61,15 @@ def fit(df: DataFrame, overrides: dict[str, str] | None = None, domain: dict[str
         if k == CATEGORICAL:
             v = [x for x, _ in values[c]]
             s.categories, s.tail = (v, []) if len(v) <= most_categories else ([*v[: most_categories - 1], OTHER], v[most_categories - 1 :])
+            if c in long:
+                s.tail, (s.tail_table, s.tail_size) = [], long[c]
             if d.get("force_categories"):
+                s.tail_table, s.tail_size = None, 0
                 s.categories, s.tail, s.domain_source = [str(x) for x in d["force_categories"]], [], "declared"
+        elif k == NON_STD and s.style == "token" and s.dtype == "string":
+            from tessera.operators.masks import likeliest
+
+            s.style, s.masks = "mask", likeliest(df, c, FORMATS)
         elif c in numeric:
             lo, hi = d.get("min_val", r[f"{c}__lo"]), d.get("max_val", r[f"{c}__hi"])
             s.domain_source = "declared" if "min_val" in d or "max_val" in d else "data"
@@ -69,6 +85,20 @@ def fit(df: DataFrame, overrides: dict[str, str] | None = None, domain: dict[str
     return specs
 
 
+def _tail_table(counted: DataFrame, skip: int) -> tuple[str, int]:
+    """The values (k from 0, v) of a column beyond the most frequent ones, written to the shared folder; where it is and how many it has."""
+    import uuid
+
+    from tessera.operators.joins import dense_index
+    from tessera.sources.tables import shared_dir
+
+    spark = counted.sparkSession
+    path = f"{shared_dir(spark)}/tail-{uuid.uuid4().hex}"
+    ranked = dense_index(counted.select("v", (-F.col("n")).alias("less")), ["less", "v"], "i").filter(F.col("i") >= skip)
+    ranked.select((F.col("i") - skip).cast("long").alias("k"), "v").write.parquet(path)
+    return path, spark.read.parquet(path).count()
+
+
 def code(c: Column, categories: list[str]) -> Column:
     """Place of a value in the dictionary; -1 for null; unknown values as __other__ if it has one, else -1."""
     if not categories:
@@ -97,6 +127,8 @@ def decode_category(c: Column, s: ColumnSpec, u: Column) -> Column:
     if not s.categories:
         return F.lit(None).cast("string")
     v = F.try_element_at(F.array(*[F.lit(x) for x in s.categories]), (F.when((c >= 0) & (c < len(s.categories)), c).cast("int") + 1))
+    if s.tail_table:
+        return F.when(v == OTHER, F.col(f"`_tail_{s.name}`")).otherwise(v)
     if not s.tail:
         return F.when(v != OTHER, v)
     other = F.element_at(F.array(*[F.lit(x) for x in s.tail]), (F.floor(u * len(s.tail)) + 1).cast("int"))
@@ -121,15 +153,24 @@ def inverse_transform(df: DataFrame, specs: list[ColumnSpec], rid: str, seed: in
     Surrogates are keyed by namespace, column and row, so tables and runs do not share them (Q8).
     """
     out: dict[str, Column] = {}
+    for s in (s for s in specs if s.tail_table):
+        drawn = F.floor(uniform(seed, f"{namespace}:{s.name}:tail", F.col(rid)) * s.tail_size).cast("long")
+        other = df.sparkSession.read.parquet(s.tail_table).select(F.col("k").alias(f"_k_{s.name}"), F.col("v").alias(f"_tail_{s.name}"))
+        df = df.join(other, F.when(F.col(f"`{s.name}`") == s.categories.index(OTHER), drawn) == F.col(f"`_k_{s.name}`"), "left")
     for s in specs:
         c = F.col(f"`{s.name}`")
         if s.kind == CATEGORICAL:
             v = decode_category(c, s, uniform(seed, f"{namespace}:{s.name}:tail", F.col(rid)))
             out[s.name] = v.try_cast(s.dtype) if s.dtype not in ("string",) else v
         elif s.kind == NON_STD:
-            v = placeholder(s.style, f"{seed}:{namespace}", s.name, F.col(rid))
+            if s.masks:
+                from tessera.operators.masks import value
+
+                v = value(s.masks, f"{seed}:{namespace}", s.name, F.col(rid))
+            else:
+                v = placeholder(s.style, f"{seed}:{namespace}", s.name, F.col(rid))
             if s.dtype in ("bigint", "int"):
-                v = F.pmod(F.xxhash64(F.lit(f"{seed}:{namespace}:{s.name}"), F.col(rid)), F.lit(2**31 - 1 if s.dtype == "int" else 10**12)).cast(s.dtype)
+                v = F.pmod(F.xxhash64(F.lit(f"{seed}:{namespace}:{s.name}"), F.col(rid)), F.lit(2**31 - 1 if s.dtype == "int" else 10**18)).cast(s.dtype)
             u = uniform(seed, f"{namespace}:{s.name}:null", F.col(rid))
             out[s.name] = F.when(u >= s.null_ratio, v)
         elif s.kind == TIMEDELTA:

@@ -7,15 +7,18 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.profile import as_number, is_date, is_numeric
 from tessera.functions.rng import uniform
+from tessera.operators.joins import running_total
+from tessera.operators.profile import as_number, is_date, is_numeric
+
+LEAST_ROWS = 100  # of a table that is evaluated
 
 
-def targets(df: DataFrame, most: int = 4) -> list[tuple[str, str]]:
-    """(column, classification or regression): 2 to 20 classes none above 98 %, or numbers of more than 50 values."""
+def targets(df: DataFrame, most: int | None = 4) -> list[tuple[str, str]]:
+    """(column, classification or regression): 2 to 20 classes none above 98 %, or numbers of more than 50 values; `most` None: all."""
     r = df.agg(F.count("*").alias("n"), *[F.count_distinct(c).alias(c) for c in df.columns]).first().asDict()
     out = []
     for f in df.schema.fields:
@@ -48,8 +51,7 @@ def auc(scored: DataFrame, score: str, label: str, weight: str | None = None) ->
     """Area under the curve by average ranks of distinct scores: counts (or weights) by score first, then running totals."""
     n = F.col(weight).cast("double") if weight else F.lit(1.0)
     g = scored.groupBy(F.round(score, 9).alias("s")).agg(F.sum(n * F.col(label)).alias("p"), F.sum(n * (1 - F.col(label))).alias("q"))
-    w = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    r = g.withColumn("below", F.coalesce(F.sum("q").over(w), F.lit(0.0))).agg(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)).alias("u"), F.sum("p").alias("p"), F.sum("q").alias("q")).first()
+    r = running_total(g, "s", "q", "below").agg(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)).alias("u"), F.sum("p").alias("p"), F.sum("q").alias("q")).first()
     return float(r["u"] / (r["p"] * r["q"])) if r["p"] and r["q"] else 0.5
 
 
@@ -68,6 +70,8 @@ def tstr(spark: SparkSession, synth: DataFrame, train: DataFrame, test: DataFram
     rows = []
     for target, task in targets(train.select(*use)):
         cols = [c for c in use if c != target]
+        if not cols:
+            continue
         scores = []
         if task == "classification":
             classes = [r[0] for r in train.filter(F.col(target).isNotNull()).select(F.col(target).cast("string")).distinct().orderBy(target).collect()]
@@ -95,6 +99,30 @@ def tstr(spark: SparkSession, synth: DataFrame, train: DataFrame, test: DataFram
     return spark.createDataFrame(rows, "target string, task string, real_score double, synth_score double, ratio double")
 
 
+def evaluate_tables(spark: SparkSession, train: dict[str, DataFrame], test: dict[str, DataFrame], synth: dict[str, DataFrame], protected: dict[str, set[str]] | None = None, trees: int = 60) -> DataFrame:
+    """(table_name, measure, target, value) of every table that all three sides have: the utility ratio of each target, the detection
+    AUC, and their means over all tables (table_name null). Protected columns and those that are unique are left out; a table of fewer
+    than LEAST_ROWS rows gives one row `skipped`.
+    """
+    rows: list[tuple] = []
+    for t in [t for t in train if t in test and t in synth]:
+        n = {c: r for c, r in train[t].agg(F.count("*").alias("_n"), *[F.count_distinct(c).alias(c) for c in train[t].columns]).first().asDict().items()}
+        total = n.pop("_n")
+        if min(total, synth[t].count()) < LEAST_ROWS:
+            rows.append((t, "skipped", None, float(total)))
+            continue
+        out = set((protected or {}).get(t, set())) | {c for c, u in n.items() if u == total}
+        cols = [c for c in train[t].columns if c not in out and c in synth[t].columns]
+        rows += [(t, "utility_ratio", r["target"], r["ratio"]) for r in tstr(spark, synth[t], train[t], test[t], out, trees).collect()]
+        if cols:
+            a, _, _ = detection(test[t], synth[t], cols, trees=trees)
+            rows.append((t, "detection_auc", None, a))
+    for measure in ("utility_ratio", "detection_auc"):
+        if got := [r[3] for r in rows if r[1] == measure]:
+            rows.append((None, f"mean_{measure}", None, sum(got) / len(got)))
+    return spark.createDataFrame(rows, "table_name string, measure string, target string, value double")
+
+
 def detection(real: DataFrame, synth: DataFrame, columns: list[str], most: int = 20_000, trees: int = 80, seed: int = 0) -> tuple[float, float, list[tuple[str, float]]]:
     """AUC of a forest that tells real rows from synthetic ones, how alike they are, and the five columns that give them away.
 

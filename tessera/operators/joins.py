@@ -116,22 +116,40 @@ def hash_sample(df: DataFrame, n: int, seed: int, *ids: str) -> DataFrame:
     return df.orderBy(order_key(seed, "sample", *[F.col(i) for i in ids]), *ids).limit(n)
 
 
+def running_total(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """The sum of a value over the rows of smaller key (keys are distinct): range-sorted parts, their sums added up and joined back."""
+    parts = df.orderBy(key).withColumn("_pid", F.spark_partition_id()).persist()
+    sums = sorted((r["_pid"], r["s"]) for r in parts.groupBy("_pid").agg(F.sum(value).alias("s")).collect())
+    start, rows = 0.0, []
+    for pid, s in sums:
+        rows.append((pid, start))
+        start += float(s or 0)
+    w = Window.partitionBy("_pid").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = df.sparkSession.createDataFrame(rows, "_pid int, _off double")
+    return parts.join(F.broadcast(offsets), "_pid").withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0.0)) + F.col("_off")).drop("_pid", "_off")
+
+
 def stratified_split(df: DataFrame, label: str, fraction: float, seed: int, *ids: str) -> DataFrame:
-    """A column `part`, train or test, with the fraction of each label in train."""
-    u = uniform(seed, "split", *[F.col(i) for i in ids])
-    rank = F.percent_rank().over(Window.partitionBy(label).orderBy(u, *ids))
-    return df.withColumn("part", F.when(rank < fraction, "train").otherwise("test"))
+    """A column `part`, train or test, with the fraction of each label in train.
+
+    A row's rank within its label is its dense index less its label's first, so that a frequent label is not one task.
+    """
+    drawn = df.withColumn("_u", uniform(seed, "split", *[F.col(i) for i in ids]))
+    ranked = dense_index(drawn, [label, "_u", *ids], "_i")
+    first = ranked.groupBy(F.col(label).alias("_l")).agg(F.min("_i").alias("_first"), F.count("*").alias("_n"))
+    both = ranked.join(first, F.col(label).eqNullSafe(F.col("_l")))
+    rank = F.when(F.col("_n") > 1, (F.col("_i") - F.col("_first")) / (F.col("_n") - 1)).otherwise(0.0)
+    return both.withColumn("part", F.when(rank < fraction, "train").otherwise("test")).select(*df.columns, "part")
 
 
 def bootstrap(df: DataFrame, columns: list[str], seed: int, rid: str) -> DataFrame:
     """Every column resampled on its own with replacement: a row for each row, columns independent of each other."""
-    base = dense_index(df.select(rid, *columns), [rid], "_i").persist()
-    n = base.count()
-    out = base.select(F.col("_i").alias("_row"))
-    for c in columns:
-        pickd = base.select(F.col("_i").alias("_row"), F.floor(uniform(seed, f"boot:{c}", F.col("_i")) * n).alias("_j"))
-        out = out.join(pickd.join(base.select(F.col("_i").alias("_j"), c), "_j").select("_row", c), "_row")
-    return out.drop("_row")
+    base = dense_index(df.select(rid, *columns), [rid], "_i")
+    n = df.count()
+    # one join: a row asks for a (column, index) pair for each column, and the values come back together
+    asked = base.select(F.col("_i").alias("_row"), F.explode(F.array(*[F.struct(F.lit(k).alias("_c"), F.floor(uniform(seed, f"boot:{c}", F.col("_i")) * n).alias("_j")) for k, c in enumerate(columns)])).alias("_x"))
+    got = asked.select("_row", "_x._c", "_x._j").join(base.select(F.col("_i").alias("_j"), *columns), "_j")
+    return got.groupBy("_row").agg(*[F.max_by(c, (F.col("_c") == k).cast("int")).alias(c) for k, c in enumerate(columns)]).drop("_row")
 
 
 def sort_series(df: DataFrame, keys: list[str], sortby: list[str]) -> DataFrame:

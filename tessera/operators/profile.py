@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,8 +88,10 @@ def infer_kinds(df: DataFrame, overrides: dict[str, str] | None = None, **limits
 
 def categories(df: DataFrame, column: str, most: int = 50) -> DataFrame:
     """(value, n, rank, category): values by frequency (ties: value); all if at most `most`, else the others count as __other__."""
+    from tessera.operators.joins import dense_index
+
     n = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n"))
-    ranked = n.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "value")))
+    ranked = dense_index(n.withColumn("_less", -F.col("n")), ["_less", "value"], "_i").withColumn("rank", (F.col("_i") + 1).cast("int")).drop("_i", "_less")
     total = n.agg(F.count("*").alias("total"))
     keep = F.when(F.col("total") <= most, F.col("rank") <= most).otherwise(F.col("rank") < most)
     return ranked.crossJoin(F.broadcast(total)).withColumn("category", F.when(keep, F.col("value")).otherwise(F.lit(OTHER))).drop("total")

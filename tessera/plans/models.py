@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import rng
-from tessera.operators import arf, dp, encode, evaluate, joins, relational, spn
+from tessera.operators import arf, autoconfigure, dp, encode, evaluate, joins, relational, spn
 from tessera.operators.keys import infer_schema
 from tessera.plans import pipeline
 from tessera.plans.registry import query
@@ -229,13 +229,42 @@ def integrity_of_generation(spark: S, d: str) -> DataFrame:
     return check_integrity(spark, real, synth, _specs())
 
 
+def _thirds(spark: S, d: str) -> list[DataFrame]:
+    """Line items in three parts by a hash of order and line: synthetic stand-in, training and test rows."""
+    li = load(spark, d, "lineitem")
+    u = rng.uniform(4, "tstr", F.col("order_id"), F.col("linenumber"))
+    li = li.select("order_id", "quantity", "extendedprice", "returnflag", "linestatus", "ship_date")
+    return [li.filter(u < 1 / 3), li.filter((u >= 1 / 3) & (u < 2 / 3)), li.filter(u >= 2 / 3)]
+
+
 @query("tstr")
 def tstr(spark: S, d: str) -> DataFrame:
-    """V16 with one half of the orders standing for synthetic rows."""
-    o = load(spark, d, "orders").drop("customer_id")
-    u = rng.uniform(4, "tstr", F.col("order_id"))
-    parts = [o.filter(u < 1 / 3), o.filter((u >= 1 / 3) & (u < 2 / 3)), o.filter(u >= 2 / 3)]
-    return evaluate.tstr(spark, *parts, keys={"order_id"}, trees=20)
+    """V16 with a third of the line items standing for synthetic rows; quantities predict prices."""
+    return evaluate.tstr(spark, *_thirds(spark, d), keys={"order_id"}, trees=10)
+
+
+@query("evaluate_tables")
+def evaluate_tables(spark: S, d: str) -> DataFrame:
+    """V18 over line items in thirds and orders resampled column by column."""
+    fake, train, test = _thirds(spark, d)
+    o = load(spark, d, "orders").select("order_id", "status", "totalprice")
+    u = rng.uniform(5, "tstr", F.col("order_id"))
+    boot = joins.bootstrap(o, ["status", "totalprice"], 3, "order_id")
+    return evaluate.evaluate_tables(spark, {"lineitem": train, "orders": o.filter(u < 0.5)}, {"lineitem": test, "orders": o.filter(u >= 0.5)}, {"lineitem": fake, "orders": boot}, {"lineitem": {"order_id"}}, trees=10)
+
+
+@query("engine_compare")
+def engine_compare(spark: S, d: str) -> DataFrame:
+    """V19 on customers: utility and detection of each engine on the same rows."""
+    c = load(spark, d, "customer").select("customer_id", "nation_id", "acctbal", "mktsegment")
+    return pipeline.compare_engines(spark, c, "customer_id", ["SPN", "ARF"], trees=10).drop("seconds")
+
+
+@query("autoconfigure")
+def autoconfigured(spark: S, d: str) -> DataFrame:
+    """T21 over customers, orders and suppliers."""
+    specs, _ = autoconfigure.autoconfigure(spark, {t: load(spark, d, t) for t in ("nation", "customer", "orders", "supplier")})
+    return autoconfigure.as_rows(spark, specs)
 
 
 @query("detection")

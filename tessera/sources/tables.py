@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Reader options that a configuration may name, and Spark's own names.
@@ -20,6 +21,17 @@ def csv_options(config: dict) -> dict[str, str]:
     return out
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share; a temporary folder only where it is unset and all is one process."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: executors and driver need a folder that they share")
+        at = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
@@ -48,20 +60,46 @@ def load_tables(spark: SparkSession, folder: str, names: list[str], options: dic
 
 
 def write_tables(tables: dict[str, DataFrame], folder: str, kind: str = "parquet") -> list[dict]:
-    """IO4: each table as a folder of Parquet or CSV parts, and a manifest of rows and columns."""
+    """IO4: each table as a folder of Parquet or CSV parts, and a manifest of rows, columns and bytes. Rows are counted as they are written."""
     out = []
     for name, df in tables.items():
         path = f"{folder}/{name}.{kind}"
-        w = df.write.mode("overwrite")
+        seen = Observation(f"rows of {name}")
+        w = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
         w.option("header", "true").csv(path) if kind == "csv" else w.parquet(path)
-        back = df.sparkSession.read.option("header", "true").format(kind).load(path)
-        out.append({"table": name, "path": path, "rows": back.count(), "columns": len(df.columns)})
+        out.append({"table": name, "path": path, "rows": seen.get["rows"], "columns": len(df.columns), "bytes": size_of(df.sparkSession, path)})
     return out
 
 
-def export_one(df: DataFrame, path: str) -> None:
-    """IO5: a single CSV part, for tables meant to be downloaded."""
-    df.coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a path."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
+def export_one(df: DataFrame, path: str) -> int:
+    """IO5: one CSV file with a header, for tables meant to be downloaded; returns its bytes.
+
+    All tasks write parts without a header, and the file system appends them to one file, in order of their names.
+    """
+    spark = df.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    parts = path + ".parts"
+    df.write.mode("overwrite").option("header", "false").csv(parts)
+    folder, target = hadoop.fs.Path(parts), hadoop.fs.Path(path)
+    fs = folder.getFileSystem(conf)
+    out = fs.create(target, True)
+    try:
+        out.write(bytearray((",".join('"' + c.replace('"', '""') + '"' for c in df.columns) + "\n").encode()))
+        for f in sorted(str(s.getPath().getName()) for s in fs.listStatus(folder) if str(s.getPath().getName()).startswith("part-")):
+            part = fs.open(hadoop.fs.Path(folder, f))
+            hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+            part.close()
+    finally:
+        out.close()
+    fs.delete(folder, True)
+    return size_of(spark, path)
 
 
 def preview(df: DataFrame, limit: int, *order: str) -> DataFrame:

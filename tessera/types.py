@@ -57,6 +57,8 @@ class ColumnSpec:
     dtype: str = "string"
     categories: list = field(default_factory=list)
     tail: list = field(default_factory=list)
+    tail_table: str | None = None  # a table (k, v) of the tail, where it is too long for a list
+    tail_size: int = 0
     null_ratio: float = 0.0
     low: float = 0.0
     high: float = 1.0
@@ -69,6 +71,7 @@ class ColumnSpec:
     domain_source: str = "data"
     mirror_of: str | None = None
     style: str = "token"
+    masks: list = field(default_factory=list)
 
     def to_json(self) -> dict:
         return asdict(self)
