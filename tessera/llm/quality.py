@@ -1,8 +1,8 @@
 """Quality rules with tokeniser fertility.
 
-A public vocabulary with byte fallback measures each whole text: characters per token, tokens per word, the share of tokens that are single bytes, and
-the entropy of the tokens. Each script has a band for each; a text outside its script's bands is rejected, as is one that fails the
-base rules on length and repetition.
+Public vocabularies measure each whole text. One with byte fallback gives characters per token, tokens per word, the share of tokens
+that are single bytes, and the entropy of the tokens; one over bytes, for many languages, gives characters per token once more. Each
+script has a band for each; a text outside its script's bands is rejected, as is one that fails the base rules on length and repetition.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from tessera.llm import common
 from tessera.llm.words import WordIds
 
-VOCABULARY = "piece_bpe_32k.model"
+VOCABULARY, MULTI = "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"
 SYMBOLS = "#*$%&|<>"
+LONG = 1000  # characters of a word that the vocabulary over bytes takes at once
 
 
 @dataclass(frozen=True)
@@ -31,26 +32,29 @@ class Band:
     most_bytes: float
     least_entropy: float
     most_fertility: float  # tokens a word
+    least_chars_multi: float  # characters a token of the vocabulary over bytes
     long: int = 100
 
 
 #: By script; `none` for texts without letters, `other` for the rest. From what the vocabulary gives ordinary prose, with wide margins.
-#: The vocabulary knows no letters of most scripts in `other`, so there byte share says nothing and characters a token little.
+#: The first vocabulary knows no letters of most scripts in `other`, so there byte share says nothing and characters a token little.
+#: The second gives prose 1.5 characters a token or more in Latin letters, 1.8 in Cyrillic, 1.3 in Greek and Arabic, 0.7 in Chinese
+#: and Armenian and 0.4 in Georgian, signs 1.05 and code points of no language a third: the bands are about two thirds of prose's.
 BANDS = {
-    "latin": Band(1.2, 9.0, 0.25, 3.0, 3.4),
-    "cyrillic": Band(0.9, 8.0, 0.25, 3.0, 7.0),
-    "greek": Band(0.5, 6.0, 0.6, 3.0, 14.0),
-    "cjk": Band(0.3, 3.0, 0.9, 3.0, 500.0),
-    "arabic": Band(0.65, 6.0, 0.25, 3.0, 8.5),
-    "hebrew": Band(0.6, 6.0, 0.25, 3.0, 10.0),
-    "thai": Band(0.75, 6.0, 0.25, 3.0, 500.0),
-    "devanagari": Band(0.6, 6.0, 0.35, 3.0, 9.0),
-    "bengali": Band(0.6, 6.0, 0.4, 3.0, 12.0),
-    "tamil": Band(0.65, 6.0, 0.35, 3.0, 24.0),
-    "armenian": Band(0.65, 6.0, 0.4, 3.0, 14.0),
-    "georgian": Band(0.7, 6.0, 0.3, 3.0, 15.0),
-    "none": Band(1.2, 9.0, 0.25, 3.0, 3.4),
-    "other": Band(0.28, 9.0, 1.0, 3.0, 60.0),
+    "latin": Band(1.2, 9.0, 0.25, 3.0, 3.4, 1.2),
+    "cyrillic": Band(0.9, 8.0, 0.25, 3.0, 7.0, 1.0),
+    "greek": Band(0.5, 6.0, 0.6, 3.0, 14.0, 0.7),
+    "cjk": Band(0.3, 3.0, 0.9, 3.0, 500.0, 0.4),
+    "arabic": Band(0.65, 6.0, 0.25, 3.0, 8.5, 0.7),
+    "hebrew": Band(0.6, 6.0, 0.25, 3.0, 10.0, 0.6),
+    "thai": Band(0.75, 6.0, 0.25, 3.0, 500.0, 0.6),
+    "devanagari": Band(0.6, 6.0, 0.35, 3.0, 9.0, 0.45),
+    "bengali": Band(0.6, 6.0, 0.4, 3.0, 12.0, 0.28),
+    "tamil": Band(0.65, 6.0, 0.35, 3.0, 24.0, 0.5),
+    "armenian": Band(0.65, 6.0, 0.4, 3.0, 14.0, 0.4),
+    "georgian": Band(0.7, 6.0, 0.3, 3.0, 15.0, 0.25),
+    "none": Band(1.2, 9.0, 0.25, 3.0, 3.4, 1.2),
+    "other": Band(0.28, 9.0, 1.0, 3.0, 60.0, 0.25),
 }
 _NAMES = ["", "latin", "cyrillic", "greek", "cjk", "other", "arabic", "hebrew", "thai", "devanagari", "bengali", "tamil", "armenian", "georgian"]
 #: First code points of ranges, and the script of each; 0 is no letter (symbols, digits, private use, emoji).
@@ -62,12 +66,24 @@ _FIRST, _SCRIPT = (np.array(x) for x in zip(
     strict=True))
 
 
-def _encoder(path: str) -> tuple[WordIds, np.ndarray]:
+def _encoder(path: str, multi: str) -> tuple[WordIds, np.ndarray]:
+    """Of a word its ids and, as the last, how many tokens it is in the vocabulary over bytes."""
+    import base64
+
     import sentencepiece
+    import tiktoken
 
+    with open(multi, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    whole = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     byte = np.array([sp.is_byte(i) for i in range(sp.get_piece_size())])
-    return WordIds(lambda words: sp.encode([w.decode("utf-8", "replace") for w in words], num_threads=1)), byte
+
+    def encode(words):
+        texts = [w.decode("utf-8", "replace") for w in words]
+        return [[*ids, len(whole(t[:LONG])) if len(t) <= LONG else sum(len(whole(t[i : i + LONG])) for i in range(0, len(t), LONG))] for t, ids in zip(texts, sp.encode(texts, num_threads=1), strict=True)]
+
+    return WordIds(encode), byte
 
 
 def script(text: str) -> str:
@@ -100,14 +116,18 @@ def repeated_words(w: np.ndarray, size: int = 5) -> int:
     return int((np.cumsum(cover) > 0).sum())
 
 
-def measure(text: str | None, path: str) -> dict:
+def measure(text: str | None, path: str, multi: str | None = None) -> dict:
     """The base counts and the fertility of one whole text; a null text has no words."""
     raw = common.utf8(text)
     text = text or ""
     words = raw.split()
-    enc, byte = common.held(_encoder, path)
+    enc, byte = common.held(_encoder, path, multi or common.tokenizer_path(MULTI))
     numbers = enc.numbers(words)
-    ids, _ = enc.ids(numbers)
+    ids, size = enc.ids(numbers)
+    last = np.cumsum(size) - 1
+    n_multi, own = int(ids[last].sum()), np.ones(len(ids), bool)
+    own[last] = False
+    ids = ids[own]
     n, t = len(words), max(len(ids), 1)
     seen, dup = set(), 0
     for line in raw.split(b"\n"):
@@ -127,22 +147,23 @@ def measure(text: str | None, path: str) -> dict:
         "script": script(text),
         "n_tokens": len(ids),
         "chars_per_token": chars / t,
+        "chars_per_token_multi": chars / max(n_multi, 1),
         "byte_share": float(byte[ids].sum() / t) if len(ids) else 0.0,
         "entropy": float(-(p * np.log2(p)).sum()) if len(ids) else 0.0,
     }
 
 
-SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, n_tokens long, chars_per_token double, byte_share double, entropy double"
+SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, n_tokens long, chars_per_token double, chars_per_token_multi double, byte_share double, entropy double"
 
 
-def judge(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabulary: str | None = None, bands: dict[str, Band] | None = None) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabulary: str | None = None, bands: dict[str, Band] | None = None, multi: str | None = None) -> DataFrame:
     """(doc_id, base counts, fertility, base_failed, kept) of each row. Null and empty texts have no words and fail the base rules."""
-    path = vocabulary or common.tokenizer_path(VOCABULARY)
+    path, multi = vocabulary or common.tokenizer_path(VOCABULARY), multi or common.tokenizer_path(MULTI)
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     fields = pa.struct([(n, {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[k]) for n, k in (x.split() for x in SCHEMA.split(", "))])
 
     def rows(c):
-        got = pa.array([measure(t, path) for t in c["text"].to_pylist()], fields)
+        got = pa.array([measure(t, path, multi) for t in c["text"].to_pylist()], fields)
         return pa.RecordBatch.from_arrays([c["doc_id"], *got.flatten()], ["doc_id", *(f.name for f in fields)])
 
     out = common.map_rows(d, rows, f"doc_id {dict(d.dtypes)['doc_id']}, {SCHEMA}")
@@ -150,11 +171,15 @@ def judge(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabular
     for name, b in (bands or BANDS).items():
         mixed = F.col("entropy") >= F.least(F.lit(b.least_entropy), F.log2(F.greatest("n_tokens", F.lit(1))) / 2)
         split = F.col("n_tokens") <= b.most_fertility * F.col("n_words") + F.greatest(F.lit(0), b.long - F.col("n_tokens")) / 10
-        ok = F.col("chars_per_token").between(b.least_chars, b.most_chars) & (F.col("byte_share") <= b.most_bytes) & mixed & split
+        ok = F.col("chars_per_token").between(b.least_chars, b.most_chars) & (F.col("chars_per_token_multi") >= b.least_chars_multi) & (F.col("byte_share") <= b.most_bytes) & mixed & split
         fine = F.when(F.col("script") == name, ok).otherwise(fine)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & fine)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, base counts, fertility, base_failed, kept) of every row of `documents`.
+
+    Null and empty texts have no words and fail the base rules; repeated rows are given again, a null doc_id stays null.
+    """
     return judge(common.table(spark, sf_dir, "documents"))
