@@ -143,6 +143,11 @@ def predict(docs: DataFrame, model: EcocModel, text: str = "text", least_gap: fl
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score, ambiguous) of every row of `documents`, learnt from rows with a language that are not held out.
+
+    Null texts and those without a letter are `und`; so are all where no row has a language. Equal losses go to the language that comes
+    first by name, repeated rows give their values again, and a null doc_id is neither held out nor learnt from.
+    """
     docs = common.table(spark, sf_dir, "documents")
     model = train(docs.filter(common.learnable(F.col("doc_id"))))
     out = predict(docs.select("doc_id", "text"), model)

@@ -141,6 +141,11 @@ def scan(archives: DataFrame) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every row of `pages`, read back from the archives.
+
+    Null and empty html are empty payloads, all of them responses. Of equal payloads of 100 bytes or more the smallest page_id is the
+    response; a repeated row of it is a response again.
+    """
     records = scan(write(plan(common.table(spark, sf_dir, "pages"))))
     return records.select(F.col("page").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("back").cast("long").alias("refers_to"))
 
