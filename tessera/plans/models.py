@@ -276,7 +276,15 @@ def detection(spark: S, d: str) -> DataFrame:
     return spark.createDataFrame([(a, alike, [c for c, _ in top])], "auc double, indistinguishability double, columns array<string>")
 
 
-@query("schema_inference")
+def _schema_sql() -> str:
+    key = {"region": "region_id", "nation": "nation_id", "customer": "customer_id", "supplier": "supplier_id", "part": "part_id", "orders": "order_id"}
+    edges = [("nation", "region"), ("customer", "nation"), ("supplier", "nation"), ("orders", "customer"), ("lineitem", "orders"), ("lineitem", "part"), ("lineitem", "supplier")]
+    own = [f"SELECT '{t}' AS table_name, 'primary' AS kind, '{k}' AS column_name, NULL AS parent, CAST(NULL AS DOUBLE) AS containment FROM {sql(t)} HAVING count(*) = count(DISTINCT {k})" for t, k in key.items()]
+    held = [f"SELECT '{c}', 'foreign', '{key[p]}', '{p}', avg(CAST({key[p]} IN (SELECT {key[p]} FROM {sql(p)}) AS INT)) FROM {sql(c)} WHERE {key[p]} IS NOT NULL HAVING avg(CAST({key[p]} IN (SELECT {key[p]} FROM {sql(p)}) AS INT)) >= 0.9" for c, p in edges]
+    return " UNION ALL ".join(own + held)
+
+
+@query("schema_inference", _schema_sql())
 def schema_inference(spark: S, d: str) -> DataFrame:
     """T13-T15 over all related tables."""
     tables = {t: load(spark, d, t) for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")}

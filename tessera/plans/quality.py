@@ -194,10 +194,13 @@ def _decisions(spark: S, d: str) -> DataFrame:
     return policy.build_policy(spark, {"customer": df}, {"customer": TableSpec("customer", "customer_id")}, catalog)
 
 
-_DECIDE = f"""SELECT * FROM (VALUES ('customer_id', 'PSEUDONYM', 'non_std', FALSE, 'key'), ('name', 'PSEUDONYM', 'non_std', FALSE, 'direct identifier'), ('nation_id', 'MODEL', NULL, FALSE, 'unclassified'),
-('acctbal', 'MODEL_DP', NULL, FALSE, 'sensitive'), ('mktsegment', 'MODEL', NULL, FALSE, 'other tags'), ('balance', 'MODEL', NULL, FALSE, 'unclassified'), ('contact', 'SUPPRESS', NULL, FALSE, 'card data'),
-('born', 'GENERALISE', 'categorical', FALSE, 'quasi identifier'), ('segment', 'MODEL', NULL, FALSE, 'unclassified'), ('segment_alt', 'MODEL', NULL, FALSE, 'unclassified'), ('email', 'PSEUDONYM', 'non_std', TRUE, 'inferred')) v(column_name, strategy, kind, inferred, reason)
-WHERE column_name <> 'email' OR (SELECT avg(CAST(regexp_full_match(email, '[^@ ]+@[^@ ]+[.][^@ ]+') AS INT)) > 0.8 FROM {C} WHERE email IS NOT NULL)"""
+# the rules in order, over the columns of the view, their tags, and what an untagged column's name gives away
+_DECIDE = f"""WITH c AS (SELECT column_name, {_TAGS} AS tags FROM (DESCRIBE SELECT * FROM {C})),
+r AS (SELECT column_name, CASE WHEN column_name = 'customer_id' THEN 'key' WHEN len(tags) = 0 AND regexp_matches(column_name, '(^|_)(email|e_mail|mail_address)($|_)|(^|_)(phone|mobile|tel)') THEN 'inferred'
+  WHEN len(tags) = 0 THEN 'unclassified' WHEN list_has_any(tags, {policy.PCI}) THEN 'card data' WHEN list_has_any(tags, {policy.DIRECT}) THEN 'direct identifier'
+  WHEN list_has_any(tags, {policy.QUASI}) THEN 'quasi identifier' WHEN list_has_any(tags, {policy.SENSITIVE}) THEN 'sensitive' ELSE 'other tags' END AS reason FROM c)
+SELECT column_name, CASE reason WHEN 'card data' THEN 'SUPPRESS' WHEN 'quasi identifier' THEN 'GENERALISE' WHEN 'sensitive' THEN 'MODEL_DP' WHEN 'unclassified' THEN 'MODEL' WHEN 'other tags' THEN 'MODEL' ELSE 'PSEUDONYM' END AS strategy,
+  CASE WHEN reason IN ('key', 'inferred', 'direct identifier') THEN 'non_std' WHEN reason = 'quasi identifier' THEN 'categorical' END AS kind, reason = 'inferred' AS inferred, reason FROM r"""
 
 
 @query("decide_column", _DECIDE)
@@ -308,9 +311,36 @@ def cross_table_profile(spark: S, d: str) -> DataFrame:
     return rounded(j.groupBy("mktsegment").agg(F.percentile("totalprice", 0.5).alias("median"), F.count("*").alias("n")))
 
 
-@query("set_difference", f"SELECT DISTINCT customer_id FROM {sql('customer')} WHERE customer_id NOT IN (SELECT customer_id FROM {O})")
+_URGENT = f"(SELECT customer_id FROM {O} WHERE priority = '1-URGENT')"
+
+
+@query("set_difference", f"SELECT DISTINCT customer_id FROM {sql('customer')} WHERE customer_id NOT IN {_URGENT}")
 def set_difference(spark: S, d: str) -> DataFrame:
-    return load(spark, d, "customer").select("customer_id").distinct().join(load(spark, d, "orders"), "customer_id", "left_anti")
+    """Customers without urgent orders."""
+    urgent = load(spark, d, "orders").filter("priority = '1-URGENT'")
+    return load(spark, d, "customer").select("customer_id").distinct().join(urgent, "customer_id", "left_anti")
+
+
+@query("set_intersection", f"SELECT customer_id FROM {sql('customer')} INTERSECT SELECT * FROM {_URGENT}")
+def set_intersection(spark: S, d: str) -> DataFrame:
+    """Customers with urgent orders."""
+    urgent = load(spark, d, "orders").filter("priority = '1-URGENT'")
+    return load(spark, d, "customer").select("customer_id").intersect(urgent.select("customer_id"))
+
+
+@query("tables_round_trip", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n, sum({k}) AS keys FROM {sql(t)}" for t, k in (("customer", "customer_id"), ("orders", "order_id"), ("nation", "nation_id"))))
+def tables_round_trip(spark: S, d: str) -> DataFrame:
+    """IO1, IO3, IO4: tables written as Parquet and CSV, read back by their suffixes, and counted."""
+    import uuid
+
+    from tessera.sources import tables as io
+
+    at, keys_of = f"{io.shared_dir(spark)}/tables-{uuid.uuid4().hex}", {"customer": "customer_id", "orders": "order_id", "nation": "nation_id"}
+    io.write_tables({t: load(spark, d, t) for t in ("customer", "orders")}, at)
+    io.write_tables({"nation": load(spark, d, "nation")}, at, "csv")
+    back = io.load_tables(spark, at, list(keys_of))
+    rows = [back[t].agg(F.lit(t).alias("table_name"), F.count("*").alias("n"), F.sum(k).alias("keys")) for t, k in keys_of.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 @query("hash_sample", f"SELECT order_id FROM {O} ORDER BY md5(concat_ws('|', '5', 'sample', CAST(order_id AS VARCHAR))), order_id LIMIT 500")
@@ -431,7 +461,8 @@ def ts_sort(spark: S, d: str) -> DataFrame:
     from pyspark.sql import Window
 
     df = joins.sort_series(load(spark, d, "events"), ["user_id"], ["ts", "event_id"])
-    return df.select("event_id", "user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("place"))
+    # the place by where the operator has put each row, not by its columns
+    return df.withColumn("at", F.monotonically_increasing_id()).select("event_id", "user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("at")).cast("long").alias("place"))
 
 
 # Encoding

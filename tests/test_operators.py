@@ -1,6 +1,5 @@
 """Rules, edge cases and statistical properties of the operators."""
 
-import math
 import statistics
 
 import pytest
@@ -258,4 +257,3 @@ def test_tables_in_and_out(spark, tmp_path):
     assert [r[0] for r in d.orderBy("id").select(io.split_tags(F.col("v"))).collect()] == [["A", "B"], None]
     c = io.catalog_from_json(spark, '{"tables": {"t": {"columns": {"a": {"classifications": ["pii"]}}}}}')
     assert c.first()["tags"] == ["PII"]
-    assert math.isclose(1.0, 1.0)
