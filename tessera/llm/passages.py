@@ -164,6 +164,15 @@ def candidates(data: np.ndarray, off: np.ndarray, again: list[np.ndarray], size:
     return out
 
 
+def _parts(runs: list[tuple[int, int, int]], size: int) -> Iterator[tuple[int, int, int]]:
+    """Runs in parts of at most BLOCK bytes, so that every string of size bytes is in just one."""
+    for i, lo, hi in runs:
+        while hi - lo > BLOCK:
+            yield i, lo, lo + BLOCK
+            lo += BLOCK - size + 1
+        yield i, lo, hi
+
+
 def phrase_table(a: np.ndarray, bounds: np.ndarray, size: int) -> dict[str, np.ndarray]:
     """The phrases of segments in a row: of (which segment), at (place in it), c (symbol), upto, short and long.
 
@@ -301,7 +310,7 @@ def segments(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
             return [m for m in more if len(m[2]) >= size]
 
         todo, size_of = [], 0
-        for i, lo, to in [*runs, (-1, 0, 0)]:
+        for i, lo, to in [*_parts(runs, size), (-1, 0, 0)]:
             if todo and (i < 0 or size_of + to - lo > BLOCK):
                 more = put(None, [(d, b, False) for d, b, _ in todo], [x for _, _, x in todo])
                 if more:
