@@ -214,22 +214,26 @@ def build(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     return index
 
 
-def score(docs: DataFrame, index: Index, text: str = "text", name: str = "toxicity") -> DataFrame:
+def score(docs: DataFrame, index: Index, text: str = "text", name: str = "toxicity", evidence: bool = True) -> DataFrame:
     """docs and a struct column: score (0 to 1) and evidence, the nearest examples with their cosines and labels.
 
     A text that shares no word with an example, empty or null, gets the share of label 1 among all labelled rows and no evidence.
     """
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
-    @F.pandas_udf("score double, evidence array<struct<example:string,cosine:double,label:int>>")
+    why_type = ", evidence array<struct<example:string,cosine:double,label:int>>" if evidence else ""
+
+    @F.pandas_udf("score double" + why_type)
     def judge(s):
         ix, scores, why = shared.value, [], []
         none, texts = ix.prior if len(ix.ids) else 0.0, s.to_list()
         for lo in range(0, len(texts), 64):
             for docs, sims in ix.nearest(ix.vectors(texts[lo : lo + 64])):
                 scores.append(ix.score(ix.vote(docs, sims)) if len(docs) else none)
-                why.append([{"example": ix.ids[d], "cosine": float(x), "label": int(ix.labels[d])} for d, x in zip(docs, sims, strict=True)])
-        return pd.DataFrame({"score": np.array(scores, float), "evidence": pd.Series(why, dtype=object)})
+                if evidence:
+                    why.append([{"example": ix.ids[d], "cosine": float(x), "label": int(ix.labels[d])} for d, x in zip(docs, sims, strict=True)])
+        out = pd.DataFrame({"score": np.array(scores, float)})
+        return out.assign(evidence=pd.Series(why, dtype=object)) if evidence else out
 
     return docs.withColumn(name, judge(F.col(text)))
 
@@ -250,4 +254,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.3)
     """Drop the documents that score at least 0.3; labels come from the labels table, texts from the stage's own rows."""
     index = build(docs.filter(common.learnable(F.col("doc_id"))), common.table(spark, sf_dir, "labels"))
     v = common.unused(docs, "toxicity")
-    return score(docs, index, name=v).filter(F.col(f"`{v}`.score") < least).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return score(docs, index, name=v, evidence=False).filter(F.col(f"`{v}`.score") < least).select(*[F.col(f"`{c}`") for c in docs.columns])
