@@ -444,4 +444,4 @@ def op5_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     Null and empty texts are one frame of spaces; equal texts have equal media, and repeated rows are given again.
     """
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return from_media(common.written(to_media(docs), "media"))
+    return from_media(common.written(to_media(docs), "media", compression="zstd"))
