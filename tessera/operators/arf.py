@@ -105,7 +105,8 @@ class ARF:
         cum = [r["cum"] for r in self.leaves.select("cum").orderBy("leaf").collect()]
         out = rows.withColumn("_u", uniform(seed, f"{stream}:leaf", F.col(rid)))
         if evidence:
-            scored = out.withColumns({f"_e_{c}": e for c, e in evidence.items()}).crossJoin(F.broadcast(self.leaves))
+            out = out.withColumns({f"_e_{c}": e for c, e in evidence.items()})
+            scored = out.select(rid, *[f"_e_{c}" for c in evidence]).crossJoin(F.broadcast(self.leaves.select("leaf", "weight", *evidence)))
             ll = F.log("weight")
             for c in evidence:
                 ll = ll + self.log_density(c, F.col(f"_e_{c}"))
@@ -113,9 +114,9 @@ class ARF:
             # each row against every leaf of the model: a stated set against a table of bounded size; one of them by weighted race
             race = -F.log(F.greatest(uniform(seed, f"{stream}:race", F.col(rid), F.col("leaf")), F.lit(1e-300)))
             key = F.col("_s") - F.log(race)
-            rest = [c for c in scored.columns if c not in rows.columns and c not in ("_u", "_s")]
-            best = scored.groupBy(rid).agg(F.max_by(F.struct(*[c for c in rows.columns if c != rid], *rest), key).alias("r"))
-            out = best.select(rid, "r.*")
+            # only the winner's number is carried through the shuffle, one for each row and task at most
+            best = scored.groupBy(rid).agg(F.max_by("leaf", key).alias("leaf"))
+            out = out.join(best, rid).join(F.broadcast(self.leaves.drop("cum")), "leaf")
         else:
             bounds = F.array(*[F.lit(float(c)) for c in cum])
             out = out.withColumn("leaf", F.least(F.size(F.filter(bounds, lambda b: b <= F.col("_u"))), F.lit(len(cum) - 1)).cast("int")).join(F.broadcast(self.leaves.drop("cum")), "leaf")

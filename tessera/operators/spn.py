@@ -1,7 +1,7 @@
-"""Sum-product networks: structure learned a whole level at a time, sampling compiled to broadcast tables.
+"""Sum-product networks: structure learned node by node, sampling compiled to broadcast tables.
 
-Learning: a tree node is an id in a column of the encoded frame. At each depth one grouped count gives the tables of all column pairs
-of all nodes (for independence tests), and one k-means fit splits the rows of a node that does not divide by columns. Sampling: every
+Learning: each node is a filter over its parent's cached rows. One grouped count gives the tables of all column pairs of a node (for
+independence tests), and k-means splits the rows of a node that does not divide by columns; depth is bounded. Sampling: every
 product of leaves under a chain of sums is a group; a row draws its group by one uniform and its values by one uniform for each column,
 so rows are independent of each other whatever their order (Q1).
 """
