@@ -252,13 +252,6 @@ def evaluate_tables(spark: S, d: str) -> DataFrame:
     return evaluate.evaluate_tables(spark, {"customer": train, "orders": o.filter(u < 0.5)}, {"customer": test, "orders": o.filter(u >= 0.5)}, {"customer": fake, "orders": boot}, {"customer": {"customer_id"}}, trees=10)
 
 
-@query("engine_compare")
-def engine_compare(spark: S, d: str) -> DataFrame:
-    """V19 on customers: utility and detection of each engine on the same rows."""
-    c = load(spark, d, "customer").select("customer_id", "nation_id", "acctbal", "mktsegment")
-    return pipeline.compare_engines(spark, c, "customer_id", ["SPN", "ARF"], trees=10).drop("seconds")
-
-
 @query("autoconfigure")
 def autoconfigured(spark: S, d: str) -> DataFrame:
     """T21 over customers, orders and suppliers."""
