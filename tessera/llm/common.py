@@ -14,6 +14,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -170,6 +171,24 @@ def buffers(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), o
 
 
+def by_bytes(b: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of at most some bytes in a column; a longer value is a slice of its own."""
+    sizes = pa.compute.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    upto = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    lo = 0
+    while lo < b.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + most, "right")) - 1)
+        yield b.slice(lo, hi - lo)
+        lo = hi
+
+
+def strings(values: list[bytes | None]) -> pa.Array:
+    """A string column of bytes that are taken for UTF-8 as they are."""
+    _, off, data = pa.array(values, pa.binary()).buffers()[:3]
+    valid = None if None not in values else pa.array([v is not None for v in values]).buffers()[1]
+    return pa.StringArray.from_buffers(len(values), off, data, valid)
+
+
 def tokenizer_path(name: str, folder: str | None = None) -> str:
     """A public vocabulary file; folder is a parameter and the files are never copied."""
     folder = folder or os.environ.get("TOKENIZERS_DIR")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import flac, langid, packing, passages, pieces, quality, simhash, toxicity, urlfilter, warc
+from tessera.llm import divergence, fim, flac, langid, mixing, packing, passages, pieces, quality, simhash, toxicity, urlfilter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": warc.op8_warc,
         "op9_quality": quality.op9_quality,
         "op10_passages": passages.op10_passages,
+        "op11_divergence": divergence.op11_divergence,
+        "op12_fim": fim.op12_fim,
+        "op13_mixing": mixing.op13_mixing,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {"op8_warc": warc.OP8_SQL}
+    return {"op8_warc": warc.OP8_SQL, "op11_divergence": divergence.OP11_SQL, "op12_fim": fim.OP12_SQL}
