@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.rng import uniform
-from tessera.functions.scalar import from_epoch, inverse_log, log_transform, mask_of, placeholder, placeholder_style
+from tessera.functions.scalar import from_epoch, inverse_log, log_transform, placeholder, placeholder_style
 from tessera.operators.profile import as_number, granularity, infer_kinds, is_date, is_numeric, mirrors
 from tessera.types import CATEGORICAL, DATETIME, NON_STD, NUMERICAL, OTHER, TIMEDELTA, ColumnSpec
 
 NULL_CODE = -1.0
 
 
-#: Values of a column that its spec lists (more are a table), and formats of an identifier that decoding tells apart.
-LISTED, FORMATS = 1000, 8
+#: Values of a column that its spec lists; more are a table.
+LISTED = 1000
+#: Types of identifiers that are made from formats, as texts of no other style are.
+WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
 def fit(df: DataFrame, overrides: dict[str, str] | None = None, domain: dict[str, dict] | None = None, styles: dict[str, str] | None = None, most_categories: int = 50, find_mirrors: bool = True) -> list[ColumnSpec]:
@@ -66,10 +70,11 @@ def fit(df: DataFrame, overrides: dict[str, str] | None = None, domain: dict[str
             if d.get("force_categories"):
                 s.tail_table, s.tail_size = None, 0
                 s.categories, s.tail, s.domain_source = [str(x) for x in d["force_categories"]], [], "declared"
-        elif k == NON_STD and s.style == "token" and s.dtype == "string":
-            from tessera.operators.masks import likeliest
+        elif k == NON_STD and (s.style == "token" and s.dtype == "string" or s.dtype in WHOLE):
+            from tessera.operators.identifiers import learn
 
-            s.style, s.masks = "mask", likeliest(df, c, FORMATS)
+            s.style, s.salt = "mask", uuid.uuid4().hex
+            s.formats_table, s.known_table = (_path(x) for x in learn(df, c, s.salt))
         elif c in numeric:
             lo, hi = d.get("min_val", r[f"{c}__lo"]), d.get("max_val", r[f"{c}__hi"])
             s.domain_source = "declared" if "min_val" in d or "max_val" in d else "data"
@@ -85,10 +90,13 @@ def fit(df: DataFrame, overrides: dict[str, str] | None = None, domain: dict[str
     return specs
 
 
+def _path(table: DataFrame) -> str:
+    """The folder of a table that was written as one."""
+    return table.inputFiles()[0].rsplit("/", 1)[0]
+
+
 def _tail_table(counted: DataFrame, skip: int) -> tuple[str, int]:
     """The values (k from 0, v) of a column beyond the most frequent ones, written to the shared folder; where it is and how many it has."""
-    import uuid
-
     from tessera.operators.joins import dense_index
     from tessera.sources.tables import shared_dir
 
@@ -150,9 +158,17 @@ def decode_number(x: Column, s: ColumnSpec) -> Column:
 def inverse_transform(df: DataFrame, specs: list[ColumnSpec], rid: str, seed: int, namespace: str = "") -> DataFrame:
     """One select back to values: numbers, categories, placeholders for identifiers, and copies of mirrored columns.
 
-    Surrogates are keyed by namespace, column and row, so tables and runs do not share them (Q8).
+    Surrogates are keyed by namespace, column and row, so tables and runs do not share them (Q8). Identifiers of a format are all different
+    and none is a value that the data hold; they depend on which rows are decoded together.
     """
     out: dict[str, Column] = {}
+    made = [s for s in specs if s.formats_table and s.mirror_of not in {x.name for x in specs}]
+    if made:
+        from tessera.operators.identifiers import generate
+
+        read = df.sparkSession.read.parquet
+        ids = generate(df, rid, {s.name: (read(s.formats_table), read(s.known_table), s.salt, s.dtype) for s in made}, f"{seed}:{namespace}")
+        df = df.join(ids.select(F.col(rid), *[F.col(f"`{s.name}`").alias(f"_id_{s.name}") for s in made]), rid)
     for s in (s for s in specs if s.tail_table):
         drawn = F.floor(uniform(seed, f"{namespace}:{s.name}:tail", F.col(rid)) * s.tail_size).cast("long")
         other = df.sparkSession.read.parquet(s.tail_table).select(F.col("k").alias(f"_k_{s.name}"), F.col("v").alias(f"_tail_{s.name}"))
@@ -163,14 +179,7 @@ def inverse_transform(df: DataFrame, specs: list[ColumnSpec], rid: str, seed: in
             v = decode_category(c, s, uniform(seed, f"{namespace}:{s.name}:tail", F.col(rid)))
             out[s.name] = v.try_cast(s.dtype) if s.dtype not in ("string",) else v
         elif s.kind == NON_STD:
-            if s.masks:
-                from tessera.operators.masks import value
-
-                v = value(s.masks, f"{seed}:{namespace}", s.name, F.col(rid))
-            else:
-                v = placeholder(s.style, f"{seed}:{namespace}", s.name, F.col(rid))
-            if s.dtype in ("bigint", "int"):
-                v = F.pmod(F.xxhash64(F.lit(f"{seed}:{namespace}:{s.name}"), F.col(rid)), F.lit(2**31 - 1 if s.dtype == "int" else 10**18)).cast(s.dtype)
+            v = F.col(f"`_id_{s.name}`") if s in made else placeholder(s.style, f"{seed}:{namespace}", s.name, F.col(rid))
             u = uniform(seed, f"{namespace}:{s.name}:null", F.col(rid))
             out[s.name] = F.when(u >= s.null_ratio, v)
         elif s.kind == TIMEDELTA:
@@ -193,13 +202,6 @@ def domain_summary(specs: list[ColumnSpec]) -> dict[str, list[str]]:
     return out
 
 
-def learn_masks(df: DataFrame, column: str) -> DataFrame:
-    """(mask, pos, n, chars): of every mask and place the characters that occur, over all values."""
-    v = df.filter(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("v")).withColumn("mask", mask_of(F.col("v")))
-    at = v.select("mask", F.posexplode(F.split("v", "")).alias("pos", "ch")).filter("ch <> ''")
-    return at.groupBy("mask", "pos").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("ch")), "").alias("chars"))
-
-
 def zscore(df: DataFrame, columns: list[str]) -> DataFrame:
     """Median-filled z-scores of numbers (population deviation; 0 where that is 0)."""
     stats = df.agg(*[f for c in columns for f in (F.percentile(c, 0.5).alias(f"_m_{c}"), F.avg(c).alias(f"_a_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))])

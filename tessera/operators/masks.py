@@ -1,21 +1,24 @@
-"""the formats of identifiers, learnt as masks with an alphabet for each place, and new values of the same shape."""
+"""the formats of identifiers, learnt as masks with an alphabet for each place; identifiers.py makes values of them."""
 
 from __future__ import annotations
 
 import string
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.rng import pick, uniform
-from tessera.functions.scalar import from_mask
-from tessera.operators.encode import learn_masks
-from tessera.sources.tables import shared_dir
+from tessera.functions.scalar import mask_of
 
 CLASSES = {"D": string.digits, "A": string.ascii_uppercase, "a": string.ascii_lowercase}
 
 
+def learn_masks(df: DataFrame, column: str) -> DataFrame:
+    """(mask, pos, n, chars): of every mask and place the characters that occur, over all values."""
+    v = df.filter(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("v")).withColumn("mask", mask_of(F.col("v")))
+    at = v.select("mask", F.posexplode(F.split("v", "")).alias("pos", "ch")).filter("ch <> ''")
+    return at.groupBy("mask", "pos").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("ch")), "").alias("chars"))
+
+
 def formats(df: DataFrame, column: str) -> DataFrame:
     """(mask, n, weight, alphabets) over all values of a column.
 
@@ -38,46 +41,5 @@ def formats(df: DataFrame, column: str) -> DataFrame:
 
 
 def likeliest(df: DataFrame, column: str, most: int = 200) -> list[dict]:
-    """The most frequent formats (ties: mask) for the driver to build expressions from; a column of free text has more, all redrawn anyway."""
+    """The most frequent formats (ties: mask), to look at; decoding uses all of them."""
     return [r.asDict() for r in formats(df, column).orderBy(F.desc("n"), "mask").limit(most).collect()]
-
-
-def value(known: list[dict], seed: str, column: str, rid, attempt: int = 0):
-    """A value for each row: a format by its weight, then every place from its alphabet."""
-    if not known:
-        return F.lit(None).cast("string")
-    total, at, bounds = sum(m["weight"] for m in known), 0.0, []
-    for m in known:
-        at += m["weight"] / total
-        bounds.append(at)
-    which = pick(uniform(seed, f"{column}:mask:{attempt}", rid), F.array(*[F.lit(b) for b in bounds]))
-    out = from_mask(known[-1]["mask"], _drawn(known[-1]), seed, column, rid, attempt)
-    for k, m in reversed(list(enumerate(known[:-1]))):
-        out = F.when(which == k, from_mask(m["mask"], _drawn(m), seed, column, rid, attempt)).otherwise(out)
-    return out
-
-
-def _drawn(m: dict) -> list[str]:
-    return [a if s in CLASSES else "" for s, a in zip(m["mask"], m["alphabets"], strict=True)]
-
-
-def generate(rows: DataFrame, rid: str, known: list[dict], seed: str, column: str, tries: int = 20) -> DataFrame:
-    """rows and the column, no value twice: of rows that draw the same one the smallest keeps it and the others draw again.
-
-    A narrow format can run out of values: after some tries the rest keep what they have drawn. What each try settles is written to the
-    shared folder.
-    """
-    spark, paths, left = rows.sparkSession, [], rows
-    for attempt in range(tries):
-        drawn = left.withColumn(column, value(known, seed, column, F.col(rid), attempt))
-        first = drawn.groupBy(column).agg(F.min(rid).alias(rid))
-        if paths:
-            first = first.join(spark.read.parquet(*paths).select(column), column, "left_anti")
-        path = f"{shared_dir(spark)}/drawn-{uuid.uuid4().hex}"
-        drawn.join(first, [column, rid], "left_semi").select(*drawn.columns).write.parquet(path)
-        paths.append(path)
-        done = spark.read.parquet(*paths)
-        left = rows.join(done.select(rid), rid, "left_anti").select(*rows.columns)
-        if left.isEmpty():
-            break
-    return done.unionByName(left.withColumn(column, value(known, seed, column, F.col(rid), attempt)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import models, quality, streams  # noqa: F401
+from tessera.plans import identifiers, models, quality, streams  # noqa: F401
 from tessera.plans.registry import ORACLES, QUERIES, Query
 
 

@@ -494,22 +494,7 @@ def decode_round_trip(spark: S, d: str) -> DataFrame:
 
 @query("mask_learn", f"WITH v AS (SELECT contact AS v, regexp_replace(contact, '[0-9]', 'D', 'g') AS mask FROM {C}), p AS (SELECT mask, CAST(unnest(range(0, length(v))) AS INT) AS pos, v FROM v) SELECT mask, pos, count(*) AS n, array_to_string(list_sort(list_distinct(list(v[pos + 1]))), '') AS chars FROM p GROUP BY 1, 2")
 def mask_learn(spark: S, d: str) -> DataFrame:
-    return encode.learn_masks(customers(spark, d), "contact")
-
-
-def _mask_generate_sql() -> str:
-    learnt = f"""SELECT pos, count(*) AS n, array_to_string(list_sort(list_distinct(list(v[pos + 1]))), '') AS chars FROM (SELECT contact AS v, CAST(unnest(range(0, length(contact))) AS INT) AS pos FROM {C}) GROUP BY 1"""
-    # one mask of all rows: places that never vary stay (as rows allow), digits that are never 0 stay so
-    drawn = "SELECT pos, CASE WHEN pos = 0 THEN '+' WHEN length(chars) = 1 AND n >= greatest(20, 0.01 * n) THEN chars WHEN strpos(chars, '0') = 0 THEN '123456789' ELSE '0123456789' END AS chars FROM l"
-    places = " || ".join(["'+'"] + [f"(SELECT substr(chars, CAST(floor({rng.uniform_sql('9', f'contact:{i}:0', 'customer_id')} * length(chars)) AS INT) + 1, 1) FROM a WHERE pos = {i})" for i in range(1, 12)])
-    return f"WITH l AS ({learnt}), a AS ({drawn}) SELECT customer_id, {places} AS contact FROM {C}"
-
-
-@query("mask_generate", _mask_generate_sql())
-def mask_generate(spark: S, d: str) -> DataFrame:
-    """new contacts in the learnt format, none twice."""
-    c = customers(spark, d)
-    return masks.generate(c.select("customer_id"), "customer_id", masks.likeliest(c, "contact"), "9", "contact")
+    return masks.learn_masks(customers(spark, d), "contact")
 
 
 @query("placeholder_phone", "SELECT c_custkey AS customer_id, '+60' || lpad(CAST(CAST(floor(" + rng.uniform_sql("s", "contact:n", "c_custkey") + " * 1000000000) AS BIGINT) AS VARCHAR), 9, '0') AS contact FROM customer")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Reader options that a configuration may name, and Spark's own names.
@@ -25,13 +26,21 @@ def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, which driver and executors share; a temporary folder only where it is unset and all is one process."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("spark.checkpoint.dir is unset: executors and driver need a folder that they share")
         at = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: later steps read it, and lost executors cost no more than the task at hand."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
@@ -60,14 +69,19 @@ def load_tables(spark: SparkSession, folder: str, names: list[str], options: dic
 
 
 def write_tables(tables: dict[str, DataFrame], folder: str, kind: str = "parquet") -> list[dict]:
-    """IO4: each table as a folder of Parquet or CSV parts, and a manifest of rows, columns and bytes. Rows are counted as they are written."""
+    """IO4: each table as a folder of Parquet or CSV parts, and a manifest of rows, columns and bytes.
+
+    Rows are counted in what was written: a Parquet table's from its footers, a CSV table's by a scan. An observation would count them on
+    the way, but it leaves a manager in the session that forest models then drag into their closures, which cannot be serialised.
+    """
     out = []
     for name, df in tables.items():
         path = f"{folder}/{name}.{kind}"
-        seen = Observation(f"rows of {name}")
-        w = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
+        w, spark = df.write.mode("overwrite"), df.sparkSession
         w.option("header", "true").csv(path) if kind == "csv" else w.parquet(path)
-        out.append({"table": name, "path": path, "rows": seen.get["rows"], "columns": len(df.columns), "bytes": size_of(df.sparkSession, path)})
+        back = spark.read.schema(df.schema)
+        rows = back.options(header="true", multiLine="true").csv(path).count() if kind == "csv" else back.parquet(path).count()
+        out.append({"table": name, "path": path, "rows": rows, "columns": len(df.columns), "bytes": size_of(spark, path)})
     return out
 
 

@@ -71,7 +71,9 @@ class ColumnSpec:
     domain_source: str = "data"
     mirror_of: str | None = None
     style: str = "token"
-    masks: list = field(default_factory=list)
+    formats_table: str | None = None  # of an identifier: tables of its formats and of salted digests of its values
+    known_table: str | None = None
+    salt: str = ""
 
     def to_json(self) -> dict:
         return asdict(self)

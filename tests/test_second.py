@@ -60,23 +60,6 @@ def test_masks_keep_formats_and_hide_values(spark):
     assert masks.likeliest(few.limit(0), "v") == []
 
 
-def test_generated_masks_are_unique_until_the_format_runs_out(spark):
-    known = [{"mask": "D-a", "n": 1, "weight": 1.0, "alphabets": ["0123456789", "-", "abc"]}]
-    got = [r["v"] for r in masks.generate(spark.range(25), "id", known, "s", "v").collect()]
-    assert len(got) == len(set(got)) == 25
-    more = [r["v"] for r in masks.generate(spark.range(40), "id", known, "s", "v", tries=5).collect()]
-    assert len(more) == 40 and 20 <= len(set(more)) <= 30
-
-
-def test_identifiers_are_redrawn_in_their_format(spark):
-    d = spark.range(300).select("id", F.format_string("REF%06d", F.col("id") * 37 + 100000).alias("ref"))
-    specs = encode.fit(d.select("ref"))
-    assert specs[0].kind == "non_std" and specs[0].style == "mask"
-    out = encode.inverse_transform(encode.transform(d, specs, keep=["id"]), specs, "id", 1)
-    assert out.filter(~F.col("ref").rlike("^REF[0-9]{6}$")).count() == 0
-    assert out.join(d.select("ref"), "ref", "left_semi").count() < 15
-
-
 def test_autoconfigure(spark):
     t = demo.retail(spark, 600)
     t = {k: v.persist() for k, v in t.items()}
