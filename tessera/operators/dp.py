@@ -9,10 +9,6 @@ import math
 import random
 from dataclasses import dataclass, field
 
-import numpy as np
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 
 def _noise(scale: float, rng: random.Random) -> float:
     u = rng.random() - 0.5
@@ -29,9 +25,11 @@ class Entry:
 
 @dataclass
 class PrivacyLedger:
-    """35 % of epsilon for structure, shared by levels, and the rest for parameters, shared by columns.
+    """35 % of epsilon for structure, shared by levels, and the rest for parameters, shared by columns and the weights of sums.
 
-    Queries on disjoint rows compose in parallel: a (stage, mechanism) keeps the largest epsilon of a group; groups add up.
+    A level's share goes to sizes (a fifth), tables and centres (two fifths each). Nodes of different rows compose in parallel; nodes that
+    a product sets apart are of the same rows and divide what their parent had, so a row meets each share once at most. A (stage,
+    mechanism) is therefore charged in full once, and groups add up: what is spent is never above epsilon, whatever the tree.
     """
 
     epsilon: float
@@ -51,7 +49,15 @@ class PrivacyLedger:
 
     @property
     def per_column(self) -> float:
-        return self.epsilon * (1 - self.structure) / max(self.columns, 1)
+        return self.epsilon * (1 - self.structure) / (max(self.columns, 1) + 1)
+
+    @property
+    def per_weights(self) -> float:
+        """A level's part of what a column has: the weights of its sums."""
+        return self.per_column / max(self.max_depth, 1)
+
+    def noise(self, scale: float) -> float:
+        return _noise(scale, self.rng)
 
     def record(self, stage: str, mechanism: str, epsilon: float) -> None:
         e = self.entries.setdefault((stage, mechanism), Entry(stage, mechanism, 0.0, 0))
@@ -63,17 +69,29 @@ class PrivacyLedger:
         out = [max(v + _noise(sensitivity / epsilon, self.rng), 0.0) for v in values]
         return out if any(out) else [1.0] * len(out)
 
-    def node_size(self, n: float, level: int) -> float:
+    def node_size(self, n: float, level: int, share: float = 1.0) -> float:
         """D3: a fifth of a level's share."""
         e = 0.2 * self.per_level
         self.record(f"level{level}", "node_size", e)
-        return max(n + _noise(1 / e, self.rng), 0.0)
+        return max(n + self.noise(1 / (e * share)), 0.0)
 
-    def contingency(self, cells: list[float], pairs: int, level: int) -> list[float]:
+    def contingency(self, cells: list[float], pairs: int, level: int, share: float = 1.0) -> list[float]:
         """Two fifths of a level's share over all pairs, sensitivity 2."""
-        e = 0.4 * self.per_level / max(pairs, 1)
-        self.record(f"level{level}", "contingency", e * max(pairs, 1))
-        return [max(v + _noise(2 / e, self.rng), 0.0) for v in cells]
+        e = 0.4 * self.per_level
+        self.record(f"level{level}", "contingency", e)
+        return [max(v + self.noise(2 * max(pairs, 1) / (e * share)), 0.0) for v in cells]
+
+    def kmeans_share(self, level: int) -> float:
+        """Two fifths of a level's share, for all rounds of all its nodes."""
+        e = 0.4 * self.per_level
+        self.record(f"level{level}", "kmeans", e)
+        return e
+
+    def weights(self, values: list[float], level: int, share: float = 1.0) -> list[float]:
+        """Rows of a sum's children, of which none loses its place: noisy, never below zero, all one where all are zero."""
+        self.record(f"level{level}", "weights", self.per_weights)
+        out = [max(v + self.noise(1 / (self.per_weights * share)), 0.0) for v in values]
+        return out if any(out) else [1.0] * len(out)
 
     def report(self) -> dict:
         spent = sum(e.epsilon for e in self.entries.values())
@@ -81,27 +99,6 @@ class PrivacyLedger:
         return {"epsilon": self.epsilon, "spent": spent, "entries": [vars(e) for e in self.entries.values()], "caveats": caveats}
 
 
-def kmeans(df: DataFrame, columns: list[str], k: int, ledger: PrivacyLedger, level: int = 0, rounds: int = 3) -> np.ndarray:
-    """Lloyd's rounds on features in [-1, 1]: one grouped sum each, noised; a centre with less than one row starts anew."""
-    d = len(columns)
-    e = 0.4 * ledger.per_level / rounds
-    rng = ledger.rng
-    centres = np.array([[rng.uniform(-1, 1) for _ in columns] for _ in range(k)])
-    feats = [F.greatest(F.least(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(1.0)), F.lit(-1.0)) for c in columns]
-    for _ in range(rounds):
-        dist = F.array(*[sum((f - float(v)) * (f - float(v)) for f, v in zip(feats, m, strict=True)) for m in centres])
-        label = F.array_position(dist, F.array_min(dist)) - 1
-        got = {r["l"]: r for r in df.select(label.alias("l"), *[f.alias(f"f{i}") for i, f in enumerate(feats)]).groupBy("l").agg(F.count("*").alias("n"), *[F.sum(f"f{i}").alias(f"s{i}") for i in range(d)]).collect()}
-        scale = 2 * (d + 1) / e
-        for j in range(k):
-            r = got.get(j)
-            n = (r["n"] if r else 0) + _noise(scale, rng)
-            sums = [(r[f"s{i}"] if r else 0.0) + _noise(scale, rng) for i in range(d)]
-            centres[j] = np.clip(np.array(sums) / n, -1, 1) if n >= 1 else [rng.uniform(-1, 1) for _ in columns]
-        ledger.record(f"level{level}", "kmeans", e * rounds)
-    return centres
-
-
 def degree_histogram(counts: dict[int, int], epsilon: float, cap: int, ledger: PrivacyLedger) -> dict[int, float]:
     """At most 16 bins over 0..cap, noised; bins up to 1/epsilon are dropped, the rest spread within. None left: uniform (Q5)."""
     width = max(1, -(-(cap + 1) // 16))

@@ -1,29 +1,17 @@
-"""Sum-product networks: structure learned node by node, sampling compiled to broadcast tables.
-
-Learning: each node is a filter over its parent's cached rows. One grouped count gives the tables of all column pairs of a node (for
-independence tests), and k-means splits the rows of a node that does not divide by columns; depth is bounded. Sampling: every
-product of leaves under a chain of sums is a group; a row draws its group by one uniform and its values by one uniform for each column,
-so rows are independent of each other whatever their order (Q1).
-"""
+"""Sum-product networks: their nodes, leaves and parameters. structure.py learns them, descent.py samples them."""
 
 from __future__ import annotations
 
 import math
 from dataclasses import asdict, dataclass, field
-from itertools import combinations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.rng import uniform
+from tessera.operators import descent, quantiles, structure
 from tessera.operators.dp import PrivacyLedger
-from tessera.operators.dp import kmeans as dp_kmeans
 from tessera.types import CATEGORICAL, NON_STD, ColumnSpec
 
-FLOOR = 1e-12
-
 
 @dataclass
 class SPNParams:
@@ -63,25 +51,6 @@ class Node:
     def count(self) -> int:
         return 1 + sum(c.count() for c in self.children)
 
-    # densities and draws, as expressions
-
-    def density(self, x: Column) -> Column:
-        """P(value) of a leaf, at least the floor."""
-        if self.kind == "categorical":
-            out = F.lit(FLOOR)
-            if self.codes:
-                at = F.array_position(F.array(*[F.lit(float(c)) for c in self.codes]), x)
-                out = F.when(at > 0, F.element_at(F.array(*[F.lit(float(p)) for p in self.probs]), F.greatest(at, F.lit(1)).cast("int"))).otherwise(FLOOR)
-            return F.greatest(out, F.lit(FLOOR))
-        if self.kind == "constant":
-            same = x.isNull() if self.value is None else x.eqNullSafe(F.lit(float(self.value)))
-            return F.when(same, 1.0).otherwise(FLOOR)
-        edges = F.array(*[F.lit(float(e)) for e in self.edges])
-        k = F.size(F.filter(edges, lambda e: e <= x))
-        per = F.array(*[F.lit(float(p) / max(b - a, FLOOR) * (1 - self.null)) for p, a, b in zip(self.probs, self.edges, self.edges[1:], strict=False)])
-        inside = F.when((k >= 1) & (k <= len(self.probs)), F.element_at(per, F.least(F.greatest(k, F.lit(1)), F.lit(len(self.probs))))).otherwise(F.lit(FLOOR))
-        return F.greatest(F.when(x.isNull(), F.lit(max(self.null, FLOOR))).otherwise(inside), F.lit(FLOOR))
-
 
 class SPN:
     def __init__(self, params: SPNParams, specs: list[ColumnSpec], root: Node | None = None, ledger: PrivacyLedger | None = None):
@@ -98,160 +67,18 @@ class SPN:
         p = self.params
         if p.private and self.ledger is None:
             self.ledger = PrivacyLedger(p.epsilon, max(len(self.columns), 1), p.max_depth, p.structure_fraction, measured_domain=any(s.domain_source == "data" for s in self.specs.values()))
-        df = encoded.select(*self.columns).persist()
-        self.root = self._build(df, self.columns, 0)
-        df.unpersist()
+        specs = {c: self.specs[c] for c in self.columns}
+        node = lambda kind, scope, weights, children: Node(kind, scope, weights, children)
+        leaves = lambda rows, groups: make_leaves(rows, {n: [specs[c] for c in o.scope] for n, o in groups.items()}, self.ledger)
+        self.root = structure.grow(encoded, specs, p, self.ledger, dependent, node, leaves) if specs else None
         return self
 
-    def _build(self, df: DataFrame, scope: list[str], depth: int) -> Node:
-        p = self.params
-        n = float(df.count())
-        size = self.ledger.node_size(n, depth) if self.ledger else n
-        if len(scope) == 1 or size < p.beta or depth >= p.max_depth or n < 2:
-            return self._leaves(df, scope)
-        parts = self._independent(df, scope, depth)
-        if len(parts) > 1:
-            return Node("product", scope, children=[self._build(df.select(*s), s, depth + 1) for s in parts])
-        k = min(p.max_clusters, max(2, int(size // p.beta) or 2))
-        labelled = self._cluster(df, scope, k, depth).persist()
-        counts = {r["_k"]: r["n"] for r in labelled.groupBy("_k").agg(F.count("*").alias("n")).collect()}
-        if len(counts) < 2:
-            labelled.unpersist()
-            return self._leaves(df, scope)
-        weights = [float(v) for _, v in sorted(counts.items())]
-        if self.ledger:
-            weights = self.ledger.counts(weights, self.ledger.per_level, f"level{depth}_weights")
-        kids = [self._build(labelled.filter(F.col("_k") == k).select(*scope), scope, depth + 1) for k in sorted(counts)]
-        labelled.unpersist()
-        return Node("sum", scope, [w / sum(weights) for w in weights], kids)
-
-    def _bins(self, df: DataFrame, scope: list[str]) -> dict[str, Column]:
-        """M9: codes as they are, else how many inner octile edges lie at or below; domain bins under privacy (Q7)."""
-        out: dict[str, Column] = {}
-        numeric = [c for c in scope if self.specs[c].kind != CATEGORICAL]
-        edges: dict[str, list[float]] = {}
-        if numeric and not self.ledger:
-            r = df.agg(*[F.percentile(c, [i / 8 for i in range(9)]).alias(c) for c in numeric]).first()
-            edges = {c: sorted(set(r[c] or [])) for c in numeric}
-        for c in scope:
-            if c not in numeric:
-                out[c] = F.coalesce(F.col(c), F.lit(-1.0))
-                continue
-            s = self.specs[c]
-            e = edges.get(c) if not self.ledger else [s.low + (s.high - s.low) * i / 8 for i in range(9)]
-            inner = (e or [])[1:-1]
-            x = at_or_below(inner, F.col(c)).cast("double")
-            out[c] = F.when(F.col(c).isNull(), F.lit(-1.0)).otherwise(x)
-        return out
-
-    def _independent(self, df: DataFrame, scope: list[str], depth: int) -> list[list[str]]:
-        """M7, M8: groups of columns that depend on each other, from one grouped count over all pairs."""
-        pairs = list(combinations(scope, 2))
-        tables = contingency(df, self._bins(df, scope), pairs)
-        group = {c: c for c in scope}
-
-        def top(c: str) -> str:
-            while group[c] != c:
-                c = group[c]
-            return c
-
-        for i, (a, b) in enumerate(pairs):
-            cells = tables.get(i, {})
-            if self.ledger:
-                keys = list(cells)
-                cells = dict(zip(keys, self.ledger.contingency([cells[k] for k in keys], len(pairs), depth), strict=True))
-            if top(a) != top(b) and dependent(cells, self.params.p_value):
-                group[top(a)] = top(b)
-        parts: dict[str, list[str]] = {}
-        for c in scope:
-            parts.setdefault(top(c), []).append(c)
-        return list(parts.values())
-
-    def _cluster(self, df: DataFrame, scope: list[str], k: int, depth: int) -> DataFrame:
-        """K-means over signed one-hot categories of at most 24 and z-scores; the best of four seeds."""
-        feats: dict[str, Column] = {}
-        numeric = [c for c in scope if self.specs[c].kind != CATEGORICAL]
-        stats = df.agg(F.count("*"), *[f for c in numeric for f in (F.percentile(c, 0.5).alias(f"m_{c}"), F.avg(c).alias(f"a_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]).first().asDict()
-        for c in scope:
-            s = self.specs[c]
-            if s.kind == CATEGORICAL and 2 <= len(s.categories) <= 24 and not self.ledger:
-                for v in range(len(s.categories)):
-                    feats[f"{c}_{v}"] = F.when(F.col(c) == float(v), 1.0).otherwise(-1.0)
-            elif s.kind == CATEGORICAL:
-                feats[c] = 2 * F.coalesce(F.col(c), F.lit(0.0)) / max(len(s.categories) - 1, 1) - 1
-            elif self.ledger:
-                feats[c] = F.greatest(F.least(2 * (F.coalesce(F.col(c), F.lit((s.low + s.high) / 2)) - s.low) / (s.high - s.low) - 1, F.lit(1.0)), F.lit(-1.0))
-            else:
-                std = stats[f"s_{c}"] or 0.0
-                feats[c] = (F.coalesce(F.col(c), F.lit(stats[f"m_{c}"] or 0.0)) - (stats[f"a_{c}"] or 0.0)) / std if std > 0 else F.lit(0.0)
-        wide = df.select(*scope, *[e.alias(f"_f{i}") for i, e in enumerate(feats.values())])
-        cols = [f"_f{i}" for i in range(len(feats))]
-        if self.ledger:
-            centres = dp_kmeans(wide, cols, k, self.ledger, depth)
-            dist = F.array(*[sum((F.col(c) - float(v)) * (F.col(c) - float(v)) for c, v in zip(cols, m, strict=True)) for m in centres])
-            return wide.select(*scope, (F.array_position(dist, F.array_min(dist)) - 1).cast("int").alias("_k"))
-        vec = VectorAssembler(inputCols=cols, outputCol="_v").transform(wide).persist()
-        models = [KMeans(k=k, seed=self.params.seed + i, featuresCol="_v", predictionCol="_k", maxIter=10).fit(vec) for i in range(4)]
-        best = min(models, key=lambda m: m.summary.trainingCost)
-        return best.transform(vec).select(*scope, "_k")
-
-    def _leaves(self, df: DataFrame, scope: list[str]) -> Node:
-        leaves = make_leaves(df, [self.specs[c] for c in scope], self.ledger)
-        return leaves[0] if len(leaves) == 1 else Node("product", scope, children=leaves)
-
     # sampling
 
     def sample(self, rows: DataFrame, rid: str, seed: int, stream: str, evidence: dict[str, Column] | None = None) -> DataFrame:
         """Rows with a value of every column; evidence columns are copied and shape the choice of components."""
-        out = rows
-        ev = evidence or {}
-        todo = [(self.root, "r")]
-        while todo:
-            node, path = todo.pop()
-            if node.kind == "product":
-                todo += [(c, f"{path}.{i}") for i, c in enumerate(node.children)]
-            elif node.kind == "sum":
-                groups = flatten(node)
-                scope = node.scope
-                out = self._draw_groups(out, rid, seed, f"{stream}:{path}", groups, scope, {c: e for c, e in ev.items() if c in scope})
-            else:
-                c = node.scope[0]
-                out = out.withColumn(f"_u_{c}", uniform(seed, f"{stream}:{path}:{c}", F.col(rid)))
-                out = out.withColumn(c, ev[c] if c in ev else draw_leaf(F.col(f"_u_{c}"), leaf_row(node))).drop(f"_u_{c}")
-        for c, s in self.specs.items():
-            if s.kind == NON_STD:
-                out = out.withColumn(c, F.lit(0.0))
-        return out
-
-    def _draw_groups(self, rows: DataFrame, rid: str, seed: int, stream: str, groups: list[tuple[float, dict[str, Node]]], scope: list[str], ev: dict[str, Column]) -> DataFrame:
-        spark = rows.sparkSession
-        out = rows.withColumn("_u", uniform(seed, f"{stream}:group", F.col(rid)))
-        weights = [w for w, _ in groups]
-        if ev:
-            scores = [F.lit(math.log(max(w, FLOOR))) for w in weights]
-            for c, e in ev.items():
-                out = out.withColumn(f"_e_{c}", e)
-                scores = [s + F.log(g[c].density(F.col(f"_e_{c}"))) for s, (_, g) in zip(scores, groups, strict=True)]
-            out = out.withColumn("_s", F.array(*scores))
-            out = out.withColumn("_s", F.transform("_s", lambda s: F.exp(s - F.array_max(F.col("_s")))))
-            total = F.aggregate("_s", F.lit(0.0), lambda a, x: a + x)
-            out = out.withColumn("_c", F.transform(F.sequence(F.lit(1), F.size("_s")), lambda k: F.aggregate(F.slice(F.col("_s"), F.lit(1), k), F.lit(0.0), lambda a, x: a + x) / total))
-        else:
-            cum, c = [], 0.0
-            for w in weights:
-                c += w
-                cum.append(c / sum(weights))
-            out = out.withColumn("_c", F.array(*[F.lit(x) for x in cum]))
-        out = out.withColumn("_g", F.least(F.size(F.filter("_c", lambda x: x <= F.col("_u"))), F.lit(len(groups) - 1)).cast("int"))
-        free = [c for c in scope if c not in ev]
-        table = [(i, *[leaf_row(g[c]) for c in free]) for i, (_, g) in enumerate(groups)]
-        kind = "struct<kind:string,cum:array<double>,codes:array<double>,edges:array<double>,nul:double>"
-        leaves = spark.createDataFrame(table, "_g int" + "".join(f", `_l_{c}` {kind}" for c in free))
-        out = out.join(F.broadcast(leaves), "_g")  # as many rows as the model has groups
-        for c in free:
-            out = out.withColumn(f"_u_{c}", uniform(seed, f"{stream}:{c}", F.col(rid)))
-        out = out.withColumns({c: draw_leaf(F.col(f"_u_{c}"), F.col(f"_l_{c}")) for c in free} | {c: F.col(f"_e_{c}") for c in ev})
-        return out.drop("_u", "_c", "_g", "_s", *[f"_{k}_{c}" for k in "lue" for c in scope])
+        out = descent.sample(rows, self.root, self.columns, rid, seed, stream, evidence) if self.columns else rows
+        return out.withColumns({c: F.lit(0.0) for c, s in self.specs.items() if s.kind == NON_STD})
 
     # persistence
 
@@ -263,21 +90,6 @@ class SPN:
         return cls(SPNParams(**d["params"]), [ColumnSpec(**s) for s in d["specs"]], Node.from_json(d["root"]))
 
 
-def at_or_below(edges: list[float], x: Column) -> Column:
-    """How many of some edges lie at or below a value."""
-    return F.size(F.filter(F.array(*[F.lit(float(v)) for v in edges]), lambda v: v <= x)) if edges else F.lit(0)
-
-
-def contingency(df: DataFrame, bins: dict[str, Column], pairs: list[tuple[str, str]]) -> dict[int, dict[tuple[float, float], float]]:
-    """Counts of all pairs of columns in one job: pair number to (bin, bin) to rows."""
-    binned = df.select(*[e.alias(c) for c, e in bins.items()])
-    cell = F.explode(F.array(*[F.struct(F.lit(i).alias("p"), F.col(a).alias("x"), F.col(b).alias("y")) for i, (a, b) in enumerate(pairs)]))
-    out: dict[int, dict[tuple[float, float], float]] = {}
-    for r in binned.select(cell.alias("c")).groupBy("c.p", "c.x", "c.y").agg(F.count("*").alias("n")).collect():
-        out.setdefault(r["p"], {})[r["x"], r["y"]] = float(r["n"])
-    return out
-
-
 def chi_square(cells: dict[tuple[float, float], float]) -> tuple[float, int]:
     """The statistic (with Yates' correction for two by two) and its degrees of freedom."""
     rows, cols = sorted({x for x, _ in cells}), sorted({y for _, y in cells})
@@ -333,95 +145,66 @@ def dependent(cells: dict[tuple[float, float], float], p_value: float = 0.05) ->
     return chi_square_p(*chi_square(cells)) < p_value
 
 
-def make_leaves(df: DataFrame, specs: list[ColumnSpec], ledger: PrivacyLedger | None = None) -> list[Node]:
-    """Leaves of all columns from two aggregates: figures and edges, then counts by column and bin."""
-    num = [s for s in specs if s.kind != CATEGORICAL]
-    r = df.agg(F.count("*").alias("n"), *[f for s in num for f in (F.count(s.name).alias(f"n_{s.name}"), F.min(s.name).alias(f"lo_{s.name}"), F.max(s.name).alias(f"hi_{s.name}"))]).first()
-    n = r["n"]
-    edges: dict[str, list[float]] = {}
+def make_leaves(rows: DataFrame, groups: dict[int, list[ColumnSpec]], ledger: PrivacyLedger | None = None) -> dict[int, list[Node]]:
+    """{group: leaves of its columns} from rows with `_node`: one aggregate for figures, exact edges, one count by column and bin.
+
+    Under privacy every code of the domain, every bin and the null are noisy counts, whether they occur or not.
+    """
+    specs = {s.name: s for cols in groups.values() for s in cols}
+    num = [c for c, s in specs.items() if s.kind != CATEGORICAL]
+    edges: dict[tuple[int, str], list[float]] = {}
+    n: dict[int, int] = dict.fromkeys(groups, 0)
+    some: dict[tuple[int, str], int] = {}
     if ledger:
-        edges = {s.name: [s.low + (s.high - s.low) * i / 16 for i in range(17)] for s in num}
+        edges = {(g, s.name): [s.low + (s.high - s.low) * i / 16 for i in range(17)] for g, cols in groups.items() for s in cols if s.kind != CATEGORICAL}
     else:
-        bins = {s.name: min(32, max(4, int(math.sqrt(max(r[f"n_{s.name}"], 1))))) for s in num}
-        if num:
-            q = df.agg(*[F.percentile(s.name, [i / bins[s.name] for i in range(bins[s.name] + 1)]).alias(s.name) for s in num]).first()
-            edges = {s.name: sorted(set(q[s.name] or [])) for s in num}
+        for r in rows.groupBy("_node").agg(F.count("*").alias("n"), *[F.count(F.col(f"`{c}`")).alias(f"n_{c}") for c in num]).collect():
+            n[r["_node"]] = r["n"]
+            some |= {(r["_node"], c): r[f"n_{c}"] for c in num}
+        bins = lambda k: min(32, max(4, int(math.sqrt(max(k, 1)))))
+        mine = {(g, s.name) for g, cols in groups.items() for s in cols}
+        shares = lambda g, c, k: [i / bins(k) for i in range(bins(k) + 1)] if (g, c) in mine else []
+        edges = {k: sorted(set(v)) for k, v in quantiles.grouped(rows, "_node", num, shares).items() if v}
     for e in edges.values():
         if len(e) > 1:
             e[-1] = math.nextafter(e[-1], math.inf)
-    cells = []
-    for s in specs:
-        x = F.col(s.name)
-        if s.kind == CATEGORICAL:
-            b = F.coalesce(x, F.lit(-1.0))
+    names = list(specs)
+    look = [(g, [edges.get((g, c), []) for c in names], [names.index(s.name) for s in cols]) for g, cols in groups.items()]
+    table = rows.sparkSession.createDataFrame(look, "_node int, e array<array<double>>, cols array<int>")
+    bins_ = []
+    for i, c in enumerate(names):
+        x = F.col(f"`{c}`")
+        if specs[c].kind == CATEGORICAL:
+            bins_.append(F.coalesce(x, F.lit(-1.0)))
         else:
-            e = edges[s.name]
-            k = at_or_below(e, x)
-            b = F.when(x.isNull(), F.lit(-1.0)).otherwise(F.least(F.greatest(k - 1, F.lit(0)), F.lit(max(len(e) - 2, 0))).cast("double"))
-        cells.append(F.struct(F.lit(s.name).alias("c"), b.alias("b")))
-    counts: dict[str, dict[float, float]] = {s.name: {} for s in specs}
-    for row in df.select(F.explode(F.array(*cells)).alias("x")).groupBy("x.c", "x.b").agg(F.count("*").alias("n")).collect():
-        counts[row["c"]][row["b"]] = float(row["n"])
-    out = []
-    for s in specs:
-        got = counts[s.name]
-        if s.kind == CATEGORICAL:
-            codes = [float(i) for i in range(len(s.categories))] + ([-1.0] if got.get(-1.0) else []) if ledger else sorted(got)
-            v = [got.get(c, 0.0) for c in codes]
-            if ledger:
-                v = ledger.counts(v, ledger.per_column, f"column_{s.name}")
-            t = sum(v) or 1.0
-            out.append(Node("categorical", [s.name], codes=codes, probs=[x / t for x in v]) if codes else Node("constant", [s.name]))
-            continue
-        e = edges[s.name]
-        if len(e) < 2:
-            some = n and not r[f"n_{s.name}"]
-            out.append(Node("constant", [s.name], value=None if some or not e else e[0]) if not (0 < r[f"n_{s.name}"] < n) else Node("histogram", [s.name], probs=[1.0], edges=[e[0], math.nextafter(e[0], math.inf)], null=1 - r[f"n_{s.name}"] / n))
-            continue
-        v = [got.get(float(i), 0.0) for i in range(len(e) - 1)]
-        null = got.get(-1.0, 0.0)
-        if ledger:  # one histogram with the nulls as a bin of their own, so that the budget is spent once (Q6)
-            v = ledger.counts([*v, null], ledger.per_column, f"column_{s.name}")
-            null = v.pop()
-        t = sum(v)
-        out.append(Node("histogram", [s.name], probs=[x / t for x in v] if t else [1 / len(v)] * len(v), edges=e, null=null / ((t + null) or 1.0)))
-    return out
-
-
-def flatten(node: Node) -> list[tuple[float, dict[str, Node]]]:
-    """The products of leaves under a node, with their weights."""
-    if node.kind == "sum":
-        return [(w * v, g) for w, c in zip(node.weights, node.children, strict=True) for v, g in flatten(c)]
-    if node.kind == "product":
-        out: list[tuple[float, dict[str, Node]]] = [(1.0, {})]
-        for c in node.children:
-            out = [(w * v, g | h) for w, g in out for v, h in flatten(c)]
-        return out
-    return [(1.0, {node.scope[0]: node})]
-
-
-def leaf_row(leaf: Node) -> tuple:
-    cum, c = [], 0.0
-    for p in leaf.probs:
-        c += p
-        cum.append(c)
-    if leaf.kind == "constant":
-        return ("constant", [1.0], [], [], 1.0 if leaf.value is None else 0.0) if leaf.value is None else ("categorical", [1.0], [float(leaf.value)], [], 0.0)
-    return (leaf.kind, cum, [float(x) for x in leaf.codes], [float(x) for x in leaf.edges], float(leaf.null))
-
-
-def draw_leaf(u: Column, leaf) -> Column:
-    """M3-M5: a value from a leaf's cumulative arrays; what is left of the uniform places it within its bin."""
-    if isinstance(leaf, tuple):
-        arr = lambda v: F.array(*[F.lit(x) for x in v]) if v else F.array().cast("array<double>")
-        leaf = F.struct(F.lit(leaf[0]).alias("kind"), arr(leaf[1]).alias("cum"), arr(leaf[2]).alias("codes"), arr(leaf[3]).alias("edges"), F.lit(leaf[4]).alias("nul"))
-    cum, codes, edges, null = (leaf.getField(k) for k in ("cum", "codes", "edges", "nul"))
-    k = lambda x: F.least(F.size(F.filter(cum, lambda c: c <= x)), F.size(cum) - 1)
-    cat = F.try_element_at(codes, k(u) + 1)
-    v = (u - null) / F.greatest(1 - null, F.lit(FLOOR))
-    i = k(v)
-    before = F.when(i > 0, F.try_element_at(cum, F.greatest(i, F.lit(1)))).otherwise(0.0)
-    share = (v - before) / F.greatest(F.try_element_at(cum, i + 1) - before, F.lit(FLOOR))
-    lo, hi = F.try_element_at(edges, i + 1), F.try_element_at(edges, i + 2)
-    hist = F.when(u < null, F.lit(None)).otherwise(lo + F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * (hi - lo))
-    return F.when(leaf.getField("kind") == "categorical", cat).when(leaf.getField("kind") == "histogram", hist)
+            e = F.element_at("e", i + 1)
+            k = structure.at_or_below(e, x) - 1
+            bins_.append(F.when(x.isNull(), F.lit(-1.0)).otherwise(F.least(F.greatest(k, F.lit(0)), F.greatest(F.size(e) - 2, F.lit(0))).cast("double")))
+    table = F.broadcast(table) if len(look) <= quantiles.LOOKED_UP else table  # a row a group of leaves
+    cells = rows.join(table, "_node").select("_node", "cols", F.array(*bins_).alias("b"))
+    cells = cells.select("_node", F.explode(F.transform("cols", lambda c: F.struct(c.alias("c"), F.element_at("b", c + 1).alias("b")))).alias("x"))
+    counts: dict[tuple[int, str], dict[float, float]] = {}
+    for r in cells.groupBy("_node", "x.c", "x.b").agg(F.count("*").alias("n")).collect():
+        counts.setdefault((r["_node"], names[r["c"]]), {})[r["b"]] = float(r["n"])
+    return {g: [_leaf(s, counts.get((g, s.name), {}), edges.get((g, s.name), []), n[g], some.get((g, s.name), 0), ledger) for s in cols] for g, cols in groups.items()}
+
+
+def _leaf(s: ColumnSpec, got: dict[float, float], e: list[float], n: int, some: int, ledger: PrivacyLedger | None) -> Node:
+    """A leaf of the counts by bin (-1: null): of n rows some have a value."""
+    if s.kind == CATEGORICAL:
+        codes = [-1.0, *(float(i) for i in range(len(s.categories)))] if ledger else sorted(got)
+        v = [got.get(c, 0.0) for c in codes]
+        if ledger:
+            v = ledger.counts(v, ledger.per_column, f"column_{s.name}")
+        t = sum(v) or 1.0
+        return Node("categorical", [s.name], codes=codes, probs=[x / t for x in v]) if codes else Node("constant", [s.name])
+    if len(e) < 2:
+        if 0 < some < n:
+            return Node("histogram", [s.name], probs=[1.0], edges=[e[0], math.nextafter(e[0], math.inf)], null=1 - some / n)
+        return Node("constant", [s.name], value=e[0] if e else None)
+    v, null = [got.get(float(i), 0.0) for i in range(len(e) - 1)], got.get(-1.0, 0.0)
+    if ledger:  # one histogram with the nulls as a bin of their own, so that the budget is spent once (Q6)
+        v = ledger.counts([*v, null], ledger.per_column, f"column_{s.name}")
+        null = v.pop()
+    t = sum(v)
+    return Node("histogram", [s.name], probs=[x / t for x in v] if t else [1 / len(v)] * len(v), edges=e, null=null / ((t + null) or 1.0))

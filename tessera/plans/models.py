@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import rng
-from tessera.operators import arf, autoconfigure, dp, encode, evaluate, joins, relational, spn
+from tessera.operators import arf, autoconfigure, descent, dp, encode, evaluate, joins, relational, spn, structure
 from tessera.operators.keys import infer_schema
 from tessera.plans import pipeline
 from tessera.plans.registry import query
@@ -17,11 +17,17 @@ S = SparkSession
 O, L, E = sql("orders"), sql("lineitem"), sql("events")
 
 
+def _cells(df: DataFrame, a: str, b: str) -> tuple[dict, list]:
+    """The table of two columns' codes as learning counts it, and their specs."""
+    specs = encode.fit(df.select(a, b), {a: "categorical", b: "categorical"}, find_mirrors=False)
+    rows = encode.transform(df, specs).withColumn("_node", F.lit(0))
+    return structure.tables(rows, {0: structure.Open(0, [a, b])}, {s.name: s for s in specs}, {0: {}})[0, 0, 1], specs
+
+
 @query("contingency", f"SELECT status, priority, count(*) AS n FROM {O} GROUP BY 1, 2")
 def contingency(spark: S, d: str) -> DataFrame:
-    o = load(spark, d, "orders")
-    cells = spn.contingency(o, {"status": F.col("status"), "priority": F.col("priority")}, [("status", "priority")])[0]
-    return spark.createDataFrame([(a, b, int(n)) for (a, b), n in cells.items()], "status string, priority string, n long")
+    cells, (x, y) = _cells(load(spark, d, "orders"), "status", "priority")
+    return spark.createDataFrame([(x.categories[int(a)], y.categories[int(b)], int(n)) for (a, b), n in cells.items()], "status string, priority string, n long")
 
 
 @query(
@@ -31,8 +37,7 @@ f AS (SELECT coalesce(c.n, 0) AS o, CAST(r.n AS DOUBLE) * k.n / t.n AS e FROM r
 SELECT round(sum((o - e) * (o - e) / e), 4) AS statistic, CAST((SELECT (count(*) - 1) FROM r) * (SELECT count(*) - 1 FROM k) AS BIGINT) AS degrees FROM f""",
 )
 def chi2_stat(spark: S, d: str) -> DataFrame:
-    li = load(spark, d, "lineitem")
-    cells = spn.contingency(li, {"a": F.col("returnflag"), "b": F.col("linestatus")}, [("a", "b")])[0]
+    cells, _ = _cells(load(spark, d, "lineitem"), "returnflag", "linestatus")
     stat, df = spn.chi_square(cells)
     return rounded(spark.createDataFrame([(stat, df)], "statistic double, degrees long"), 4)
 
@@ -43,9 +48,10 @@ _EDGES = f"(SELECT list_sort(list_distinct(quantile_cont(totalprice, [0, 0.125,
 @query("quantile_bins", f"SELECT order_id, CAST(len(list_filter(e[2:8], lambda x: x <= totalprice)) AS DOUBLE) AS bin FROM {O}, {_EDGES}")
 def quantile_bins(spark: S, d: str) -> DataFrame:
     o = load(spark, d, "orders")
-    specs = [s for s in encode.fit(o.select("totalprice"))]
-    m = spn.SPN(spn.SPNParams(), specs)
-    return o.select("order_id", m._bins(o, ["totalprice"])["totalprice"].alias("bin"))
+    specs = {s.name: s for s in encode.fit(o.select("totalprice"))}
+    edges, _ = structure.edges_of(o.withColumn("_node", F.lit(0)), {0: structure.Open(0, ["totalprice"])}, specs, False)
+    inner = F.array(*[F.lit(e) for e in edges[0]["totalprice"]])
+    return o.select("order_id", F.size(F.filter(inner, lambda e: e <= F.col("totalprice"))).cast("double").alias("bin"))
 
 
 @query(
@@ -56,7 +62,7 @@ SELECT CAST(bin AS BIGINT) AS bin, round(count(*) / CAST(sum(count(*)) OVER () A
 def histogram_leaf(spark: S, d: str) -> DataFrame:
     li = load(spark, d, "lineitem").select("quantity")
     specs = encode.fit(li, {"quantity": "numerical"})
-    leaf = spn.make_leaves(encode.transform(li, specs), specs)[0]
+    leaf = spn.make_leaves(encode.transform(li, specs).withColumn("_node", F.lit(0)), {0: specs})[0][0]
     return rounded(spark.createDataFrame([(i, p) for i, p in enumerate(leaf.probs) if p], "bin long, prob double"))
 
 
@@ -64,7 +70,7 @@ def histogram_leaf(spark: S, d: str) -> DataFrame:
 def categorical_leaf(spark: S, d: str) -> DataFrame:
     o = load(spark, d, "orders").select("priority")
     specs = encode.fit(o)
-    leaf = spn.make_leaves(encode.transform(o, specs), specs)[0]
+    leaf = spn.make_leaves(encode.transform(o, specs).withColumn("_node", F.lit(0)), {0: specs})[0][0]
     return rounded(spark.createDataFrame([(specs[0].categories[int(c)], p) for c, p in zip(leaf.codes, leaf.probs, strict=True)], "priority string, prob double"))
 
 
@@ -119,7 +125,7 @@ def sample_histogram(spark: S, d: str) -> DataFrame:
     p = c.agg(F.avg((F.col("acctbal") < (r["hi"] + r["lo"]) / 2).cast("double"))).first()[0]
     leaf = spn.Node("histogram", ["x"], probs=[p, 1 - p], edges=[r["lo"], mid, r["hi"]])
     u = c.select("customer_id").withColumn("u", rng.uniform(9, "h", F.col("customer_id")))
-    return rounded(u.select("customer_id", spn.draw_leaf(F.col("u"), spn.leaf_row(leaf)).alias("drawn")), 4)
+    return rounded(u.select("customer_id", descent.draw_leaf(F.col("u"), F.element_at(descent.Layout(leaf, ["x"]).leaf(0), 1)).alias("drawn")), 4)
 
 
 @query(
@@ -138,12 +144,50 @@ _POST = "CASE status WHEN 'F' THEN {0} WHEN 'O' THEN {1} WHEN 'P' THEN {2} ELSE
 
 @query("spn_posterior", f"WITH s AS (SELECT order_id, 0.3 * {_POST.format(0.7, 0.2, 0.1)} AS a, 0.7 * {_POST.format(0.1, 0.6, 0.3)} AS b FROM {O}) SELECT order_id, round(a / (a + b), 6) AS first, round(b / (a + b), 6) AS second FROM s")
 def spn_posterior(spark: S, d: str) -> DataFrame:
-    """M1: a fixed mixture's posterior given one column."""
+    """M1: a mixture's posterior given one column, as sampling draws from it."""
     code = F.array_position(F.array(F.lit("F"), F.lit("O"), F.lit("P")), F.col("status")).cast("double") - 1
     leaves = [spn.Node("categorical", ["status"], codes=[0.0, 1.0, 2.0], probs=p) for p in ([0.7, 0.2, 0.1], [0.1, 0.6, 0.3])]
-    o = load(spark, d, "orders").select("order_id", code.alias("c"))
-    a, b = 0.3 * leaves[0].density(F.col("c")), 0.7 * leaves[1].density(F.col("c"))
-    return rounded(o.select("order_id", a.alias("a"), b.alias("b")).select("order_id", (F.col("a") / (F.col("a") + F.col("b"))).alias("first"), (F.col("b") / (F.col("a") + F.col("b"))).alias("second")))
+    o = descent.posterior(load(spark, d, "orders"), spn.Node("sum", ["status"], [0.3, 0.7], leaves), ["status"], {"status": code})
+    return rounded(o.select("order_id", F.element_at("posterior", 1).alias("first"), (F.element_at("posterior", 2) - F.element_at("posterior", 1)).alias("second")))
+
+
+def _network() -> spn.Node:
+    """Two mixtures beside each other: a and b depend on each other, c does not depend on them."""
+    leaf = lambda c, *p: spn.Node("categorical", [c], codes=[float(i) for i in range(len(p))], probs=list(p))
+    one = spn.Node("sum", ["a", "b"], [0.25, 0.75], [spn.Node("product", ["a", "b"], children=[leaf("a", 0.9, 0.1), leaf("b", 0.2, 0.8)]), spn.Node("product", ["a", "b"], children=[leaf("a", 0.4, 0.6), leaf("b", 0.5, 0.5)])])
+    two = spn.Node("sum", ["c"], [0.5, 0.5], [leaf("c", 1.0), spn.Node("histogram", ["c"], probs=[0.5, 0.5], edges=[1.0, 2.0, 4.0])])
+    return spn.Node("product", ["a", "b", "c"], children=[one, two])
+
+
+def _u(stream: str, *ids: str) -> str:
+    return rng.uniform_sql(21, stream, *ids)
+
+
+_K = "CASE WHEN {u} >= {p} THEN 1 ELSE 0 END"
+_PLACE = _K.format(u=_u("net:1", "0", "order_id"), p="0.25"), _K.format(u=_u("net:1", "1", "order_id"), p="0.5")
+_C = f"CASE WHEN j = 0 THEN 0.0 WHEN {_u('net:c', 'order_id')} < 0.5 THEN 1 + {_u('net:c', 'order_id')} / 0.5 ELSE 2 + ({_u('net:c', 'order_id')} - 0.5) / 0.5 * 2 END"
+
+
+def _drawn(c: str, p: float, q: float) -> str:
+    return f"CAST(CASE WHEN {_u('net:' + c, 'order_id')} >= CASE WHEN i = 0 THEN {p} ELSE {q} END THEN 1 ELSE 0 END AS DOUBLE) AS {c}"
+
+
+@query("spn_descent", f"SELECT order_id, {_drawn('a', 0.9, 0.4)}, {_drawn('b', 0.2, 0.5)}, round({_C}, 6) AS c FROM (SELECT order_id, {_PLACE[0]} AS i, {_PLACE[1]} AS j FROM {O})")
+def spn_descent(spark: S, d: str) -> DataFrame:
+    """A row for each order drawn from a given network of two mixtures beside each other."""
+    rows = load(spark, d, "orders").select("order_id")
+    return rounded(descent.sample(rows, _network(), ["a", "b", "c"], "order_id", 21, "net"))
+
+
+@query(
+    "spn_given",
+    f"""WITH e AS (SELECT order_id, CASE status WHEN 'F' THEN 0 ELSE 1 END AS b FROM {O}), p AS (SELECT *, 0.25 * CASE b WHEN 0 THEN 0.2 ELSE 0.8 END AS x, 0.75 * 0.5 AS y FROM e),
+k AS (SELECT order_id, b, CASE WHEN {_u('net:1', '0', 'order_id')} >= x / (x + y) THEN 1 ELSE 0 END AS i FROM p) SELECT order_id, {_drawn('a', 0.9, 0.4)}, CAST(b AS DOUBLE) AS b FROM k""",
+)
+def spn_given(spark: S, d: str) -> DataFrame:
+    """The same network where the orders' status gives b: it is copied, and shapes what is drawn of a."""
+    rows = load(spark, d, "orders").select("order_id", F.when(F.col("status") == "F", 0.0).otherwise(1.0).alias("given"))
+    return descent.sample(rows, _network(), ["a", "b", "c"], "order_id", 21, "net", {"b": F.col("given")}).select("order_id", "a", "b")
 
 
 @query("leaf_density", f"WITH l AS (SELECT returnflag AS leaf, avg(extendedprice) AS m, stddev_pop(extendedprice) AS s, min(extendedprice) AS lo, max(extendedprice) AS hi, count(*) AS n FROM {L} GROUP BY 1) SELECT leaf, round(m, 4) AS mean, round(s, 4) AS std, round(lo, 4) AS low, round(hi, 4) AS high, round(n / CAST(sum(n) OVER () AS DOUBLE), 6) AS weight FROM l")
@@ -164,21 +208,32 @@ def _beta(n: int) -> spn.SPNParams:
     return spn.SPNParams(beta=max(n // 4, 100), max_depth=2)
 
 
-@query("kmeans_split")
+_CENTRES = [[0.1, 0.2], [0.5, 0.9], [0.9, 0.4]]
+
+
+def _lloyd_sql(rounds: int) -> str:
+    out = f"WITH l AS (SELECT quantity / 50 AS a, discount * 10 AS b FROM {L}), c0 AS (SELECT " + ", ".join(f"{x} AS a{k}, {y} AS b{k}" for k, (x, y) in enumerate(_CENTRES)) + ")"
+    for i in range(rounds + 1):
+        far = ", ".join(f"(a - a{k}) * (a - a{k}) + (b - b{k}) * (b - b{k}) AS d{k}" for k in range(3))
+        out += f", k{i} AS (SELECT a, b, CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END AS k FROM (SELECT a, b, {far} FROM l, c{i}))"
+        out += f", c{i + 1} AS (SELECT " + ", ".join(f"avg(a) FILTER (k = {k}) AS a{k}, avg(b) FILTER (k = {k}) AS b{k}" for k in range(3)) + f" FROM k{i})"
+    return out + f" SELECT k AS cluster, count(*) AS n, round(avg(a), 6) AS a, round(avg(b), 6) AS b FROM k{rounds} GROUP BY 1"
+
+
+@query("kmeans_split", _lloyd_sql(3))
 def kmeans_split(spark: S, d: str) -> DataFrame:
-    """Cluster sizes and means of one split of the line items."""
-    li = load(spark, d, "lineitem").select("quantity", "discount", "returnflag")
-    specs = encode.fit(li, find_mirrors=False)
-    enc = encode.transform(li, specs)
-    out = spn.SPN(spn.SPNParams(), specs)._cluster(enc, [s.name for s in specs], 3, 0)
-    return out.groupBy(F.col("_k").alias("cluster")).agg(F.count("*").alias("n"), F.avg("quantity").alias("quantity"), F.avg("discount").alias("discount"))
+    """Three rounds over the line items from given centres, then the clusters' sizes and means."""
+    li = load(spark, d, "lineitem").select(F.lit(0).alias("_node"), F.array(F.col("quantity") / 50, F.col("discount") * 10).alias("x"))
+    _, step = structure.lloyd(li, {(0, 0): _CENTRES}, rounds=3)
+    n, sums, _ = step[0, 0]
+    return rounded(spark.createDataFrame([(k, int(n[k]), float(sums[k][0] / n[k]), float(sums[k][1] / n[k])) for k in range(3) if n[k]], "cluster int, n long, a double, b double"))
 
 
 @query("dp_kmeans")
 def dp_kmeans(spark: S, d: str) -> DataFrame:
     """D5 under a test seed: noisy centres of two scaled columns."""
-    li = load(spark, d, "lineitem").select((F.col("quantity") / 25 - 1).alias("a"), (F.col("discount") * 20 - 1).alias("b"))
-    centres = dp.kmeans(li, ["a", "b"], 3, dp.PrivacyLedger(8.0, 2, seed=1))
+    li = load(spark, d, "lineitem").select(F.lit(0).alias("_node"), F.array(F.col("quantity") / 25 - 1, F.col("discount") * 20 - 1).alias("x"))
+    centres = structure.private_centres(li, {0: 3}, {0: 1.0}, {0: 2}, dp.PrivacyLedger(8.0, 2, seed=1), 0)[0]
     return spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(centres)], "cluster int, a double, b double")
 
 
