@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.rng import uniform
 from tessera.functions.scalar import truncated_normal
+from tessera.operators import quantiles
 from tessera.operators.joins import bootstrap
 from tessera.types import CATEGORICAL, NON_STD, ColumnSpec
 
@@ -55,7 +56,7 @@ class ARF:
         MLlib has no out-of-bag score: a hash-chosen quarter of the rows is held out instead.
         """
         p, cols = self.params, [s.name for s in self.columns]
-        med = encoded.agg(*[F.percentile(c, 0.5).alias(c) for c in cols]).first().asDict()
+        med = {c: (v or [0.0])[0] for c, v in quantiles.quantiles(encoded, cols, [0.5]).items()}
         real = encoded.select(rid, *cols).persist()
         fake = bootstrap(real, cols, p.seed, rid).withColumn(rid, F.monotonically_increasing_id())
         model = None

@@ -194,12 +194,14 @@ def sample(rows: DataFrame, root, columns: list[str], rid: str, seed: int, strea
 def draw_leaf(u: Column, leaf: Column) -> Column:
     """M3-M5: a value from a leaf's cumulative arrays; what is left of the uniform places it within its bin."""
     cum, codes, edges, null = (leaf.getField(k) for k in ("cum", "codes", "edges", "nul"))
-    k = lambda x: F.least(F.size(F.filter(cum, lambda c: c <= x)), F.size(cum) - 1)
-    cat = F.try_element_at(codes, k(u) + 1)
-    v = (u - null) / F.greatest(1 - null, F.lit(FLOOR))
-    i = k(v)
-    before = F.when(i > 0, F.try_element_at(cum, F.greatest(i, F.lit(1)))).otherwise(0.0)
-    share = (v - before) / F.greatest(F.try_element_at(cum, i + 1) - before, F.lit(FLOOR))
-    lo, hi = F.try_element_at(edges, i + 1), F.try_element_at(edges, i + 2)
-    hist = F.when(u < null, F.lit(None)).otherwise(lo + F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * (hi - lo))
-    return F.when(leaf.getField("kind") == "categorical", cat).when(leaf.getField("kind") == "histogram", hist)
+    place = lambda x: F.least(F.size(F.filter(cum, lambda c: c <= x)), F.size(cum) - 1)
+
+    def within(v: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.try_element_at(cum, F.greatest(i, F.lit(1)))).otherwise(0.0)
+        share = (v - before) / F.greatest(F.try_element_at(cum, i + 1) - before, F.lit(FLOOR))
+        lo, hi = F.try_element_at(edges, i + 1), F.try_element_at(edges, i + 2)
+        return lo + F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * (hi - lo)
+
+    hist = bind((u - null) / F.greatest(1 - null, F.lit(FLOOR)), lambda v: bind(place(v), lambda i: within(v, i)))
+    kind = leaf.getField("kind")
+    return F.when(kind == "categorical", F.try_element_at(codes, place(u) + 1)).when((kind == "histogram") & (u >= null), hist)

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.rng import uniform
 from tessera.functions.scalar import from_epoch, inverse_log, log_transform, placeholder, placeholder_style
+from tessera.operators import quantiles
 from tessera.operators.profile import as_number, granularity, infer_kinds, is_date, is_numeric, mirrors
 from tessera.types import CATEGORICAL, DATETIME, NON_STD, NUMERICAL, OTHER, TIMEDELTA, ColumnSpec
 
@@ -36,10 +37,11 @@ def fit(df: DataFrame, overrides: dict[str, str] | None = None, domain: dict[str
         aggs.append(F.avg(F.col(f"`{c}`").isNull().cast("double")).alias(f"{c}__null"))
     for c in numeric:
         x = as_number(df, c)
-        aggs += [F.min(x).alias(f"{c}__lo"), F.max(x).alias(f"{c}__hi"), F.percentile(x, 0.5).alias(f"{c}__mid"), F.stddev_pop(x).alias(f"{c}__std")]
+        aggs += [F.min(x).alias(f"{c}__lo"), F.max(x).alias(f"{c}__hi"), F.stddev_pop(x).alias(f"{c}__std")]
         for k in range(7):
             aggs.append(F.max(F.abs(x - F.bround(x, k))).alias(f"{c}__d{k}"))
     r = df.agg(*aggs).first().asDict()
+    mid = quantiles.quantiles(df, {c: as_number(df, c) for c in numeric}, [0.5])
     dates = [c for c in numeric if kinds[c] == DATETIME]
     grids = {g["column_name"]: g["granularity"] for g in granularity(df, dates).collect()} if dates else {}
     cats = [c for c, k in kinds.items() if k == CATEGORICAL]
@@ -81,7 +83,7 @@ def fit(df: DataFrame, overrides: dict[str, str] | None = None, domain: dict[str
             s.low, s.high = float(lo if lo is not None else 0), float(hi if hi is not None else 1)
             if s.high <= s.low:
                 s.high = s.low + 1e-9
-            s.median, s.std = float(r[f"{c}__mid"] or 0), float(r[f"{c}__std"] or 0)
+            s.median, s.std = (mid[c] or [0.0])[0], float(r[f"{c}__std"] or 0)
             s.granularity = float(grids.get(c, 0))
             s.integral = isinstance(f.dataType, T.IntegralType)
             s.decimals = next((k for k in range(7) if (r[f"{c}__d{k}"] or 0) <= 1e-9), None)
@@ -204,7 +206,8 @@ def domain_summary(specs: list[ColumnSpec]) -> dict[str, list[str]]:
 
 def zscore(df: DataFrame, columns: list[str]) -> DataFrame:
     """Median-filled z-scores of numbers (population deviation; 0 where that is 0)."""
-    stats = df.agg(*[f for c in columns for f in (F.percentile(c, 0.5).alias(f"_m_{c}"), F.avg(c).alias(f"_a_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))])
+    mid = quantiles.quantiles(df, columns, [0.5])
+    stats = df.agg(*[f for c in columns for f in (F.lit((mid[c] or [None])[0]).cast("double").alias(f"_m_{c}"), F.avg(c).alias(f"_a_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))])
     out = df.crossJoin(F.broadcast(stats))
     for c in columns:
         x = F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}"))

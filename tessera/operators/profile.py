@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.scalar import epoch_seconds, parse_date, to_number
+from tessera.operators import quantiles
 from tessera.types import CATEGORICAL, DATETIME, NON_STD, NUMERICAL, OTHER, TIMEDELTA
 
 GRIDS = (86400, 3600, 60, 1)
@@ -100,6 +101,7 @@ def categories(df: DataFrame, column: str, most: int = 50) -> DataFrame:
 def domain_bounds(df: DataFrame, columns: list[str]) -> DataFrame:
     """T4: (column_name, low, high) in model space; equal bounds are set a billionth apart."""
     aggs = []
+    cuts = quantiles.quantiles(df, {c: as_number(df, c) for c in columns if not is_date(df.schema[c].dataType)}, [0.5, 0.99])
     for c in columns:
         x = as_number(df, c)
         low, high = F.min(x), F.max(x)
@@ -173,7 +175,7 @@ def derive_domains(df: DataFrame, columns: list[str]) -> DataFrame:
             aggs += [(low - pad).alias(f"{c}__low"), (high + pad).alias(f"{c}__high"), F.lit(False).alias(f"{c}__log")]
             continue
         lo = F.when(low > 0, 0.95 * low).when(low == 0, F.lit(0.0)).otherwise(low - 0.1 * span)
-        mid, top = F.percentile(x, 0.5), F.percentile(x, 0.99)
+        mid, top = (F.lit(v).cast("double") for v in cuts[c] or (None, None))
         aggs += [lo.alias(f"{c}__low"), (high + 0.05 * span).alias(f"{c}__high"), F.coalesce((lo >= 0) & (mid > 0) & (top / F.nullif(mid, F.lit(0.0)) > 8), F.lit(False)).alias(f"{c}__log")]
     return unpivot_stats(df.agg(*aggs), columns, ["low", "high", "log"])
 

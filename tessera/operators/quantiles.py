@@ -7,10 +7,13 @@ the least and greatest value that they really hold), and what is left has at mos
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.tables import settled
+
 #: Buckets that an interval is cut into, and values of an interval that are sorted together.
 BUCKETS, TOGETHER = 64, 10_000
 #: Intervals that are broadcast; more are joined.
@@ -22,6 +25,28 @@ def _long(df: DataFrame, group: str, columns: dict[str, Column]) -> DataFrame:
     return df.select(F.col(group).alias("_g"), F.explode(cells).alias("_x")).select("_g", "_x.c", "_x.x").filter("x is not null and not isnan(x)")
 
 
+@dataclass
+class Interval:
+    """Values of a group's column between two that occur: so many, the first of them of some rank, and ranks that are wanted of them."""
+
+    key: tuple
+    low: float
+    high: float
+    rows: int
+    first: int
+    ranks: list[int]
+    turn: int = 0
+
+    def by_logarithm(self) -> bool:
+        """Every second cut is by magnitude, where values spread over several: equal cuts alone would take a turn for each few powers of two."""
+        return self.turn % 2 == 1 and (self.low * self.high <= 0 or not 0.1 < self.low / self.high < 10)
+
+
+def magnitude(x: Column) -> Column:
+    """Grows with x, in steps by its logarithm: from -1455 to 1455 over all doubles."""
+    return F.signum(x) * F.greatest(F.coalesce(F.ln(F.abs(x)), F.lit(-745.0)) + 745, F.lit(0.0))
+
+
 def grouped(df: DataFrame, group: str, columns: dict[str, Column] | list[str], wanted, together: int = TOGETHER, buckets: int = BUCKETS) -> dict[tuple, list[float]]:
     """{(group, column): values} at the shares that wanted(group, column, rows) asks for; linear between neighbours, nulls left out.
 
@@ -32,64 +57,79 @@ def grouped(df: DataFrame, group: str, columns: dict[str, Column] | list[str], w
     if not names:
         return {}
     long = _long(df, group, columns)
-    spark = df.sparkSession
+    kind = dict(long.dtypes)["_g"]
     found: dict[tuple, dict[int, float]] = {}
     shares: dict[tuple, list[float]] = {}
     sizes: dict[tuple, int] = {}
-    todo: list[tuple] = []  # group, column, least, greatest, rows, rank of the first, ranks
+    held: list[Interval] = []
     for r in long.groupBy("_g", "c").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect():
         key, n = (r["_g"], names[r["c"]]), r["n"]
         shares[key], sizes[key], found[key] = list(wanted(*key, n)), n, {}
         ranks = sorted({k for p in shares[key] for k in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))})
-        todo.append((r["_g"], r["c"], r["lo"], r["hi"], n, 0, ranks))
-    while todo := _settle(todo, names, found):
-        large = [t for t in todo if t[4] > together]
+        held.append(Interval((r["_g"], r["c"]), r["lo"], r["hi"], n, 0, ranks))
+    # at each turn `at` has the values of some intervals with the place of theirs in `now`
+    now, turns = _open(held, names, found), 0
+    at = long.join(_looked_up(df, [(*t.key, i) for i, t in enumerate(now)], f"_g {kind}, c int, _i int"), ["_g", "c"]).select("_i", "x") if now else None
+    parts = []
+    while now:
+        if any(t.rows <= together for t in now):
+            parts.append(_sorted_ranks(df, at, [(i, t) for i, t in enumerate(now) if t.rows <= together]))
+        large = [(i, t) for i, t in enumerate(now) if t.rows > together]
         if not large:
             break
-        small = [t for t in todo if t[4] <= together]
-        got: dict[tuple, list] = {}
-        at = _placed(long, large, spark)
-        share = (F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets
-        share = F.when(F.isnan(share), F.lit(0.0)).otherwise(share)
-        for r in at.groupBy("_i", F.least(F.floor(share), F.lit(buckets - 1)).alias("b")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect():
+        bounds = _looked_up(df, [(i, t.low, t.high, t.by_logarithm()) for i, t in large], "_i int, lo double, hi double, log boolean")
+        even = lambda x: F.when(F.col("log"), magnitude(x)).otherwise(x / 2)
+        lo, hi = even(F.col("lo")), even(F.col("hi"))
+        share = F.when(hi > lo, (even(F.col("x")) - lo) / (hi - lo) * buckets).otherwise(0.0)
+        bucket = F.least(F.floor(F.when(F.isnan(share), F.lit(0.0)).otherwise(share)), F.lit(buckets - 1)).cast("int")
+        cut = at.join(bounds, "_i").select("_i", "x", bucket.alias("b"))
+        got: dict[int, list] = {}
+        for r in cut.groupBy("_i", "b").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect():
             got.setdefault(r["_i"], []).append((r["b"], r["lo"], r["hi"], r["n"]))
-        todo = small
-        for i, (g, c, _, _, _, first, ranks) in enumerate(large):
-            for _, lo, hi, n in sorted(got[i]):
-                inside = [k for k in ranks if first <= k < first + n]
-                if inside:
-                    todo.append((g, c, lo, hi, n, first, inside))
+        finer, slots = [], {}
+        for i, t in large:
+            first = t.first
+            slots[i] = [-1] * buckets
+            for b, lo, hi, n in sorted(got[i]):
+                inside = [k for k in t.ranks if first <= k < first + n]
+                if one := _open([Interval(t.key, lo, hi, n, first, inside, t.turn + 1)], names, found) if inside else []:
+                    slots[i][b] = len(finer)
+                    finer += one
                 first += n
-    if todo:
-        at = _placed(long, todo, spark, [[k - t[5] for k in t[6]] for t in todo])
-        ordered = at.groupBy("_i").agg(F.sort_array(F.collect_list("x")).alias("v"), F.first("ranks").alias("ranks"))
-        for r in ordered.select("_i", F.transform("ranks", lambda k: F.element_at("v", k + 1)).alias("v")).collect():
-            t = todo[r["_i"]]
-            found[t[0], names[t[1]]].update(zip(t[6], r["v"], strict=True))
+        if finer:
+            to = _looked_up(df, list(slots.items()), "_i int, slots array<int>")
+            at = cut.join(to, "_i").select(F.element_at("slots", F.col("b") + 1).alias("_i"), "x").filter("_i >= 0")
+        now, turns = finer, turns + 1
+        if now and turns % 3 == 0:  # a plan reads the column through all turns so far: what is left of it is written
+            at = settled(at, "between")
+    for part, intervals in parts:
+        for r in part.collect():
+            t = intervals[r["_i"]]
+            found[t.key[0], names[t.key[1]]].update(zip(t.ranks, r["v"], strict=True))
     return {key: [_between(p * (sizes[key] - 1), found[key]) for p in ps] for key, ps in shares.items()}
 
 
-def _settle(todo: list[tuple], names: list[str], found: dict) -> list[tuple]:
-    """Intervals of one value answer their ranks; the others stay."""
+def _open(intervals: list[Interval], names: list[str], found: dict) -> list[Interval]:
+    """Intervals of one value answer their ranks; the others stay, if a rank is wanted of them."""
     out = []
-    for t in todo:
-        if t[2] == t[3]:
-            found[t[0], names[t[1]]].update({k: t[2] for k in t[6]})
-        else:
+    for t in intervals:
+        if t.low == t.high:
+            found[t.key[0], names[t.key[1]]].update(dict.fromkeys(t.ranks, t.low))
+        elif t.ranks:
             out.append(t)
     return out
 
 
-def _placed(long: DataFrame, intervals: list[tuple], spark, ranks: list[list[int]] | None = None) -> DataFrame:
-    """Values with the interval that holds them; as many rows to look up as there are open groups and columns."""
-    by: dict[tuple, list] = {}
-    for i, t in enumerate(intervals):
-        by.setdefault((t[0], t[1]), []).append((t[2], t[3], i, ranks[i] if ranks else []))
-    kind = dict(long.dtypes)["_g"]
-    table = spark.createDataFrame([(g, c, sorted(v)) for (g, c), v in by.items()], f"_g {kind}, c int, v array<struct<lo:double,hi:double,_i:int,ranks:array<int>>>")
-    table = F.broadcast(table) if len(intervals) <= LOOKED_UP else table
-    one = long.join(table, ["_g", "c"]).select("x", F.filter("v", lambda s: (s["lo"] <= F.col("x")) & (F.col("x") <= s["hi"])).alias("v")).filter(F.size("v") > 0)
-    return one.select("x", F.element_at("v", 1).alias("v")).select("x", "v.*")
+def _looked_up(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    table = df.sparkSession.createDataFrame(rows, schema)
+    return F.broadcast(table) if len(rows) <= LOOKED_UP else table
+
+
+def _sorted_ranks(df: DataFrame, at: DataFrame, intervals: list[tuple[int, Interval]]) -> tuple[DataFrame, dict[int, Interval]]:
+    """(interval, its wanted values): each interval's values are sorted together."""
+    ranks = _looked_up(df, [(i, [k - t.first for k in t.ranks]) for i, t in intervals], "_i int, ranks array<int>")
+    v = at.join(ranks, "_i").groupBy("_i").agg(F.sort_array(F.collect_list("x")).alias("v"), F.first("ranks").alias("ranks"))
+    return v.select("_i", F.transform("ranks", lambda k: F.element_at("v", k + 1)).alias("v")), dict(intervals)
 
 
 def _between(at: float, values: dict[int, float]) -> float:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from dataclasses import asdict, dataclass, field
 
@@ -18,6 +19,8 @@ from tessera.operators.profile import kind_stats, is_numeric
 from tessera.operators.spn import SPN, SPNParams
 from tessera.types import CATEGORICAL, NON_STD, OTHER, ColumnSpec, ForeignKey, TableSpec
 
+#: Fields of a column's spec that name a table.
+TABLES = ("tail_table", "formats_table", "known_table")
 DEG, CTX, AGG = "__deg__", "__ctx__", "__agg__"
 DEGREE_SHARE = 0.10  # D8: of epsilon, for degrees
 
@@ -228,9 +231,22 @@ class RelationalModel:
         return out
 
     def save(self, spark: SparkSession, folder: str) -> None:
-        """IO9: a text file on any file system that Spark writes to."""
-        spark.createDataFrame([(json.dumps(self.to_json()),)], "value string").coalesce(1).write.mode("overwrite").text(folder)
+        """IO9: model and tables in a folder that holds all that sampling needs: long lists of the encoders are tables beside the model."""
+        d = self.to_json()
+        for t, m in d["tables"].items():
+            for s in m["engine"]["specs"]:
+                for k in TABLES:
+                    if s[k]:
+                        at = f"tables/{t}-{k}-{hashlib.md5(s['name'].encode()).hexdigest()}"
+                        spark.read.parquet(s[k]).write.mode("overwrite").parquet(f"{folder}/{at}")
+                        s[k] = at
+        spark.createDataFrame([(json.dumps({"engine": "SPN", "version": 1, "model": d}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/model")
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> RelationalModel:
-        return cls.from_json(json.loads(spark.read.text(folder).first()[0]))
+        """A saved model; its tables are read from where they were saved."""
+        d = json.loads(spark.read.text(f"{folder}/model").first()[0])["model"]
+        for m in d["tables"].values():
+            for s in m["engine"]["specs"]:
+                s.update({k: f"{folder}/{s[k]}" for k in TABLES if s[k]})
+        return cls.from_json(d)

@@ -268,7 +268,7 @@ def grow(df: DataFrame, specs: dict[str, ColumnSpec], params, ledger: PrivacyLed
                 decided[n] = ([k.id for k in kids], [], *look, centres.tolist())
         rows = settled(_moved(rows, base, [decided.get(n) for n in range(base, max(level) + 1)], g), "level")
         level = new
-    for n, leaves in leaves_of(rows.select(F.explode("_leaf").alias("_node"), *names), groups).items():
+    for n, leaves in leaves_of(rows.select(F.explode("_leaf").alias("_node"), *[F.col(f"`{c}`") for c in names]), groups).items():
         o = groups[n]
         o.fill(leaves[0] if len(leaves) == 1 else node("product", o.scope, [], leaves))
     return root[0]
@@ -367,4 +367,4 @@ def _moved(rows: DataFrame, base: int, decided: list, g: Column) -> DataFrame:
 
     wide = rows.crossJoin(F.broadcast(table)).withColumn("_g", g)
     ended = F.flatten(F.transform("_open", lambda n: F.element_at("_dec", n - base + 1)["leaves"]))
-    return wide.select(*[c for c in rows.columns if not c.startswith("_")], F.flatten(F.transform("_open", to)).alias("_open"), F.concat("_leaf", ended).alias("_leaf"))
+    return wide.select(*[F.col(f"`{c}`") for c in rows.columns if c not in ("_open", "_leaf")], F.flatten(F.transform("_open", to)).alias("_open"), F.concat("_leaf", ended).alias("_leaf"))

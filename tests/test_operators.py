@@ -198,7 +198,8 @@ def test_private_network(spark):
 
 def test_ledger():
     led = dp.PrivacyLedger(2.0, 4, seed=1)
-    assert abs(led.per_level - 0.175) < 1e-12 and abs(led.per_column - 0.325) < 1e-12
+    assert abs(led.per_level - 0.175) < 1e-12 and abs(led.per_column - 0.26) < 1e-12  # of four columns and the weights of sums
+    assert abs(4 * led.per_level + 4 * led.per_column + 4 * led.per_weights - 2.0) < 1e-12
     assert led.counts([0.0, 0.0], 1e9, "s") == [1.0, 1.0] or all(v >= 0 for v in led.counts([0.0, 0.0], 1e9, "s"))
     led.counts([5.0], 0.1, "s")
     assert led.report()["entries"][0]["epsilon"] == 1e9
