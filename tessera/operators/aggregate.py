@@ -1,18 +1,21 @@
 """Children summarised onto their parents: 25 statistics, one aggregate for each table.
 
-Statistics that need no order are plain partial aggregates. Those of time series share one window by key and order; the aggregate then
-reuses its partitioning, so there is one shuffle for all.
+Statistics that need no order are plain partial aggregates. Those of time series come from one segmented scan, in which a frequent key is
+spread over tasks; places and values before stand in the rows then, and the rest is a partial aggregate again.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, fields, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.scalar import pearson
 from tessera.operators.profile import as_number, is_date, is_numeric
+from tessera.sources.tables import settled
 
 
 @dataclass(frozen=True)
@@ -101,8 +104,8 @@ def _unordered(c: str, x: Column, numeric: bool, o: AggregationConfig) -> dict[s
 
 
 def _ordered(c: str, numeric: bool, o: AggregationConfig) -> dict[str, Column]:
-    """Over the columns c (value), c__i (place among values), c__n (values), c__p (value before), c__hi, c__lo, c__l<k>."""
-    x, i, n, p = (F.col(f"`{c}{s}`") for s in ("__x", "__i", "__n", "__p"))
+    """Over the columns c__x (value), c__i and c__j (places among values from the start and the end), c__p (value before), c__l<k>."""
+    x, i, j, p = (F.col(f"`{c}{s}`") for s in ("__x", "__i", "__j", "__p"))
     out: dict[str, Column] = {}
     if numeric:
         step = x - p
@@ -116,20 +119,99 @@ def _ordered(c: str, numeric: bool, o: AggregationConfig) -> dict[str, Column]:
             out["is_increasing"] = F.min((step >= 0).cast("double"))
         if o.is_decreasing:
             out["is_decreasing"] = F.min((step <= 0).cast("double"))
-        width = F.greatest(F.max(n) - 1, F.lit(1))
-        for on, name, f, at in ((o.first_max_pos, "first_max_pos", F.min, "__hi"), (o.last_max_pos, "last_max_pos", F.max, "__hi"), (o.first_min_pos, "first_min_pos", F.min, "__lo"), (o.last_min_pos, "last_min_pos", F.max, "__lo")):
+        width = F.greatest(F.count(x) - 1, F.lit(1))
+        at = lambda f, v, k: f(F.when(x.isNotNull(), F.struct(v.alias("v"), k.alias("k"))))["k"] / width
+        for on, name, place in (
+            (o.first_max_pos, "first_max_pos", lambda: at(F.min, -x, i)),
+            (o.last_max_pos, "last_max_pos", lambda: at(F.max, x, i)),
+            (o.first_min_pos, "first_min_pos", lambda: at(F.min, x, i)),
+            (o.last_min_pos, "last_min_pos", lambda: at(F.max, -x, i)),
+        ):
             if on:
-                out[name] = f(F.when(x == F.col(f"`{c}{at}`"), i)) / width
+                out[name] = place()
         for k in o.autocorr_lags:
-            r = F.corr(x, F.col(f"`{c}__l{k}`"))
-            out[f"autocorr{k}"] = F.when(F.max(n) > k, F.coalesce(F.when(~F.isnan(r), r), F.lit(0.0)))
+            out[f"autocorr{k}"] = F.when(F.count(x) > k, F.coalesce(pearson(x, F.col(f"`{c}__l{k}`")), F.lit(0.0)))
     for k in range(o.k_first):
         out[f"first{k + 1}"] = F.max(F.when(i == k, x))
     for k in range(o.k_last):
-        out[f"last{k + 1}"] = F.max(F.when(i == n - 1 - k, x))
+        out[f"last{k + 1}"] = F.max(F.when(j == k, x))
     return out
 
 
+def placed(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[bool, list[int]]]) -> DataFrame:
+    """Rows with, for each column c of values, c__i and c__j (its place among the key's values, from either end), c__p (the value
+    before, if asked for) and c__l<k> (the value k places before, for each lag); null where the value is.
+
+    A segmented scan: rows are range-sorted by key and order, so that a frequent key is spread over parts; each part is scanned on its
+    own; and what parts of one key hand on (counts, and the last few values) comes from one small row for each part and key that meet a
+    border. Rows of equal order go by a hash of the row.
+    """
+    tied = rows.withColumn("_tie", F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]))
+    parts = settled(tied.orderBy(*keys, *order, "_tie").withColumn("_pid", F.spark_partition_id()), "series")
+    own = Window.partitionBy("_pid", *keys)
+    w = own.orderBy(*order, "_tie")
+    run, before = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), w.rowsBetween(Window.unboundedPreceding, -1)
+    extra = {}
+    for c, (step, lags) in values.items():
+        x = F.col(f"`{c}`")
+        extra[f"{c}__i"] = F.when(x.isNotNull(), F.count(x).over(run) - 1)
+        extra[f"{c}__j"] = F.when(x.isNotNull(), F.count(x).over(own) - F.count(x).over(run))
+        if step:
+            extra[f"{c}__p"] = F.when(x.isNotNull(), F.last(x, ignorenulls=True).over(before))
+        for k in lags:
+            extra[f"{c}__l{k}"] = F.when(x.isNotNull(), F.lag(x, k).over(Window.partitionBy("_pid", *keys, x.isNull()).orderBy(*order, "_tie")))
+    local = parts.withColumns(extra)
+    deepest = {c: max([int(step), *lags]) for c, (step, lags) in values.items()}
+    same = lambda a, b: reduce(lambda p, q: p & q, [a[k].eqNullSafe(b[f"_k{n}"]) for n, k in enumerate(keys)])
+    key_names = [F.col(f"`{k}`").alias(f"_k{n}") for n, k in enumerate(keys)]
+    each = parts.groupBy(F.col("_pid").alias("_at"), *key_names).agg(*[F.count(F.col(f"`{c}`")).alias(f"{c}__n") for c in values])
+    again = each.groupBy(*[f"_k{n}" for n in range(len(keys))]).agg(F.count("*").alias("_parts")).filter("_parts > 1")
+    met = reduce(lambda p, q: p & q, [F.col(f"e._k{n}").eqNullSafe(F.col(f"g._k{n}")) for n in range(len(keys))])
+    # at most two keys of a part reach beyond it
+    span = each.alias("e").join(again.alias("g"), met).select("e.*")
+    rows_ = span.collect()
+    if not rows_:
+        return local.drop("_tie", "_pid")
+    ends = local.join(F.broadcast(span), (F.col("_pid") == F.col("_at")) & same(local, span))
+    tails: dict[tuple, list] = {}
+    for c in values:
+        if deepest[c]:
+            last = ends.filter(F.col(f"`{c}__j`") < deepest[c]).select("_at", *[f"_k{n}" for n in range(len(keys))], F.col(f"`{c}__i`").alias("i"), F.col(f"`{c}`").alias("x"))
+            for r in last.collect():
+                tails.setdefault((c, r["_at"], *[r[f"_k{n}"] for n in range(len(keys))]), []).append((r["i"], r["x"]))
+    chains: dict[tuple, list] = {}
+    for r in sorted(rows_, key=lambda r: r["_at"]):
+        chains.setdefault(tuple(r[f"_k{n}"] for n in range(len(keys))), []).append(r)
+    carried = []
+    for key, chain in chains.items():
+        total = {c: sum(r[f"{c}__n"] for r in chain) for c in values}
+        seen, held = dict.fromkeys(values, 0), {c: [] for c in values}
+        for r in chain:
+            row = [r["_at"], *key]
+            for c in values:
+                row += [seen[c], total[c] - seen[c] - r[f"{c}__n"], list(held[c])]
+                seen[c] += r[f"{c}__n"]
+                held[c] = [*held[c], *(x for _, x in sorted(tails.get((c, r["_at"], *key), []), key=lambda v: v[0]))][-max(deepest[c], 1) :]
+            carried.append(tuple(row))
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    fields = [T.StructField("_at", T.IntegerType()), *[T.StructField(f"_k{n}", kinds[k]) for n, k in enumerate(keys)]]
+    for c in values:
+        fields += [T.StructField(f"{c}__off", T.LongType()), T.StructField(f"{c}__after", T.LongType()), T.StructField(f"{c}__held", T.ArrayType(kinds[c]))]
+    carry = rows.sparkSession.createDataFrame(carried, T.StructType(fields))
+    out = local.join(F.broadcast(carry), (F.col("_pid") == F.col("_at")) & same(local, carry), "left")
+    late = {}
+    for c, (step, lags) in values.items():
+        x, i = F.col(f"`{c}`"), F.col(f"`{c}__i`")
+        held = lambda back, c=c: F.try_element_at(F.col(f"`{c}__held`"), back.cast("int"))
+        late[f"{c}__i"] = i + F.coalesce(F.col(f"`{c}__off`"), F.lit(0))
+        late[f"{c}__j"] = F.col(f"`{c}__j`") + F.coalesce(F.col(f"`{c}__after`"), F.lit(0))
+        if step:
+            late[f"{c}__p"] = F.when(i == 0, held(F.lit(-1))).otherwise(F.col(f"`{c}__p`"))
+        for k in lags:
+            late[f"{c}__l{k}"] = F.when(i < k, held(i - k)).otherwise(F.col(f"`{c}__l{k}`"))
+    return out.withColumns(late).select(*rows.columns, *[f"`{c}`" for c in extra])
+
+
 def numeric_kind(t: T.DataType) -> bool:
     """Numbers (not booleans), dates as epoch seconds; all others are categories."""
     return is_numeric(t) or is_date(t)
@@ -159,24 +241,12 @@ def aggregate(df: DataFrame, keys: list[str], columns: list[str] | None = None,
     want = lambda c: {s for k, s in taken if k == c}
     rows = df.select(*keys, *{c: None for c in [*(sortby or []), *(tiebreak or [])] if c not in keys}, *[as_number(df, c).alias(f"{c}__x") if numeric_kind(df.schema[c].dataType) else F.col(c).cast("string").alias(f"{c}__x") for c in columns])
     if sortby:
-        order = [F.col(c) for c in [*sortby, *(tiebreak or [])]]
-        w = Window.partitionBy(*keys).orderBy(*order)
-        run, every = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy(*keys)
-        extra = {}
-        for c in columns:
-            x = F.col(f"`{c}__x`")
-            extra[f"{c}__i"] = F.when(x.isNotNull(), F.count(x).over(run) - 1)
-            extra[f"{c}__n"] = F.count(x).over(every)
-            if numeric_kind(df.schema[c].dataType):
-                if want(c) & {"increase_ratio", "decrease_ratio", "is_increasing", "is_decreasing"}:
-                    extra[f"{c}__p"] = F.last(x, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-                else:
-                    extra[f"{c}__p"] = F.lit(None).cast("double")
-                extra[f"{c}__hi"], extra[f"{c}__lo"] = F.max(x).over(every), F.min(x).over(every)
-                for k in config.autocorr_lags:
-                    # k values back among values: a struct array would hold the group, so look up by place
-                    extra[f"{c}__l{k}"] = F.lag(x, k).over(Window.partitionBy(*keys, x.isNull()).orderBy(*order))
-        rows = rows.withColumns(extra)
+        stepwise = {"increase_ratio", "decrease_ratio", "is_increasing", "is_decreasing"}
+        numeric = {c: numeric_kind(df.schema[c].dataType) for c in columns}
+        look = {f"{c}__x": (numeric[c] and bool(want(c) & stepwise), list(config.autocorr_lags) if numeric[c] else []) for c in columns}
+        rows = placed(rows, keys, [*sortby, *(tiebreak or [])], look)
+        rows = rows.withColumnsRenamed({f"{c}__x{s}": f"{c}{s}" for c in columns for s in ("__i", "__j", "__p", *[f"__l{k}" for k in config.autocorr_lags])})
+        rows = rows.withColumns({f"{c}__p": F.lit(None).cast("double") for c in columns if not look[f"{c}__x"][0]})
     aggs = [F.count("*").alias("count")]
     for c, s in taken:
         num = numeric_kind(df.schema[c].dataType)

@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.scalar import pearson
 from tessera.operators import quantiles
 from tessera.operators.joins import aligned_shares, path_agreement, row_copies, value_overlap
 from tessera.operators.keys import containment
@@ -37,7 +38,7 @@ def quantile_divergence(real: DataFrame, synth: DataFrame, columns: list[str]) -
 def correlations(df: DataFrame, columns: list[str], name: str) -> DataFrame:
     """(left_column, right_column, r) of all pairs in one aggregate, each over the rows where both have a value."""
     pairs = list(combinations(columns, 2))
-    row = df.agg(*[F.corr(as_number(df, a), as_number(df, b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
+    row = df.agg(*[pearson(as_number(df, a), as_number(df, b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
     each = F.array(*[F.struct(F.lit(a).alias("left_column"), F.lit(b).alias("right_column"), F.col(f"p{i}").alias(name)) for i, (a, b) in enumerate(pairs)])
     return row.select(F.explode(each).alias("x")).select("x.*")
 
@@ -45,7 +46,7 @@ def correlations(df: DataFrame, columns: list[str], name: str) -> DataFrame:
 def correlation_delta(real: DataFrame, synth: DataFrame, columns: list[str]) -> DataFrame:
     """One row: delta over the whole matrix with its diagonal of zeros (Q20), and over distinct pairs."""
     both = correlations(real, columns, "r").join(correlations(synth, columns, "s"), ["left_column", "right_column"])
-    d = F.when(~F.isnan("r") & ~F.isnan("s"), F.abs(F.col("r") - F.col("s")))
+    d = F.abs(F.col("r") - F.col("s"))  # null where a column of the pair does not vary
     k = len(columns)
     return both.agg((2 * F.sum(d) / (2 * F.count(d) + k)).alias("delta"), F.avg(d).alias("off_diagonal"))
 

@@ -451,9 +451,14 @@ def agg_arg_positions(spark: S, d: str) -> DataFrame:
     return _series(spark, d, ["totalprice"], first_max_pos=True, last_max_pos=True, first_min_pos=True, last_min_pos=True)
 
 
-@query("agg_autocorr", _TS + "round(CASE WHEN count(*) > 1 THEN coalesce(CASE WHEN count(p) > 2 THEN corr(totalprice, p) END, 0) END, 4) AS totalprice__autocorr1, round(CASE WHEN count(*) > 2 THEN coalesce(CASE WHEN count(p2) > 2 THEN corr(totalprice, p2) END, 0) END, 4) AS totalprice__autocorr2 FROM x GROUP BY 1 HAVING count(*) > 4")
+def _corr_sql(lag: int, p: str) -> str:
+    """Zero where the pairs are too few or do not vary."""
+    return f"round(CASE WHEN count(*) > {lag} THEN CASE WHEN count({p}) >= 2 AND var_pop(totalprice) FILTER ({p} IS NOT NULL) > 0 AND var_pop({p}) > 0 THEN corr(totalprice, {p}) ELSE 0 END END, 4) AS totalprice__autocorr{lag}"
+
+
+@query("agg_autocorr", _TS + f"{_corr_sql(1, 'p')}, {_corr_sql(2, 'p2')} FROM x GROUP BY 1")
 def agg_autocorr(spark: S, d: str) -> DataFrame:
-    return _series(spark, d, ["totalprice"], 4, autocorr_lags=(1, 2)).filter(F.col("count") > 4)
+    return _series(spark, d, ["totalprice"], 4, autocorr_lags=(1, 2))
 
 
 @query("ts_sort", f"SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM {E}")
