@@ -133,15 +133,37 @@ def decimal_places(df: DataFrame, columns: list[str], most: int = 6) -> DataFram
     return unpivot_stats(df.agg(*aggs), columns, ["decimals"])
 
 
+def fingerprints(df: DataFrame, columns: list[str]) -> dict[str, int]:
+    """A number for each column, from one aggregate: the sum of its values' hashes, each salted by a hash of the whole row.
+
+    Equal columns have equal numbers; others have not, but for chance: the salt ties a value to its row, so an order does not matter and a
+    permutation of the same values is told apart. Numbers of parts of a table add up. An empty table gives none.
+    """
+    row = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in columns])
+    salted = df.withColumn("_row", row)
+    one = lambda c: F.xxhash64(F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("-")), F.col("_row")).cast("decimal(20,0)")
+    got = salted.agg(*[F.sum(one(c)).alias(f"f{i}") for i, c in enumerate(columns)]).first()
+    return {c: int(got[f"f{i}"]) for i, c in enumerate(columns) if got[f"f{i}"] is not None}
+
+
 def duplicate_columns(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(source, duplicate) of columns alike in every row, nulls included; the source is the first such column. Exact."""
+    """(source, duplicate) of columns alike in every row, nulls included; the source is the first such column. Exact.
+
+    Columns of one fingerprint are compared with the first of them, all in one aggregate: as many comparisons as there are duplicates.
+    """
     cols = columns or df.columns
-    pairs = list(combinations(cols, 2))
+    groups: dict[int, list[str]] = {}
+    for c, f in fingerprints(df, cols).items():
+        groups.setdefault(f, []).append(c)
+    todo, found = [g for g in groups.values() if len(g) > 1], []
     text = lambda c: F.col(f"`{c}`").cast("string")
-    row = df.agg(*[F.coalesce(F.bool_and(text(a).eqNullSafe(text(b))), F.lit(False)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-    each = F.array(*[F.struct(F.lit(a).alias("source"), F.lit(b).alias("duplicate"), F.lit(cols.index(a)).alias("at"), F.col(f"p{i}").alias("same")) for i, (a, b) in enumerate(pairs)])
-    found = row.select(F.explode(each).alias("x")).select("x.*").filter("same")
-    return found.groupBy("duplicate").agg(F.min_by("source", "at").alias("source")).select("source", "duplicate")
+    while todo:
+        pairs = [(g[0], c) for g in todo for c in g[1:]]
+        same = df.agg(*[F.bool_and(text(a).eqNullSafe(text(b))).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]).first()
+        found += [p for i, p in enumerate(pairs) if same[f"p{i}"]]
+        other = {b for i, (_, b) in enumerate(pairs) if not same[f"p{i}"]}  # of one fingerprint by chance
+        todo = [g for g in ([c for c in g if c in other] for g in todo) if len(g) > 1]
+    return df.sparkSession.createDataFrame(found, "source string, duplicate string")
 
 
 def mirrors(df: DataFrame, columns: list[str] | None = None) -> dict[str, str]:

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import rng
 from tessera.operators import arf, autoconfigure, descent, dp, encode, evaluate, joins, relational, spn, structure
-from tessera.operators.keys import infer_schema
+from tessera.operators.keys import ValueIndex, infer_schema, looks_like_key, singular
 from tessera.plans import pipeline
 from tessera.plans.registry import query
-from tessera.plans.tables import customers, load, rounded, sql
+from tessera.plans.tables import VIEWS, customers, load, rounded, sql
 from tessera.types import ForeignKey, TableSpec
 
 S = SparkSession
@@ -284,6 +284,19 @@ def integrity_of_generation(spark: S, d: str) -> DataFrame:
     return check_integrity(spark, real, synth, _specs())
 
 
+@query(
+    "generated_keys",
+    f"SELECT v.*, CAST(count(*) - count(DISTINCT c.customer_id) AS BIGINT) AS faults FROM (VALUES ('customer', 'customer_id', 'repeated'), ('orders', 'order_id', 'repeated'), ('orders', 'customer_id', 'orphans')) v(table_name, column_name, fault) CROSS JOIN {sql('customer')} c GROUP BY ALL",
+)
+def generated_keys(spark: S, d: str) -> DataFrame:
+    """V1, V2: keys of customers and orders generated together are as sound as the real ones: none repeats, none has no parent."""
+    _, synth = _generated(spark, d)
+    c, o = synth["customer"], synth["orders"]
+    index = ValueIndex({("c",): (c, ["customer_id"]), ("o",): (o, ["order_id"]), ("f",): (o, ["customer_id"])})
+    repeated = [(t, k, "repeated", index.of((x,))[0] - index.of((x,))[2]) for t, k, x in (("customer", "customer_id", "c"), ("orders", "order_id", "o"))]
+    return spark.createDataFrame([*repeated, ("orders", "customer_id", "orphans", index.contained(("f",), ("c",))[1])], "table_name string, column_name string, fault string, faults long")
+
+
 def _thirds(spark: S, d: str) -> list[DataFrame]:
     """Customers in three parts by a hash: synthetic stand-in, training and test rows. Copies with gaps and errors predict each other."""
     c = customers(spark, d).select("customer_id", "acctbal", "balance", "mktsegment", "segment_alt")
@@ -323,18 +336,25 @@ def detection(spark: S, d: str) -> DataFrame:
     return spark.createDataFrame([(a, alike, [c for c, _ in top])], "auc double, indistinguishability double, columns array<string>")
 
 
+_RELATED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+
+
 def _schema_sql() -> str:
-    key = {"region": "region_id", "nation": "nation_id", "customer": "customer_id", "supplier": "supplier_id", "part": "part_id", "orders": "order_id"}
-    edges = [("nation", "region"), ("customer", "nation"), ("supplier", "nation"), ("orders", "customer"), ("lineitem", "orders"), ("lineitem", "part"), ("lineitem", "supplier")]
-    own = [f"SELECT '{t}' AS table_name, 'primary' AS kind, '{k}' AS column_name, NULL AS parent, CAST(NULL AS DOUBLE) AS containment FROM {sql(t)} HAVING count(*) = count(DISTINCT {k})" for t, k in key.items()]
-    held = [f"SELECT '{c}', 'foreign', '{key[p]}', '{p}', avg(CAST({key[p]} IN (SELECT {key[p]} FROM {sql(p)}) AS INT)) FROM {sql(c)} WHERE {key[p]} IS NOT NULL HAVING avg(CAST({key[p]} IN (SELECT {key[p]} FROM {sql(p)}) AS INT)) >= 0.9" for c, p in edges]
-    return " UNION ALL ".join(own + held)
+    """Every column that looks like a key is tried as one, and every column of a key's name as a reference to it."""
+    tried = [(t, c, int(c != singular(t) + "_id"), i) for t in _RELATED for i, c in enumerate(VIEWS[t]) if looks_like_key(c)]
+    one = " UNION ALL ".join(f"SELECT '{t}' AS t, '{c}' AS c, {far} AS far, {i} AS i, count(*) > 0 AND count(*) = count(DISTINCT {c}) AS ok FROM {sql(t)}" for t, c, far, i in tried)
+    pairs = [(x, y, c) for x, c, _, _ in tried for y, d, _, _ in tried if x != y and c == d]
+    held = " UNION ALL ".join(f"SELECT '{x}' AS x, '{y}' AS y, '{c}' AS c, avg(CAST({c} IN (SELECT {c} FROM {sql(y)}) AS INT)) AS share FROM {sql(x)} WHERE {c} IS NOT NULL" for x, y, c in pairs)
+    return f"""WITH u AS (SELECT * FROM ({one}) WHERE ok), own AS (SELECT c FROM u WHERE far = 0),
+k AS (SELECT t, c FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY far, c IN (SELECT c FROM own), i) AS r FROM u) WHERE r = 1)
+SELECT t AS table_name, 'primary' AS kind, c AS column_name, NULL AS parent, CAST(NULL AS DOUBLE) AS containment FROM k
+UNION ALL SELECT x, 'foreign', h.c, y, share FROM ({held}) h JOIN k ON k.t = h.y AND k.c = h.c LEFT JOIN k o ON o.t = h.x WHERE share >= 0.9 AND o.c IS DISTINCT FROM h.c"""
 
 
 @query("schema_inference", _schema_sql())
 def schema_inference(spark: S, d: str) -> DataFrame:
     """T13-T15 over all related tables."""
-    tables = {t: load(spark, d, t) for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")}
+    tables = {t: load(spark, d, t) for t in _RELATED}
     s = infer_schema(tables)
     rows = [(t, "primary", k, None, None) for t, k in s.primary_keys.items()] + [(f.table, "foreign", f.columns[0], f.parent, f.containment) for f in s.foreign_keys]
     return spark.createDataFrame(rows, "table_name string, kind string, column_name string, parent string, containment double")

@@ -101,9 +101,13 @@ def category_top_other(spark: S, d: str) -> DataFrame:
     return profile.categories(load(spark, d, "part"), "type", most=4)
 
 
-@query("duplicate_columns", "SELECT source, duplicate FROM (VALUES ('mktsegment', 'segment')) v(source, duplicate)" + f" WHERE (SELECT bool_and(mktsegment IS NOT DISTINCT FROM segment) FROM {C})")
+_ALIKE = ["name", "mktsegment", "segment", "segment_alt", "born"]
+_ALIKE_SQL = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {i} AS place, bool_and({a} IS NOT DISTINCT FROM {b}) AS same FROM {C}" for i, a in enumerate(_ALIKE) for b in _ALIKE[i + 1 :])
+
+
+@query("duplicate_columns", f"SELECT arg_min(a, place) AS source, b AS duplicate FROM ({_ALIKE_SQL}) WHERE same GROUP BY b")
 def duplicate_columns(spark: S, d: str) -> DataFrame:
-    return profile.duplicate_columns(customers(spark, d), ["name", "mktsegment", "segment", "segment_alt", "born"])
+    return profile.duplicate_columns(customers(spark, d), _ALIKE)
 
 
 @query("near_duplicates", f"SELECT 'segment' AS left_column, 'segment_alt' AS right_column, round(avg(CAST(segment = segment_alt AS INT)), 6) AS exact, round(avg(CAST(upper(trim(segment)) = upper(trim(segment_alt)) AS INT)), 6) AS relaxed FROM {C} HAVING avg(CAST(upper(trim(segment)) = upper(trim(segment_alt)) AS INT)) > 0.9")

@@ -58,3 +58,29 @@ def test_a_hot_key_is_spread_and_nothing_changes(spark):
 def test_series_of_no_rows(spark):
     d = spark.createDataFrame([], "k string, at long, v double")
     assert agg.aggregate(d, ["k"], ["v"], agg.AggregationConfig(k_last=2, increase_ratio=True, autocorr_lags=(1,)), ["at"]).count() == 0
+
+
+def test_fingerprints_of_many_columns(spark, monkeypatch):
+    from tessera.operators import profile
+
+    d = spark.range(300).select(*[(F.col("id") * (i % 97) % 11).cast("double").alias(f"c{i}") for i in range(200)], F.when(F.col("id") == 7, None).otherwise(F.lit(0.0)).alias("gap"))
+    many = d.unionByName(d).repartition(6)
+    got = {r["duplicate"]: r["source"] for r in profile.duplicate_columns(many).collect()}
+    values = {c: tuple(x) for c, x in zip(d.columns, zip(*d.collect(), strict=True), strict=True)}
+    first = {}
+    for c, v in values.items():
+        first.setdefault(v, c)
+    assert got == {c: first[v] for c, v in values.items() if first[v] != c} and len(got) > 90 and "gap" not in got
+    monkeypatch.setattr(profile, "fingerprints", lambda df, cols: dict.fromkeys(cols, 1))  # chance can only cost time
+    few = [f"c{i}" for i in (1, 2, 98, 99, 5)]
+    assert {r["duplicate"]: r["source"] for r in profile.duplicate_columns(d, few).collect()} == {"c98": "c1", "c99": "c2"}
+    monkeypatch.undo()
+    swapped = spark.createDataFrame([("a", "b"), ("b", "a")], "x string, y string")
+    assert profile.duplicate_columns(swapped).count() == 0 and profile.mirrors(swapped.limit(0)) == {}
+
+
+def test_correlation_of_constants(spark):
+    from tessera.operators import report
+
+    d = spark.range(20).select(F.col("id").cast("double").alias("a"), F.lit(1.0).alias("b"), (F.col("id") * 2).cast("double").alias("c"))
+    assert report.correlation_delta(d, d, ["a", "b", "c"]).first()["delta"] == 0.0
