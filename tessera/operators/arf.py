@@ -8,13 +8,14 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.rng import uniform
 from tessera.functions.scalar import truncated_normal
 from tessera.operators import quantiles
 from tessera.operators.joins import bootstrap
+from tessera.sources.tables import settled
 from tessera.types import CATEGORICAL, NON_STD, ColumnSpec
 
 
@@ -68,9 +69,10 @@ class ARF:
             forest = RandomForestClassifier(numTrees=p.trees, minInstancesPerNode=p.min_node_size, maxDepth=p.max_depth, seed=p.seed + k, featuresCol="_v", labelCol="y", leafCol="_leaf")
             model = forest.fit(vec.filter(~test))
             self.history.append(MulticlassClassificationEvaluator(labelCol="y", metricName="accuracy").evaluate(model.transform(vec.filter(test))))
-            self.leaves = self._densities(model, real, cols, med).persist()
+            self.leaves = settled(self._densities(model, real, cols, med), "leaves")
             vec.unpersist()
             if self.converged or k == p.rounds - 1:
+                real.unpersist()
                 break
             n = real.count()
             fake = self.sample(real.sparkSession.range(n).withColumnRenamed("id", rid), rid, p.seed + 1000 + k, "arf-round").select(rid, *cols)
@@ -153,3 +155,12 @@ class ARF:
 
     def diagnostics(self) -> dict:
         return {"engine": "ARF", "params": asdict(self.params), "rounds": len(self.history), "history": self.history, "converged": self.converged, "leaves": self.leaves.count()}
+
+    def to_json(self) -> dict:
+        """All that sampling needs; the leaves are a table."""
+        return {"engine": "ARF", "params": asdict(self.params), "specs": [s.to_json() for s in self.specs], "history": self.history, "leaves_table": self.leaves.inputFiles()[0].rsplit("/", 1)[0]}
+
+    @classmethod
+    def from_json(cls, d: dict) -> ARF:
+        leaves = SparkSession.active().read.parquet(d["leaves_table"])
+        return cls(ARFParams(**d["params"]), [ColumnSpec(**s) for s in d["specs"]], leaves, d["history"])

@@ -16,6 +16,7 @@ from tessera.operators.dp import PrivacyLedger, degree_histogram
 from tessera.operators.joins import child_counts, dense_index, expand, parent_context, random_parent
 from tessera.operators.keys import topological_order
 from tessera.operators.profile import kind_stats, is_numeric
+from tessera.operators.arf import ARF, ARFParams
 from tessera.operators.spn import SPN, SPNParams
 from tessera.types import CATEGORICAL, NON_STD, OTHER, ColumnSpec, ForeignKey, TableSpec
 
@@ -100,7 +101,7 @@ def recode(c: Column, source: ColumnSpec, target: ColumnSpec) -> Column:
 class TableModel:
     spec: TableSpec
     columns: list[ColumnSpec]
-    engine: SPN
+    engine: SPN | ARF
     context: list[str] = field(default_factory=list)
     order: list[str] = field(default_factory=list)
     key_is_text: bool = False
@@ -110,7 +111,8 @@ class TableModel:
 class RelationalModel:
     """One density model for each table; `__ctx__` parent columns and `__deg__` child degrees are modelled along and never come out."""
 
-    def __init__(self, specs: dict[str, TableSpec], params: SPNParams | None = None, aggregation: agg.AggregationConfig | None = None):
+    def __init__(self, specs: dict[str, TableSpec], params: SPNParams | ARFParams | None = None, aggregation: agg.AggregationConfig | None = None):
+        """The engine follows from the parameters: a network, or a forest, which has no privacy."""
         self.specs, self.params, self.aggregation = specs, params or SPNParams(), aggregation
         self.models: dict[str, TableModel] = {}
         self.degrees: dict[tuple[str, str], DegreeModel] = {}
@@ -121,7 +123,8 @@ class RelationalModel:
         return [(t, s.foreign_keys[0]) for t, s in self.specs.items() if s.foreign_keys and s.foreign_keys[0].parent == table and t != table]
 
     def fit(self, tables: dict[str, DataFrame]) -> RelationalModel:
-        p = self.params
+        forest = isinstance(self.params, ARFParams)
+        p = SPNParams(private=False) if forest else self.params
         eps = p.epsilon
         for t in self.order:
             s, df = self.specs[t], tables[t]
@@ -151,7 +154,11 @@ class RelationalModel:
             table_params = SPNParams(**asdict(p) | {"epsilon": eps * (1 - DEGREE_SHARE if kids else 1)})
             kinds = s.kinds | {c: "numerical" for c in model_cols if c.startswith(DEG)}
             columns = encode.fit(train, kinds, s.domain, s.styles)
-            engine = SPN(table_params, columns).fit(encode.transform(train, columns))
+            if forest:
+                numbered = dense_index(encode.transform(train, columns), [c.name for c in columns], "_row")
+                engine = ARF(self.params, columns).fit(numbered.withColumn("_row", F.col("_row").cast("long")), "_row")
+            else:
+                engine = SPN(table_params, columns).fit(encode.transform(train, columns))
             key_text = bool(s.primary_key) and df.schema[s.primary_key].dataType.typeName() == "string"
             self.models[t] = TableModel(s, columns, engine, context, [c for c in df.columns], key_text, train.count())
             train.unpersist()
@@ -213,6 +220,7 @@ class RelationalModel:
     def to_json(self) -> dict:
         """IO9: all that sampling needs; one entry a table."""
         return {
+            "engine": "ARF" if isinstance(self.params, ARFParams) else "SPN",
             "params": asdict(self.params),
             "order": self.order,
             "specs": {t: asdict(s) for t, s in self.specs.items()},
@@ -223,30 +231,32 @@ class RelationalModel:
     @classmethod
     def from_json(cls, d: dict) -> RelationalModel:
         specs = {t: TableSpec(**s | {"foreign_keys": [ForeignKey(**f) for f in s["foreign_keys"]]}) for t, s in d["specs"].items()}
-        out = cls(specs, SPNParams(**d["params"]))
+        out = cls(specs, (ARFParams if d["engine"] == "ARF" else SPNParams)(**d["params"]))
         out.degrees = {(p, c): DegreeModel(v, q) for p, c, v, q in d["degrees"]}
         for t, m in d["tables"].items():
-            spn = SPN.from_json(m["engine"])
-            out.models[t] = TableModel(specs[t], list(spn.specs.values()), spn, m["context"], m["order"], m["key_is_text"], m["rows"])
+            engine = (ARF if m["engine"]["engine"] == "ARF" else SPN).from_json(m["engine"])
+            columns = [ColumnSpec(**s) for s in m["engine"]["specs"]]
+            out.models[t] = TableModel(specs[t], columns, engine, m["context"], m["order"], m["key_is_text"], m["rows"])
         return out
 
     def save(self, spark: SparkSession, folder: str) -> None:
         """IO9: model and tables in a folder that holds all that sampling needs: long lists of the encoders are tables beside the model."""
         d = self.to_json()
         for t, m in d["tables"].items():
-            for s in m["engine"]["specs"]:
-                for k in TABLES:
-                    if s[k]:
-                        at = f"tables/{t}-{k}-{hashlib.md5(s['name'].encode()).hexdigest()}"
-                        spark.read.parquet(s[k]).write.mode("overwrite").parquet(f"{folder}/{at}")
-                        s[k] = at
-        spark.createDataFrame([(json.dumps({"engine": "SPN", "version": 1, "model": d}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/model")
+            held = [(m["engine"], "leaves_table", "leaves"), *((s, k, hashlib.md5(s["name"].encode()).hexdigest()) for s in m["engine"]["specs"] for k in TABLES)]
+            for entry, k, name in held:
+                if entry.get(k):
+                    at = f"tables/{t}-{k}-{name}"
+                    spark.read.parquet(entry[k]).write.mode("overwrite").parquet(f"{folder}/{at}")
+                    entry[k] = at
+        manifest = {"engine": d["engine"], "version": 1, "model": d}
+        spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/model")
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> RelationalModel:
         """A saved model; its tables are read from where they were saved."""
         d = json.loads(spark.read.text(f"{folder}/model").first()[0])["model"]
         for m in d["tables"].values():
-            for s in m["engine"]["specs"]:
-                s.update({k: f"{folder}/{s[k]}" for k in TABLES if s[k]})
+            for entry in (m["engine"], *m["engine"]["specs"]):
+                entry.update({k: f"{folder}/{entry[k]}" for k in (*TABLES, "leaves_table") if entry.get(k)})
         return cls.from_json(d)

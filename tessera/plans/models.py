@@ -297,6 +297,22 @@ def generated_keys(spark: S, d: str) -> DataFrame:
     return spark.createDataFrame([*repeated, ("orders", "customer_id", "orphans", index.contained(("f",), ("c",))[1])], "table_name string, column_name string, fault string, faults long")
 
 
+@query("generation_quality")
+def generation_quality(spark: S, d: str) -> DataFrame:
+    """(measure, value) of generated customers and orders: fidelity, orphans, children a parent against the real ones, detection of orders."""
+    from tessera.operators import report
+
+    real, synth = _generated(spark, d)
+    synth = {t: df.persist() for t, df in synth.items()}
+    fidelity, checks = pipeline.score(spark, real, synth, _specs())
+    auc, _, _ = evaluate.detection(real["orders"], synth["orders"], ["status", "priority", "totalprice"], trees=20)
+    rows = [("fidelity", float(report.fidelity(fidelity).first()[0])), ("detection_auc", float(auc))]
+    rows += [(f"{r['check_name']} {r['table_name']}", float(r["value"])) for r in checks.collect()]
+    for df in synth.values():
+        df.unpersist()
+    return spark.createDataFrame(rows, "measure string, value double")
+
+
 def _thirds(spark: S, d: str) -> list[DataFrame]:
     """Customers in three parts by a hash: synthetic stand-in, training and test rows. Copies with gaps and errors predict each other."""
     c = customers(spark, d).select("customer_id", "acctbal", "balance", "mktsegment", "segment_alt")

@@ -14,6 +14,7 @@ from tessera.operators.joins import holdout
 from tessera.operators.keys import InferredSchema, infer_schema, topological_order, validate_schema
 from tessera.operators.relational import RelationalModel
 from tessera.operators.spn import SPN, SPNParams
+from tessera.sources.tables import settled, write_tables
 from tessera.types import TableSpec
 
 #: Engines by name, and whether they can be private.
@@ -55,7 +56,7 @@ def protect(tables: dict[str, DataFrame], decisions: DataFrame, specs: dict[str,
     return out, new
 
 
-def train(spark: SparkSession, tables: dict[str, DataFrame], specs: dict[str, TableSpec] | None = None, catalog: DataFrame | None = None, params: SPNParams | None = None, mode: str = "balanced", enforce: bool = True, aggregation: AggregationConfig | None = None, test_fraction: float = 0.0) -> Trained:
+def train(spark: SparkSession, tables: dict[str, DataFrame], specs: dict[str, TableSpec] | None = None, catalog: DataFrame | None = None, params: SPNParams | ARFParams | None = None, mode: str = "balanced", enforce: bool = True, aggregation: AggregationConfig | None = None, test_fraction: float = 0.0) -> Trained:
     """Analyse, validate (errors raise), decide, protect, force privacy where a column asks for it (G6), split and fit."""
     schema = infer_schema(tables)
     if specs is None:
@@ -70,7 +71,8 @@ def train(spark: SparkSession, tables: dict[str, DataFrame], specs: dict[str, Ta
     notes, params = [], params or SPNParams()
     if enforce:
         tables, specs = protect(tables, decisions, specs)
-        if decisions.filter("strategy = 'MODEL_DP'").count() and not params.private:
+        if decisions.filter("strategy = 'MODEL_DP'").count() and not getattr(params, "private", False):
+            engine("ARF" if isinstance(params, ARFParams) else "SPN", private=True)  # a forest refuses
             params = SPNParams(**vars(params) | {"private": True})
             notes.append("private: a sensitive column asks for it")
     else:
@@ -95,6 +97,40 @@ def score(spark: SparkSession, real: dict[str, DataFrame], synth: dict[str, Data
     return report.build_report(plain, {t: synth[t] for t in plain}), report.check_integrity(spark, real, synth, specs)
 
 
+def run_training(spark: SparkSession, tables: dict[str, DataFrame], folder: str, specs: dict[str, TableSpec] | None = None, seed: int = 1, test_fraction: float = 0.25, trees: int = 20, **how) -> dict:
+    """C1 in one call: train, save the model, generate, and write fidelity, integrity and utility beside it; their summary.
+
+    folder gets model, report, checks, utility and decisions. how: what train() takes. Utility and detection are judged on rows held out.
+    """
+    t = train(spark, tables, specs, test_fraction=test_fraction, **how)
+    t.model.save(spark, f"{folder}/model")
+    used = t.model.specs
+    synth = {k: settled(df, "synthetic") for k, df in generate(spark, t, seed=seed).items()}
+    known = {k: df.select(*synth[k].columns) for k, df in tables.items()}
+    fidelity, checks = score(spark, known, synth, used)
+    roots = {k: s.primary_key for k, s in used.items() if s.primary_key and not s.foreign_keys}
+    kids = [(k, f.columns[0], f.parent, f.parent_columns[0]) for k in t.model.order for f in used[k].foreign_keys[:1]]
+    parts = holdout(known, roots, kids, test_fraction) if test_fraction else {}
+    utility = evaluate.evaluate_tables(spark, {k: a for k, (a, _) in parts.items()}, {k: b for k, (_, b) in parts.items()}, synth, {k: s.keys() for k, s in used.items()}, trees=trees) if parts else None
+    for name, df in (("report", fidelity), ("checks", checks), ("utility", utility), ("decisions", t.decisions)):
+        if df is not None:
+            df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    spent = {k: m.engine.ledger.report()["spent"] for k, m in t.model.models.items() if getattr(m.engine, "ledger", None)}
+    back = spark.read.parquet
+    return {"fidelity": report.fidelity(back(f"{folder}/report")).first()[0], "status": report.overall(back(f"{folder}/checks")).first()[0], "spent": spent, "notes": t.notes}
+
+
+def run_generation(spark: SparkSession, model_folder: str, folder: str, counts: dict[str, int] | None = None, seed: int = 1, namespace: str = "synthetic", kind: str = "parquet") -> tuple[list[dict], DataFrame]:
+    """C2 in one call: a saved model's tables written to a folder; (manifest, warnings of children a parent that stray from what was learnt)."""
+    m = RelationalModel.load(spark, model_folder)
+    roots = {t: x.rows for t, x in m.models.items() if not x.spec.foreign_keys}
+    out = write_tables(m.sample(spark, roots | (counts or {}), seed, namespace), folder, kind)
+    rows = {x["table"]: x["rows"] for x in out}
+    actual = {f"{p} to {c}": rows[c] / rows[p] for p, c in m.degrees if rows.get(p)}
+    learnt = {f"{p} to {c}": sum(v * q for v, q in zip(d.values, d.probs, strict=True)) for (p, c), d in m.degrees.items()}
+    return out, report.cardinality_warnings(spark, actual, learnt)
+
+
 def compare_engines(spark: SparkSession, df: DataFrame, rid: str, names: list[str], test_fraction: float = 0.25, seed: int = 13, trees: int = 60) -> DataFrame:
     """(engine, utility, detection_auc, seconds) of each engine, fitted on the same training rows and judged on the same others.
 
