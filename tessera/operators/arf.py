@@ -1,23 +1,28 @@
-"""Adversarial random forests for single wide tables, on MLlib's forest and its leaf column."""
+"""Adversarial random forests for single wide tables, on MLlib's forests and their leaf columns."""
 
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass, field
+from multiprocessing.pool import ThreadPool
 
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark import inheritable_thread_target
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.rng import uniform
 from tessera.functions.scalar import truncated_normal
 from tessera.operators import quantiles
 from tessera.operators.joins import bootstrap
+from tessera.operators.leaves import LeafIndex, densities
 from tessera.sources.tables import settled
 from tessera.types import CATEGORICAL, NON_STD, ColumnSpec
 
+#: The trees are grown in so many parts; a row is hidden from one of them, which alone votes on it.
+PARTS = 3
+
 
 @dataclass
 class ARFParams:
@@ -51,78 +56,46 @@ class ARF:
         """The last round could not tell real rows from synthetic ones."""
         return bool(self.history) and self.history[-1] <= 0.5 + self.params.delta
 
-    def fit(self, encoded: DataFrame, rid: str) -> ARF:
-        """Rounds of real against synthetic rows, then densities of the last forest's leaves.
+    @property
+    def index(self) -> LeafIndex:
+        if getattr(self, "_index", None) is None or self._index.leaves is not self.leaves:
+            self._index = LeafIndex(self.leaves, self.columns)
+        return self._index
 
-        MLlib has no out-of-bag score: a hash-chosen quarter of the rows is held out instead.
-        """
+    def fit(self, encoded: DataFrame, rid: str) -> ARF:
+        """Rounds of real against synthetic rows, then densities of the last forest's leaves."""
         p, cols = self.params, [s.name for s in self.columns]
-        med = {c: (v or [0.0])[0] for c, v in quantiles.quantiles(encoded, cols, [0.5]).items()}
+        med = {c: float((v or [0.0])[0] or 0.0) for c, v in quantiles.quantiles(encoded, cols, [0.5]).items()}
         real = encoded.select(rid, *cols).persist()
-        fake = bootstrap(real, cols, p.seed, rid).withColumn(rid, F.monotonically_increasing_id())
-        model = None
+        n = real.count()
+        fake = bootstrap(real, cols, p.seed, rid, number=rid)
         for k in range(p.rounds):
             both = real.select(*cols, F.col(rid).cast("string").alias("_id"), F.lit(1.0).alias("y")).unionByName(fake.select(*cols, F.col(rid).cast("string").alias("_id"), F.lit(0.0).alias("y")))
-            filled = both.select("y", "_id", *[F.coalesce(c, F.lit(float(med[c] or 0.0))).alias(c) for c in cols])
-            vec = VectorAssembler(inputCols=cols, outputCol="_v").transform(filled).select("y", "_id", "_v").persist()
-            test = uniform(p.seed, f"arf:{k}", F.col("_id"), F.col("y")) < 0.25
-            forest = RandomForestClassifier(numTrees=p.trees, minInstancesPerNode=p.min_node_size, maxDepth=p.max_depth, seed=p.seed + k, featuresCol="_v", labelCol="y", leafCol="_leaf")
-            model = forest.fit(vec.filter(~test))
-            self.history.append(MulticlassClassificationEvaluator(labelCol="y", metricName="accuracy").evaluate(model.transform(vec.filter(test))))
-            self.leaves = settled(self._densities(model, real, cols, med), "leaves")
+            vec = _vectors(both, cols, med, "y", "_id").persist()
+            models, score = discriminator(vec, p, k)
+            self.history.append(score)
+            last = self.converged or k == p.rounds - 1
+            self.leaves = settled(densities(_placed(models, real, cols, med), self.columns, p.alpha), "leaves")
             vec.unpersist()
-            if self.converged or k == p.rounds - 1:
-                real.unpersist()
+            if last:
                 break
-            n = real.count()
             fake = self.sample(real.sparkSession.range(n).withColumnRenamed("id", rid), rid, p.seed + 1000 + k, "arf-round").select(rid, *cols)
+        real.unpersist()
         return self
 
-    def _densities(self, model, real: DataFrame, cols: list[str], med: dict) -> DataFrame:
-        """(leaf, weight, per column: mean, std, low, high, null or codes and cumulative shares): one grouped aggregate."""
-        filled = real.select(*cols, *[F.coalesce(c, F.lit(float(med[c] or 0.0))).alias(f"_f_{c}") for c in cols])
-        vec = VectorAssembler(inputCols=[f"_f_{c}" for c in cols], outputCol="_v").transform(filled)
-        placed = model.transform(vec).select(*cols, F.posexplode(vector_to_array("_leaf")).alias("tree", "node"))
-        num = [s.name for s in self.columns if s.kind != CATEGORICAL]
-        cats = [s.name for s in self.columns if s.kind == CATEGORICAL]
-        aggs = [F.count("*").alias("n")]
-        for c in num:
-            aggs += [F.struct(F.avg(c).alias("mean"), F.coalesce(F.stddev_pop(c), F.lit(0.0)).alias("std"), F.min(c).alias("low"), F.max(c).alias("high"), F.avg(F.col(c).isNull().cast("double")).alias("nul")).alias(c)]
-        out = placed.groupBy("tree", "node").agg(*aggs)
-        if cats:
-            each = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.coalesce(F.col(c), F.lit(-1.0)).alias("v")) for c in cats]))
-            n = placed.select("tree", "node", each.alias("x")).groupBy("tree", "node", "x.c", "x.v").agg(F.count("*").alias("k"))
-            w = Window.partitionBy("tree", "node", "c")
-            run = w.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            smooth = F.col("k") + self.params.alpha
-            shared = n.withColumn("cum", F.sum(smooth).over(run) / F.sum(smooth).over(w))
-            lists = shared.groupBy("tree", "node", "c").agg(F.sort_array(F.collect_list(F.struct("v", "cum"))).alias("d"))
-            wide = lists.groupBy("tree", "node").pivot("c", cats).agg(F.first("d"))
-            out = out.join(wide, ["tree", "node"])
-        run = Window.orderBy("tree", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        out = out.withColumn("weight", F.col("n") / F.sum("n").over(Window.partitionBy()))
-        return out.withColumn("cum", F.sum("weight").over(run)).withColumn("leaf", F.row_number().over(Window.orderBy("tree", "node")) - 1)
-
     def sample(self, rows: DataFrame, rid: str, seed: int, stream: str, evidence: dict[str, Column] | None = None) -> DataFrame:
-        """A leaf for each row by weight (and, with evidence, by how well the evidence fits it), then its columns."""
-        cum = [r["cum"] for r in self.leaves.select("cum").orderBy("leaf").collect()]
+        """A leaf for each row by weight (and, with evidence, by how well the evidence fits it), then its columns.
+
+        rows: rid is unique. A missing evidence value is a null, which leaves can fit too.
+        """
         out = rows.withColumn("_u", uniform(seed, f"{stream}:leaf", F.col(rid)))
         if evidence:
             out = out.withColumns({f"_e_{c}": e for c, e in evidence.items()})
-            scored = out.select(rid, *[f"_e_{c}" for c in evidence]).crossJoin(F.broadcast(self.leaves.select("leaf", "weight", *evidence)))
-            ll = F.log("weight")
-            for c in evidence:
-                ll = ll + self.log_density(c, F.col(f"_e_{c}"))
-            scored = scored.withColumn("_s", ll)
-            # each row against every leaf of the model: a stated set against a table of bounded size; one of them by weighted race
-            race = -F.log(F.greatest(uniform(seed, f"{stream}:race", F.col(rid), F.col("leaf")), F.lit(1e-300)))
-            key = F.col("_s") - F.log(race)
-            # only the winner's number is carried through the shuffle, one for each row and task at most
-            best = scored.groupBy(rid).agg(F.max_by("leaf", key).alias("leaf"))
-            out = out.join(best, rid).join(F.broadcast(self.leaves.drop("cum")), "leaf")
+            given = out.select(rid, *[F.col(f"_e_{c}").alias(c) for c in evidence])
+            out = out.join(self.index.best(given, rid, list(evidence), seed, stream).drop("n_scored"), rid)
         else:
-            bounds = F.array(*[F.lit(float(c)) for c in cum])
-            out = out.withColumn("leaf", F.least(F.size(F.filter(bounds, lambda b: b <= F.col("_u"))), F.lit(len(cum) - 1)).cast("int")).join(F.broadcast(self.leaves.drop("cum")), "leaf")
+            out = self.index.drawn(out, "_u")
+        out = out.join(self.index.near(self.leaves.drop("cum", "weight", "n", "tree", "node")), "leaf")
         names = [s.name for s in self.columns]
         out = out.withColumns({f"_d_{c}": uniform(seed, f"{stream}:{c}", F.col(rid)) for c in names} | {f"_n_{c}": uniform(seed, f"{stream}:{c}:null", F.col(rid)) for c in names})
         values = {}
@@ -139,20 +112,6 @@ class ARF:
         out = out.select(*keep, *[v.alias(c) for c, v in values.items()])
         return out.withColumns({s.name: F.lit(0.0) for s in self.specs if s.kind == NON_STD})
 
-    def log_density(self, c: str, x: Column) -> Column:
-        """Log share of a code (floor 1e-12), or the normal density within the leaf's range, 10 less outside it."""
-        s = next(s for s in self.columns if s.name == c)
-        d = F.col(f"`{c}`")
-        if s.kind == CATEGORICAL:
-            at = F.array_position(F.transform(d, lambda e: e["v"]), F.coalesce(x, F.lit(-1.0)))
-            cum = F.transform(d, lambda e: e["cum"])
-            p = F.try_element_at(cum, at.cast("int")) - F.when(at > 1, F.try_element_at(cum, F.greatest(at - 1, F.lit(1)).cast("int"))).otherwise(0.0)
-            return F.log(F.when(at > 0, F.greatest(p, F.lit(1e-12))).otherwise(1e-12))
-        z = (x - d["mean"]) / F.greatest(d["std"], F.lit(1e-12))
-        body = F.when(d["std"] > 1e-9, -z * z / 2 - F.log(d["std"])).otherwise(F.when(F.abs(x - d["mean"]) <= 1e-6, 0.0).otherwise(-30.0))
-        body = body + F.when((x < d["low"]) | (x > d["high"]), -10.0).otherwise(0.0)
-        return F.when(x.isNull(), F.log(F.greatest(d["nul"], F.lit(1e-12)))).otherwise(F.coalesce(body, F.lit(-30.0)) + F.log(F.greatest(1 - d["nul"], F.lit(1e-12))))
-
     def diagnostics(self) -> dict:
         return {"engine": "ARF", "params": asdict(self.params), "rounds": len(self.history), "history": self.history, "converged": self.converged, "leaves": self.leaves.count()}
 
@@ -164,3 +123,51 @@ class ARF:
     def from_json(cls, d: dict) -> ARF:
         leaves = SparkSession.active().read.parquet(d["leaves_table"])
         return cls(ARFParams(**d["params"]), [ColumnSpec(**s) for s in d["specs"]], leaves, d["history"])
+
+
+def _vectors(df: DataFrame, cols: list[str], med: dict[str, float], *keep: str) -> DataFrame:
+    """R2: nulls become the column's median."""
+    filled = df.select(*keep, *[F.coalesce(c, F.lit(med[c])).alias(f"_f_{c}") for c in cols])
+    return VectorAssembler(inputCols=[f"_f_{c}" for c in cols], outputCol="_v").transform(filled).select(*keep, "_v")
+
+
+def part_of(p: ARFParams, k: int, rid: Column, y: Column) -> Column:
+    """The part of the trees that does not see a row in round k."""
+    return F.floor(uniform(p.seed, f"arf:{k}", rid, y) * parts(p)).cast("int")
+
+
+def parts(p: ARFParams) -> int:
+    return max(2, min(PARTS, p.trees))
+
+
+def discriminator(vec: DataFrame, p: ARFParams, k: int) -> tuple[list[RandomForestClassificationModel], float]:
+    """The forest of round k over (_id, y, _v), and its out-of-bag accuracy over all rows.
+
+    MLlib tells no one which rows a tree has drawn. So the trees grow in parts at once, each blind to the rows that a hash gives to it, and
+    a row is judged by those trees alone that never saw it: a third of them, about as many as miss a row of a bootstrap.
+    """
+    m = parts(p)
+    vec = vec.withColumn("_part", part_of(p, k, F.col("_id"), F.col("y")))
+
+    def grow(i: int) -> RandomForestClassificationModel:
+        trees = max(1, p.trees // m + (i < p.trees % m))
+        forest = RandomForestClassifier(numTrees=trees, minInstancesPerNode=p.min_node_size, maxDepth=p.max_depth, seed=p.seed + PARTS * k + i, featuresCol="_v", labelCol="y", leafCol="_leaf")
+        return forest.fit(vec.filter(F.col("_part") != i))
+
+    jobs = [inheritable_thread_target(vec.sparkSession)(lambda i=i: grow(i)) for i in range(m)]
+    with ThreadPool(m) as pool:
+        models = pool.map(lambda job: job(), jobs)
+    judged = [model.transform(vec.filter(F.col("_part") == i)).select((F.col("prediction") == F.col("y")).cast("int").alias("hit")) for i, model in enumerate(models)]
+    row = judged[0]
+    for j in judged[1:]:
+        row = row.unionByName(j)
+    hits, n = row.agg(F.sum("hit"), F.count("*")).first()
+    return models, hits / n if n else 0.5
+
+
+def _placed(models: list[RandomForestClassificationModel], real: DataFrame, cols: list[str], med: dict[str, float]) -> DataFrame:
+    """(columns, tree, node): every real row once for each tree, with the leaf it falls into."""
+    out = _vectors(real, cols, med, *cols)
+    for i, m in enumerate(models):
+        out = m.transform(out).drop("prediction", "rawPrediction", "probability").withColumn(f"_l{i}", vector_to_array("_leaf")).drop("_leaf")
+    return out.select(*cols, F.posexplode(F.concat(*[f"_l{i}" for i in range(len(models))])).alias("tree", "node"))

@@ -142,14 +142,17 @@ def stratified_split(df: DataFrame, label: str, fraction: float, seed: int, *ids
     return both.withColumn("part", F.when(rank < fraction, "train").otherwise("test")).select(*df.columns, "part")
 
 
-def bootstrap(df: DataFrame, columns: list[str], seed: int, rid: str) -> DataFrame:
-    """Every column resampled on its own with replacement: a row for each row, columns independent of each other."""
+def bootstrap(df: DataFrame, columns: list[str], seed: int, rid: str, number: str | None = None) -> DataFrame:
+    """Every column resampled on its own with replacement: a row for each row, columns independent of each other.
+
+    number: a column for the new rows' numbers, from 0, which are the same every time.
+    """
     base = dense_index(df.select(rid, *columns), [rid], "_i")
     n = df.count()
     # one join: a row asks for a (column, index) pair for each column, and the values come back together
     asked = base.select(F.col("_i").alias("_row"), F.explode(F.array(*[F.struct(F.lit(k).alias("_c"), F.floor(uniform(seed, f"boot:{c}", F.col("_i")) * n).alias("_j")) for k, c in enumerate(columns)])).alias("_x"))
     got = asked.select("_row", "_x._c", "_x._j").join(base.select(F.col("_i").alias("_j"), *columns), "_j")
-    return got.groupBy("_row").agg(*[F.max_by(c, (F.col("_c") == k).cast("int")).alias(c) for k, c in enumerate(columns)]).drop("_row")
+    return got.groupBy("_row").agg(*[F.max_by(c, (F.col("_c") == k).cast("int")).alias(c) for k, c in enumerate(columns)]).select(*([F.col("_row").alias(number)] if number else []), *columns)
 
 
 def sort_series(df: DataFrame, keys: list[str], sortby: list[str]) -> DataFrame:

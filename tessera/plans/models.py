@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import rng
-from tessera.operators import arf, autoconfigure, descent, dp, encode, evaluate, joins, relational, spn, structure
+from tessera.operators import arf, autoconfigure, descent, dp, encode, evaluate, joins, leaves, relational, spn, structure
 from tessera.operators.keys import ValueIndex, infer_schema, looks_like_key, singular
 from tessera.plans import pipeline
 from tessera.plans.registry import query
 from tessera.plans.tables import VIEWS, customers, load, rounded, sql
-from tessera.types import ForeignKey, TableSpec
+from tessera.sources.tables import settled
+from tessera.types import ColumnSpec, ForeignKey, TableSpec
 
 S = SparkSession
 O, L, E = sql("orders"), sql("lineitem"), sql("events")
@@ -192,13 +193,43 @@ def spn_given(spark: S, d: str) -> DataFrame:
 
 @query("leaf_density", f"WITH l AS (SELECT returnflag AS leaf, avg(extendedprice) AS m, stddev_pop(extendedprice) AS s, min(extendedprice) AS lo, max(extendedprice) AS hi, count(*) AS n FROM {L} GROUP BY 1) SELECT leaf, round(m, 4) AS mean, round(s, 4) AS std, round(lo, 4) AS low, round(hi, 4) AS high, round(n / CAST(sum(n) OVER () AS DOUBLE), 6) AS weight FROM l")
 def leaf_density(spark: S, d: str) -> DataFrame:
-    """R4 with a given assignment of rows to leaves."""
-    li = load(spark, d, "lineitem")
+    """R4 with a given assignment of rows to leaves: the forest's own densities."""
+    placed = load(spark, d, "lineitem").select("extendedprice", F.lit(0).alias("tree"), F.ascii("returnflag").alias("node"))
+    out = leaves.densities(placed, [ColumnSpec("extendedprice", "numerical")], 0.5)
     x = F.col("extendedprice")
-    g = li.groupBy(F.col("returnflag").alias("leaf")).agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("low"), F.max(x).alias("high"), F.count("*").alias("n"))
-    total = g.agg(F.sum("n").alias("t"))
-    out = g.crossJoin(F.broadcast(total)).withColumn("weight", F.round(F.col("n") / F.col("t"), 6)).drop("n", "t")
-    return rounded(out.withColumns({c: F.round(c, 4) for c in ("mean", "std", "low", "high")}))
+    return rounded(out.select(F.char("node").alias("leaf"), *[F.round(x[c], 4).alias(c) for c in ("mean", "std", "low", "high")], F.round("weight", 6).alias("weight")))
+
+
+_SEED, _STEP = 17, 4000
+_GIVEN = f"""WITH o AS (SELECT order_id, CAST(totalprice AS DOUBLE) AS x, ascii(status) AS c, floor(totalprice / {_STEP}) AS node FROM {O}),
+g AS (SELECT node, count(*) AS n, avg(x) AS m, stddev_pop(x) AS s, min(x) AS lo, max(x) AS hi FROM o GROUP BY 1),
+w AS (SELECT avg(x) AS m, stddev_pop(x) AS s, min(x) AS lo, max(x) AS hi FROM o),
+l AS (SELECT node, n, n / CAST(sum(n) OVER () AS DOUBLE) AS weight, row_number() OVER (ORDER BY node) - 1 AS leaf, CASE WHEN n < 5 THEN w.m ELSE g.m END AS m, CASE WHEN n < 5 THEN w.s ELSE g.s END AS s, CASE WHEN n < 5 THEN w.lo ELSE g.lo END AS lo, CASE WHEN n < 5 THEN w.hi ELSE g.hi END AS hi FROM g CROSS JOIN w),
+p AS (SELECT l.leaf, o.c, (count(*) + 0.5) / sum(count(*) + 0.5) OVER (PARTITION BY l.leaf) AS p FROM l JOIN o ON l.n < 5 OR o.node = l.node GROUP BY 1, 2),
+t AS (SELECT CAST(ceil(sqrt(sqrt(count(*)))) AS BIGINT) AS t FROM l),
+t0 AS (SELECT leaf, ntile((SELECT t FROM t)) OVER (ORDER BY m, leaf) AS t0 FROM l),
+main AS (SELECT leaf, arg_max(c, p * 1000000 + c / 1000000.0) AS c FROM p GROUP BY 1),
+t1 AS (SELECT leaf, t0, ntile((SELECT t FROM t)) OVER (PARTITION BY t0 ORDER BY c, leaf) AS t1 FROM t0 JOIN main USING (leaf)),
+b AS (SELECT leaf, dense_rank() OVER (ORDER BY t0, t1) AS block FROM t1),
+f AS (SELECT l.*, block, row_number() OVER (PARTITION BY block ORDER BY leaf) - 1 AS place, count(*) OVER (PARTITION BY block) AS size FROM l JOIN b USING (leaf)),
+q AS (SELECT order_id, x + {_STEP} / 2 AS x, c FROM o),
+u AS (SELECT order_id, block, size, -ln({rng.uniform_sql(_SEED, "given:block", "order_id", "block")}) / size AS first, floor({rng.uniform_sql(_SEED, "given:place", "order_id", "block")} * size) AS place FROM q CROSS JOIN (SELECT DISTINCT block, size FROM f)),
+r AS (SELECT q.order_id, f.node, ln(f.weight) + ln(greatest(coalesce(p.p, 1e-12), 1e-12)) + CASE WHEN s > 1e-9 THEN -((x - m) / s) * ((x - m) / s) / 2 - ln(s) WHEN abs(x - m) <= 1e-6 THEN 0 ELSE -30 END - CASE WHEN x < lo OR x > hi THEN 10 ELSE 0 END
+  - ln(u.first + CASE WHEN u.place = f.place THEN 0 ELSE -ln({rng.uniform_sql(_SEED, "given:race", "q.order_id", "f.leaf")}) END) AS score FROM q JOIN u USING (order_id) JOIN f ON f.block = u.block LEFT JOIN p ON p.leaf = f.leaf AND p.c = q.c)
+SELECT order_id, arg_max(node, score) AS node FROM r GROUP BY 1"""
+
+
+@query("leaf_given", _GIVEN)
+def leaf_given(spark: S, d: str) -> DataFrame:
+    """For each order a leaf drawn by weight and by how well a price and a status fit it; SQL races every row against every leaf."""
+    o = load(spark, d, "orders")
+    code = F.ascii("status").cast("double")
+    placed = o.select(F.lit(0).alias("tree"), F.floor(F.col("totalprice") / _STEP).alias("node"), F.col("totalprice").cast("double").alias("x"), code.alias("c"))
+    specs = [ColumnSpec("x", "numerical"), ColumnSpec("c", "categorical")]
+    found = settled(leaves.densities(placed, specs, 0.5), "leaves")
+    index = leaves.LeafIndex(found, specs)
+    best = index.best(o.select("order_id", (F.col("totalprice").cast("double") + _STEP / 2).alias("x"), code.alias("c")), "order_id", ["x", "c"], _SEED, "given")
+    return best.join(index.near(found.select("leaf", "node")), "leaf").select("order_id", "node")
 
 
 # Whole models
