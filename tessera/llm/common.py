@@ -30,12 +30,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the package to Python workers that can't import it from their path."""
-    places = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
-    if any(p and os.path.isdir(os.path.join(p, "tessera", "llm")) for p in places):
-        return
+    """Give the package to the Python workers of executors, whose machines need not have what the driver's folder holds."""
     sc = spark.sparkContext
-    if getattr(sc, "_tessera_shipped", False):
+    if sc.master == "local" or sc.master.startswith("local[") or getattr(sc, "_tessera_shipped", False):
         return
     path = os.path.join(tempfile.mkdtemp(), "tessera.zip")
     with zipfile.ZipFile(path, "w") as z:
