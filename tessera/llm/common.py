@@ -18,6 +18,9 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# freed batches go back to the system, also those that a worker reads before the first call of a function
+pa.set_memory_pool(pa.system_memory_pool())
+
 ROOT = Path(__file__).resolve().parents[2]
 #: Words are runs of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 SPACES = " \t\n\x0b\x0c\r"

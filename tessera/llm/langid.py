@@ -130,13 +130,14 @@ def predict(docs: DataFrame, model: EcocModel, text: str = "text", least_gap: fl
     def judge(s):
         import pandas as pd
 
-        m = shared.value
-        parts = []
-        for lo in range(0, len(s), 256):
-            x = features(*common.buffers(pa.array(s.iloc[lo : lo + 256], pa.string(), from_pandas=True)))
-            k, p, gap = m.decode(m.margins(x))
-            parts.append(pd.DataFrame({"lang_pred": [m.languages[i] for i in k], "score": p.astype(float), "ambiguous": gap < least_gap}))
-        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"lang_pred": [], "score": [], "ambiguous": []})
+        with common.lean():
+            m = shared.value
+            parts = []
+            for lo in range(0, len(s), 256):
+                x = features(*common.buffers(pa.array(s.iloc[lo : lo + 256], pa.string(), from_pandas=True)))
+                k, p, gap = m.decode(m.margins(x))
+                parts.append(pd.DataFrame({"lang_pred": [m.languages[i] for i in k], "score": p.astype(float), "ambiguous": gap < least_gap}))
+            return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"lang_pred": [], "score": [], "ambiguous": []})
 
     und = F.struct(F.lit("und").alias("lang_pred"), F.lit(1.0).alias("score"), F.lit(False).alias("ambiguous"))
     return docs.withColumn(name, judge(F.col(text))).withColumn(name, F.when(none, und).otherwise(F.col(name)))

@@ -515,24 +515,25 @@ def cut(docs: DataFrame, found: DataFrame, size: int = 400, text: str = "text",
     def apply(t, runs, copies):
         import pandas as pd
 
-        out = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
-        for x, rs, c in zip(t, runs, copies, strict=True):
-            raw = common.utf8(x)
-            if c == c and c is not None and c > 1 and len(raw) >= size:
-                merged = [[0, len(raw)]]
-            else:
-                merged = []
-                for lo, hi in sorted((q["lo"], q["hi"]) for q in (rs if rs is not None else ())):
-                    if merged and lo <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], hi)
-                    else:
-                        merged.append([lo, hi])
-            edges = [0, *(x for m in merged for x in m), len(raw)]
-            out["n_bytes"].append(len(raw))
-            out["n_removed"].append(sum(b - a for a, b in merged))
-            out["n_spans"].append(len(merged))
-            out["kept"].append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-        return pd.DataFrame(out)
+        with common.lean():
+            out = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
+            for x, rs, c in zip(t, runs, copies, strict=True):
+                raw = common.utf8(x)
+                if c == c and c is not None and c > 1 and len(raw) >= size:
+                    merged = [[0, len(raw)]]
+                else:
+                    merged = []
+                    for lo, hi in sorted((q["lo"], q["hi"]) for q in (rs if rs is not None else ())):
+                        if merged and lo <= merged[-1][1]:
+                            merged[-1][1] = max(merged[-1][1], hi)
+                        else:
+                            merged.append([lo, hi])
+                edges = [0, *(x for m in merged for x in m), len(raw)]
+                out["n_bytes"].append(len(raw))
+                out["n_removed"].append(sum(b - a for a, b in merged))
+                out["n_spans"].append(len(merged))
+                out["kept"].append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+            return pd.DataFrame(out)
 
     return both.withColumn(name, apply(F.col(text), F.col(r), F.col(n))).drop(k, r, n)
 
@@ -553,7 +554,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     @F.pandas_udf("string")
     def readable(b):
-        return b.map(lambda x: bytes(x).decode("utf-8", "ignore"))
+        with common.lean():
+            return b.map(lambda x: bytes(x).decode("utf-8", "ignore"))
 
     out = cut(docs, spans(docs), name=v)
     changed = F.col(f"`{v}`.n_removed") > 0
