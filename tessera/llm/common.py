@@ -110,11 +110,11 @@ def hash_sample(df: DataFrame, id_col: str, per_group: int, *groups: str, slots:
     return out.withColumn(r, F.row_number().over(w)).filter(F.col(r) <= -(-per_group // slots)).drop(h, s, r)
 
 
-def map_rows(df: DataFrame, fn: Callable[[dict[str, pa.Array]], pa.RecordBatch | None], schema: str, rows: int = 512) -> DataFrame:
-    """fn over Arrow batches of at most some rows, so that memory stays bounded whatever the texts' lengths."""
+def map_rows(df: DataFrame, fn: Callable[[dict[str, pa.Array]], pa.RecordBatch | None], schema: str, rows: int = 512, release: bool = False) -> DataFrame:
+    """fn over Arrow batches of at most some rows. release: a worker gives up its held() tables after each task, not when others are asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with lean():
+        with lean(release):
             for b in batches:
                 for lo in range(0, b.num_rows, rows):
                     part = b.slice(lo, rows)
@@ -125,12 +125,17 @@ def map_rows(df: DataFrame, fn: Callable[[dict[str, pa.Array]], pa.RecordBatch |
 
 
 @contextmanager
-def lean() -> Iterator[None]:
-    """Around a task's work in a Python worker: what it frees goes back to the system, since workers stay for the tasks of later stages."""
+def lean(release: bool = False) -> Iterator[None]:
+    """Around a task's work in a Python worker: what it frees goes back to the system, since workers stay for the tasks of later stages.
+
+    release: held() tables go too. Spark takes its idle workers in turn, so in time each of them would hold a copy.
+    """
     pa.set_memory_pool(pa.system_memory_pool())
     try:
         yield
     finally:
+        if release:
+            _held.clear()
         _trim()
 
 

@@ -111,10 +111,10 @@ def tokenise(texts: list[str | None], path: str, generation: int = GENERATION) -
     return out
 
 
-def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 2048, vocabulary: str | None = None, generation: int = GENERATION) -> DataFrame:
+def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 2048, vocabulary: str | None = None, generation: int = GENERATION, release: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): every document whole, or in pieces of size tokens if it is longer.
 
-    generation bounds a task's table of words: fewer take less memory and more time.
+    generation bounds a task's table of words: fewer take less memory and more time. release: a worker drops it after each task.
     """
     path = vocabulary or common.tokenizer_path(VOCABULARY)
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -132,7 +132,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: in
         return common.batch(doc_id=c["doc_id"].take(pa.array(doc, pa.int64())), piece=pa.array(piece, pa.int32()), start=pa.array(start, pa.int64()), length=pa.array(length, pa.int64()), ids_crc32=pa.array(crc, pa.int64()))
 
     kind = dict(d.dtypes)["doc_id"]
-    return common.map_rows(d, cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return common.map_rows(d, cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long", release=release)
 
 
 def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,6 +228,6 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As op4_packing, of the stage's own rows; other columns do not matter. Half as many words are kept in memory."""
+    """As op4_packing, of the stage's own rows; other columns do not matter. Half as many words are kept in memory, and none after a task."""
     common.ship(spark)
-    return pack(common.written(pieces(docs, generation=GENERATION // 2), "pieces"))
+    return pack(common.written(pieces(docs, generation=GENERATION // 2, release=True), "pieces"))
