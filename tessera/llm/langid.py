@@ -157,6 +157,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents with a language: texts that are null or have no letter go. Learns as op6 does, from the stage's own rows."""
+    common.small_batches(spark)
     model = train(docs.filter(common.learnable(F.col("doc_id"))))
     v = common.unused(docs, "language")
     return predict(docs, model, name=v).filter(F.col(f"`{v}`.lang_pred") != "und").select(*[F.col(f"`{c}`") for c in docs.columns])

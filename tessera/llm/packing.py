@@ -176,12 +176,8 @@ def pack(items: DataFrame, size: int = 2048, slack: int = 2, fan_in: int = 8) ->
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in items.dtypes)
     spark = items.sparkSession
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000000")
-    try:
+    with common.large_batches(spark, 1_000_000):
         placed = common.written(items.mapInPandas(first, f"{kinds}, bin long, offset long"), "placed")
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     last = placed.agg(F.max(F.shiftright("bin", 36))).first()[0]
     groups, half = (last or 0) + 1, size // 2
     bins = placed.groupBy("bin").agg(F.sum("length").alias("fill")).filter(F.col("fill") < size - slack)
@@ -230,4 +226,5 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As op4_packing, of the stage's own rows; other columns do not matter. Half as many words are kept in memory, and none after a task."""
     common.ship(spark)
+    common.small_batches(spark)
     return pack(common.written(pieces(docs, generation=GENERATION // 2, release=True), "pieces"))

@@ -253,6 +253,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.3) -> DataFrame:
     """Drop the documents that score at least 0.3; labels come from the labels table, texts from the stage's own rows."""
+    common.small_batches(spark)
     index = build(docs.filter(common.learnable(F.col("doc_id"))), common.table(spark, sf_dir, "labels"))
     v = common.unused(docs, "toxicity")
     return score(docs, index, name=v, evidence=False).filter(F.col(f"`{v}`.score") < least).select(*[F.col(f"`{c}`") for c in docs.columns])
