@@ -1,11 +1,13 @@
 """Passages: work in small blocks gives what work on whole texts gives, and every string is judged as brute force judges it."""
 
+import collections
 import random
+import re
 
 import numpy as np
 import pytest
 
-from tessera.llm import passages
+from tessera.llm import common, passages
 
 SIZE = 400
 
@@ -65,3 +67,54 @@ def test_a_very_long_text_takes_little_memory():
     passages.anchors(data, np.array([0, len(data)]), SIZE)
     assert tracemalloc.get_traced_memory()[1] < 150e6
     tracemalloc.stop()
+
+
+def brute(texts):
+    """The texts without each byte that a repeated string of 400 bytes covers, or one of 50 words."""
+    raw = [(t or "").encode() for t in texts]
+    words = [[(m.start(), m.end()) for m in re.finditer(rb"[^ \t-\r]+", b)] for b in raw]
+    strings = [[(p, p + SIZE, b[p : p + SIZE]) for p in range(len(b) - SIZE + 1)] for b in raw]
+    passages_ = [[(w[p][0], w[p + 49][1], b" ".join(b[x:y] for x, y in w[p : p + 50])) for p in range(len(w) - 49)] for b, w in zip(raw, words, strict=True)]
+    out = []
+    for every in (strings, passages_):
+        seen = collections.Counter(s for one in every for _, _, s in one)
+        out.append([[(lo, hi) for lo, hi, s in one if seen[s] > 1] for one in every])
+    kept = []
+    for t, b, *runs in zip(texts, raw, *out, strict=True):
+        gone = bytearray(len(b))
+        for lo, hi in runs[0] + runs[1]:
+            gone[lo:hi] = b"\1" * (hi - lo)
+        kept.append(bytes(x for x, g in zip(b, gone, strict=True) if not g).decode("utf-8", "ignore") if any(gone) else t)
+    return kept
+
+
+def test_the_stage_takes_passages_of_fifty_words(spark):
+    rnd = random.Random(11)
+    word = lambda most: "".join(rnd.choice("abcdefgh\u00e9") for _ in range(rnd.randint(1, most)))
+    prose = lambda n, most=7: " ".join(word(most) for _ in range(n))
+    fifty, few, long = prose(55, 5), prose(49), prose(40, 20)
+    assert len(fifty.encode()) < SIZE and len(long.encode()) > SIZE
+    out = [None, "", " ", prose(30) + " " + fifty + " " + prose(40), fifty + "\n" + prose(60), prose(70) + "  " + fifty.replace(" ", "\t ", 3), fifty]
+    out += [prose(20) + " " + few + " " + prose(20), prose(25) + " " + few, prose(9) + long + " " + prose(9), prose(30) + " " + long, "a " * 120, "a " * 49 + "b", prose(8) + " of the" * 300]
+    out += [prose(20) + " " + "x" * 700 + " " + fifty, " ".join(fifty.split()[2:53]) + " " + prose(3), "y" + fifty[1:], prose(80), prose(60)]
+    whole = prose(52, 3)
+    out += [whole, whole, prose(45, 3)]
+    d = spark.createDataFrame(list(enumerate(out)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["text"] for r in passages.stage(spark, common.written(d, "docs"), "").collect()}
+    assert [got[i] for i in range(len(out))] == brute(out)
+    assert fifty not in " ".join(t or "" for t in got.values()) and sum(few in (t or "") for t in got.values()) == 2
+
+
+def test_words_are_hashed_alike_wherever_they_stand(monkeypatch):
+    rnd = random.Random(3)
+    texts_ = ["", " ", "a", "one  two\tone", "z" * 700 + " " + "z" * 700 + " " + "z" * 350 + "y" + "z" * 349, "", " ".join("w" * rnd.randint(1, 300) for _ in range(400)), ""]
+    raw = [t.encode() for t in texts_]
+    data, off = np.frombuffer(b"??" + b"".join(raw) + b"??", np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])] + 2
+    codes, bounds = passages.word_codes(data, off)
+    monkeypatch.setattr(passages, "BLOCK", 512)
+    assert (passages.word_codes(data, off)[0] == codes).all()
+    got = [codes[a:b].view("<u8").tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    words = [r.split() for r in raw]
+    assert [len(g) for g in got] == [len(w) for w in words]
+    pairs = {(w, g) for ws, gs in zip(words, got, strict=True) for w, g in zip(ws, gs, strict=True)}
+    assert len(pairs) == len({w for w, _ in pairs}) == len({g for _, g in pairs})
