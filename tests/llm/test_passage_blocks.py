@@ -118,3 +118,32 @@ def test_words_are_hashed_alike_wherever_they_stand(monkeypatch):
     assert [len(g) for g in got] == [len(w) for w in words]
     pairs = {(w, g) for ws, gs in zip(words, got, strict=True) for w, g in zip(ws, gs, strict=True)}
     assert len(pairs) == len({w for w, _ in pairs}) == len({g for _, g in pairs})
+
+
+def test_no_prefix_brings_a_row_of_every_segment_to_one_task(spark, monkeypatch):
+    """Places without a short prefix must not meet under one key, and are judged all the same."""
+    rnd = random.Random(11)
+    prose = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    # of each pair a string of 400 to 409 bytes, which has few whole phrases
+    texts = [prose(300) + shared + prose(300) for shared in (prose(400 + i % 10) for i in range(60)) for _ in range(2)]
+    dealt, join = [], type(spark.range(1)).join
+
+    def told(self, other, on=None, how=None):
+        if on == "short" and how == "left_semi":
+            dealt.append((self.groupBy("short").count().agg({"count": "max"}).first()[0], self.select("s").distinct().count()))
+        return join(self, other, on, how)
+
+    monkeypatch.setattr(type(spark.range(1)), "join", told)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["kept"]["n_removed"] for r in passages.cut(d, passages.spans(d)).collect()}
+    where = collections.defaultdict(set)
+    for i, t in enumerate(texts):
+        for p in range(len(t) - SIZE + 1):
+            where[t[p : p + SIZE]].add((i, p))
+    gone = collections.defaultdict(set)
+    for places in where.values():
+        if len(places) > 1:
+            for i, p in places:
+                gone[i] |= set(range(p, p + SIZE))
+    assert got == {i: len(gone[i]) for i in range(len(texts))} and min(got.values()) >= SIZE
+    assert dealt and all(most <= 4 < 60 <= segments for most, segments in dealt)
