@@ -167,3 +167,79 @@ def test_private_structure_is_decided_by_noise(spark):
                 leaves = [c for n in leaves for c in n.children or [n]]
             assert all(-1.0 in n.codes for n in leaves if n.kind == "categorical") and not any(n.kind == "constant" for n in leaves)
     assert len({k[1:] for k in kinds if k[0]} & {k[1:] for k in kinds if not k[0]}) >= 1
+
+
+def test_cells_are_counted_in_tasks(spark):
+    r = random.Random(4)
+    data = [(r.choice((3, 8)), r.choice((0.0, 1.0, None)), r.choice((None, float("nan"), *map(float, range(9)))), r.random()) for _ in range(700)]
+    rows = spark.createDataFrame(data, "_node int, c double, x double, y double").repartition(5)
+    specs = {"c": encode.ColumnSpec("c", "categorical"), "x": encode.ColumnSpec("x", "numerical"), "y": encode.ColumnSpec("y", "numerical")}
+    edges = {3: {"x": [2.0, 5.0], "y": [0.5]}, 8: {"x": [], "y": [0.1, 0.2]}}
+    got = structure.tables(rows, {3: structure.Open(3, ["c", "x", "y"]), 8: structure.Open(8, ["x", "y"])}, specs, edges)
+    place = lambda n, c, v: -1.0 if v is None else v if c == "c" else float(sum(not v < e for e in edges[n][c]))
+    want = {(3, 0, 1): {}, (3, 0, 2): {}, (3, 1, 2): {}, (8, 1, 2): {}}
+    for n, *v in data:
+        b = [place(n, c, z) if (n, c) != (8, "c") else None for c, z in zip("cxy", v, strict=True)]
+        for node, i, j in want:
+            if node == n:
+                want[node, i, j][b[i], b[j]] = want[node, i, j].get((b[i], b[j]), 0) + 1
+    assert got == want
+
+
+def test_rows_move_with_their_lists(spark):
+    rows = spark.createDataFrame([(1.0, [5, 6], [1]), (9.0, [6], []), (None, [7, 5], [2, 3]), (4.0, [], [4])], "a double, _open array<int>, _leaf array<int>").coalesce(1)
+    far = [np.array([[0.0], [8.0]]).tolist()]
+    decided = [([20, 21], [], [], [], [], [], None), ([30, 31], [], [0], [7.0], [0.0], [1.0], far[0]), ([], [7], [], [], [], [], None)]
+    got = structure._moved(rows, 5, decided, F.array("a")).collect()
+    assert [(r["_open"], r["_leaf"]) for r in got] == [([20, 21, 30], [1]), ([31], []), ([20, 21], [2, 3, 7]), ([], [4])]
+
+
+def test_an_evidence_row_by_row(spark):
+    """Draws of all rows of a batch at once against one row at a time, with histograms, constants, nulls and evidence beyond all leaves."""
+    leaf = lambda c, kind, **how: spn.Node(kind, [c], **how)
+    one = [leaf("a", "histogram", probs=[0.5, 0.5], edges=[0.0, 1.0, 4.0], null=0.25), leaf("b", "categorical", codes=[-1.0, 2.0], probs=[0.3, 0.7])]
+    two = [leaf("a", "constant", value=3.0), leaf("b", "constant")]
+    root = spn.Node("sum", ["a", "b"], [0.4, 0.6], [spn.Node("product", ["a", "b"], children=x) for x in (one, two)])
+    given = [0.5, 3.0, None, 99.0, float("nan")]
+    rows = spark.range(400).withColumn("g", F.element_at(F.array(*[F.lit(v).cast("double") for v in given]), (F.col("id") % 5 + 1).cast("int")))
+    shares = {r["id"]: r["posterior"][0] for r in descent.posterior(rows, root, ["a", "b"], {"a": F.col("g")}).collect()}
+    for r in descent.sample(rows, root, ["a", "b"], "id", 3, "t", {"a": F.col("g")}).collect():
+        first = _uniform(3, "t:0|0", r["id"]) < shares[r["id"]]
+        u = _uniform(3, "t:b", r["id"])
+        assert r["b"] == ((-1.0 if u < 0.3 else 2.0) if first else None)
+    free = descent.sample(spark.range(3000), root, ["a", "b"], "id", 3, "t").agg(F.count("a"), F.count_if(F.col("a") == 3), F.count("b")).first()
+    assert abs(free[0] - 3000 * (0.6 + 0.4 * 0.75)) < 110 and abs(free[1] - 1800) < 110 and abs(free[2] - 1200) < 110
+
+
+def _uniform(seed, stream, rid):
+    import hashlib
+
+    return int(hashlib.md5(f"{seed}|{stream}|{rid}".encode()).hexdigest()[:13], 16) / rng.SCALE
+
+
+def test_ends_of_a_cut_are_those_of_its_rows(spark):
+    values = [-1e300, -2.5, -1e-320, 0.0, 5e-324, 1.0, 1e9]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", quantiles.magnitude(F.col("x")).alias("m")).collect()
+    assert all(abs(r["m"] - quantiles._magnitude(r["x"])) < 1e-9 for r in got)
+    t = quantiles.Interval((0, 0), -4.0, 1e9, 9, 0, [1], 1)
+    assert t.by_logarithm() and t.span()[0] == quantiles._magnitude(-4.0) and quantiles.Interval((0, 0), 2.0, 6.0, 9, 0, [1]).span() == (1.0, 2.0)
+
+
+def test_keys_are_made_before_values(spark, monkeypatch):
+    from tessera.operators import relational
+    from tessera.types import ForeignKey, TableSpec
+
+    seen, mint = [], encode.mint_keys
+
+    def minted(df, *how):
+        seen.append(df.columns)
+        return mint(df, *how)
+
+    c = spark.range(80).select(F.col("id").alias("cid"), (F.col("id") % 7).cast("double").alias("a"))
+    o = spark.range(200).select(F.col("id").alias("oid"), (F.col("id") % 80).alias("cid"), rng.uniform(1, "b", F.col("id")).alias("b"))
+    m = relational.RelationalModel({"c": TableSpec("c", "cid"), "o": TableSpec("o", "oid", [ForeignKey("o", ["cid"], "c", ["cid"])])}, spn.SPNParams(beta=500, max_depth=1)).fit({"c": c, "o": o})
+    monkeypatch.setattr(encode, "mint_keys", minted)
+    out = m.sample(spark, {"c": 40})
+    assert len(seen) == 2 and not {"a", "b"} & {x for cols in seen for x in cols}  # a sort of rows with values would draw them twice
+    n = out["o"].count()
+    assert out["c"].select("cid").distinct().count() == 40 and out["o"].select("oid").distinct().count() == n and out["o"].join(out["c"], "cid", "left_anti").isEmpty()
