@@ -41,3 +41,14 @@ def test_forests_are_saved_with_their_tables(spark, tmp_path):
     e = back.models["client"].engine
     paths = [e.to_json()["leaves_table"], *(s.formats_table for s in e.specs if s.formats_table)]
     assert len(paths) == 2 and all(str(tmp_path) in p for p in paths)
+
+
+def test_integrity_is_checked_on_written_tables(spark, monkeypatch):
+    from tessera.operators import report
+    from tessera.plans import models
+
+    seen, one = {}, spark.range(3).select(F.col("id").alias("customer_id"))
+    monkeypatch.setattr(models, "_generated", lambda s, d: ({}, {"customer": one}))
+    monkeypatch.setattr(report, "check_integrity", lambda s, real, synth, specs: seen.update(synth))
+    models.integrity_of_generation(spark, "")
+    assert seen["customer"].inputFiles() and seen["customer"].count() == 3
