@@ -78,3 +78,24 @@ def test_models_work_after_tables_were_written(spark, tmp_path):
     assert m["rows"] == 400
     a, _, _ = evaluate.detection(d.filter("id % 2 = 0"), d.filter("id % 2 = 1"), ["a", "b"], trees=3)
     assert 0 <= a <= 1
+
+
+def test_generated_identifiers_where_codes_have_two_lengths(spark, tmp_path):
+    import duckdb
+
+    from tessera.plans import catalog
+
+    c = spark.range(60).select((F.col("id") * 811).alias("c_custkey"), F.lit("n").alias("c_name"), F.lit(1).alias("c_nationkey"), F.lit(1.5).alias("c_acctbal"), F.lit("m").alias("c_mktsegment"))
+    c.coalesce(1).write.parquet(f"file://{tmp_path}/customer.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    want = sorted(duck.sql(catalog.oracles()["generated_identifiers"]).fetchall())
+    got = catalog.queries()["generated_identifiers"](spark, f"file://{tmp_path}")
+    assert sorted((r["customer_id"], r["contact"], r["code"]) for r in got.collect()) == want
+    assert len({v for _, _, v in want}) == 60 and {len(str(811 * 37 * i + 100000)) for i in range(60)} == {6, 7}
+
+
+def test_fixed_width_by_sign(spark):
+    d = spark.createDataFrame([(7,), (123,), (-4,), (-55,)], "n long")
+    fs, _ = identifiers.learn(d, "n", "salt", fixed=True)
+    assert {r["mask"]: (r["n"], r["m"]) for r in fs.collect()} == {"DDD": (2, 2), "-DD": (2, 2)}
